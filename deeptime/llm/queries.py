@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deeptime.llm import chat_format, exact_dedup, url_filters
+from deeptime.llm import chat_format, exact_dedup, simhash, url_filters
 from deeptime.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest_chats(chat_format.format_chats(turns.unionByName(extra)))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.ingest(table(spark, sf_dir, "documents"), exact_dedup.DigestIndex(spark))
 
@@ -28,7 +32,7 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op4_chat_formatting, op7_exact_dedup, op8_url_filters)}
+    return {f.__name__: f for f in (op4_chat_formatting, op6_simhash, op7_exact_dedup, op8_url_filters)}
 
 
 def oracle_sql():
