@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deeptime.llm import chat_format, exact_dedup, simhash, url_filters
+from deeptime.llm import chat_format, exact_dedup, simhash, url_filters, warc
 from deeptime.llm.common import table
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return warc.read_archives(manifest, with_html=False).drop("url")
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
@@ -32,8 +37,8 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op4_chat_formatting, op6_simhash, op7_exact_dedup, op8_url_filters)}
+    return {f.__name__: f for f in (op3_warc, op4_chat_formatting, op6_simhash, op7_exact_dedup, op8_url_filters)}
 
 
 def oracle_sql():
-    return {"op4_chat_formatting": chat_format.SQL, "op7_exact_dedup": exact_dedup.SQL, "op8_url_filters": url_filters.SQL}
+    return {"op3_warc": warc.SQL, "op4_chat_formatting": chat_format.SQL, "op7_exact_dedup": exact_dedup.SQL, "op8_url_filters": url_filters.SQL}
