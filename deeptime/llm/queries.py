@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deeptime.llm import chat_format, exact_dedup, simhash, url_filters, warc
+from deeptime.llm import chat_format, decontaminate, exact_dedup, simhash, url_filters, warc
 from deeptime.llm.common import table
 
 
@@ -36,9 +36,13 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries():
-    return {f.__name__: f for f in (op3_warc, op4_chat_formatting, op6_simhash, op7_exact_dedup, op8_url_filters)}
+    return {f.__name__: f for f in (op3_warc, op4_chat_formatting, op6_simhash, op7_exact_dedup, op8_url_filters, op10_decontaminate)}
 
 
 def oracle_sql():
-    return {"op3_warc": warc.SQL, "op4_chat_formatting": chat_format.SQL, "op7_exact_dedup": exact_dedup.SQL, "op8_url_filters": url_filters.SQL}
+    return {"op3_warc": warc.SQL, "op4_chat_formatting": chat_format.SQL, "op7_exact_dedup": exact_dedup.SQL, "op8_url_filters": url_filters.SQL, "op10_decontaminate": decontaminate.SQL}
