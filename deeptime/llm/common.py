@@ -67,3 +67,17 @@ def ascii_lower(col: Column) -> Column:
 def hash_share(col: str, share: float) -> Column:
     """True for about ``share`` of the ids, always the same ones."""
     return (F.pmod(F.xxhash64(id_text(col)), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30))))
+
+
+#: Fixed character class: ASCII other than digits and lower-case letters; texts are lower-cased before.
+BREAK = r"[\x00-/:-`{-\x7f]+"
+
+
+def words(text: Column) -> Column:
+    """Lower-case maximal runs of characters other than ASCII punctuation and white space."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), BREAK, -1), "")
+
+
+def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
+    """``df`` (which is stored), to be broadcast if it has ``limit`` rows at most."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

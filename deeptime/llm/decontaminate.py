@@ -24,19 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deeptime.llm.common import stored
+from deeptime.llm.common import broadcast_if_small, stored, words
 
 WIDTH = 5
 THRESHOLD = 0.8
 #: Kept hashes and found ids up to these numbers (each at most 16 MB of longs) are broadcast; beyond, both sides are shuffled.
 BROADCAST_HASHES, BROADCAST_IDS = 1_000_000, 1_000_000
-#: Fixed character class: ASCII without digits and lower-case letters; texts are lower-cased before.
-BREAK = r"[\x00-/:-`{-\x7f]+"
-
-
-def words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), BREAK, -1), "")
-
 
 def shingle_hashes(w: Column, width: int = WIDTH) -> Column:
     """Hashes of the shingles at every position; empty if there are too few words."""
@@ -59,11 +52,6 @@ def item_sketches(items: DataFrame, threshold: float = THRESHOLD, width: int = W
     return sets.select("item_id", part.alias("part"), F.size("shingles").cast("long").alias("n_shingles"), "shingles", F.slice("hashes", F.lit(1), keep).alias("kept"))
 
 
-def _bounded(df: DataFrame, limit: int) -> DataFrame:
-    """``df`` (which is stored), to be broadcast if it has ``limit`` rows at most."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """``doc_id, item_id, n_shingles, n_found, containment`` where a document holds ``threshold`` of an item's shingles."""
     sketches = stored(item_sketches(items, threshold, width), "item-sketches")
@@ -72,11 +60,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     texts = docs.select("doc_id", words(F.col("text")).alias("w"))
     probe = texts.select("doc_id", F.explode(shingle_hashes(F.col("w"), width)).alias("h"))
     # the documents that hold any kept hash, with no regard to the item yet
-    met = stored(probe.join(_bounded(kept.select("h").distinct(), BROADCAST_HASHES), "h", "left_semi").select("doc_id", "h").distinct(), "met")
+    met = stored(probe.join(broadcast_if_small(kept.select("h").distinct(), BROADCAST_HASHES), "h", "left_semi").select("doc_id", "h").distinct(), "met")
     pairs = stored(
         met.join(sketches.select("item_id", F.explode("kept").alias("h")), "h").select(F.col("doc_id").alias("met_id"), "item_id").distinct(), "candidates"
     )
-    found = texts.join(_bounded(pairs, BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("met_id"))).select("doc_id", "item_id", F.array_distinct(shingle_texts(F.col("w"), width)).alias("own"))
+    found = texts.join(broadcast_if_small(pairs, BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("met_id"))).select("doc_id", "item_id", F.array_distinct(shingle_texts(F.col("w"), width)).alias("own"))
     checked = found.join(sketches.select("item_id", "n_shingles", "shingles"), "item_id").select(
         "doc_id", "item_id", "n_shingles", F.size(F.array_intersect("own", "shingles")).cast("long").alias("n_found")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deeptime.llm import chat_format, decontaminate, exact_dedup, simhash, url_filters, warc
+from deeptime.llm import chat_format, decontaminate, exact_dedup, sanitise, simhash, url_filters, warc
 from deeptime.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest_chats(chat_format.format_chats(turns.unionByName(extra)))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.span_lists(*sanitise.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op3_warc, op4_chat_formatting, op6_simhash, op7_exact_dedup, op8_url_filters, op10_decontaminate)}
+    return {f.__name__: f for f in (op3_warc, op4_chat_formatting, op5_pii, op6_simhash, op7_exact_dedup, op8_url_filters, op10_decontaminate)}
 
 
 def oracle_sql():
