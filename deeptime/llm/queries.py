@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deeptime.llm import chat_format, decontaminate, exact_dedup, sanitise, simhash, url_filters, warc
+from deeptime.llm import chat_format, decontaminate, exact_dedup, language_id, sanitise, simhash, toxicity, url_filters, warc
 from deeptime.llm.common import table
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.archive_pages(table(spark, sf_dir, "pages"))
     return warc.read_archives(manifest, with_html=False).drop("url")
@@ -40,12 +45,17 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries():
-    return {f.__name__: f for f in (op3_warc, op4_chat_formatting, op5_pii, op6_simhash, op7_exact_dedup, op8_url_filters, op10_decontaminate)}
+    return {f.__name__: f for f in (op2_language_id, op3_warc, op4_chat_formatting, op5_pii, op6_simhash, op7_exact_dedup, op8_url_filters, op9_toxicity, op10_decontaminate)}
 
 
 def oracle_sql():

@@ -45,15 +45,16 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES):
         a = b
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, stem: int = 0) -> tuple[np.ndarray, ...]:
     """Document number and 64-bit hash of each ASCII-lower-cased word, in order.
 
     The hash is a polynomial over the word's bytes, taken from running sums, then
-    mixed; it depends on nothing but the word.
+    mixed; it depends on nothing but the word. With ``stem``, the hash of each
+    word's first ``stem`` bytes is a third result.
     """
     n = len(data)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return (np.zeros(0, np.int64), np.zeros(0, np.uint64)) + (np.zeros(0, np.uint64),) * (stem > 0)
     inside = ~_SPACE[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
@@ -67,8 +68,12 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     inverse = np.full(n, _P_INV, np.uint64)
     inverse[0] = 1
     np.multiply.accumulate(inverse, out=inverse)
-    h = (sums[end] - sums[start]) * inverse[start]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(29)
-    return np.searchsorted(offsets, start, "right") - 1, h
+
+    def mixed(stop):
+        h = (sums[stop] - sums[start]) * inverse[start]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(29))
+
+    doc = np.searchsorted(offsets, start, "right") - 1
+    return (doc, mixed(end)) + ((mixed(np.minimum(end, start + stem)),) if stem else ())
