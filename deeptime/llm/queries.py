@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deeptime.llm import chat_format, decontaminate, exact_dedup, language_id, sanitise, simhash, toxicity, url_filters, warc
+from deeptime.llm import chat_format, decontaminate, exact_dedup, language_id, packing, sanitise, simhash, toxicity, url_filters, warc
 from deeptime.llm.common import table
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.train(docs))
@@ -55,7 +59,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op2_language_id, op3_warc, op4_chat_formatting, op5_pii, op6_simhash, op7_exact_dedup, op8_url_filters, op9_toxicity, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_packing, op2_language_id, op3_warc, op4_chat_formatting, op5_pii, op6_simhash, op7_exact_dedup, op8_url_filters, op9_toxicity, op10_decontaminate)}
 
 
 def oracle_sql():
