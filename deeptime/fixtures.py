@@ -86,10 +86,6 @@ def _epoch(sql: str, spell: str) -> str:
 
 def bind(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The domain table ``name`` over the tables of ``sf_dir``."""
-    if name == "dump_item":
-        from deeptime.sources.dump import synthetic_items
-
-        return synthetic_items(spark, sf_dir)
     sql = _epoch(TABLES[name], "unix_seconds(cast(o_orderdate AS TIMESTAMP))")
     if base := _BASE.get(name):
         return spark.sql(sql.replace(f"FROM {base}", "FROM {base}"), base=spark.read.parquet(f"{sf_dir}/{base}.parquet"))

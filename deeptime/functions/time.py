@@ -124,51 +124,3 @@ SOURCE_LABEL = {0: "billion_year", 1: "billion_year", 2: "billion_year", 3: "mil
 def days_in_month(calendar: Column, y: Column, m: Column) -> Column:
     leap = F.when(calendar == "julian", F.pmod(y, F.lit(4)) == 0).otherwise((F.pmod(y, F.lit(4)) == 0) & ((F.pmod(y, F.lit(100)) != 0) | (F.pmod(y, F.lit(400)) == 0)))
     return F.when(m.isin(4, 6, 9, 11), 30).when(m != 2, 31).when(leap, 29).otherwise(28)
-
-
-def statement_window(calendar: Column, y: Column, m: Column, d: Column, second: Column, precision: Column, before: Column, after: Column) -> dict[str, Column]:
-    """Half-open window of a dated statement: ``t0, t1, label, year, failure``.
-
-    ``y`` is astronomical, ``second`` counts from midnight. What is finer than
-    the precision is ignored. ``failure`` names why there is no window.
-    """
-    m = F.when(precision < 10, 1).otherwise(m)
-    d = F.when(precision < 11, 1).otherwise(d)
-    unit = lookup(precision, UNIT_YEARS)
-    clock = F.when(precision == 12, 3600).when(precision == 13, 60).when(precision == 14, 1)
-    failure = (
-        F.when(~precision.between(0, 14), "precision")
-        .when((before < 0) | (after < 0), "uncertainty")
-        .when(~calendar.isin("julian", "gregorian") | calendar.isNull(), "calendar")
-        .when(~m.between(1, 12) | (d < 1) | (d > days_in_month(calendar, y, m)), "date")
-        .when(unit.isNull() & ~y.between(-4799, 999999), "range")
-    )
-    start_year = F.floor(y / unit) * unit
-    jd = lambda *a: day_seconds(julian_day(calendar, *a))
-    one = F.lit(1)
-    start = (
-        F.when(unit.isNotNull(), year_to_seconds(start_year))
-        .when(precision == 9, jd(y, one, one))
-        .when(precision == 10, jd(y, m, one))
-        .when(precision == 11, jd(y, m, d))
-        .otherwise(jd(y, m, d) + F.floor(second / clock) * clock)
-    )
-    end = (
-        F.when(unit.isNotNull(), year_to_seconds(start_year + unit))
-        .when(precision == 9, jd(y + 1, one, one))
-        .when(precision == 10, F.when(m == 12, jd(y + 1, one, one)).otherwise(jd(y, m + 1, one)))
-        .when(precision == 11, jd(y, m, d) + 86400)
-        .otherwise(start + clock)
-    )
-    length = end - start
-    wide_start, wide_end = start - before * length, end + after * length
-    label = lookup(precision, SOURCE_LABEL)
-    coarser = F.least(precision_rank(label), span_rank(wide_end - wide_start))
-    ok = failure.isNull()
-    return {
-        "t0": F.when(ok, wide_start),
-        "t1": F.when(ok, wide_end),
-        "label": F.when(ok, F.when((before > 0) | (after > 0), rank_label(coarser)).otherwise(label)),
-        "year": F.when(ok, F.when(unit.isNotNull(), start_year).otherwise(y.cast("double")) + F.lit(0.0)),
-        "failure": failure,
-    }
