@@ -98,4 +98,6 @@ def twin(query: str, *names: str, more: str = "") -> str:
     for n in names:
         sql = _epoch(TABLES[n], "epoch(o_orderdate)").replace("AS STRING)", "AS VARCHAR)")
         parts.append(f"{n} AS ({sql})")
+    if not (parts or more):
+        return query
     return "WITH " + ("RECURSIVE " if "RECURSIVE" in more else "") + ",\n".join([*parts, *([more.replace("RECURSIVE ", "")] if more else [])]) + "\n" + query
