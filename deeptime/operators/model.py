@@ -18,7 +18,7 @@ def reject_reason(categories: Column, relations: Column | None = None, claims: C
     """
     c = F.col
     q = lambda what, col: F.concat(F.lit(f'{what} "'), F.coalesce(col, F.lit("")), F.lit('"'))
-    first = lambda a, bad: F.element_at(F.filter(a, bad), 1)
+    first = lambda a, bad: F.try_element_at(F.filter(a, bad), F.lit(1))
     outside = lambda words: lambda x: ~x.isin(words)
     blank = lambda x: F.coalesce(x, F.lit("")) == ""
     why = (
@@ -32,11 +32,11 @@ def reject_reason(categories: Column, relations: Column | None = None, claims: C
         .when(F.exists(categories, outside(V.CATEGORIES)), q("unknown category", first(categories, outside(V.CATEGORIES))))
     )
     if relations is not None:
-        bad = F.element_at(F.filter(relations, lambda r: ~r["type"].isin(V.RELATIONS) | blank(r["target"])), 1)
+        bad = F.try_element_at(F.filter(relations, lambda r: ~r["type"].isin(V.RELATIONS) | blank(r["target"])), F.lit(1))
         why = why.when(bad.isNotNull(), F.when(~bad["type"].isin(V.RELATIONS), q("unknown relationship type", bad["type"])).otherwise(F.concat(q("relationship", bad["type"]), F.lit(" with empty target"))))
     if claims is not None:
         shape = lambda p: p["value"].isNull() & (p["min"].isNull() | p["max"].isNull())
-        p = F.element_at(F.filter(claims, lambda p: blank(p["property"]) | blank(p["source"]) | blank(p["published_at"]) | ~p["value_type"].isin(V.VALUE_TYPES) | shape(p)), 1)
+        p = F.try_element_at(F.filter(claims, lambda p: blank(p["property"]) | blank(p["source"]) | blank(p["published_at"]) | ~p["value_type"].isin(V.VALUE_TYPES) | shape(p)), F.lit(1))
         name = q("property", p["property"])
         why = why.when(
             p.isNotNull(),
