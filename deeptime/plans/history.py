@@ -151,7 +151,7 @@ def s3b(spark, sf):
     return parsed(spark, sf).agg(F.count_if(F.octet_length("value") > S.MAX_RECORD_BYTES).alias("too_large"), F.count(F.lit(1)).alias("n"))
 
 
-@register("p4_statement_gate", twin("SELECT CASE WHEN input_order % 19 = 0 THEN 'statement_rank_not_used' END AS skip, count(*) AS n FROM entity GROUP BY 1 UNION ALL SELECT NULL, 0 FROM entity WHERE false".replace("GROUP BY 1", "GROUP BY CASE WHEN input_order % 19 = 0 THEN 'statement_rank_not_used' END"), "entity"))
+@register("p4_statement_gate", twin("SELECT CASE WHEN input_order % 19 = 0 THEN 'statement_rank_not_used' END AS skip, count(*) AS n FROM entity GROUP BY CASE WHEN input_order % 19 = 0 THEN 'statement_rank_not_used' END", "entity"))
 def p4(spark, sf):
     s = S.statements(parsed(spark, sf), ["P31"]).filter("pos = 0")
     return s.groupBy(S.skip_reason(F.col("statement"), F.col("property"), "wikibase-item", "wikibase-entityid").alias("skip")).agg(F.count(F.lit(1)).alias("n"))
@@ -196,8 +196,16 @@ def _census_items(spark, sf):
     return joined.select("type", "class", (F.col("name") != "").alias("label"), F.col("t0").isNotNull().alias("dated"), slice_.alias("slice"), F.col("lon").isNotNull().alias("point"), (F.col("article") != "").alias("article"), F.col("links").cast("bigint").alias("links"))
 
 
-@register("a2_dump_census", twin(f"""SELECT type, class, slice AS year_slice, count(*) AS n, count(*) FILTER (WHERE label) AS has_label, count(*) FILTER (WHERE dated) AS has_date, count(*) FILTER (WHERE point) AS has_coordinates,
- floor(count(*) FILTER (WHERE dated) / CAST(count(*) AS DOUBLE) * 1e6 + 0.5e0) / 1e6 AS date_ratio FROM g JOIN (VALUES (0), (1), (2), (3), (4), (5)) v(level) ON true WHERE (level NOT IN (2, 5) OR gclass IS NOT NULL) AND (level < 3 OR gslice IS NOT NULL) GROUP BY level, type, class, slice""".replace("SELECT type, class, slice AS year_slice", "SELECT CASE WHEN level IN (1, 4) THEN gtype END AS type, CASE WHEN level IN (2, 5) THEN gclass END AS class, CASE WHEN level >= 3 THEN gslice END AS year_slice").replace("GROUP BY level, type, class, slice", "GROUP BY level, CASE WHEN level IN (1, 4) THEN gtype END, CASE WHEN level IN (2, 5) THEN gclass END, CASE WHEN level >= 3 THEN gslice END"), "entity", "time_fact", more=f"{ITEMS},\n{CLEAN},\n{WINDOWS},\nown AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY t0) AS n FROM windows WHERE {_order(V.START_PROPERTIES)} IS NOT NULL) s WHERE n = 1),\ng AS (SELECT c.type AS gtype, c.class AS gclass, input_order % 29 <> 0 AS label, w.t0 IS NOT NULL AS dated, floor(w.year / 100) * 100 AS gslice, input_order % 4 <> 0 AND input_order % 23 <> 0 AS point FROM classified c JOIN entity e ON e.input_order = c.o LEFT JOIN own w ON w.event_id = c.o)"))
+# Level 0 is the total, 1 by type, 2 by class, 3 by slice, 4 by slice and type, 5 by slice and class.
+_LEVEL = ["CASE WHEN level IN (1, 4) THEN gtype END", "CASE WHEN level IN (2, 5) THEN gclass END", "CASE WHEN level >= 3 THEN gslice END"]
+_OWN = f"""own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY t0) AS n FROM windows WHERE {_order(V.START_PROPERTIES)} IS NOT NULL) s WHERE n = 1),
+g AS (SELECT c.type AS gtype, c.class AS gclass, input_order % 29 <> 0 AS label, w.t0 IS NOT NULL AS dated, floor(w.year / 100) * 100 AS gslice, input_order % 4 <> 0 AND input_order % 23 <> 0 AS point
+  FROM classified c JOIN entity e ON e.input_order = c.o LEFT JOIN own w ON w.event_id = c.o)"""
+
+
+@register("a2_dump_census", twin(f"""SELECT {_LEVEL[0]} AS type, {_LEVEL[1]} AS class, {_LEVEL[2]} AS year_slice, count(*) AS n, count(*) FILTER (WHERE label) AS has_label, count(*) FILTER (WHERE dated) AS has_date, count(*) FILTER (WHERE point) AS has_coordinates,
+ floor(count(*) FILTER (WHERE dated) / CAST(count(*) AS DOUBLE) * 1e6 + 0.5e0) / 1e6 AS date_ratio FROM g JOIN (VALUES (0), (1), (2), (3), (4), (5)) v(level) ON true
+WHERE (level NOT IN (2, 5) OR gclass IS NOT NULL) AND (level < 3 OR gslice IS NOT NULL) GROUP BY level, {', '.join(_LEVEL)}""", "entity", "time_fact", more=f"{ITEMS},\n{CLEAN},\n{WINDOWS},\n{_OWN}"))
 def a2(spark, sf):
     return D.dump_census(_census_items(spark, sf)).select("type", "class", "year_slice", "n", "has_label", "has_date", "has_coordinates", "date_ratio")
 

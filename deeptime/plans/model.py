@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from deeptime.catalog import register
@@ -58,7 +60,8 @@ def s6(spark, sf):
     return _reasoned(spark, sf).filter("reason IS NOT NULL").select(F.lit("orders").alias("source"), F.col("input_order").alias("line"), "reason").orderBy("source", "line", "reason")
 
 
-@register("a8_import_report", twin("""SELECT source, coalesce(reason, '') AS reason, count(*) AS n FROM (SELECT CASE WHEN input_order % 2 = 0 THEN 'curated' ELSE 'bulk' END AS source, CASE WHEN GROUPING_DUMMY THEN NULL ELSE coalesce(reason, 'accepted') END AS reason FROM reasoned) x GROUP BY source, reason""".replace("CASE WHEN GROUPING_DUMMY THEN NULL ELSE coalesce(reason, 'accepted') END", "coalesce(reason, 'accepted')"), "entity", more=f"{SPOILED},\n{REASON}"))
+@register("a8_import_report", twin("""SELECT CASE WHEN input_order % 2 = 0 THEN 'curated' ELSE 'bulk' END AS source, coalesce(reason, 'accepted') AS reason, count(*) AS n
+FROM reasoned GROUP BY CASE WHEN input_order % 2 = 0 THEN 'curated' ELSE 'bulk' END, coalesce(reason, 'accepted')""", "entity", more=f"{SPOILED},\n{REASON}"))
 def a8(spark, sf):
     rows = _reasoned(spark, sf).withColumn("source", F.when(F.col("input_order") % 2 == 0, "curated").otherwise("bulk"))
     return rows.groupBy("source", F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
@@ -191,10 +194,11 @@ def j7(spark, sf):
     return M.contemporaries(bind(spark, sf, "entity"))
 
 
-@register("e4_document_counts", twin("""SELECT e.seed_id, (SELECT count(*) FROM relationship r WHERE r.seed_id = e.seed_id) AS n_rel, 0 + coalesce(i.n, 0) AS n_inverse, coalesce(c.n, 0) AS n_children, coalesce(p.n, 0) AS n_properties FROM entity e
-LEFT JOIN (SELECT target, count(*) AS n FROM relationship WHERE type IN {inv} GROUP BY target) i ON i.target = e.seed_id
+@register("e4_document_counts", twin(f"""SELECT e.seed_id, coalesce(o.n, 0) AS n_rel, coalesce(i.n, 0) AS n_inverse, coalesce(c.n, 0) AS n_children, coalesce(p.n, 0) AS n_properties FROM entity e
+LEFT JOIN (SELECT seed_id, count(*) AS n FROM relationship GROUP BY seed_id) o ON o.seed_id = e.seed_id
+LEFT JOIN (SELECT target, count(*) AS n FROM relationship WHERE type IN {_inlist(V.INVERSE)} GROUP BY target) i ON i.target = e.seed_id
 LEFT JOIN (SELECT target, count(*) AS n FROM relationship WHERE type = 'part_of' GROUP BY target) c ON c.target = e.seed_id
-LEFT JOIN (SELECT seed_id, count(DISTINCT property) AS n FROM claim GROUP BY seed_id) p ON p.seed_id = e.seed_id""".replace("{inv}", _inlist(V.INVERSE)).replace("(SELECT count(*) FROM relationship r WHERE r.seed_id = e.seed_id)", "coalesce(o.n, 0)").replace("FROM entity e\n", "FROM entity e LEFT JOIN (SELECT seed_id, count(*) AS n FROM relationship GROUP BY seed_id) o ON o.seed_id = e.seed_id\n"), "entity", "relationship", "claim"))
+LEFT JOIN (SELECT seed_id, count(DISTINCT property) AS n FROM claim GROUP BY seed_id) p ON p.seed_id = e.seed_id""", "entity", "relationship", "claim"))
 def e4(spark, sf):
     docs = documents(spark, sf)
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
@@ -241,8 +245,11 @@ def t3(spark, sf):
     return M.prefix_search(M.assign_slugs(bind(spark, sf, "entity")).filter("slug IS NOT NULL"), spark.createDataFrame(_ASK, "query_id int, query string"))
 
 
-@register("f1_slugify", """SELECT word, trim(substr(s, 1, 80), '-') AS slug FROM (SELECT word, trim(regexp_replace(lower(strip_accents(REPL)), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM (
-SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM documents) w) x""".replace("REPL", __import__("functools").reduce(lambda s, k: f"replace({s}, '{k[0]}', '{k[1]}')", X.LIGATURES.items(), "word")))
+_PLAIN = reduce(lambda s, k: f"replace({s}, '{k[0]}', '{k[1]}')", X.LIGATURES.items(), "word")
+
+
+@register("f1_slugify", f"""SELECT word, trim(substr(s, 1, 80), '-') AS slug FROM (SELECT word, trim(regexp_replace(lower(strip_accents({_PLAIN})), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM (
+SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM documents) w) x""")
 def f1(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     words = docs.select(F.explode(F.split("text", " ")).alias("word")).distinct()
@@ -282,10 +289,6 @@ def p11(spark, sf):
     return bind(spark, sf, "entity").select("input_order", F.coalesce(X.valid_lon_lat(F.col("lon") * 1.5, F.col("lat") * 1.5), F.lit(False)).alias("valid"))
 
 
-def _hash_sql():
-    return """SELECT n_name, CAST(h % 360 AS BIGINT) AS hue FROM (SELECT n_name, i, h, length(n_name) AS l FROM walk) w WHERE i = l"""
-
-
-@register("f13_name_hue", "WITH RECURSIVE walk(n_name, i, h) AS (SELECT n_name, 0, CAST(2166136261 AS BIGINT) FROM nation UNION ALL SELECT n_name, i + 1, (xor(h, CAST(ascii(substr(n_name, i + 1, 1)) AS BIGINT)) * 16777619) % 4294967296 FROM walk WHERE i < length(n_name))\n" + _hash_sql())
+@register("f13_name_hue", "WITH RECURSIVE walk(n_name, i, h) AS (SELECT n_name, 0, CAST(2166136261 AS BIGINT) FROM nation UNION ALL SELECT n_name, i + 1, (xor(h, CAST(ascii(substr(n_name, i + 1, 1)) AS BIGINT)) * 16777619) % 4294967296 FROM walk WHERE i < length(n_name))\nSELECT n_name, CAST(h % 360 AS BIGINT) AS hue FROM walk WHERE i = length(n_name)")
 def f13(spark, sf):
     return spark.read.parquet(f"{sf}/nation.parquet").select("n_name", X.hue(F.col("n_name")).alias("hue"))
