@@ -24,7 +24,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    for module in ("zoom", "model", "history", "layers", "store"):
+    for module in ("zoom", "model", "history", "layers", "store", "insight"):
         importlib.import_module(f"deeptime.plans.{module}")
 
 

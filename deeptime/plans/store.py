@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from deeptime.catalog import register
@@ -14,6 +11,7 @@ from deeptime.operators import zoom as Z
 from deeptime.plans import zoom as PZ
 from deeptime.sources import model_io as IO
 from deeptime.sources import records as R
+from deeptime.sources.scratch import fresh as _fresh
 from deeptime.streaming import ingest as ST
 
 
@@ -21,12 +19,6 @@ def _read(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _fresh(spark, label: str) -> str:
-    """A new folder under the shared one that the session names, else a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="deeptime-")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def _record_lines(spark, sf):
     e, o = bind(spark, sf, "entity"), F.col("input_order")
     body = F.to_json(F.struct(F.col("seed_id").alias("id"), "type", "name", F.concat(F.lit('{"y": '), (1900 + o % 200).cast("string"), F.lit("}")).alias("t0"), "precision", "status", F.array("cat0").alias("categories"), "importance"))
@@ -61,7 +53,7 @@ def p2(spark, sf):
 @register("p9_page_times", twin("SELECT input_order, CASE WHEN input_order % 3 = 0 THEN (0e0 - input_order - 1970e0) * 31556952e0 ELSE t0 END AS t FROM entity WHERE input_order % 3 <> 1", "entity"))
 def p9(spark, sf):
     o = F.col("input_order")
-    text = F.when(o % 3 == 0, F.concat(F.lit("-"), F.lpad(o.cast("string"), 4, "0"), F.lit("-01-01T00:00:00Z"))).otherwise(F.date_format(F.timestamp_seconds("t0"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    text = F.when(o % 3 == 0, F.concat(F.lit("-"), F.lpad(o.cast("string"), F.greatest(F.lit(4), F.length(o.cast("string"))), F.lit("0")), F.lit("-01-01T00:00:00Z"))).otherwise(F.date_format(F.timestamp_seconds("t0"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     rows = bind(spark, sf, "entity").filter(o % 3 != 1).select("input_order", text.alias("text"))
     return rows.select("input_order", R.page_time(F.col("text"))[0].alias("t"))
 
@@ -206,24 +198,3 @@ def st3(spark, sf):
     target = _fresh(spark, "counters")
     ST.count_by(spark, _arrivals(spark, sf, False), _EVENTS, target, _fresh(spark, "stream"), ["event_type"]).awaitTermination()
     return ST.counters(spark, target, ["event_type"])
-
-
-# Tier B: described for the reference's data, not built there ------------------------------------------------
-
-
-@register("b1_claims_known_by", twin("SELECT seed_id, property, count(*) AS claim_count FROM claim WHERE published_at <= '1997' GROUP BY seed_id, property", "claim"))
-def b1(spark, sf):
-    return M.synthesize(bind(spark, sf, "claim").filter("published_at <= '1997'")).select("seed_id", "property", "claim_count")
-
-
-@register("b4_record_values", twin("SELECT property, arg_max(seed_id, v) AS seed_id, max(v) AS v FROM (SELECT property, seed_id, coalesce(value, max) * 100000 + input_order AS v FROM claim JOIN entity USING (seed_id)) x GROUP BY property", "claim", "entity"))
-def b4(spark, sf):
-    j = bind(spark, sf, "claim").join(bind(spark, sf, "entity").select("seed_id", "input_order"), "seed_id")
-    v = j.select("property", "seed_id", (F.coalesce("value", "max") * 100000 + F.col("input_order")).alias("v"))
-    return v.groupBy("property").agg(F.max_by("seed_id", "v").alias("seed_id"), F.max("v").alias("v"))
-
-
-@register("b8_artifact_budgets", twin("SELECT bucket, count(*) AS n, max(n) AS largest FROM (SELECT bucket, win, category, count(*) AS n FROM ranked GROUP BY bucket, win, category) x GROUP BY bucket", "entity", more=_CELLS))
-def b8(spark, sf):
-    g = PZ._topical(spark, sf).groupBy(*Z.CELL).agg(F.count(F.lit(1)).alias("n"))
-    return g.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_cells"), F.max("n").alias("largest")).withColumnRenamed("n_cells", "n")
