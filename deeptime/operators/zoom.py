@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from deeptime.functions import time as T
 from deeptime.functions import vocab as V
+from deeptime.sources.scratch import written
 
 CELL = ["bucket", "win", "category"]
 
@@ -39,31 +40,43 @@ def rank_cells(cell_rows: DataFrame, cap: int = V.CHUNK_CAP) -> DataFrame:
 
     Spark limits each group before the shuffle, so a hot cell moves ``cap`` rows for each task.
     """
-    w = Window.partitionBy(*CELL).orderBy(F.desc("importance"), "slug")
-    return cell_rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap)
+    return cell_rows.withColumn("rank", F.row_number().over(Window.partitionBy(*CELL).orderBy(F.desc("importance"), "slug"))).filter(F.col("rank") <= cap)
 
 
-def diverse_top(cell_rows: DataFrame, categories: Column, cap: int = V.CHUNK_CAP, per_category: int = V.CATEGORY_CAP) -> DataFrame:
-    """Greedy top ``cap`` of each cell in which an item is passed over once all its categories are full.
-
-    Of items with the same categories no more than ``per_category`` can ever be
-    taken, so only those are gathered for the fold: a cell's list is bounded by
-    the number of category sets, not by the cell's rows.
-    """
-    rows = cell_rows.withColumn("_c", categories)
-    w = Window.partitionBy(*CELL, F.array_join(F.array_sort("_c"), ",")).orderBy(F.desc("importance"), "slug")
-    bounded = rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_category).drop("_n")
+def _walk(rows: DataFrame, cap: int, per_category: int) -> DataFrame:
+    """The greedy walk over the rows of each cell, which must be few."""
     item = F.struct((-F.col("importance")).alias("order"), "slug", F.transform("_c", lambda c: F.array_position(F.lit(V.CATEGORIES), c).cast("int")).alias("cats"))
-    grouped = bounded.groupBy(*CELL).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    grouped = rows.groupBy(*CELL).agg(F.array_sort(F.collect_list(item)).alias("items"))
     state = F.struct(F.array_repeat(F.lit(0), len(V.CATEGORIES)).alias("used"), F.array().cast("array<struct<order:double,slug:string>>").alias("taken"))
 
     def step(s, x):
         full = F.forall(x["cats"], lambda c: F.element_at(s["used"], c) >= per_category)
         used = F.transform(s["used"], lambda u, i: u + F.size(F.filter(x["cats"], lambda c: c == i + 1)))
         taken = F.concat(s["taken"], F.array(F.struct(x["order"].alias("order"), x["slug"].alias("slug"))))
-        return F.when(full | (F.size(s["taken"]) >= cap), s).otherwise(F.struct(used.alias("used"), taken.alias("taken")))
+        return F.when((F.size(s["taken"]) >= cap) | full, s).otherwise(F.struct(used.alias("used"), taken.alias("taken")))
+
+    return grouped.select(*CELL, F.size("items").alias("seen"), F.aggregate("items", state, step, lambda s: s["taken"]).alias("taken"))
 
-    picked = grouped.select(*CELL, F.posexplode(F.aggregate("items", state, step, lambda s: s["taken"])).alias("pos", "x"))
+
+def diverse_top(cell_rows: DataFrame, categories: Column, cap: int = V.CHUNK_CAP, per_category: int = V.CATEGORY_CAP, prefix: int = 3) -> DataFrame:
+    """Greedy top ``cap`` of each cell in which an item is passed over once all its categories are full.
+
+    The walk is tried on the first ``prefix * cap`` rows of each cell; where it
+    fills the chunk, the rest can't matter. Only cells that it leaves short are
+    walked over the rest, and of items with the same categories no more than
+    ``per_category`` can ever be taken, so what is gathered for a cell is bounded
+    by the number of category sets, not by the cell's rows.
+    """
+    rows = cell_rows.withColumn("_c", categories)
+    rank = F.row_number().over(Window.partitionBy(*CELL).orderBy(F.desc("importance"), "slug"))
+    tried = written(_walk(rows.withColumn("_n", rank).filter(F.col("_n") <= prefix * cap), cap, per_category), "diverse")
+    short = (F.size("taken") < cap) & (F.col("seen") >= prefix * cap)
+    done = tried.filter(~short)
+    if not tried.filter(short).isEmpty():
+        w = Window.partitionBy(*CELL, F.array_join(F.array_sort("_c"), ",")).orderBy(F.desc("importance"), "slug")
+        left = rows.join(tried.filter(short).select(*CELL), CELL, "left_semi")
+        done = done.unionByName(_walk(left.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_category), cap, per_category))
+    picked = done.select(*CELL, F.posexplode("taken").alias("pos", "x"))
     return picked.select(*CELL, F.col("x.slug").alias("slug"), (-F.col("x.order")).alias("importance"), (F.col("pos") + 1).alias("rank"))
 
 

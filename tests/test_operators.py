@@ -23,8 +23,10 @@ def test_diverse_top_equals_the_sequential_walk(spark):
             rows.append((cell % 3, cell, "all", f"s{i:03}", rng.randint(1, 40) / 100, cats))
     df = spark.createDataFrame(rows, "bucket int, win int, category string, slug string, importance double, cats array<string>")
     got = {}
-    for r in Z.diverse_top(df, F.col("cats"), cap=50, per_category=12).collect():
+    whole = Z.diverse_top(df, F.col("cats"), cap=50, per_category=12, prefix=9)
+    for r in whole.collect():
         got.setdefault((r.bucket, r.win), []).append((r["rank"], r.slug))
+    assert sorted(whole.collect()) == sorted(Z.diverse_top(df, F.col("cats"), cap=50, per_category=12, prefix=1).collect())
     for cell in range(6):
         used, want = {}, []
         for b, w, _, slug, imp, cats in sorted((r for r in rows if r[1] == cell), key=lambda r: (-r[4], r[3])):
