@@ -29,6 +29,7 @@ from deeptime.llm.common import held_out, hash_share, id_text, stored
 from deeptime.llm.text_arrays import byte_view, filled, slices, word_hashes
 
 POSITIVES, UNLABELLED = 4000, 12000
+SAMPLE_PARTS = 12
 STEPS, RATE, DECAY = 200, 0.1, 1e-4
 #: A feature is kept if this many confirmed documents have it and the excess over unlabelled text has this many standard errors.
 LEAST_SEEN, LEAST_Z = 4, 4.0
@@ -59,21 +60,6 @@ def _distinct(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return doc[new], value[new]
 
 
-def sample_features(docs: DataFrame) -> list[np.ndarray]:
-    """Each document's distinct features, brought to the driver (for bounded samples)."""
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for _, n, doc, h in features(batch.column(0)):
-                doc, h = _distinct(doc, h)
-                cut = np.searchsorted(doc, np.arange(n + 1))
-                rows += [h[cut[i] : cut[i + 1]].tobytes() for i in range(n)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["h"])
-
-    return [np.frombuffer(r.h, np.uint64) for r in docs.select("text").mapInArrow(run, "h binary").collect()]
-
-
 def _known(hashes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which of ``h`` are among the sorted ``hashes``, and where."""
     if not len(hashes):
@@ -82,25 +68,60 @@ def _known(hashes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hashes[at] == h, at
 
 
-def select_features(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """Sorted hashes of the features that confirmed documents have significantly more often."""
-    hashes, seen = np.unique(np.concatenate(positive), return_counts=True)
-    hashes, seen = hashes[seen >= LEAST_SEEN], seen[seen >= LEAST_SEEN]
-    known, at = _known(hashes, np.concatenate(unlabelled))
-    share = (np.bincount(at[known], minlength=len(hashes)) + 1) / (len(unlabelled) + 2)
-    z = (seen / len(positive) - share) / np.sqrt(share * (1 - share) / len(positive))
+def feature_counts(docs: DataFrame, hashes: np.ndarray | None = None) -> DataFrame:
+    """``h, n``: documents that have each feature; with ``hashes`` (sorted) only those."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, doc, h in features(batch.column(0)):
+                if hashes is not None:
+                    known, _ = _known(hashes, h)
+                    doc, h = doc[known], h[known]
+                yield pa.RecordBatch.from_arrays([pa.array(_distinct(doc, h)[1].view(np.int64))], ["h"])
+
+    return docs.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+
+
+def select_features(positive: DataFrame, n_positive: int, unlabelled: DataFrame, n_unlabelled: int) -> np.ndarray:
+    """Sorted hashes of the features that confirmed documents have significantly more often.
+
+    Both frames are bounded samples; only counts of features reach the driver.
+    """
+    rows = feature_counts(positive).filter(F.col("n") >= LEAST_SEEN).toArrow()
+    hashes, seen = rows.column("h").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    order = np.argsort(hashes)
+    hashes, seen = hashes[order], seen[order]
+    rows = feature_counts(unlabelled, hashes).toArrow()
+    share = np.ones(len(hashes))
+    share[np.searchsorted(hashes, rows.column("h").to_numpy().view(np.uint64))] += rows.column("n").to_numpy()
+    share /= n_unlabelled + 2
+    z = (seen / n_positive - share) / np.sqrt(share * (1 - share) / n_positive)
     return hashes[z >= LEAST_Z]
 
 
+def sample_features(docs: DataFrame, hashes: np.ndarray) -> list[np.ndarray]:
+    """For each document of a bounded sample, the positions of its features in ``hashes``."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for _, n, doc, h in features(batch.column(0)):
+                known, at = _known(hashes, h)
+                doc, at = _distinct(doc[known], at[known])
+                cut = np.searchsorted(doc, np.arange(n + 1))
+                rows += [at[cut[i] : cut[i + 1]].astype(np.int32).tobytes() for i in range(n)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["at"])
+
+    return [np.frombuffer(r.at, np.int32) for r in docs.select("text").mapInArrow(run, "at binary").collect()]
+
+
 class _Rows:
-    """Sparse rows of ones over selected features."""
+    """Sparse rows of ones over the selected features."""
 
-    def __init__(self, rows, hashes):
+    def __init__(self, rows):
         self.n = len(rows)
-        every = np.concatenate(rows)
-        known, at = _known(hashes, every)
-        self.at = at[known]
-        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])[known]
+        self.at = np.concatenate(rows)
+        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
 
     def scores(self, w):
         return np.bincount(self.row, w[self.at], self.n)
@@ -113,10 +134,9 @@ def _sigmoid(x):
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = STEPS) -> Model:
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, hashes: np.ndarray, steps: int = STEPS) -> Model:
     """Minimise the non-negative risk with the logistic loss, by Adam over the samples."""
-    hashes = select_features(positive, unlabelled)
-    p, u, dim = _Rows(positive, hashes), _Rows(unlabelled, hashes), len(hashes)
+    p, u, dim = _Rows(positive), _Rows(unlabelled), len(hashes)
     w, b = np.zeros(dim), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(dim + 1), np.zeros(dim + 1)
     for t in range(1, steps + 1):
@@ -150,8 +170,12 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     toxic = part.join(F.broadcast(chosen.select("doc_id").limit(2 * positives)), "doc_id", "left_semi").limit(2 * positives)
     n = part.count()
     drawn = part.filter(hash_share("doc_id", unlabelled / max(1, n))).orderBy(F.xxhash64(id_text()), "text").limit(2 * unlabelled)
-    rows = sample_features(toxic), sample_features(drawn)
-    return fit_nnpu(*rows, prior) if all(rows) else flat
+    toxic, drawn = (stored(rows.repartition(SAMPLE_PARTS), "toxicity-sample") for rows in (toxic, drawn))
+    n_toxic, n_drawn = toxic.count(), drawn.count()
+    if not n_toxic or not n_drawn:
+        return flat
+    hashes = select_features(toxic, n_toxic, drawn, n_drawn)
+    return fit_nnpu(sample_features(toxic, hashes), sample_features(drawn, hashes), prior, hashes)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
