@@ -11,6 +11,7 @@ from deeptime.functions import time as T
 from deeptime.functions import vocab as V
 from deeptime.operators import dating as D
 from deeptime.sources import dump as S
+from deeptime.sources.scratch import written
 
 # The other engine's calendar arithmetic, as text.
 
@@ -130,7 +131,8 @@ classified AS (SELECT input_order AS o, CASE WHEN k IS NULL THEN 'unclassified'
 
 
 def parsed(spark, sf):
-    return S.parse(S.synthetic_lines(spark, sf))
+    """The parsed dump, written once: its readers take a few columns each."""
+    return written(S.parse(S.synthetic_lines(spark, sf)), "dump")
 
 
 @register("s3_dump_source", twin("SELECT count(*) AS items, count(*) FILTER (WHERE input_order % 29 <> 0) AS labelled, count(*) FILTER (WHERE wikipedia <> '') AS articles FROM entity", "entity"))
