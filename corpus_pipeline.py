@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deeptime.llm import decontaminate, exact_dedup, language_id, packing, simhash
+from deeptime.llm import decontaminate, exact_dedup, language_id, near_copies, packing
 from deeptime.llm.common import stored, table
 
 
@@ -26,8 +26,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays."""
-    return simhash.keep_one(docs)
+    """No two documents stay that share four fifths of their five-word shingles."""
+    return near_copies.keep_one(docs)
 
 
 def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,6 +42,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Name of the row key that stages add, where ids may be null or repeat.
+ROW = "__row"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` (stored) with a key of its own for each row."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed-rows")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
