@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deeptime.llm.common import broadcast_if_small, stored, words
+from deeptime.llm.common import ROW, broadcast_if_small, keyed, stored, words
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -73,8 +73,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
 
 def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """``docs`` without the documents that hold a test item; columns unchanged."""
-    leaks = stored(find_leaks(docs, items, threshold, width).select(F.col("doc_id").alias("__id")).distinct(), "leaking-ids")
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["__id"]), "left_anti")
+    given = keyed(docs)
+    leaks = stored(find_leaks(given.select(F.col(ROW).alias("doc_id"), "text"), items, threshold, width).select(F.col("doc_id").alias("__out")).distinct(), "leaking-rows")
+    return given.join(leaks, F.col(ROW) == F.col("__out"), "left_anti").drop(ROW)
 
 
 _WORDS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x00-/:-`{-\\x7f]+'), lambda x: x <> '')"

@@ -7,7 +7,8 @@ appended, so later batches are compared with digests alone, never with texts.
 Defined cases: a null text equals the empty text; texts are equal when they are
 identical after lower-casing A-Z; of equal texts the row with the largest
 ``doc_id`` stays (a null id only where no other is there); rows that repeat an
-id and a text are one row given twice and share their verdict; an empty batch
+id and a text are one row given twice and share their verdict, but ``keep_first``
+judges by row and leaves one of them; an empty batch
 gives an empty result; columns beyond ``doc_id`` and ``text`` are not read.
 """
 
@@ -18,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deeptime.llm.common import ascii_lower, fresh_path, stored
+from deeptime.llm.common import ROW, ascii_lower, fresh_path, keyed, stored
 
 
 class DigestIndex:
@@ -55,8 +56,17 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.table)
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(ascii_lower(F.col("text")).cast("binary"), 256).alias("text_sha256"))
+def digests(docs: DataFrame, *more: str) -> DataFrame:
+    return docs.select(*more, F.col("doc_id").cast("long").alias("doc_id"), F.sha2(ascii_lower(F.col("text")).cast("binary"), 256).alias("text_sha256"))
+
+
+def _resolve(rows: DataFrame, index: DigestIndex) -> DataFrame:
+    """``text_sha256, keep_id, group_size, is_new`` of each digest of ``rows``; new ones are added to ``index`` (stored)."""
+    groups = stored(rows.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "digest-groups")
+    fresh = stored(index.missing(groups), "fresh-digests")
+    index.append(fresh)
+    older = groups.join(fresh.select("text_sha256"), "text_sha256", "left_anti").drop("keep_id").join(index.read(), "text_sha256")
+    return stored(fresh.withColumn("is_new", F.lit(True)).unionByName(older.withColumn("is_new", F.lit(False)).select("text_sha256", "keep_id", "group_size", "is_new")), "digest-keepers")
 
 
 def ingest(docs: DataFrame, index: DigestIndex) -> DataFrame:
@@ -67,11 +77,7 @@ def ingest(docs: DataFrame, index: DigestIndex) -> DataFrame:
     index had before keeps its id, so none of the batch's rows stays.
     """
     rows = stored(digests(docs), "digests")
-    groups = stored(rows.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "digest-groups")
-    fresh = stored(index.missing(groups), "fresh-digests")
-    index.append(fresh)
-    older = groups.join(fresh.select("text_sha256"), "text_sha256", "left_anti").drop("keep_id").join(index.read(), "text_sha256")
-    resolved = stored(fresh.withColumn("is_new", F.lit(True)).unionByName(older.withColumn("is_new", F.lit(False)).select("text_sha256", "keep_id", "group_size", "is_new")), "digest-keepers")
+    resolved = _resolve(rows, index)
     # both sides are read from files, so the join shuffles both and a hot digest can be split
     return rows.join(resolved, "text_sha256").select(
         "doc_id", "keep_id", "group_size", (F.col("is_new") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256"
@@ -80,9 +86,13 @@ def ingest(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
 def keep_first(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """``docs`` without the rows that repeat an earlier or larger-id text; columns unchanged."""
-    verdicts = ingest(docs, index or DigestIndex(docs.sparkSession))
-    dropped = stored(verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct(), "dropped-ids")
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["__id"]), "left_anti")
+    given = keyed(docs)
+    rows = stored(digests(given, ROW), "digests")
+    new = _resolve(rows, index or DigestIndex(docs.sparkSession)).filter("is_new").select("text_sha256")
+    first = rows.groupBy("text_sha256").agg(F.max(F.struct(F.col("doc_id"), (-F.col(ROW)).alias("back"))).alias("first"))
+    kept = stored(first.join(new, "text_sha256", "left_semi").select((-F.col("first.back")).alias("__kept")), "kept-rows")
+    dropped = stored(rows.join(kept, F.col(ROW) == F.col("__kept"), "left_anti").select(F.col(ROW).alias("__out")), "dropped-rows")
+    return given.join(dropped, F.col(ROW) == F.col("__out"), "left_anti").drop(ROW)
 
 
 SQL = """

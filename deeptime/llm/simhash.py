@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deeptime.llm.common import stored
+from deeptime.llm.common import ROW, keyed, stored
 from deeptime.llm.components import components
 
 SEED = 42
@@ -62,16 +62,17 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a signed long) for every document."""
+def fingerprints(docs: DataFrame, width: int = 3, *more: str) -> DataFrame:
+    """``doc_id, fp`` (the 64 bits as a signed long) for every document, and the columns ``more`` (longs)."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             fp = np.array([fingerprint(x.as_py() or b"", width) for x in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            kept = [batch.column(k) for k in range(batch.num_columns) if k != 1]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(fp.view(np.int64))], ["doc_id", *more, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *more, "fp")))
 
 
 def _signed(x: int) -> int:
@@ -222,6 +223,16 @@ def links(fps: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
     return shards(fps, radius, blocks).repartition(*key).sortWithinPartitions(*key, "fp").mapInArrow(run, "u long, v long")
 
 
+def _grouped(rows: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """Stored fingerprints with ``component_id`` and ``label``, the component's own name."""
+    classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+    label = components(links(classes.select("fp"), radius, blocks))
+    named = stored(classes.join(label, classes["fp"] == label["node"], "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label")), "labels")
+    least = stored(named.groupBy("label").agg(F.min("first_id").alias("component_id")), "component-ids")
+    final = stored(named.join(least, "label").select("fp", "component_id", "label"), "fingerprint-components")
+    return rows.join(final, "fp")
+
+
 def near_groups(docs: DataFrame, width: int = 3, radius: int = 3, blocks: int = 5) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every document.
 
@@ -229,16 +240,14 @@ def near_groups(docs: DataFrame, width: int = 3, radius: int = 3, blocks: int =
     component is named by the smallest id that can be reached.
     """
     rows = stored(fingerprints(docs, width), "fingerprints")
-    classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    label = components(links(classes.select("fp"), radius, blocks))
-    named = stored(classes.join(label, classes["fp"] == label["node"], "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label")), "labels")
-    least = stored(named.groupBy("label").agg(F.min("first_id").alias("component_id")), "component-ids")
-    final = stored(named.join(least, "label").select("fp", "component_id"), "fingerprint-components")
-    return rows.join(final, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _grouped(rows, radius, blocks).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 3, radius: int = 3, blocks: int = 5) -> DataFrame:
-    """``docs`` with one document (the smallest id) of each group; columns unchanged."""
-    groups = near_groups(docs, width, radius, blocks)
-    dropped = stored(groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct(), "dropped-ids")
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["__id"]), "left_anti")
+    """``docs`` with one document (the smallest id, of repeated ids the first row) of each group; columns unchanged."""
+    given = keyed(docs)
+    groups = stored(_grouped(stored(fingerprints(given, width, ROW), "fingerprints"), radius, blocks).select(ROW, "doc_id", "label"), "row-groups")
+    first = groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("first"))
+    kept = stored(first.select(F.col(f"first.{ROW}").alias("__kept")), "kept-rows")
+    dropped = stored(groups.join(kept, F.col(ROW) == F.col("__kept"), "left_anti").select(F.col(ROW).alias("__out")), "dropped-rows")
+    return given.join(dropped, F.col(ROW) == F.col("__out"), "left_anti").drop(ROW)
