@@ -56,6 +56,22 @@ def test_edges(spark):
     assert sanitise.span_lists(*sanitise.find_spans(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
 
 
+def test_long_runs_equal_brute_force(spark):
+    n = 6000
+    parts = ["1" * n, "a@b" + ".c" * n, "1 " * n, "a" * n + "@", "1." * n, "+1" + " " * n + "x", "+1" + " 2" * n, "@" + "a" * n + "@b.c", "+1" * n, "a@" * n, "a@b." * n, "1-" * n + "x", "a@b.c%x@d.e f"]
+    texts = dict(enumerate([*parts, " ".join(parts), "".join(parts)]))
+    check(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), texts)
+
+
+def test_very_long_runs(spark):
+    n = 100_000
+    texts = ["7" * n, "a@b" + ".c" * (n // 2), "1 " * n, "a" * n, "9." * n, "w@" * n]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in sanitise.span_lists(*sanitise.find_spans(docs)).collect()}
+    spans = [f"ip:{8 * k}:{8 * k + 7}" for k in range(n // 4)]
+    assert got == {0: "", 1: f"email:0:{n + 3}", 2: "", 3: "", 4: ",".join(spans), 5: ""}
+
+
 def test_disclosing_terms(spark):
     filler = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa"]
     rows = [(i, f"{filler[i % 7]} {filler[i % 5]} Zorblax, the writes {filler[i % 3]} from zorb@mail.example.com {filler[(i + 1) % 7]} the") for i in range(6)]
