@@ -7,7 +7,9 @@ confirmed by full digest and by the rule's whole path, and the longest rule wins
 Defined cases: a null url or one without ``://`` has an empty host and path and
 fits no rule; of rules of equal length a block beats an allow, then the larger
 rule text wins; repeated rows are judged each; where no rule fits the verdict
-is ``default``; an empty table gives an empty result; columns beyond ``page_id``
+is ``default``; a url of very many labels or parts is expanded no further than the
+rule with most labels and the one with most slashes, as nothing beyond can fit;
+an empty table gives an empty result; columns beyond ``page_id``
 and ``url`` are not read.
 """
 
@@ -35,19 +37,21 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return host, path
 
 
-def host_suffixes(host: Column) -> Column:
-    """``a.b.c`` gives ``a.b.c``, ``b.c`` and ``c``."""
-    labels = F.split(host, r"\.", -1)
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def _upto(n: Column, most: int) -> Column:
+    """1 to the lesser of ``n`` and ``most``; empty if that is 0."""
+    last = F.least(n, F.lit(most))
+    return F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
 
 
-def path_prefixes(path: Column) -> Column:
-    """The prefixes that end with a slash, and the empty one: ``/a/b`` gives ````, ``/`` and ``/a/``."""
-    parts = F.split(path, "/", -1)
-    return F.transform(
-        F.sequence(F.lit(0), F.size(parts) - 1),
-        lambda i: F.when(i == 0, "").otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/"))),
-    )
+def host_suffixes(host: Column, most: int) -> Column:
+    """``a.b.c`` gives ``c``, ``b.c`` and ``a.b.c``, up to ``most`` labels."""
+    return F.transform(_upto(F.size(F.split(host, r"\.", -1)), most), lambda i: F.call_function("substring_index", host, F.lit("."), -i))
+
+
+def path_prefixes(path: Column, most: int) -> Column:
+    """The empty prefix and those that end with a slash, up to ``most`` slashes: ``/a/b`` gives ````, ``/`` and ``/a/``."""
+    ended = F.transform(_upto(F.length(F.regexp_replace(path, "[^/]+", "")), most), lambda i: F.concat(F.call_function("substring_index", path, F.lit("/"), i), F.lit("/")))
+    return F.concat(F.array(F.lit("")), ended)
 
 
 def rule_table(rules: DataFrame) -> DataFrame:
@@ -57,6 +61,8 @@ def rule_table(rules: DataFrame) -> DataFrame:
     return rules.select(
         digest.alias("rule_digest"),
         F.substring(digest, 1, SHORT).alias("short"),
+        F.size(F.split("host", r"\.", -1)).alias("labels"),
+        F.length(F.regexp_replace(key_path, "[^/]+", "")).alias("slashes"),
         F.col("path").alias("rule_path"),
         F.concat("host", "path").alias("rule"),
         F.col("action"),
@@ -69,12 +75,12 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     # stored once, so that a row keeps its number in both branches below
     urls = stored(pages.select("page_id", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row")), "urls")
     keyed = rule_table(rules)
-    bounded = keyed.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
-    keyed = F.broadcast(keyed) if bounded else keyed
+    shape = keyed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("labels"), F.lit(0)).alias("labels"), F.coalesce(F.max("slashes"), F.lit(0)).alias("slashes")).first()
+    keyed = F.broadcast(keyed) if shape.n <= BROADCAST_RULES else keyed
     expanded = (
         urls.filter(F.col("host") != "")
-        .select("row", "path", F.explode(host_suffixes(F.col("host"))).alias("suffix"))
-        .select("row", "path", "suffix", F.explode(path_prefixes(F.col("path"))).alias("prefix"))
+        .select("row", "path", F.explode(host_suffixes(F.col("host"), shape.labels)).alias("suffix"))
+        .select("row", "path", "suffix", F.explode(path_prefixes(F.col("path"), shape.slashes)).alias("prefix"))
     )
     digest = F.sha2(F.concat("suffix", F.lit("\n"), "prefix"), 256)
     hits = (
