@@ -219,7 +219,7 @@ def write_archives(records: DataFrame, folder: str, dictionary: bytes = b"") ->
 
 
 def read_archives(manifest: DataFrame, with_html: bool = True) -> DataFrame:
-    """The records of the archives in ``manifest(path, n_records, n_bytes)``, checked."""
+    """The records of the archives in ``manifest(path, n_records, n_bytes)``, checked; as many tasks read as there are archives."""
     schema = RECORDS_SCHEMA if with_html else RECORDS_SCHEMA.rpartition(",")[0]
     names = [f.split()[0] for f in schema.split(", ")]
     kinds = [pa.string() if f.endswith("string") else pa.int64() for f in schema.split(", ")]
@@ -245,7 +245,8 @@ def read_archives(manifest: DataFrame, with_html: bool = True) -> DataFrame:
                     raise WarcError(f"{path}: {n} records, {want} in the manifest")
                 yield batch_of(rows)
 
-    return manifest.select("path", "n_records").repartition(F.col("path")).mapInArrow(run, schema)
+    # a manifest's rows are tiny, so only a stated number of partitions keeps them apart: one archive for each task
+    return manifest.select("path", "n_records").coalesce(1).repartition(max(1, manifest.count())).mapInArrow(run, schema)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
