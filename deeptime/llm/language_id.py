@@ -9,7 +9,7 @@ here; a temperature is then fitted on a part of the sample that the fit has not
 seen. As features are linear in the counts, a prediction is a table lookup and a
 sum for each position, never a vector for each document.
 
-Defined cases: a null text or one without a letter is ``und`` with score 0; with
+Defined cases: a null text or one without a letter (Unicode category L) is ``und`` with score 0; with
 no labelled document everything is ``und``; with one language it is always that;
 ties go to the language that sorts first; rows that repeat an id are predicted
 each; an empty table gives an empty result; a null id counts as an empty text
@@ -38,7 +38,7 @@ SCALE = 60.0
 #: Share of the sample that only the temperature sees.
 CALIBRATION = 0.2
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD_CHARACTER = re.compile(r"[^\W\d_]")
 _MIX = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
 
 
@@ -51,6 +51,11 @@ class Model:
     temperature: float = 1.0
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of Unicode category L; other numerals (as in fractions) are none."""
+    return any(m[0].isalpha() for m in _WORD_CHARACTER.finditer(text))
+
+
 def ngrams(texts: list[str]):
     """For each order, ``(starts, buckets)``: the texts' first positions and a bucket for each position.
 
@@ -207,7 +212,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 p /= p.sum(1, keepdims=True)
                 best = p.argmax(1)
                 for i, t in enumerate(texts):
-                    if _LETTER.search(t):
+                    if has_letter(t):
                         lang[first + i], score[first + i] = names[best[i]], p[i, best[i]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
 
