@@ -1,6 +1,6 @@
 import corpus_pipeline
 from deeptime.llm import decontaminate, language_id, packing
-from tests.llm.test_simhash import brute
+from tests.llm.test_near_copies import brute
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,8 +22,7 @@ def test_pipeline_against_brute_force(spark):
     for i in sorted(texts):
         last[texts[i].encode().lower()] = i
     left = sorted(last.values())
-    _, root = brute([texts[i] for i in left])
-    left = [i for k, i in enumerate(left) if root[k] == k]
+    left = brute([(i, texts[i]) for i in left])
     sets = [s for s in map(shingles, items) if s]
     left = [i for i in left if not any(len(s & shingles(texts[i])) >= 0.8 * len(s) for s in sets)]
     rows = corpus_pipeline.run(spark, SF).collect()

@@ -1,6 +1,6 @@
 """Stages judge rows, also where ids are null or repeat."""
 
-from deeptime.llm import decontaminate, exact_dedup, simhash
+from deeptime.llm import decontaminate, exact_dedup, near_copies
 
 SCHEMA = "doc_id long, text string"
 
@@ -16,7 +16,7 @@ def test_keep_first(spark):
 
 def test_keep_one(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (None, "quite another text here"), (1, "A b c d"), (2, "one of its own kind"), (2, "one of its own kind"), (2, "a  b c d")], SCHEMA)
-    assert left(simhash.keep_one(docs)) == [("1", "A b c d"), ("2", "one of its own kind"), ("None", "quite another text here")]
+    assert left(near_copies.keep_one(docs)) == [("1", "A b c d"), ("2", "one of its own kind"), ("None", "quite another text here")]
 
 
 def test_drop_leaks(spark):

@@ -68,10 +68,3 @@ def test_empty_table_and_null_ids(spark):
     assert simhash.near_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = simhash.near_groups(spark.createDataFrame([(None, "x y z"), (3, "x y z"), (None, None)], "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in rows) == [("3", "3"), ("None", "3"), ("None", "None")]
-
-
-def test_one_of_each_group_stays(spark):
-    docs = spark.createDataFrame([(1, "a b c d", "x"), (2, "a b c d", "y"), (5, "something else entirely here", "z")], "doc_id long, text string, label string")
-    kept = simhash.keep_one(docs)
-    assert kept.columns == ["doc_id", "text", "label"]
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 5]
