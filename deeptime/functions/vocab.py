@@ -15,17 +15,18 @@ RELATIONS = (
 CATEGORIES = "universe earth life war politics science technology culture exploration economy religion disaster future".split()
 VALUE_TYPES = "measured estimated reconstructed projected".split()
 REPRESENTATIONS = "exact administrative estimated fuzzy point_distribution".split()
-#: Labels from coarse to fine, with the finest bucket each may reach.
+# Labels from coarse to fine, with the finest bucket each may reach.
 FINEST = {"billion_year": 2, "million_year": 4, "millennium": 7, "century": 8, "decade": 9, "year": 10, "month": 11, "day": 12, "hour": 13, "minute": 13, "second": 13}
-#: The label under which a relation shows on its target's document.
+# The label under which a relation shows on its target's document.
 INVERSE = {
     "contemporary_with": "contemporary_with", "caused_by": "resulted_in", "resulted_in": "caused_by", "preceded": "succeeded",
     "succeeded": "preceded", "built_upon": "influenced", "based_on": "influenced", "supports": "confirmed_by",
 }
-#: Properties that start and end an item, in order of preference.
+# Properties that start and end an item, in order of preference.
 START_PROPERTIES = ["P580", "P585", "P571", "P569", "P575", "P577", "P574"]
 END_PROPERTIES = ["P582", "P576", "P570"]
 
+# The mean year, window lengths, importance floors and caps.
 YEAR_S = 31_556_952.0
 MAX_WINDOWED = 1e18
 #: Window length of each bucket in seconds; 0 is one window for all time.

@@ -84,6 +84,26 @@ def ratio(part: Column, total: Column) -> Column:
     return F.when(total == 0, 0.0).otherwise(F.floor(part / F.when(total != 0, total) * 1e6 + 0.5) / 1e6)
 
 
+def import_report(outcomes: DataFrame) -> DataFrame:
+    """``outcome, reason, n, rate``: filtered and rejected by reason, accepted by type.
+
+    ``outcomes(type, outcome, reason)`` has one row per item. Filtered items are
+    set against all, the others against those that were not filtered.
+    """
+    total = outcomes.agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("outcome") != "filtered").alias("considered"))
+    g = outcomes.groupBy("outcome", F.coalesce("reason", "type").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    j = g.join(F.broadcast(total))  # one row
+    return j.select("outcome", "reason", "n", ratio(F.col("n"), F.when(F.col("outcome") == "filtered", F.col("items")).otherwise(F.col("considered"))).alias("rate"))
+
+
+def reject_gate(outcomes: DataFrame, gates: DataFrame) -> DataFrame:
+    """Whether the share of rejected items among those not filtered is within each gate."""
+    count = lambda what: F.count_if(F.col("outcome") == what).alias(what)
+    total = outcomes.agg(F.count(F.lit(1)).alias("items"), *map(count, ("filtered", "accepted", "rejected")))
+    share = F.col("rejected") / F.nullif(F.col("items") - F.col("filtered"), F.lit(0))
+    return gates.join(F.broadcast(total)).withColumn("passes", F.coalesce(share, F.lit(0.0)) <= F.col("gate"))
+
+
 def census(entities: DataFrame) -> DataFrame:
     """Counts in total, by type, by time slice, and by slice and type, in one pass of grouping sets."""
     year = T.census_year(F.col("t0"), F.col("precision"))
@@ -110,4 +130,5 @@ def dump_census(items: DataFrame) -> DataFrame:
     )
     by_class, by_slice = F.col("level").bitwiseAND(2) == 0, F.col("level").bitwiseAND(1) == 0
     g = g.filter(~by_class | F.col("class").isNotNull()).filter(~by_slice | F.col("year_slice").isNotNull())
-    return g.withColumn("date_ratio", ratio(F.col("has_date"), F.col("n"))).withColumn("all_ratio", ratio(F.col("has_all"), F.col("n")))
+    shares = {"label": "has_label", "date": "has_date", "coordinate": "has_coordinates", "article": "has_article", "all": "has_all"}
+    return g.withColumns({f"{name}_ratio": ratio(F.col(c), F.col("n")) for name, c in shares.items()})

@@ -6,16 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deeptime.functions import text as X
+from deeptime.sources.scratch import small
 
-#: Polygons and slices are dimension tables; they are broadcast up to this many rows, else Spark chooses.
-SMALL = 100_000
+#: Side of a grid cell in degrees.
 CELL = 10.0
 
 
-def small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
-
-
 def tile(starts: DataFrame, last: int) -> DataFrame:
     """``t_to`` of slices from the start of the next; the last runs to ``last``."""
     return starts.withColumn("t_to", F.coalesce(F.lead("t_from").over(Window.orderBy("t_from")) - 1, F.lit(last)))
@@ -149,6 +145,7 @@ def boundary_date(text: Column) -> dict[str, Column]:
     return {"year": F.when(fault.isNull(), y), "earliest_day": F.dayofyear(first), "latest_day": F.dayofyear(last.cast("date")), "fault": fault}
 
 
+# Licence tags that are accepted and excluded.
 ACCEPTED_LICENSES = ["CC0", "CC0-1.0", "PUBLIC DOMAIN", "PUBLIC-DOMAIN"]
 EXCLUDED_LICENSES = ["ODBL-1.0", "CC-BY-3.0", "CC-BY-4.0", "CC-BY-SA-3.0", "CC-BY-SA-4.0"]
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from deeptime.functions import text as X
 from deeptime.functions import time as T
 from deeptime.functions import vocab as V
+from deeptime.sources.scratch import small, written
 
 
 def reject_reason(categories: Column, relations: Column | None = None, claims: Column | None = None) -> Column:
@@ -89,14 +90,18 @@ def assign_slugs(entities: DataFrame) -> DataFrame:
     base = F.col("base")
     far = F.abs("t0") > V.MAX_WINDOWED
     year = F.when(~far, F.concat_ws("-", base, T.seconds_to_year(F.col("t0")).cast("bigint").cast("string")))
-    rows = entities.withColumn("base", X.slugify(F.col("name")))
-    steps = [base, year, F.concat_ws("-", base, "type"), F.when(F.col("wikidata") != "", F.concat_ws("-", base, F.lower("wikidata")))]
-    rows = rows.withColumn("slug", F.lit(None).cast("string"))
-    for candidate in steps:
+
+    def named(rows, candidate):
+        """Rows with a candidate meet under it; the others are alone, so that no task gets them all."""
         rows = rows.withColumn("_c", F.when(F.col("slug").isNull(), candidate))
-        n = F.row_number().over(Window.partitionBy("_c").orderBy(*order))
-        rows = rows.withColumn("slug", F.when(F.col("_c").isNotNull() & (n == 1), F.col("_c")).otherwise(F.col("slug")))
-    return rows.drop("_c")
+        n = F.row_number().over(Window.partitionBy(F.coalesce("_c", F.concat(F.lit("/"), "seed_id"))).orderBy(*order))
+        return rows.withColumn("slug", F.coalesce("slug", F.when(n == 1, F.col("_c")))).drop("_c")
+
+    rows = written(named(entities.withColumn("base", X.slugify(F.col("name"))).withColumn("slug", F.lit(None).cast("string")), base), "slugs")
+    left = rows.filter("slug IS NULL")
+    for candidate in (year, F.concat_ws("-", base, "type"), F.when(F.col("wikidata") != "", F.concat_ws("-", base, F.lower("wikidata")))):
+        left = named(left, candidate)
+    return rows.filter("slug IS NOT NULL").unionByName(left)
 
 
 def slug_conflicts(slugged: DataFrame) -> DataFrame:
@@ -149,13 +154,16 @@ def contemporaries(entities: DataFrame, top: int = 50, tiers: tuple = (0.98, 0.9
     entered for each level into the windows that it touches. A pair counts in
     the later of the two start windows only. Candidates go in tiers of
     importance: a subject that has enough from the higher tiers is not joined
-    with the lower ones. Entities beyond the windowed times are left out.
+    with the lower ones. Deep time is windowed like any other.
     """
-    least = 86400.0
-    rows = entities.filter((F.abs("t0") <= V.MAX_WINDOWED) & (F.abs("t1") <= V.MAX_WINDOWED)).select("seed_id", "t0", "t1", "importance")
+    least, most = 86400.0, 2.0**62
+    rows = written(entities.select("seed_id", "t0", "t1", "importance"), "spans")
     span = F.greatest(F.col("t1") - F.col("t0"), F.lit(least))
-    subjects = rows.select(F.col("seed_id").alias("sid"), F.col("t0").alias("s0"), F.col("t1").alias("s1"), F.ceil(F.log2(span)).cast("int").alias("level"), span.alias("span"))
-    levels = [r.level for r in subjects.select("level").distinct().orderBy("level").collect()]  # at most about 60
+    # far from the epoch windows are at least so long that their numbers stay whole numbers
+    far = F.ceil(F.log2(F.greatest(F.abs("t0"), F.abs("t1"), F.lit(1.0)))) - 52
+    level = F.greatest(F.ceil(F.log2(span)), far).cast("int")
+    subjects = written(rows.select(F.col("seed_id").alias("sid"), F.col("t0").alias("s0"), F.col("t1").alias("s1"), level.alias("level"), span.alias("span")), "subjects")
+    levels = [r.level for r in subjects.select("level").distinct().orderBy("level").collect()]  # at most about 1000, by the range of doubles
     width = lambda: F.pow(F.lit(2.0), F.col("level"))
     subject_bins = lambda s: s.withColumn("bin", F.explode(F.sequence(F.floor(F.col("s0") / width()), F.floor(F.col("s1") / width()))))
     cuts = [c for c in rows.agg(F.percentile_approx("importance", list(tiers), 1000).alias("q")).first().q or []]
@@ -164,7 +172,8 @@ def contemporaries(entities: DataFrame, top: int = 50, tiers: tuple = (0.98, 0.9
     done, open_ids = None, subjects
     for high, low in zip(bounds, bounds[1:]):
         tier = rows.filter((F.col("importance") < high) & (F.col("importance") >= low)).select(F.col("seed_id").alias("oid"), F.col("t0").alias("o0"), F.col("t1").alias("o1"), "importance")
-        entered = tier.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"))).filter(F.col("o1") - F.col("o0") <= 50 * width())
+        entered = tier.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
+        entered = entered.filter((F.col("o1") - F.col("o0") <= 50 * width()) & (F.greatest(F.abs("o0"), F.abs("o1")) < most * width()))
         entered = entered.withColumn("bin", F.explode(F.sequence(F.floor(F.col("o0") / width()), F.floor(F.col("o1") / width()))))
         hit = (
             (F.col("o1") >= F.col("s0")) & (F.col("o0") <= F.col("s1")) & (F.col("oid") != F.col("sid")) & (F.col("o1") - F.col("o0") <= 50 * F.col("span"))
@@ -172,25 +181,51 @@ def contemporaries(entities: DataFrame, top: int = 50, tiers: tuple = (0.98, 0.9
         )
         found = subject_bins(open_ids).join(entered, ["level", "bin"]).filter(hit).select("sid", "oid", "importance", "o0")
         got = found if done is None else done.unionByName(found)
-        done = got.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= top).drop("rank")
+        # each tier is written, so the next starts from files and not from the plans of all before it
+        done = written(got.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= top).drop("rank"), "contemporaries")
         if low > float("-inf"):
             full = done.groupBy("sid").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= top).select("sid")
-            open_ids = subjects.join(full, "sid", "left_anti")
+            open_ids = written(subjects.join(full, "sid", "left_anti"), "open-subjects")
     return done.select("sid", "oid", F.row_number().over(Window.partitionBy("sid").orderBy("o0", "oid")).alias("pos"))
 
 
+#: Letters of a token under which a query and an entity meet.
+START = 3
+
+
+def ranked_within(rows: DataFrame, group: str, order: list) -> DataFrame:
+    """Adds ``pos``, the row number within its group, by range partitions and their offsets.
+
+    A group that spans many partitions is numbered by as many tasks.
+    """
+    placed = written(rows.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = placed.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_part")) - F.col("_n")
+    offsets = small(written(sizes.select(group, "_part", before.alias("_before")), "offsets"))
+    inner = F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order))
+    return placed.withColumn("_k", inner).join(offsets, [group, "_part"]).withColumn("pos", (F.col("_before") + F.col("_k")).cast("int")).drop("_part", "_before", "_k")
+
+
 def search_index(entities: DataFrame) -> DataFrame:
     """Search rows: shard letter and token of each entity's slug, once per shard."""
     tok = entities.select("slug", "importance", F.explode(X.search_tokens(F.col("slug"))).alias("token"))
     rows = tok.withColumn("shard", F.substring("token", 1, 1)).select("shard", "slug", "importance").distinct()
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("shard").orderBy(F.desc("importance"), "slug")))
+    return ranked_within(rows, "shard", [F.desc("importance"), F.asc("slug")])
 
 
 def prefix_search(entities: DataFrame, queries: DataFrame, top: int = 8) -> DataFrame:
-    """Entities whose name tokens start with every token of a query (``query_id, query``)."""
+    """Entities whose name tokens start with every token of a query (``query_id, query``).
+
+    Both sides meet by the first letters of a token (the longest one of the
+    query); what meets is verified for all tokens.
+    """
     tokens = F.filter(F.split(X.slugify(F.col("query")), "-"), lambda x: F.length(x) >= 2)
-    q = queries.select("query_id", tokens.alias("wanted")).filter(F.size("wanted") > 0)
+    longest = F.array_max(F.transform("wanted", lambda x: F.struct(F.length(x).alias("size"), x.alias("token"))))["token"]
+    q = queries.select("query_id", tokens.alias("wanted")).filter(F.size("wanted") > 0).withColumn("start", F.substring(longest, 1, START))
     e = entities.select("slug", "importance", F.split("slug", "-").alias("have"))
+    # an entity is entered once for each distinct beginning of its tokens, long and short ones
+    begins = F.array_distinct(F.flatten(F.transform("have", lambda h: F.transform(F.sequence(F.lit(2), F.lit(START)), lambda n: F.substr(h, F.lit(1), n)))))
+    entered = e.withColumn("start", F.explode(F.filter(begins, lambda b: F.length(b) >= 2)))
     hit = F.forall("wanted", lambda w: F.exists("have", lambda h: h.startswith(w)))
-    found = e.join(F.broadcast(q), hit)
+    found = entered.join(small(q), "start").filter(hit)
     return found.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("importance"), "slug"))).filter(F.col("pos") <= top).select("query_id", "pos", "slug")

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deeptime.functions import time as T
+from deeptime.sources.scratch import small
 
 PERIPHERY, NEAR, POINT_LIKE = 0.15, 0.10, 0.01
 LANE_CAP, GUTTER_CAP = 100, 12
+#: Views that are judged at once; their table is broadcast.
+MAX_VIEWS = 1000
 
 
 def with_windows(views: DataFrame, pad: bool = True) -> DataFrame:
@@ -20,16 +23,16 @@ def with_windows(views: DataFrame, pad: bool = True) -> DataFrame:
 
 
 def runs_in_view(windowed: DataFrame, runs: DataFrame) -> DataFrame:
-    """Run starts that a view must read. The few views are broadcast; the runs stay where they are."""
-    v = F.broadcast(windowed.select("view_id", F.col("bucket").alias("vb"), "w0", "w1"))
+    """Run starts that a view must read: a join on the bucket, so views and runs of one bucket meet only."""
+    v = small(windowed.select("view_id", F.col("bucket").alias("vb"), "w0", "w1"))
     hit = (F.col("vb") == F.col("bucket")) & (F.col("run_end") >= F.col("w0")) & (F.col("run_start") <= F.col("w1"))
     return runs.join(v, hit).select("view_id", "bucket", "category", "run_start")
 
 
-def items_in_view(windowed: DataFrame, runs: DataFrame, ranked: DataFrame, category: str = "all") -> DataFrame:
-    """Distinct items of the chunks that each view reads, at or over its importance floor."""
-    need = runs_in_view(windowed, runs.filter(F.col("category") == category)).withColumnRenamed("run_start", "win")
-    got = ranked.join(need, ["bucket", "win", "category"]).join(F.broadcast(windowed.select("view_id", "min_importance")), "view_id")
+def items_in_view(windowed: DataFrame, runs: DataFrame, ranked: DataFrame, categories: list[str] | None = None) -> DataFrame:
+    """Distinct items of the chunks of the categories (all of them if none is named) that each view reads, at or over its importance floor."""
+    need = runs_in_view(windowed, runs if categories is None else runs.filter(F.col("category").isin(categories))).withColumnRenamed("run_start", "win")
+    got = ranked.join(need, ["bucket", "win", "category"]).join(small(windowed.select("view_id", "min_importance")), "view_id")
     return got.filter(F.col("importance") >= F.col("min_importance")).select("view_id", "slug", "importance").distinct()
 
 
@@ -45,8 +48,11 @@ def periphery(v0: Column, v1: Column, t0: Column, t1: Column) -> Column:
 def visibility(items: DataFrame, views: DataFrame, selected: Column | None = None) -> DataFrame:
     """Items against every view with the flags ``lane``, ``map`` and ``later``.
 
-    ``items(slug, t0, t1, importance)``; the views are a small stated set and broadcast.
+    ``items(slug, t0, t1, importance)``. The result has as many rows as there are
+    items for each view, so more views than ``MAX_VIEWS`` are refused.
     """
+    if views.limit(MAX_VIEWS + 1).count() > MAX_VIEWS:
+        raise ValueError(f"more than {MAX_VIEWS} views at once")
     v = F.broadcast(views.select("view_id", F.col("t0").alias("v0"), F.col("t1").alias("v1"), "cursor", "min_importance"))
     j = items.join(v, F.col("importance") >= F.col("min_importance"))
     v0, v1, t0, t1, c = (F.col(x) for x in ("v0", "v1", "t0", "t1", "cursor"))

@@ -26,13 +26,29 @@ def fan_out(bucketed: DataFrame) -> DataFrame:
     return b.groupBy("bucket").agg(F.sum(n).alias("n_windows"))
 
 
-def cells(bucketed: DataFrame, categories: Column, keep: list[str]) -> DataFrame:
-    """One row for each bucket, window and category (and ``all``) that an entity shows in."""
-    b = bucketed.withColumn("_cats", F.array_distinct(categories)).select(*keep, "t0", "t1", "_cats", F.explode(F.sequence("bucket_min", "bucket_max")).alias("bucket"))
+def windows(bucketed: DataFrame, keep: list[str]) -> DataFrame:
+    """One row for each bucket and window that an entity shows in."""
+    b = bucketed.select(*keep, "t0", "t1", F.explode(F.sequence("bucket_min", "bucket_max")).alias("bucket"))
     w = T.window_s(F.col("bucket"))
     b = b.withColumn("win", F.explode(F.sequence(T.window_index(F.col("t0"), w), T.window_index(F.col("t1"), w))))
-    extra = [c for c in ("t0", "t1") if c not in keep]
-    return b.withColumn("category", F.explode(F.array_distinct(F.concat("_cats", F.array(F.lit("all")))))).drop("_cats", *extra)
+    return b.drop(*(c for c in ("t0", "t1") if c not in keep))
+
+
+def topical_cells(bucketed: DataFrame, categories: Column, keep: list[str]) -> DataFrame:
+    """One row for each bucket, window and category of its own that an entity shows in."""
+    own = bucketed.withColumn("_cats", F.filter(F.array_distinct(categories), lambda c: c != "all"))
+    return windows(own, [*keep, "_cats"]).withColumn("category", F.explode("_cats")).drop("_cats")
+
+
+def all_cells(bucketed: DataFrame, keep: list[str]) -> DataFrame:
+    """One row for each bucket and window that an entity shows in, under the category ``all``."""
+    return windows(bucketed, keep).withColumn("category", F.lit("all"))
+
+
+def cells(bucketed: DataFrame, categories: Column, keep: list[str]) -> DataFrame:
+    """One row for each bucket, window and category (and ``all``) that an entity shows in."""
+    every = bucketed.withColumn("_cats", F.array_distinct(F.concat(categories, F.array(F.lit("all")))))
+    return windows(every, [*keep, "_cats"]).withColumn("category", F.explode("_cats")).drop("_cats")
 
 
 def rank_cells(cell_rows: DataFrame, cap: int = V.CHUNK_CAP) -> DataFrame:
@@ -86,22 +102,45 @@ def chunk_bodies(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n_items"), F.sha2(F.array_join(items["slug"], "\n").cast("binary"), 256).alias("body"))
 
 
+#: Windows that are searched for runs in one group; what touches a group's edge is joined across afterwards.
+BLOCK = 4096
+
+
+def _islands(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Runs of adjoining ``(run_start, run_end)`` with equal bodies within each group."""
+    w = Window.partitionBy(*group).orderBy("run_start")
+    starts = (F.lag("run_end").over(w) + 1 != F.col("run_start")) | (F.lag("body").over(w) != F.col("body"))
+    run = rows.withColumn("_new", F.coalesce(starts.cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(w))
+    return run.groupBy(*group, "_run").agg(F.min("run_start").alias("run_start"), F.max("run_end").alias("run_end"), F.min("n_items").alias("n_items"), F.min("body").alias("body")).drop("_run")
+
+
 def window_runs(bodies: DataFrame) -> DataFrame:
-    """Runs of consecutive windows with equal bodies (gaps and islands)."""
-    w = Window.partitionBy("bucket", "category").orderBy("win")
-    starts = (F.lag("win").over(w) + 1 != F.col("win")) | (F.lag("body").over(w) != F.col("body"))
-    flagged = bodies.withColumn("new", F.coalesce(starts.cast("int"), F.lit(1)))
-    run = flagged.withColumn("run", F.sum("new").over(w))
-    return run.groupBy("bucket", "category", "run").agg(F.min("win").alias("run_start"), F.max("win").alias("run_end"), F.min("n_items").alias("n_items"), F.min("body").alias("body")).drop("run")
+    """Runs of consecutive windows with equal bodies (gaps and islands).
+
+    Windows are searched in blocks, so that the few buckets and categories are
+    no bound on the tasks; only runs at the edge of a block, two of each at
+    most, are then joined over the whole line.
+    """
+    block = F.floor(F.col("run_start") / BLOCK)
+    lines = bodies.select("bucket", "category", F.col("win").alias("run_start"), F.col("win").alias("run_end"), "n_items", "body")
+    parts = written(_islands(lines.withColumn("_block", block), ["bucket", "category", "_block"]), "run-parts")
+    edge = (F.col("run_start") == F.col("_block") * BLOCK) | (F.col("run_end") == (F.col("_block") + 1) * BLOCK - 1)
+    return parts.filter(~edge).drop("_block").unionByName(_islands(parts.filter(edge).drop("_block"), ["bucket", "category"]).select("bucket", "category", "run_start", "run_end", "n_items", "body"))
 
 
 def run_violations(runs: DataFrame) -> DataFrame:
-    """Runs that end before they start, leave the safe integers or overlap the one before."""
-    w = Window.partitionBy("bucket", "category").orderBy("run_start")
-    before = F.lag("run_end").over(w)
+    """Runs that end before they start, leave the safe integers or overlap the one before.
+
+    The run before is sought in the block of the run's start, then as the last one of an earlier block.
+    """
+    placed = written(runs.withColumn("_block", F.floor(F.col("run_start") / BLOCK)), "runs")
+    last = placed.groupBy("bucket", "category", "_block").agg(F.max_by("run_end", "run_start").alias("_end"))
+    earlier = last.select("bucket", "category", "_block", F.lag("_end").over(Window.partitionBy("bucket", "category").orderBy("_block")).alias("_earlier"))
+    here = F.lag("run_end").over(Window.partitionBy("bucket", "category", "_block").orderBy("run_start"))
     why = (
         F.when(F.col("run_end") < F.col("run_start"), "reversed")
         .when((F.abs("run_start") > 9007199254740991) | (F.abs("run_end") > 9007199254740991), "unsafe")
-        .when(before >= F.col("run_start"), "overlap")
+        .when(F.coalesce("_here", "_earlier") >= F.col("run_start"), "overlap")
     )
-    return runs.withColumn("violation", why).filter(F.col("violation").isNotNull())
+    met = placed.withColumn("_here", here).join(earlier, ["bucket", "category", "_block"])
+    return met.withColumn("violation", why).filter(F.col("violation").isNotNull()).drop("_block", "_here", "_earlier")

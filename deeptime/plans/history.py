@@ -10,8 +10,9 @@ from deeptime.functions import taxonomy
 from deeptime.functions import time as T
 from deeptime.functions import vocab as V
 from deeptime.operators import dating as D
+from deeptime.operators import model as M
 from deeptime.sources import dump as S
-from deeptime.sources.scratch import written
+from deeptime.sources.scratch import fresh, written
 
 # The other engine's calendar arithmetic, as text.
 
@@ -122,41 +123,59 @@ def a6(spark, sf):
 # The dump ------------------------------------------------------------------------------------------
 _DRAW = "CASE ({0}) % " + str(len(S.DRAWN)) + " " + " ".join(f"WHEN {i} THEN '{q}'" for i, q in enumerate(S.DRAWN)) + " END"
 _TABLE = "taxon(class, rank, class_type) AS (VALUES " + ", ".join(f"('{c}', {r}, '{k}')" for c, r, k, _ in taxonomy.rows()) + ")"
-ITEMS = f"""{_TABLE},
-picked AS (SELECT input_order AS o, 'P31' AS property, {_DRAW.format('input_order')} AS class FROM entity WHERE input_order % 19 <> 0 UNION SELECT input_order, 'P31', {_DRAW.format('input_order * 7 + 3')} FROM entity
- UNION SELECT input_order, 'P279', {_DRAW.format('input_order * 3 + 1')} FROM entity),
+
+
+def _items(first, second, sub):
+    """The dump's items and their classification; the conditions say which class statements can be used."""
+    return f"""{_TABLE},
+picked AS (SELECT input_order AS o, 'P31' AS property, {_DRAW.format('input_order')} AS class FROM entity WHERE {first} UNION SELECT input_order, 'P31', {_DRAW.format('input_order * 7 + 3')} FROM entity WHERE {second}
+ UNION SELECT input_order, 'P279', {_DRAW.format('input_order * 3 + 1')} FROM entity WHERE {sub}),
 met AS (SELECT o, p.class, rank, class_type, CASE WHEN rank < 0 THEN 0 WHEN property = 'P31' THEN 1 ELSE 2 END AS k FROM picked p JOIN taxon t ON p.class = t.class),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o ORDER BY k, rank) AS n FROM met) m WHERE n = 1),
 classified AS (SELECT input_order AS o, CASE WHEN k IS NULL THEN 'unclassified' WHEN k = 0 THEN 'excluded' ELSE 'typed' END AS outcome, CASE WHEN k > 0 THEN class END AS class, CASE WHEN k IS NULL THEN 'unclassified' WHEN k = 0 THEN 'excluded' ELSE class_type END AS type FROM entity LEFT JOIN best ON o = input_order)"""
 
 
-def parsed(spark, sf):
+ITEMS = _items("input_order % 19 <> 0", "true", "true")
+
+
+def parsed(spark, sf, spoiled=False):
     """The parsed dump, written once: its readers take a few columns each."""
-    return written(S.parse(S.synthetic_lines(spark, sf)), "dump")
+    return written(S.parse(S.synthetic_lines(spark, sf, spoiled)), "dump")
 
 
 @register("s3_dump_source", twin("SELECT count(*) AS items, count(*) FILTER (WHERE input_order % 29 <> 0) AS labelled, count(*) FILTER (WHERE wikipedia <> '') AS articles FROM entity", "entity"))
 def s3(spark, sf):
-    f = parsed(spark, sf).filter("type = 'item'")
+    """The dump is read from files: an array over plain, gzip and bzip2 parts."""
+    records, root = written(S.synthetic_lines(spark, sf), "records"), fresh(spark, "dump-files")
+    for k, codec in enumerate(("none", "gzip", "bzip2")):
+        part = records.filter(F.pmod(F.xxhash64("value"), F.lit(3)) == k).select(F.concat("value", F.lit(",")).alias("value"))
+        part.write.option("compression", codec).text(f"{root}/{codec}")
+    spark.createDataFrame([("[",), ("]",)], "value string").write.text(f"{root}/brackets")
+    f = S.parse(S.lines(spark, [f"{root}/{d}" for d in ("none", "gzip", "bzip2", "brackets")])).filter("type = 'item'")
     return f.agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("labels")["en"]["value"].isNotNull()).alias("labelled"), F.count_if(F.col("sitelinks")["enwiki"]["title"].isNotNull()).alias("articles"))
 
 
-@register("s3a_dump_integrity", twin("SELECT concat('X', cast(input_order AS VARCHAR)) AS id, 'item' AS type, 'invalid item id' AS violation FROM entity WHERE input_order % 97 = 0", "entity"))
+@register("s3a_dump_integrity", twin("SELECT concat('X', cast(input_order AS VARCHAR)) AS id, 'item' AS type, 'invalid item id' AS violation FROM entity WHERE input_order % 97 = 0 UNION ALL SELECT concat('Q', cast(input_order AS VARCHAR)), 'item', 'repeated id' FROM entity WHERE input_order % 97 = 1 UNION ALL SELECT concat('Q', cast(input_order AS VARCHAR)), 'thing', 'unknown entity kind' FROM entity WHERE input_order % 97 = 2", "entity"))
 def s3a(spark, sf):
     p = parsed(spark, sf)
     n = F.substring("id", 2, 20).cast("bigint")
-    return S.violations(p.withColumn("id", F.when(n % 97 == 0, F.concat(F.lit("X"), n.cast("string"))).otherwise(F.col("id"))))
+    odd = p.withColumns({"id": F.when(n % 97 == 0, F.concat(F.lit("X"), n.cast("string"))).otherwise(F.col("id")), "type": F.when(n % 97 == 2, "thing").otherwise(F.col("type"))})
+    return S.violations(odd.unionByName(p.filter(n % 97 == 1)))
 
 
-@register("s3b_record_size", twin("SELECT 0 AS too_large, count(*) AS n FROM entity", "entity"))
+@register("s3b_record_size", twin("SELECT concat('Q', cast(input_order AS VARCHAR)) AS id, 'item' AS type, 'record too large' AS violation FROM entity WHERE input_order % 211 = 0", "entity"))
 def s3b(spark, sf):
-    return parsed(spark, sf).agg(F.count_if(F.octet_length("value") > S.MAX_RECORD_BYTES).alias("too_large"), F.count(F.lit(1)).alias("n"))
+    """A limit of 16 KiB, with some records padded beyond it."""
+    p = parsed(spark, sf)
+    long = F.substring("id", 2, 20).cast("bigint") % 211 == 0
+    return S.violations(p.withColumn("value", F.when(long, F.rpad("value", 20_000, " ")).otherwise(F.col("value"))), 16 << 10)
 
 
-@register("p4_statement_gate", twin("SELECT CASE WHEN input_order % 19 = 0 THEN 'statement_rank_not_used' END AS skip, count(*) AS n FROM entity GROUP BY CASE WHEN input_order % 19 = 0 THEN 'statement_rank_not_used' END", "entity"))
+@register("p4_statement_gate", twin("""SELECT skip, count(*) AS n FROM (SELECT CASE WHEN input_order % 34 = 0 THEN 'statement_not_an_object' WHEN input_order % 19 = 0 THEN 'statement_rank_not_used' END AS skip FROM entity
+UNION ALL SELECT CASE WHEN input_order % 31 = 0 THEN 'snak_shape_unusable' END FROM entity) x GROUP BY skip""", "entity"))
 def p4(spark, sf):
-    s = S.statements(parsed(spark, sf), ["P31"]).filter("pos = 0")
-    return s.groupBy(S.skip_reason(F.col("statement"), F.col("property"), "wikibase-item", "wikibase-entityid").alias("skip")).agg(F.count(F.lit(1)).alias("n"))
+    s = S.claim_parts(parsed(spark, sf, True), ["P31"])
+    return s.groupBy(F.coalesce("broken", S.skip_reason(F.col("statement"), F.col("property"), "wikibase-item", "wikibase-entityid")).alias("skip")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("p5_item_facts", twin("SELECT concat('Q', cast(input_order AS VARCHAR)) AS id, CASE WHEN input_order % 29 = 0 THEN '' ELSE name END AS label, CASE WHEN wikipedia <> '' THEN 2 ELSE 1 END AS links, wikipedia AS article, CASE WHEN input_order % 23 <> 0 THEN lon END AS lon, CASE WHEN input_order % 23 <> 0 THEN lat END AS lat, c.n AS n_classes FROM entity JOIN (SELECT o, count(*) FILTER (WHERE property = 'P31') AS n FROM picked GROUP BY o) c ON c.o = input_order", "entity", more=ITEMS))
@@ -182,11 +201,12 @@ def j8(spark, sf):
     return S.classify(S.class_ids(parsed(spark, sf))).select("id", "outcome", "class", "type")
 
 
-@register("a5_unclassified", twin("SELECT p.class, count(*) AS n FROM picked p JOIN classified c ON c.o = p.o WHERE outcome = 'unclassified' AND property = 'P31' GROUP BY p.class ORDER BY n DESC, p.class LIMIT 100", "entity", more=ITEMS))
+@register("a5_unclassified", twin("SELECT p.class, count(*) AS n, count(*) OVER () AS n_classes FROM picked p JOIN classified c ON c.o = p.o WHERE outcome = 'unclassified' AND property = 'P31' GROUP BY p.class ORDER BY n DESC, p.class LIMIT 100", "entity", more=ITEMS))
 def a5(spark, sf):
     ids = S.class_ids(parsed(spark, sf))
     open_ids = S.classify(ids).filter("outcome = 'unclassified'").select("id")
-    return ids.filter("property = 'P31'").join(open_ids, "id").groupBy("class").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "class").limit(100)
+    counts = written(ids.filter("property = 'P31'").join(open_ids, "id").groupBy("class").agg(F.count(F.lit(1)).alias("n")), "unclassified")
+    return counts.orderBy(F.desc("n"), "class").limit(100).join(counts.agg(F.count(F.lit(1)).alias("n_classes")))
 
 
 def _census_items(spark, sf):
@@ -201,48 +221,100 @@ def _census_items(spark, sf):
 # Level 0 is the total, 1 by type, 2 by class, 3 by slice, 4 by slice and type, 5 by slice and class.
 _LEVEL = ["CASE WHEN level IN (1, 4) THEN gtype END", "CASE WHEN level IN (2, 5) THEN gclass END", "CASE WHEN level >= 3 THEN gslice END"]
 _OWN = f"""own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY t0) AS n FROM windows WHERE {_order(V.START_PROPERTIES)} IS NOT NULL) s WHERE n = 1),
-g AS (SELECT c.type AS gtype, c.class AS gclass, input_order % 29 <> 0 AS label, w.t0 IS NOT NULL AS dated, floor(w.year / 100) * 100 AS gslice, input_order % 4 <> 0 AND input_order % 23 <> 0 AS point
+g AS (SELECT c.type AS gtype, c.class AS gclass, input_order % 29 <> 0 AS label, w.t0 IS NOT NULL AS dated, floor(w.year / 100) * 100 AS gslice, input_order % 4 <> 0 AND input_order % 23 <> 0 AS point, wikipedia <> '' AS article
   FROM classified c JOIN entity e ON e.input_order = c.o LEFT JOIN own w ON w.event_id = c.o)"""
 
 
+def _share(condition):
+    return f"floor(count(*) FILTER (WHERE {condition}) / CAST(count(*) AS DOUBLE) * 1e6 + 0.5e0) / 1e6"
+
+
 @register("a2_dump_census", twin(f"""SELECT {_LEVEL[0]} AS type, {_LEVEL[1]} AS class, {_LEVEL[2]} AS year_slice, count(*) AS n, count(*) FILTER (WHERE label) AS has_label, count(*) FILTER (WHERE dated) AS has_date, count(*) FILTER (WHERE point) AS has_coordinates,
- floor(count(*) FILTER (WHERE dated) / CAST(count(*) AS DOUBLE) * 1e6 + 0.5e0) / 1e6 AS date_ratio FROM g JOIN (VALUES (0), (1), (2), (3), (4), (5)) v(level) ON true
+ {_share('label')} AS label_ratio, {_share('dated')} AS date_ratio, {_share('point')} AS coordinate_ratio, {_share('article')} AS article_ratio, {_share('dated AND point AND article')} AS all_ratio FROM g JOIN (VALUES (0), (1), (2), (3), (4), (5)) v(level) ON true
 WHERE (level NOT IN (2, 5) OR gclass IS NOT NULL) AND (level < 3 OR gslice IS NOT NULL) GROUP BY level, {', '.join(_LEVEL)}""", "entity", "time_fact", more=f"{ITEMS},\n{CLEAN},\n{WINDOWS},\n{_OWN}"))
 def a2(spark, sf):
-    return D.dump_census(_census_items(spark, sf)).select("type", "class", "year_slice", "n", "has_label", "has_date", "has_coordinates", "date_ratio")
-
-
-@register("a7_skip_reasons", twin("SELECT 'statement_rank_not_used' AS reason, count(*) AS n FROM entity WHERE input_order % 19 = 0", "entity"))
+    ratios = [f"{r}_ratio" for r in ("label", "date", "coordinate", "article", "all")]
+    return D.dump_census(_census_items(spark, sf)).select("type", "class", "year_slice", "n", "has_label", "has_date", "has_coordinates", *ratios)
+
+
+# The spoiled dump in the other engine: which class statements are still usable, and why a dated one isn't.
+SPOILED_ITEMS = _items("input_order % 19 <> 0 AND input_order % 34 <> 0", "input_order % 31 <> 0", "input_order % 33 <> 0 AND input_order % 35 <> 0")
+_ODD_TIME = "CASE WHEN event_id % 37 = 0 THEN 'time_value_invalid' WHEN event_id % 41 = 0 THEN 'precision' WHEN event_id % 43 = 0 THEN 'uncertainty' WHEN event_id % 47 = 0 THEN 'calendar' WHEN event_id % 53 = 0 AND precision >= 11 THEN 'date' WHEN event_id % 59 = 0 AND precision >= 9 THEN 'range' END"
+_RANKS_OF = f"{_order(V.START_PROPERTIES)} AS s, {_order(V.END_PROPERTIES)} AS e"
+VISITED = f"""judged AS (SELECT {{0}} AS item, {_RANKS_OF}, {_ODD_TIME} AS why FROM time_fact {{1}}),
+reach AS (SELECT item, min(CASE WHEN why IS NULL THEN s END) AS s_to, min(CASE WHEN why IS NULL THEN e END) AS e_to FROM judged WHERE why IS NULL OR why <> 'time_value_invalid' GROUP BY item),
+looked AS (SELECT why FROM judged JOIN reach ON judged.item = reach.item WHERE why IS NOT NULL AND why <> 'time_value_invalid' AND (coalesce(s <= coalesce(s_to, 99), false) OR (s_to IS NOT NULL AND coalesce(e <= coalesce(e_to, 99), false))))"""
+
+
+def _spoiled_items(spark, sf):
+    """The spoiled dump's items with their outcome so far, and the reasons for which claims and items were passed over."""
+    p = parsed(spark, sf, True)
+    times = written(D.converted(S.time_facts(p).withColumnRenamed("id", "item")), "spoiled-times")
+    usable = times.filter("skip IS NULL")
+    spans = D.item_spans(usable, "pos").withColumnRenamed("item", "id")
+    classes = written(S.class_claims(p), "spoiled-classes")
+    typed = S.classify(classes.filter("skip IS NULL").select("id", "property", "class").distinct())
+    items = written(S.facts(p).withColumnRenamed("label", "name").join(typed, "id", "left").join(spans, "id", "left"), "spoiled-items")
+    why = F.when(F.col("outcome") == "excluded", "excluded").when(F.coalesce("outcome", F.lit("unclassified")) == "unclassified", "unclassified").when(F.col("name") == "", "item_without_english_label").when(F.col("t0").isNull(), "item_without_usable_time")
+    items = items.withColumn("filtered", why)
+    reasons = [classes.select("skip"), times.select("skip"), S.point_claims(p).select("skip"), items.filter(F.col("filtered").startswith("item_")).select(F.col("filtered").alias("skip"))]
+    unconvertible = D.visited(usable).agg(F.lit("time_value_unconvertible").alias("reason"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).filter("n > 0")
+    every = reasons[0]
+    for r in reasons[1:]:
+        every = every.unionByName(r)
+    return items, every.filter("skip IS NOT NULL").groupBy(F.col("skip").alias("reason")).agg(F.count(F.lit(1)).alias("n")).unionByName(unconvertible)
+
+
+_TIMED = "timed AS (SELECT DISTINCT item FROM judged WHERE why IS NULL AND s IS NOT NULL)"
+_FILTERED = "filtered AS (SELECT o, type, CASE WHEN outcome <> 'typed' THEN outcome WHEN o % 29 = 0 THEN 'item_without_english_label' WHEN item IS NULL THEN 'item_without_usable_time' END AS why FROM classified LEFT JOIN timed ON item = o)"
+_SPOILED_ALL = f"{SPOILED_ITEMS},\n{VISITED.format('event_id', 'WHERE event_id IN (SELECT input_order FROM entity)')},\n{_TIMED},\n{_FILTERED}"
+
+
+@register("a7_skip_reasons", twin("""SELECT reason, count(*) AS n FROM (
+SELECT CASE WHEN input_order % 34 = 0 THEN 'statement_not_an_object' WHEN input_order % 19 = 0 THEN 'statement_rank_not_used' END AS reason FROM entity
+UNION ALL SELECT CASE WHEN input_order % 31 = 0 THEN 'snak_shape_unusable' END FROM entity
+UNION ALL SELECT CASE WHEN input_order % 33 = 0 THEN 'claim_group_not_an_array' WHEN input_order % 35 = 0 THEN 'entity_id_value_invalid' END FROM entity
+UNION ALL SELECT CASE WHEN input_order % 23 = 0 THEN 'coordinate_not_on_earth' WHEN input_order % 26 = 0 THEN 'coordinate_value_invalid' WHEN input_order % 27 = 0 THEN 'coordinate_out_of_range' END FROM entity WHERE lon IS NOT NULL
+UNION ALL SELECT why FROM judged WHERE why = 'time_value_invalid' UNION ALL SELECT 'time_value_unconvertible' FROM looked
+UNION ALL SELECT why FROM filtered WHERE why LIKE 'item_%') x WHERE reason IS NOT NULL GROUP BY reason""", "entity", "time_fact", more=_SPOILED_ALL))
 def a7(spark, sf):
-    p = parsed(spark, sf)
-    classes = S.statements(p, ["P31", "P279"]).select(S.skip_reason(F.col("statement"), F.col("property"), "wikibase-item", "wikibase-entityid").alias("reason"))
-    times = S.time_facts(p).select(F.col("skip").alias("reason"))
-    return classes.unionByName(times).filter("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return _spoiled_items(spark, sf)[1]
 
 
-@register("a7_unconvertible_visited", twin("SELECT 'date' AS failure, count(*) AS n FROM time_fact WHERE false GROUP BY calendar", "time_fact"))
+@register("a7_unconvertible_visited", twin("SELECT why AS failure, count(*) AS n FROM looked GROUP BY why", "time_fact", more=VISITED.format("item", "WHERE event_id % 37 <> 0")))
 def a7_visited(spark, sf):
-    return D.visited(_windows(spark, sf))
+    k = F.col("event_id")
+    odd = bind(spark, sf, "time_fact").filter(k % 37 != 0)
+    odd = odd.withColumns({
+        "precision": F.when(k % 41 == 0, 15).otherwise(F.col("precision")), "before": F.when(k % 43 == 0, -1).otherwise(F.col("before")), "calendar": F.when(k % 47 != 0, F.col("calendar")),
+        "m": F.when(k % 53 == 0, 2).otherwise(F.col("m")), "d": F.when(k % 53 == 0, 30).otherwise(F.col("d")), "y": F.when(k % 59 == 0, 2_000_000).otherwise(F.col("y")),
+    })
+    return D.visited(D.converted(odd))
 
 
 def _outcomes(spark, sf):
-    i = _census_items(spark, sf)
-    return i.select(
-        F.when(F.col("type").isin("excluded", "unclassified"), F.concat(F.lit("filtered: "), F.col("type"))).when(~F.col("label"), "filtered: no label").when(~F.col("dated"), "filtered: no usable time").otherwise("accepted").alias("outcome")
-    )
+    """Each item of the spoiled dump as accepted, filtered or rejected; one in nine is given a precision that the model lacks."""
+    items, _ = _spoiled_items(spark, sf)
+    n = F.substring("id", 2, 20).cast("bigint")
+    row = items.select("id", "type", "filtered", F.col("id").alias("seed_id"), "name", F.lit("documented").alias("status"), F.lit(0.5).alias("importance"), F.when(n % 9 == 0, "eon").otherwise(F.col("label")).alias("precision"), "lon", "lat", "t0", "t1", F.split("categories", ",").alias("cats"))
+    reason = M.reject_reason(F.col("cats"))
+    outcome = F.when(F.col("filtered").isNotNull(), "filtered").when(reason.isNotNull(), "rejected").otherwise("accepted")
+    return written(row.select("id", "type", outcome.alias("outcome"), F.coalesce("filtered", reason).alias("reason")), "outcomes")
 
 
-_OUT = f"""own AS (SELECT DISTINCT event_id FROM time_fact WHERE {_order(V.START_PROPERTIES)} IS NOT NULL),
-outcomes AS (SELECT CASE WHEN outcome <> 'typed' THEN 'filtered: ' || outcome WHEN o % 29 = 0 THEN 'filtered: no label' WHEN event_id IS NULL THEN 'filtered: no usable time' ELSE 'accepted' END AS outcome FROM classified LEFT JOIN own ON event_id = o)"""
+_OUTCOMES = "outcomes AS (SELECT o, type, CASE WHEN why IS NOT NULL THEN 'filtered' WHEN o % 9 = 0 THEN 'rejected' ELSE 'accepted' END AS outcome, CASE WHEN why IS NOT NULL THEN why WHEN o % 9 = 0 THEN 'unknown time precision \"eon\"' END AS reason FROM filtered)"
+_REPORT = f"{_SPOILED_ALL},\n{_OUTCOMES}"
 
 
-@register("a9_import_report", twin("SELECT outcome, count(*) AS n FROM outcomes GROUP BY outcome", "entity", "time_fact", more=f"{ITEMS},\n{_OUT}"))
+@register("a9_import_report", twin("""SELECT outcome, reason, n, floor(n / CAST(CASE WHEN outcome = 'filtered' THEN items ELSE considered END AS DOUBLE) * 1e6 + 0.5e0) / 1e6 AS rate
+FROM (SELECT outcome, coalesce(reason, type) AS reason, count(*) AS n FROM outcomes GROUP BY outcome, coalesce(reason, type)) g,
+ (SELECT count(*) AS items, count(*) FILTER (WHERE outcome <> 'filtered') AS considered FROM outcomes) t""", "entity", "time_fact", more=_REPORT))
 def a9(spark, sf):
-    return _outcomes(spark, sf).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    return D.import_report(_outcomes(spark, sf))
 
 
-@register("q4_reject_gate", twin("SELECT count(*) AS items, 0 AS rejected, true AS passes FROM outcomes", "entity", "time_fact", more=f"{ITEMS},\n{_OUT}"))
+@register("q4_reject_gate", twin("""SELECT gate, items, filtered, accepted, rejected, rejected / CAST(items - filtered AS DOUBLE) <= gate AS passes FROM (SELECT count(*) AS items, count(*) FILTER (WHERE outcome = 'filtered') AS filtered, count(*) FILTER (WHERE outcome = 'accepted') AS accepted,
+ count(*) FILTER (WHERE outcome = 'rejected') AS rejected FROM outcomes) t, (VALUES (0.0e0), (0.05e0), (0.2e0)) v(gate)""", "entity", "time_fact", more=_REPORT))
 def q4(spark, sf):
-    n = F.count(F.lit(1))
-    bad = F.count_if(F.col("outcome").startswith("rejected"))
-    return _outcomes(spark, sf).agg(n.alias("items"), bad.alias("rejected"), (bad / n <= 0.05).alias("passes"))
+    gates = spark.createDataFrame([(0.0,), (0.05,), (0.2,)], "gate double")
+    return D.reject_gate(_outcomes(spark, sf), gates)

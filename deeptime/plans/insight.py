@@ -10,6 +10,7 @@ from deeptime.operators import insight as I
 from deeptime.operators import model as M
 from deeptime.operators import zoom as Z
 from deeptime.plans import zoom as PZ
+from deeptime.sources.scratch import small
 
 _SYNTH = """synth AS (SELECT seed_id, property, min(CASE WHEN min IS NOT NULL AND max IS NOT NULL THEN min ELSE value END) AS low, max(CASE WHEN min IS NOT NULL AND max IS NOT NULL THEN max ELSE value END) AS high FROM claim GROUP BY seed_id, property),
 pairs AS (SELECT seed_id AS a, target AS b FROM relationship WHERE type = 'built_upon')"""
@@ -38,7 +39,7 @@ def b2_gaps(spark, sf):
 @register("b3_alive_at", twin("SELECT v.view_id, count(*) AS n, min(seed_id) AS least FROM entity JOIN viewport v ON entity.t0 <= cursor AND entity.t1 >= cursor WHERE type = 'person' GROUP BY v.view_id", "entity", "viewport"))
 def b3(spark, sf):
     people = bind(spark, sf, "entity").filter("type = 'person'").select("seed_id", "t0", "t1")
-    views = F.broadcast(bind(spark, sf, "viewport").select("view_id", "cursor"))
+    views = small(bind(spark, sf, "viewport").select("view_id", "cursor"))
     return people.join(views, (F.col("t0") <= F.col("cursor")) & (F.col("t1") >= F.col("cursor"))).groupBy("view_id").agg(F.count(F.lit(1)).alias("n"), F.min("seed_id").alias("least"))
 
 

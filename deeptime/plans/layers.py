@@ -8,6 +8,7 @@ from deeptime.catalog import register
 from deeptime.fixtures import bind, twin
 from deeptime.functions import time as T
 from deeptime.operators import layers as L
+from deeptime.sources.scratch import small
 
 
 def _read(spark, sf, name):
@@ -155,7 +156,7 @@ def g4(spark, sf):
 def g5(spark, sf):
     from pyspark.sql import Window
 
-    j = _rings(spark, sf).join(L.small(bind(spark, sf, "slice").select("year")))
+    j = _rings(spark, sf).join(small(bind(spark, sf, "slice").select("year")))
     return j.select("year", "ring_id", "name", F.lit("estimated").alias("representation"), F.row_number().over(Window.partitionBy("year").orderBy("name")).alias("rank"))
 
 

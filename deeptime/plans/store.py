@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from deeptime.catalog import register
@@ -12,6 +13,7 @@ from deeptime.plans import zoom as PZ
 from deeptime.sources import model_io as IO
 from deeptime.sources import records as R
 from deeptime.sources.scratch import fresh as _fresh
+from deeptime.sources.scratch import small, written
 from deeptime.streaming import ingest as ST
 
 
@@ -22,24 +24,62 @@ def _read(spark, sf, name):
 def _record_lines(spark, sf):
     e, o = bind(spark, sf, "entity"), F.col("input_order")
     body = F.to_json(F.struct(F.col("seed_id").alias("id"), "type", "name", F.concat(F.lit('{"y": '), (1900 + o % 200).cast("string"), F.lit("}")).alias("t0"), "precision", "status", F.array("cat0").alias("categories"), "importance"))
-    return e.select(F.when(o % 31 == 0, F.concat(F.lit("# "), "name")).when(o % 37 == 0, F.lit("{broken")).when(o % 41 == 0, F.lit("  ")).otherwise(body).alias("value"), (o % 6).alias("file"))
+    return e.select(F.when(o % 31 == 0, F.concat(F.lit("# "), "name")).when(o % 37 == 0, F.lit("{broken")).when(o % 41 == 0, F.lit("  ")).otherwise(body).alias("value"), F.floor(o / 2000).alias("file"), o.alias("ord"))
 
 
-@register("s1_curated_source", twin("SELECT kind, count(*) AS n FROM (SELECT CASE WHEN input_order % 31 = 0 THEN 'skipped' WHEN input_order % 37 = 0 THEN 'rejected' WHEN input_order % 41 = 0 THEN 'skipped' ELSE 'record' END AS kind FROM entity) x WHERE kind <> 'skipped' GROUP BY kind", "entity"))
+def _file_key():
+    """The number in the folder that a written part lies in."""
+    return F.regexp_extract(F.col("_metadata.file_path"), r"file=(\d+)", 1).cast("bigint")
+
+
+def _as_files(lines, path, **options):
+    """Write ``file, ord, value`` as one text file for each ``file``, its lines by ``ord``."""
+    lines.repartition("file").sortWithinPartitions("file", "ord").select("file", "value").write.partitionBy("file").options(**options).text(path)
+
+
+_KIND = "CASE WHEN input_order % 31 = 0 THEN {0} WHEN input_order % 37 = 0 THEN 'invalid JSON' WHEN input_order % 41 = 0 THEN 'skipped' {1} ELSE 'record' END"
+_LINES = "SELECT CAST(input_order // 2000 AS BIGINT) AS file, row_number() OVER (PARTITION BY input_order // 2000 ORDER BY input_order) AS line, {0} AS kind FROM entity"
+
+
+def _read_lines(good, bad):
+    return good.select("file", "line", F.lit("record").alias("kind")).unionByName(bad.select("file", "line", F.col("reason").alias("kind")))
+
+
+@register("s1_curated_source", twin(f"SELECT file, line, kind FROM ({_LINES.format(_KIND.format(repr('skipped'), ''))}) x WHERE kind <> 'skipped'", "entity"))
 def s1(spark, sf):
     path = _fresh(spark, "curated")
-    _record_lines(spark, sf).repartition("file").select("value").write.text(path)
-    good, bad = R.parse_lines(R.numbered_lines(spark, path), comments=True)
-    count = lambda df, kind: df.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"))
-    return count(good, "record").unionByName(count(bad, "rejected"))
+    _as_files(_record_lines(spark, sf), path)
+    return _read_lines(*R.parse_lines(R.numbered_lines(spark, path, _file_key()), comments=True))
 
 
-@register("s2_bulk_source", twin("SELECT kind, count(*) AS n FROM (SELECT CASE WHEN input_order % 31 = 0 THEN 'rejected' WHEN input_order % 37 = 0 THEN 'rejected' WHEN input_order % 41 = 0 THEN 'skipped' ELSE 'record' END AS kind FROM entity) x WHERE kind <> 'skipped' GROUP BY kind", "entity"))
+@register("s2_bulk_source", twin(f"SELECT file, line, kind FROM ({_LINES.format(_KIND.format(repr('invalid JSON'), 'WHEN input_order % 1009 = 0 THEN ' + repr('line too long')))}) x WHERE kind <> 'skipped'", "entity"))
 def s2(spark, sf):
-    lines = _record_lines(spark, sf).select(F.lit("bulk").alias("file"), F.lit(0).alias("line"), F.trim("value").alias("value"))
-    good, bad = R.parse_lines(lines, comments=False)
-    count = lambda df, kind: df.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"))
-    return count(good, "record").unionByName(count(bad, "rejected"))
+    """Compressed bulk files with a line over the limit now and then."""
+    path = _fresh(spark, "bulk")
+    long = F.concat(F.lit('{"id": "'), F.repeat(F.lit("x"), R.MAX_LINE_BYTES), F.lit('"}'))
+    o = F.col("ord")
+    whole = (o % 31 != 0) & (o % 37 != 0) & (o % 41 != 0)
+    _as_files(_record_lines(spark, sf).withColumn("value", F.when(whole & (o % 1009 == 0), long).otherwise(F.col("value"))), path, compression="gzip")
+    return _read_lines(*R.bulk_lines(spark, path, _file_key()))
+
+
+_GEO = "SELECT s.year, s.t_from, s.t_to, name, row_number() OVER (PARTITION BY s.year ORDER BY ring_id) - 1 AS pos, 5 AS n_points, CASE WHEN s.year % 4 = 0 THEN 'file name' END AS fault FROM slice s CROSS JOIN ring"
+
+
+@register("s7_geojson_slices", twin(_GEO, "slice", "ring"))
+def s7(spark, sf):
+    """Slices written as one GeoJSON file each (some under a wrong name) and read back."""
+    x, y = F.col("x0"), F.col("y0")
+    corner = lambda a, b: F.array(a, b)
+    ring = F.array(corner(x, y), corner(x + 10, y), corner(x + 10, y + 10), corner(x, y + 10), corner(x, y))
+    feature = F.struct(F.struct("name", F.lit("estimated").alias("representation")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))
+    features = bind(spark, sf, "ring").agg(F.array_sort(F.collect_list(F.struct("ring_id", feature.alias("f")))).alias("fs")).select(F.transform("fs", lambda f: f["f"]).alias("features"))
+    doc = F.struct(F.lit("FeatureCollection").alias("type"), F.struct("year", "t_from", "t_to").alias("properties"), "features")
+    file = F.col("year") + F.when(F.col("year") % 4 == 0, 1).otherwise(0)
+    path = _fresh(spark, "slices")
+    bind(spark, sf, "slice").join(small(features)).select(file.alias("file"), F.lit(0).alias("ord"), F.to_json(doc).alias("value")).select("file", "value").write.partitionBy("file").text(path)
+    slices, found = R.geojson_slices(spark, path, F.concat(_file_key().cast("string"), F.lit(".geojson")))
+    return slices.select("year", "t_from", "t_to", "fault").join(found.select("year", "pos", "name", F.size(F.col("coordinates")[0]).alias("n_points")), "year")
 
 
 @register("p2_authored_times", twin("SELECT input_order, CASE input_order % 4 WHEN 0 THEN t0 WHEN 1 THEN t0 WHEN 2 THEN (input_order - 1970e0) * 31556952e0 END AS t FROM entity", "entity"))
@@ -50,12 +90,13 @@ def p2(spark, sf):
     return bind(spark, sf, "entity").select("input_order", text.alias("text")).select("input_order", R.authored_time(F.col("text")).alias("t"))
 
 
-@register("p9_page_times", twin("SELECT input_order, CASE WHEN input_order % 3 = 0 THEN (0e0 - input_order - 1970e0) * 31556952e0 ELSE t0 END AS t FROM entity WHERE input_order % 3 <> 1", "entity"))
+@register("p9_page_times", twin("SELECT input_order, CASE input_order % 3 WHEN 0 THEN (0e0 - input_order - 1970e0) * 31556952e0 WHEN 2 THEN t0 END AS t, CASE WHEN input_order % 3 = 0 THEN 'year' WHEN input_order % 3 = 2 AND NOT (month(make_timestamp(CAST(t0 * 1000000 AS BIGINT))) = 1 AND day(make_timestamp(CAST(t0 * 1000000 AS BIGINT))) = 1) THEN 'day' WHEN input_order % 3 = 2 THEN 'year' END AS precision FROM entity", "entity"))
 def p9(spark, sf):
+    """Negative years, exact days and texts that are no date."""
     o = F.col("input_order")
-    text = F.when(o % 3 == 0, F.concat(F.lit("-"), F.lpad(o.cast("string"), F.greatest(F.lit(4), F.length(o.cast("string"))), F.lit("0")), F.lit("-01-01T00:00:00Z"))).otherwise(F.date_format(F.timestamp_seconds("t0"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    rows = bind(spark, sf, "entity").filter(o % 3 != 1).select("input_order", text.alias("text"))
-    return rows.select("input_order", R.page_time(F.col("text"))[0].alias("t"))
+    text = F.when(o % 3 == 0, F.concat(F.lit("-"), F.lpad(o.cast("string"), F.greatest(F.lit(4), F.length(o.cast("string"))), F.lit("0")), F.lit("-01-01T00:00:00Z"))).when(o % 3 == 1, F.concat(o.cast("string"), F.lit(" or so"))).otherwise(F.date_format(F.timestamp_seconds("t0"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    t, precision = R.page_time(F.col("text"))
+    return bind(spark, sf, "entity").select("input_order", text.alias("text")).select("input_order", t.alias("t"), F.when(t.isNotNull(), precision).alias("precision"))
 
 
 @register("s8_page_records", twin("""SELECT qid, min(label) AS label, min(t0) AS t0, count(*) AS n FROM (SELECT concat('Q', cast(o_custkey AS VARCHAR)) AS qid, concat('Order ', cast(o_orderkey AS VARCHAR)) AS label, epoch(o_orderdate) AS t0,
@@ -76,18 +117,41 @@ def _model(spark, sf):
     return {"entity": e, "entity_category": cats, "relationship": r, "claim": c}
 
 
-@register("s4_model_round_trip", twin("SELECT 'entity' AS name, count(*) AS n FROM entity UNION ALL SELECT 'relationship', count(*) FROM relationship UNION ALL SELECT 'claim', count(*) FROM claim UNION ALL SELECT 'entity_category', count(cat0) + count(cat1) FROM entity", "entity", "relationship", "claim"))
+_ROWS = {"entity": ("input_order", ["seed_id", "type", "precision"]), "entity_category": ("ord", ["seed_id", "category"]), "relationship": ("ord", ["seed_id", "type", "target"]), "claim": ("ord", ["seed_id", "property", "unit", "source"])}
+_ROUND = " UNION ALL ".join(f"SELECT '{n}' AS name, CAST({o} AS BIGINT) AS ord, concat_ws('|', {', '.join(c)}) AS content FROM {n}" for n, (o, c) in _ROWS.items())
+
+
+@register("s4_model_round_trip", twin(_ROUND, "entity", "relationship", "claim", more="entity_category AS (SELECT seed_id, 0 AS ord, cat0 AS category FROM entity UNION ALL SELECT seed_id, 1, cat1 FROM entity WHERE cat1 IS NOT NULL)"))
 def s4(spark, sf):
+    """The four tables are written, read back and compared by content."""
     path = _fresh(spark, "model")
     IO.write_model(path, **_model(spark, sf))
     out = None
     for name, df in IO.read_model(spark, path).items():
-        one = df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
+        order, columns = _ROWS[name]
+        one = df.select(F.lit(name).alias("name"), F.col(order).cast("bigint").alias("ord"), F.concat_ws("|", *columns).alias("content"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("s4_table_order", twin("SELECT 'claim' AS name, count(*) AS n, 0 AS out_of_order FROM claim UNION ALL SELECT 'relationship', count(*), 0 FROM relationship", "claim", "relationship"))
+def s4_order(spark, sf):
+    """Rows that lie behind their key's place in the files of the written tables."""
+    path = _fresh(spark, "model")
+    IO.write_model(path, **_model(spark, sf))
+    out = None
+    for name in ("claim", "relationship"):
+        rows = spark.read.parquet(f"{path}/{name}").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"), F.struct("seed_id", "ord").alias("key"))
+        behind = F.lag("key").over(Window.partitionBy("file").orderBy("at")) > F.col("key")
+        one = rows.withColumn("behind", behind).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.count_if("behind").cast("int").alias("out_of_order"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-@register("s5_model_faults", twin("""SELECT 'half a point' AS fault, seed_id AS id FROM entity WHERE lon IS NOT NULL AND input_order % 50 = 1 UNION ALL
+@register("s5_model_faults", twin("""SELECT 'half a point' AS fault, seed_id AS id FROM entity WHERE lon IS NOT NULL AND input_order % 50 = 1 AND input_order % 40 <> 3 UNION ALL
+SELECT 'order has gaps', CAST(max(input_order) - min(input_order) + 1 - count(*) AS VARCHAR) FROM entity WHERE input_order % 40 <> 3 HAVING max(input_order) - min(input_order) + 1 > count(*) UNION ALL
+SELECT 'repeated slug', 'slug-' || (input_order // 2) FROM entity WHERE input_order % 40 <> 3 AND input_order % 60 IN (10, 11) GROUP BY input_order // 2 HAVING count(*) > 1 UNION ALL
+SELECT 'child count', e.seed_id FROM entity e LEFT JOIN (SELECT target, count(*) AS n FROM relationship WHERE type = 'part_of' GROUP BY target) k ON k.target = e.seed_id WHERE input_order % 40 <> 3 AND input_order % 70 = 5 UNION ALL
 SELECT 'missing target', r.seed_id FROM relationship r JOIN entity t ON t.seed_id = r.target WHERE t.input_order % 40 = 3 UNION ALL
 SELECT 'orphan relationship', r.seed_id FROM relationship r JOIN entity t ON t.seed_id = r.seed_id WHERE t.input_order % 40 = 3 UNION ALL
 SELECT 'orphan claim', c.seed_id FROM claim c JOIN entity t ON t.seed_id = c.seed_id WHERE t.input_order % 40 = 3""", "entity", "relationship", "claim"))
@@ -95,7 +159,11 @@ def s5(spark, sf):
     m = _model(spark, sf)
     kept = m["entity"].filter(F.col("input_order") % 40 != 3)
     m["entity_category"] = m["entity_category"].join(kept.select("seed_id"), "seed_id", "left_semi")
-    m["entity"] = kept.withColumn("lat", F.when(F.col("input_order") % 50 != 1, F.col("lat")))
+    o = F.col("input_order")
+    slug = F.when((o % 60).isin(10, 11), F.concat(F.lit("slug-"), F.floor(o / 2).cast("string"))).otherwise(F.col("seed_id"))
+    counted = kept.join(M.child_counts(m["relationship"]), "seed_id", "left")
+    counted = counted.withColumn("child_count", F.coalesce("child_count", F.lit(0)) + F.when(o % 70 == 5, 1).otherwise(0))
+    m["entity"] = counted.withColumn("lat", F.when(o % 50 != 1, F.col("lat"))).withColumn("slug", slug)
     return IO.model_faults(**m)
 
 
@@ -110,28 +178,99 @@ def _chunk_documents(spark, sf):
 _CELLS = f"{PZ.BUCKETED},\n{PZ.SHOWN},\n{PZ.RANKED}"
 
 
-@register("s9_chunk_documents", twin("SELECT 'chunks/T' || bucket || '/' || win || '/world/' || category || '.json' AS key, count(*) AS n_items FROM ranked GROUP BY bucket, win, category", "entity", more=_CELLS))
+_BODY = """'{"items":[' || string_agg('{"rank":' || rank || ',"slug":"' || slug || '"}', ',' ORDER BY rank) || ']}'"""
+
+
+@register("s9_chunk_documents", twin(f"SELECT 'chunks/T' || bucket || '/' || win || '/world/' || category || '.json' AS key, sha256({_BODY}) AS sha256 FROM ranked GROUP BY bucket, win, category", "entity", more=_CELLS))
 def s9(spark, sf):
-    return _chunk_documents(spark, sf).select("key", "n_items")
+    """The chunk documents are published, read back and compared by content."""
+    root = _fresh(spark, "chunks")
+    IO.publish(_chunk_documents(spark, sf).select("key", "body"), root)
+    return IO.published(spark, root).select("key", F.sha2(F.col("body").cast("binary"), 256).alias("sha256"))
 
 
-@register("s10_publish_plan", "SELECT status, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 5 = 0 THEN 'written' WHEN c_custkey % 7 = 0 THEN 'removed' WHEN c_custkey % 3 = 0 THEN 'written' ELSE 'unchanged' END AS status FROM customer) x GROUP BY status")
-def s10(spark, sf):
+_OLD = "SELECT 'c/' || c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN 'old' ELSE c_name END AS body FROM customer WHERE c_custkey % 5 <> 0"
+_NEW = "SELECT 'c/' || c_custkey AS key, c_name AS body FROM customer WHERE c_custkey % 5 = 0 OR c_custkey % 7 <> 0"
+
+
+def _versions(spark, sf):
     c, k = _read(spark, sf, "customer"), F.col("c_custkey")
-    docs = c.filter((k % 5 == 0) | (k % 7 != 0)).select(F.concat(F.lit("c/"), k.cast("string")).alias("key"), F.col("c_name").alias("body"))
-    before = c.filter(k % 5 != 0).select(F.concat(F.lit("c/"), k.cast("string")).alias("key"), F.md5(F.when((k % 3 == 0) & (k % 7 != 0), F.lit("old")).otherwise(F.col("c_name")).cast("binary")).alias("md5"))
-    return IO.publish_plan(docs, before).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    key = F.concat(F.lit("c/"), k.cast("string")).alias("key")
+    return c.filter(k % 5 != 0).select(key, F.when(k % 3 == 0, "old").otherwise(F.col("c_name")).alias("body")), c.filter((k % 5 == 0) | (k % 7 != 0)).select(key, F.col("c_name").alias("body"))
+
+
+@register("s10_publish_plan", f"""WITH o AS ({_OLD}), n AS ({_NEW}),
+p AS (SELECT 1 AS run, key, 'written' AS status FROM o UNION ALL SELECT 2, coalesce(o.key, n.key), CASE WHEN n.key IS NULL THEN 'removed' WHEN o.body = n.body THEN 'unchanged' ELSE 'written' END FROM o FULL OUTER JOIN n ON o.key = n.key
+ UNION ALL SELECT 3, key, 'unchanged' FROM n) SELECT run, key, status FROM p""")
+def s10(spark, sf):
+    """Three publications: the first, a changed one, and the same again."""
+    old, new = _versions(spark, sf)
+    root, out = _fresh(spark, "published"), None
+    for run, documents in enumerate((old, new, new), 1):
+        plan = IO.publish(documents, root).select(F.lit(run).alias("run"), "key", "status")
+        out = plan if out is None else out.unionByName(plan)
+    return out
 
 
-@register("s11_latest_release", "SELECT dataset, version FROM (SELECT o_custkey AS dataset, o_orderkey AS version, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) x WHERE n = 1")
+@register("s10_published_bodies", f"WITH n AS ({_NEW}) SELECT key, body FROM n")
+def s10_bodies(spark, sf):
+    """What readers see after an update: bodies of two versions, nothing that was removed."""
+    root = _fresh(spark, "published")
+    for documents in _versions(spark, sf):
+        IO.publish(documents, root)
+    return IO.published(spark, root)
+
+
+@register("s11_latest_release", f"WITH o AS ({_OLD}), n AS ({_NEW}) SELECT step, n_documents, as_first FROM (SELECT 1 AS step, count(*) AS n_documents, true AS as_first FROM o UNION ALL SELECT 2, count(*), false FROM n UNION ALL SELECT 3, count(*), true FROM o UNION ALL SELECT 4, count(*), false FROM n) x")
 def s11(spark, sf):
+    """Releases are named by content: publishing the first documents again gives the first name; then one is rolled back to."""
+    old, new = _versions(spark, sf)
+    root, names, out = _fresh(spark, "released"), [], None
+    for step in (1, 2, 3, 4):
+        if step < 4:
+            IO.publish(new if step == 2 else old, root)
+        else:
+            IO.roll_back(spark, root, names[1])
+        names.append(IO.pointer(spark, root).release)
+        seen = IO.published(spark, root).agg(F.lit(step).alias("step"), F.count(F.lit(1)).alias("n_documents"), F.lit(names[-1] == names[0]).alias("as_first"))
+        out = seen if out is None else out.unionByName(seen)
+    return out
+
+
+@register("s11_newest_version", "SELECT dataset, version FROM (SELECT o_custkey AS dataset, o_orderkey AS version, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) x WHERE n = 1")
+def s11_newest(spark, sf):
     o = _read(spark, sf, "orders").select(F.col("o_custkey").alias("dataset"), F.col("o_orderkey").alias("version"), F.col("o_orderdate").alias("generated_at"))
     return IO.latest_release(o).select("dataset", "version")
 
 
-@register("a17_file_counts", twin("SELECT CAST(input_order % 6 AS BIGINT) AS file, count(*) AS n FROM entity GROUP BY input_order % 6", "entity"))
+_FILE = "SELECT CAST(input_order // 2000 AS BIGINT) AS file, count(*) AS n, string_agg(seed_id || ',' || name, chr(10) ORDER BY input_order) || chr(10) AS content FROM entity GROUP BY input_order // 2000"
+
+
+def _plain_files(spark, sf):
+    path = _fresh(spark, "plain")
+    _as_files(bind(spark, sf, "entity").select(F.floor(F.col("input_order") / 2000).alias("file"), F.col("input_order").alias("ord"), F.concat_ws(",", "seed_id", "name").alias("value")), path)
+    return path
+
+
+@register("a17_file_counts", twin(f"SELECT file, n, CAST(strlen(content) AS BIGINT) AS n_bytes, sha256(content) AS sha256 FROM ({_FILE}) f", "entity"))
 def a17(spark, sf):
-    return _record_lines(spark, sf).groupBy(F.col("file").cast("bigint").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    """The manifest of written files: lines, bytes and digest of each."""
+    path = _plain_files(spark, sf)
+    lines = R.numbered_lines(spark, path, _file_key()).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    return R.file_digests(spark, path, _file_key()).join(lines, "file")
+
+
+@register("s1_manifest_faults", twin(f"SELECT coalesce(file, -1) AS file, CASE WHEN file IS NULL THEN 'missing' WHEN file % 3 = 1 THEN 'sha256' ELSE 'count' END AS fault FROM (SELECT file FROM ({_FILE}) f WHERE file % 3 <> 0 UNION ALL SELECT NULL) x", "entity"))
+def s1_manifest(spark, sf):
+    """A manifest with a wrong digest, a wrong count or a file too many, against the files."""
+    path = _fresh(spark, "curated")
+    e, o = bind(spark, sf, "entity"), F.col("input_order")
+    _as_files(e.select(F.floor(o / 2000).alias("file"), o.alias("ord"), F.to_json(F.struct(F.col("seed_id").alias("id"), "name")).alias("value")), path)
+    counts = e.groupBy(F.floor(o / 2000).alias("file")).agg(F.count(F.lit(1)).alias("count"))
+    declared = R.file_digests(spark, path, _file_key()).join(counts, "file")
+    declared = declared.select("file", F.when(F.col("file") % 3 == 1, F.lit("0")).otherwise(F.col("sha256")).alias("sha256"), (F.col("count") + F.when(F.col("file") % 3 == 2, 1).otherwise(0)).alias("count"))
+    extra = spark.createDataFrame([(-1, "0", 1)], "file long, sha256 string, count long")
+    return R.manifest_faults(spark, path, declared.unionByName(extra), _file_key())
 
 
 @register("a18_table_digest")
@@ -140,22 +279,29 @@ def a18(spark, sf):
     return parts["orders"].unionByName(parts["customer"]).unionByName(parts["nation"])
 
 
-@register("j16_golden_views", twin("""SELECT 'v' || bucket || category AS name, 'has ' || slug AS fault FROM ranked WHERE bucket = 9 AND category IN ('war', 'life') AND rank = 3""", "entity", more=_CELLS))
+@register("j16_golden_views", twin("""SELECT 'v' || bucket || '/' || win || category AS name, 'has ' || slug AS fault FROM ranked WHERE category IN ('war', 'life') AND rank = 3
+UNION ALL SELECT DISTINCT 'v' || bucket || '/' || win || category, 'lacks none-such' FROM ranked WHERE category = 'war' AND win % 5 = 0 UNION ALL SELECT DISTINCT 'x' || bucket || '/' || win || category, 'no chunk' FROM ranked WHERE category = 'life' AND win % 7 = 0""", "entity", more=_CELLS))
 def j16(spark, sf):
-    chunks = PZ._topical(spark, sf).filter(F.col("bucket") == 9)
+    """Views that want the first item and bar the third, some that want what isn't there, and some of chunks that don't exist."""
+    chunks = written(PZ._topical(spark, sf), "chunks")
     chosen = chunks.filter(F.col("category").isin("war", "life"))
     views = chosen.groupBy(*Z.CELL).agg(F.max(F.when(F.col("rank") == 1, F.col("slug"))).alias("a"), F.max(F.when(F.col("rank") == 3, F.col("slug"))).alias("b"))
-    name = F.concat(F.lit("v"), F.col("bucket").cast("string"), F.col("category"))
-    views = views.select(name.alias("name"), *Z.CELL, F.array("a").alias("include"), F.array_compact(F.array("b")).alias("exclude"), F.lit(1).alias("min_items"), F.lit(200).alias("max_items"))
-    return IO.golden_faults(views, chunks.select(*Z.CELL, "slug"))
+    place = F.concat(F.col("bucket").cast("string"), F.lit("/"), F.col("win").cast("string"), F.col("category"))
+    odd = (F.col("category") == "war") & (F.pmod("win", F.lit(5)) == 0)
+    wanted = F.when(odd, F.array("a", F.lit("none-such"))).otherwise(F.array("a"))
+    bounds = [F.lit(1).alias("min_items"), F.lit(200).alias("max_items")]
+    there = views.select(F.concat(F.lit("v"), place).alias("name"), *Z.CELL, wanted.alias("include"), F.array_compact(F.array("b")).alias("exclude"), *bounds)
+    none = F.array().cast("array<string>")
+    gone = views.filter((F.col("category") == "life") & (F.pmod("win", F.lit(7)) == 0)).select(F.concat(F.lit("x"), place).alias("name"), "bucket", "win", F.lit("nowhere").alias("category"), none.alias("include"), none.alias("exclude"), *bounds)
+    return IO.golden_faults(there.unionByName(gone), chunks.select(*Z.CELL, "slug"))
 
 
-@register("q1_golden_counts", twin("SELECT 'v' || bucket || '/' || win || category AS name, 'too few' AS fault FROM (SELECT bucket, win, category, count(*) AS n FROM ranked WHERE bucket = 9 GROUP BY bucket, win, category) x WHERE n < 20", "entity", more=_CELLS))
+@register("q1_golden_counts", twin("SELECT 'v' || bucket || '/' || win || category AS name, 'too few' AS fault FROM (SELECT bucket, win, category, count(*) AS n FROM ranked GROUP BY bucket, win, category) x WHERE n < 3", "entity", more=_CELLS))
 def q1(spark, sf):
-    chunks = PZ._topical(spark, sf).filter(F.col("bucket") == 9)
+    chunks = written(PZ._topical(spark, sf), "chunks")
     name = F.concat(F.lit("v"), F.col("bucket").cast("string"), F.lit("/"), F.col("win").cast("string"), F.col("category"))
     none = F.array().cast("array<string>")
-    views = chunks.select(*Z.CELL).distinct().select(name.alias("name"), *Z.CELL, none.alias("include"), none.alias("exclude"), F.lit(20).alias("min_items"), F.lit(200).alias("max_items"))
+    views = chunks.select(*Z.CELL).distinct().select(name.alias("name"), *Z.CELL, none.alias("include"), none.alias("exclude"), F.lit(3).alias("min_items"), F.lit(200).alias("max_items"))
     return IO.golden_faults(views, chunks.select(*Z.CELL, "slug"))
 
 

@@ -10,6 +10,7 @@ from deeptime.functions import time as T
 from deeptime.functions import vocab as V
 from deeptime.operators import viewport as VP
 from deeptime.operators import zoom as Z
+from deeptime.sources.scratch import written
 
 
 def _cats():
@@ -47,7 +48,7 @@ def _cells(spark, sf):
 
 
 def _topical(spark, sf):
-    return Z.rank_cells(_cells(spark, sf).filter(F.col("category") != "all"))
+    return Z.rank_cells(Z.topical_cells(_bucketed(spark, sf), _cats(), ["slug", "importance"]))
 
 
 def _runs(spark, sf):
@@ -70,15 +71,14 @@ def e2_fan_out(spark, sf):
     return Z.fan_out(_bucketed(spark, sf))
 
 
-@register("w2_cell_ranking", twin("SELECT bucket, win, category, rank, slug FROM ranked WHERE bucket <= 10", "entity", more=f"{BUCKETED},\n{SHOWN},\n{RANKED}"))
+@register("w2_cell_ranking", twin("SELECT bucket, win, category, rank, slug FROM ranked", "entity", more=f"{BUCKETED},\n{SHOWN},\n{RANKED}"))
 def w2(spark, sf):
-    return _topical(spark, sf).filter(F.col("bucket") <= 10).select(*Z.CELL, "rank", "slug")
+    return _topical(spark, sf).select(*Z.CELL, "rank", "slug")
 
 
 @register("w3_diverse_topk")
 def w3(spark, sf):
-    cells = Z.cells(_bucketed(spark, sf).withColumn("cats", _cats()), F.col("cats"), ["slug", "importance", "cats"]).filter(F.col("category") == "all")
-    return Z.diverse_top(cells, F.col("cats"))
+    return Z.diverse_top(Z.all_cells(_bucketed(spark, sf).withColumn("cats", _cats()), ["slug", "importance", "cats"]), F.col("cats"))
 
 
 @register("w4_window_runs", twin("SELECT bucket, category, run_start, run_end, n_items, body FROM runs", "entity", more=f"{BUCKETED},\n{SHOWN},\n{RANKED},\n{BODY},\n{RUNS}"))
@@ -89,17 +89,22 @@ def w4(spark, sf):
 @register("e3_chunks")
 def e3(spark, sf):
     """The whole chunk job: topical cells by rank, the ``all`` cells with the diversity guard, runs, keys."""
-    cells = Z.cells(_bucketed(spark, sf).withColumn("cats", _cats()), F.col("cats"), ["slug", "importance", "cats"])
-    topical = Z.rank_cells(cells.filter(F.col("category") != "all")).select(*Z.CELL, "slug", "rank")
-    every = Z.diverse_top(cells.filter(F.col("category") == "all"), F.col("cats")).select(*Z.CELL, "slug", "rank")
+    bucketed = written(_bucketed(spark, sf).withColumn("cats", _cats()).select("slug", "importance", "cats", "t0", "t1", "bucket_min", "bucket_max"), "bucketed")
+    topical = Z.rank_cells(Z.topical_cells(bucketed, F.col("cats"), ["slug", "importance"])).select(*Z.CELL, "slug", "rank")
+    every = Z.diverse_top(Z.all_cells(bucketed, ["slug", "importance", "cats"]), F.col("cats")).select(*Z.CELL, "slug", "rank")
     runs = Z.window_runs(Z.chunk_bodies(topical.unionByName(every)))
     return runs.select(VP.chunk_keys(runs).alias("key"), "bucket", "category", "run_start", "run_end", "n_items", "body")
 
 
-@register("q2_run_validity", twin("""SELECT bucket, category, run_start, run_end FROM (SELECT *, lag(run_end) OVER (PARTITION BY bucket, category ORDER BY run_start) AS before FROM runs) x
-WHERE run_end < run_start OR abs(run_start) > 9007199254740991 OR abs(run_end) > 9007199254740991 OR before >= run_start""", "entity", more=f"{BUCKETED},\n{SHOWN},\n{RANKED},\n{BODY},\n{RUNS}"))
+# Some runs are spoiled alike in both engines: turned round, far beyond the safe integers, or drawn out over what follows.
+_SPOILED_END = "CASE WHEN run_start % 50 = 7 THEN run_start - 1 WHEN run_start % 50 = 8 THEN 9007199254740993 WHEN run_start % 50 = 9 THEN run_end + 3 ELSE run_end END"
+
+
+@register("q2_run_validity", twin(f"""SELECT bucket, category, run_start, run_end, CASE WHEN run_end < run_start THEN 'reversed' WHEN abs(run_end) > 9007199254740991 THEN 'unsafe' ELSE 'overlap' END AS violation
+FROM (SELECT *, lag(run_end) OVER (PARTITION BY bucket, category ORDER BY run_start) AS before FROM (SELECT bucket, category, run_start, {_SPOILED_END} AS run_end FROM runs) s) x
+WHERE run_end < run_start OR abs(run_end) > 9007199254740991 OR before >= run_start""", "entity", more=f"{BUCKETED},\n{SHOWN},\n{RANKED},\n{BODY},\n{RUNS}"))
 def q2(spark, sf):
-    return Z.run_violations(_runs(spark, sf)).select("bucket", "category", "run_start", "run_end")
+    return Z.run_violations(_runs(spark, sf).withColumn("run_end", F.expr(_SPOILED_END))).select("bucket", "category", "run_start", "run_end", "violation")
 
 
 @register("a19_chunk_stats", twin("SELECT bucket, count(*) AS n_artifacts, CAST(sum(run_end - run_start + 1) AS BIGINT) AS n_windows, CAST(sum(n_items) AS BIGINT) AS n_items, max(n_items) AS most FROM runs GROUP BY bucket", "entity", more=f"{BUCKETED},\n{SHOWN},\n{RANKED},\n{BODY},\n{RUNS}"))
@@ -119,9 +124,11 @@ SEEN = f"""seen AS (SELECT v.*, window_s, CASE WHEN window_s = 0 THEN 0 ELSE CAS
   FROM (SELECT *, {_SPAN} AS bucket FROM viewport) v JOIN bucket ON b = bucket)"""
 
 
-@register("f6_bucket_for_span", twin("SELECT view_id, bucket, w0, w1 FROM seen", "viewport", more=f"{V.BUCKET_SQL},\n{SEEN}"))
+@register("f6_bucket_for_span", twin("SELECT view_id, bucket, w0, w1 FROM seen", "entity", more=f"viewport AS (SELECT input_order AS view_id, t0, t1 FROM entity),\n{V.BUCKET_SQL},\n{SEEN}"))
 def f6(spark, sf):
-    return VP.with_windows(bind(spark, sf, "viewport")).select("view_id", "bucket", "w0", "w1")
+    """Every entity's span as a view of its own."""
+    spans = bind(spark, sf, "entity").select(F.col("input_order").alias("view_id"), "t0", "t1")
+    return VP.with_windows(spans).select("view_id", "bucket", "w0", "w1")
 
 
 _ALL = f"{BUCKETED},\n{SHOWN},\n{RANKED},\n{BODY},\n{RUNS},\n{SEEN}"
@@ -132,12 +139,12 @@ def j15(spark, sf):
     return VP.runs_in_view(VP.with_windows(bind(spark, sf, "viewport")), _runs(spark, sf))
 
 
-@register("u2_viewport_union", twin("""SELECT DISTINCT view_id, slug, r.importance FROM seen JOIN runs ON runs.bucket = seen.bucket AND run_end >= w0 AND run_start <= w1 AND category IN ('war', 'science')
+@register("u2_viewport_union", twin("""SELECT DISTINCT view_id, slug, r.importance FROM seen JOIN runs ON runs.bucket = seen.bucket AND run_end >= w0 AND run_start <= w1
 JOIN ranked r ON r.bucket = runs.bucket AND r.category = runs.category AND r.win = run_start WHERE r.importance >= min_importance""", "entity", "viewport", more=_ALL))
 def u2(spark, sf):
-    views, ranked, runs = VP.with_windows(bind(spark, sf, "viewport")), _topical(spark, sf), _runs(spark, sf)
-    parts = [VP.items_in_view(views, runs, ranked, c) for c in ("war", "science")]
-    return parts[0].unionByName(parts[1]).distinct()
+    """The union over all categories that have chunks of their own."""
+    views, ranked, runs = VP.with_windows(bind(spark, sf, "viewport")), _topical(spark, sf), written(_runs(spark, sf), "runs")
+    return VP.items_in_view(views, runs, ranked)
 
 
 _FLAGS = """flags AS (SELECT view_id, slug, input_order, importance, (t >= 0) AS x, lane, on_map, later FROM (SELECT view_id, e.seed_id AS slug, input_order, importance, 0 AS t,

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from deeptime.operators.model import missing_targets, order_gaps
+from deeptime.operators.model import child_counts, missing_targets, order_gaps
+from deeptime.sources.scratch import small, written
 
 KEYS = {"entity": ["input_order"], "entity_category": ["seed_id", "ord"], "relationship": ["seed_id", "ord"], "claim": ["seed_id", "ord"]}
 
@@ -28,6 +30,15 @@ def model_faults(entity: DataFrame, entity_category: DataFrame, relationship: Da
     half = entity.filter(F.col("lon").isNull() != F.col("lat").isNull())
     shape = claim.filter(F.col("value").isNull() & (F.col("min").isNull() | F.col("max").isNull()))
     parts = [row(twice("seed_id"), "repeated id", "seed_id"), row(twice("input_order"), "repeated order", "input_order"), row(half, "half a point", "seed_id"), row(shape, "claim shape", "seed_id"), row(missing_targets(relationship, entity), "missing target", "seed_id")]
+    span = entity.agg(F.count(F.lit(1)).alias("n"), F.min("input_order").alias("least"), F.max("input_order").alias("most"))
+    missing = (F.col("most") - F.col("least") + 1 - F.col("n")).alias("missing")
+    parts.append(row(span.select(missing).filter("missing > 0"), "order has gaps", "missing"))
+    if "slug" in entity.columns:
+        parts.append(row(twice("slug").filter("slug IS NOT NULL"), "repeated slug", "slug"))
+    if "child_count" in entity.columns:
+        actual = child_counts(relationship).withColumnRenamed("child_count", "actual")
+        differ = F.coalesce("child_count", F.lit(0)) != F.coalesce("actual", F.lit(0))
+        parts.append(row(entity.join(actual, "seed_id", "left").filter(differ), "child count", "seed_id"))
     for name, df in (("entity_category", entity_category), ("relationship", relationship), ("claim", claim)):
         parts.append(row(df.join(ids, "seed_id", "left_anti"), f"orphan {name}", "seed_id"))
         parts.append(row(order_gaps(df, ["seed_id"], "ord"), f"order of {name}", "seed_id"))
@@ -51,18 +62,71 @@ def publish_plan(documents: DataFrame, published: DataFrame) -> DataFrame:
     return j.select("key", status.alias("status"), "new")
 
 
-def publish(documents: DataFrame, index_path: str, path: str, version: str) -> DataFrame:
-    """Write what changed under ``path`` and the index last; returns the plan."""
-    spark = documents.sparkSession
+def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at ``path``; empty if there is none yet."""
     try:
-        before = spark.read.parquet(index_path)
-    except Exception as e:  # the first publication has no index yet
-        if "PATH_NOT_FOUND" not in str(e):
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        before = spark.createDataFrame([], "key string, md5 string")
-    plan = publish_plan(documents, before.select("key", "md5"))
-    documents.join(plan.filter("status = 'written'").select("key"), "key", "left_semi").write.mode("errorifexists").parquet(f"{path}/v={version}")
-    return plan
+        return spark.createDataFrame([], schema)
+
+
+POINTER = "seq long, version long, release string"
+INDEX = "key string, md5 string, version long"
+
+
+def pointer(spark: SparkSession, root: str):
+    """The current ``(seq, version, release)`` of what is published under ``root``; None before the first."""
+    return _table(spark, f"{root}/pointer", POINTER).orderBy(F.desc("seq")).first()
+
+
+def _point(spark: SparkSession, root: str, seq: int, version: int, release: str) -> None:
+    spark.createDataFrame([(seq, version, release)], POINTER).coalesce(1).write.mode("append").parquet(f"{root}/pointer")
+
+
+def index(spark: SparkSession, root: str, version: int | None) -> DataFrame:
+    """Index ``(key, md5, version)`` of a published version; ``version`` of a row is the one that wrote its body."""
+    return spark.read.schema(INDEX).parquet(f"{root}/index/v{version}") if version is not None else spark.createDataFrame([], INDEX)
+
+
+def publish(documents: DataFrame, root: str) -> DataFrame:
+    """Publish ``documents(key, body)`` under ``root``; returns the stored plan ``(key, status)``.
+
+    What changed is written, then the whole index, and last the pointer to it,
+    so a job that fails before leaves the former release in force. The release's
+    name is a digest of keys and contents: equal documents give the same release.
+    """
+    spark = documents.sparkSession
+    now = pointer(spark, root)
+    seq, version = (now.seq + 1, _table(spark, f"{root}/pointer", POINTER).agg(F.max("version")).first()[0] + 1) if now else (0, 0)
+    before = index(spark, root, now.version if now else None)
+    plan = written(publish_plan(documents, before.select("key", "md5")), "publish-plan")
+    documents.join(plan.filter("status = 'written'").select("key"), "key", "left_semi").select("key", "body").write.mode("errorifexists").parquet(f"{root}/documents/v{version}")
+    kept = before.join(plan.filter("status = 'unchanged'").select("key"), "key", "left_semi")
+    fresh = plan.filter("status = 'written'").select("key", F.col("new").alias("md5"), F.lit(version).cast("long").alias("version"))
+    kept.select("key", "md5", "version").unionByName(fresh).write.mode("errorifexists").parquet(f"{root}/index/v{version}")
+    release = table_digest(index(spark, root, version).select("key", "md5")).first().digest
+    _point(spark, root, seq, version, release)
+    return plan.select("key", "status")
+
+
+def published(spark: SparkSession, root: str) -> DataFrame:
+    """``key, body`` of the release in force."""
+    rows = index(spark, root, pointer(spark, root).version)
+    bodies = None
+    for v in sorted(r.version for r in rows.select("version").distinct().collect()):
+        part = spark.read.schema("key string, body string").parquet(f"{root}/documents/v{v}").withColumn("version", F.lit(v).cast("long"))
+        bodies = part if bodies is None else bodies.unionByName(part)
+    return bodies.join(rows.select("key", "version"), ["key", "version"], "left_semi").select("key", "body") if bodies is not None else spark.createDataFrame([], "key string, body string")
+
+
+def roll_back(spark: SparkSession, root: str, release: str) -> None:
+    """Put an earlier release in force again; nothing but the pointer is written."""
+    found = _table(spark, f"{root}/pointer", POINTER).filter(F.col("release") == release).orderBy(F.desc("seq")).first()
+    if found is None:
+        raise ValueError(f"no release {release}")
+    _point(spark, root, pointer(spark, root).seq + 1, found.version, release)
 
 
 def table_digest(df: DataFrame) -> DataFrame:
@@ -89,7 +153,7 @@ def golden_faults(views: DataFrame, chunks: DataFrame) -> DataFrame:
     should or should not be there, a count out of bounds.
     """
     keys = ["bucket", "win", "category"]
-    got = chunks.join(F.broadcast(views.select(*keys).distinct()), keys, "left_semi")
+    got = chunks.join(small(views.select(*keys).distinct()), keys, "left_semi")
     have = got.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     v = views.join(have, keys, "left")
     fails = v.select("name", F.when(F.col("n").isNull(), "no chunk").when(F.col("n") < F.col("min_items"), "too few").when(F.col("n") > F.col("max_items"), "too many").alias("fault")).filter("fault IS NOT NULL")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deeptime.functions import text as X
 from deeptime.functions import vocab as V
+from deeptime.sources.scratch import small, written
 
 RECORD = (
     "id string, type string, name string, description string, t0 string, t1 string, precision string, status string, categories array<string>, importance double, "
@@ -15,10 +16,37 @@ RECORD = (
 )
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, line, value`` with exact line numbers; meant for files that fit a task."""
-    whole = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\n")).alias("pos", "value")).select("file", (F.col("pos") + 1).alias("line"), F.trim("value").alias("value"))
+#: A bulk line of more bytes than this is rejected unread.
+MAX_LINE_BYTES = 1 << 20
+
+
+def file_name() -> Column:
+    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+
+
+def numbered_lines(spark: SparkSession, path: str, name: Column | None = None) -> DataFrame:
+    """``file, line, value`` with exact line numbers, counted from 1 in each file.
+
+    Lines are numbered within the blocks that the reader splits files into, and
+    the blocks' counts give the offsets, so no file has to fit a task. ``name``
+    makes the file's name from ``_metadata``.
+    """
+    file = file_name() if name is None else name
+    raw = spark.read.text(path).select(file.alias("file"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value")
+    rows = written(raw, "lines")
+    sizes = rows.groupBy("_path", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_path").orderBy("_block")) - F.col("_n")
+    offsets = small(sizes.select("_path", "_block", before.alias("_before")))
+    inner = F.row_number().over(Window.partitionBy("_path", "_block").orderBy("_at"))
+    return rows.withColumn("_k", inner).join(offsets, ["_path", "_block"]).select("file", (F.col("_before") + F.col("_k")).alias("line"), F.trim("value").alias("value"))
+
+
+def bulk_lines(spark: SparkSession, path: str, name: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Records and rejects of bulk files: no comments, and no line over ``MAX_LINE_BYTES``."""
+    lines = numbered_lines(spark, path, name)
+    long = F.octet_length("value") > MAX_LINE_BYTES
+    good, bad = parse_lines(lines.filter(~long), comments=False)
+    return good, bad.unionByName(lines.filter(long).select("file", "line", F.lit("line too long").alias("reason")))
 
 
 def parse_lines(lines: DataFrame, comments: bool) -> tuple[DataFrame, DataFrame]:
@@ -31,10 +59,16 @@ def parse_lines(lines: DataFrame, comments: bool) -> tuple[DataFrame, DataFrame]
     return good, parsed.filter("r._bad IS NOT NULL OR r IS NULL").select("file", "line", F.lit("invalid JSON").alias("reason"))
 
 
-def manifest_faults(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+def file_digests(spark: SparkSession, path: str, name: Column | None = None) -> DataFrame:
+    """``file, n_bytes, sha256``; meant for curated files, each of which is read as one value of 2 GB at most."""
+    file = file_name() if name is None else name
+    return spark.read.format("binaryFile").load(path).select(file.alias("file"), F.length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def manifest_faults(spark: SparkSession, path: str, manifest: DataFrame, name: Column | None = None) -> DataFrame:
     """Files of ``manifest(file, sha256, count)`` that are missing or differ."""
-    content = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("have"))
-    good, _ = parse_lines(numbered_lines(spark, path), comments=True)
+    content = file_digests(spark, path, name).select("file", F.col("sha256").alias("have"))
+    good, _ = parse_lines(numbered_lines(spark, path, name), comments=True)
     counts = good.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
     j = manifest.join(content, "file", "left").join(counts, "file", "left")
     why = F.when(F.col("have").isNull(), "missing").when(F.col("have") != F.col("sha256"), "sha256").when(F.coalesce("n", F.lit(0)) != F.col("count"), "count")
@@ -80,11 +114,11 @@ def page_records(bindings: DataFrame) -> DataFrame:
     return first.select("qid", "r.*")
 
 
-def geojson_slices(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def geojson_slices(spark: SparkSession, path: str, name: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Slices and features of ``<year>.geojson`` files; ``fault`` where file and year differ."""
     ring = "array<array<array<double>>>"
     schema = f"type string, properties struct<year:int,t_from:int,t_to:int,label:string,source:string>, features array<struct<properties:struct<name:string,entity:string,representation:string>,geometry:struct<type:string,coordinates:{ring}>>>"
-    raw = spark.read.schema(schema).json(path, multiLine=True).withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    raw = spark.read.schema(schema).json(path, multiLine=True).withColumn("file", file_name() if name is None else name)
     fault = F.when(F.col("file") != F.concat(F.col("properties.year").cast("string"), F.lit(".geojson")), "file name").when(F.col("properties.t_to") < F.col("properties.t_from"), "window")
     slices = raw.select("file", "properties.*", fault.alias("fault"))
     f = raw.select(F.col("properties.year").alias("year"), F.posexplode("features").alias("pos", "f"))

@@ -6,11 +6,19 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: What is broadcast at most.
+SMALL_ROWS, SMALL_BYTES = 100_000, 16 << 20
 
 
 def fresh(spark: SparkSession, label: str) -> str:
-    """A new path under ``spark.checkpoint.dir``, or under a temporary folder where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="deeptime-")
+    """A new path under ``spark.checkpoint.dir``, or under a temporary folder where that is unset and all runs on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="deeptime-")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -19,3 +27,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = fresh(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if a bounded look at it shows few rows and few bytes; else Spark chooses."""
+    size = F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))
+    seen = df.limit(SMALL_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("size")).first()
+    return F.broadcast(df) if seen.n <= SMALL_ROWS and seen.size <= SMALL_BYTES else df
