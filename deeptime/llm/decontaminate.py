@@ -1,22 +1,24 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
 Test items are partitioned by their number of distinct five-word shingles
-(powers of two). Each item keeps its smallest shingle hashes, as many as its
-partition needs so that a document holding ``threshold`` of the item's shingles
-holds at least one kept hash for certain: an item of ``n`` shingles may miss
-``n - ceil(threshold * n)``, and one more than that are kept. All shingle hashes
-of the (long) documents are looked up among the kept ones, so the search has no
-false negatives; what is found is verified by exact containment of the shingles'
-texts. Everything runs on DataFrame functions.
+(powers of two). A document that holds ``threshold`` of an item's shingles
+misses ``n - ceil(threshold * n)`` of them at most. So each item is sketched by
+its smallest shingle hashes: twice as many as an item of its partition may miss,
+and ``SPARE`` more, or all if it has fewer; a document is a candidate for it if
+it holds as many of the sketch as it must when every miss falls into the sketch.
+That number is each partition's own, and no document over the threshold is passed over.
+All shingle hashes of the (long) documents are looked up among the sketches; what
+is found is verified by exact containment of the shingles' texts. Everything runs
+on DataFrame functions.
 
 Words are maximal runs of characters other than ASCII punctuation and white
 space, in lower case.
 
 Defined cases: a null or blank text and an item under five words have no
-shingles and never match; repeated items are reported each; rows that repeat an
-id are judged each by their own text; an item found several times in a document
-is one row; empty tables give an empty result; columns beyond ids and texts are
-not read.
+shingles and never match; repeated items are reported each, also under a null
+id; rows that repeat an id are judged each by their own text; an item found
+several times in a document is one row; empty tables give an empty result;
+columns beyond ids and texts are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from deeptime.llm.common import ROW, broadcast_if_small, keyed, stored, words
 
 WIDTH = 5
 THRESHOLD = 0.8
+SPARE = 4
 #: Kept hashes and found ids up to these numbers (each at most 16 MB of longs) are broadcast; beyond, both sides are shuffled.
 BROADCAST_HASHES, BROADCAST_IDS = 1_000_000, 1_000_000
 
@@ -43,39 +46,46 @@ def shingle_texts(w: Column, width: int = WIDTH) -> Column:
 
 
 def item_sketches(items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """``item_id, part, n_shingles, shingles, kept``: items with their partition and kept hashes."""
+    """``item_id, part, n_shingles, shingles, kept, needed``: items with their partition, sketch and the least number of its hashes."""
     w = items.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") >= width)
     sets = w.select("item_id", F.array_distinct(shingle_texts(F.col("w"), width)).alias("shingles"), F.array_sort(F.array_distinct(shingle_hashes(F.col("w"), width))).alias("hashes"))
     part = F.floor(F.log2(F.size("shingles").cast("double"))).cast("int")
-    most = F.pow(F.lit(2.0), part + 1) - 1  # the partition's largest size
-    keep = (most - F.ceil(most * F.lit(threshold) - F.lit(1e-9)) + 1).cast("int")
-    return sets.select("item_id", part.alias("part"), F.size("shingles").cast("long").alias("n_shingles"), "shingles", F.slice("hashes", F.lit(1), keep).alias("kept"))
+    missed = lambda n: n - F.ceil(n * F.lit(threshold) - F.lit(1e-9))
+    keep = (2 * missed(F.pow(F.lit(2.0), part + 1) - 1) + SPARE).cast("int")  # by the partition's largest size
+    rows = sets.select("item_id", part.alias("part"), F.size("shingles").cast("long").alias("n_shingles"), "shingles", F.slice("hashes", F.lit(1), keep).alias("kept"))
+    return rows.withColumn("needed", F.greatest(F.lit(1), F.size("kept") - missed(F.col("n_shingles"))).cast("int"))
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """``doc_id, item_id, n_shingles, n_found, containment`` where a document holds ``threshold`` of an item's shingles."""
-    sketches = stored(item_sketches(items, threshold, width), "item-sketches")
-    kept = stored(sketches.select(F.explode("kept").alias("h"), F.monotonically_increasing_id().alias("item")).distinct(), "item-hashes")
+def _leaks(given: DataFrame, items: DataFrame, threshold: float, width: int) -> DataFrame:
+    """``ROW, doc_id, item_id, n_shingles, n_found, containment`` of keyed documents."""
+    sketches = stored(item_sketches(items, threshold, width).withColumn("item", F.monotonically_increasing_id()), "item-sketches")
+    kept = sketches.select("item", "needed", F.explode("kept").alias("h"))
     # the words are a column of their own: inside the functions over positions an expression would run anew for each
-    texts = docs.select("doc_id", words(F.col("text")).alias("w"))
-    probe = texts.select("doc_id", F.explode(shingle_hashes(F.col("w"), width)).alias("h"))
-    # the documents that hold any kept hash, with no regard to the item yet
-    met = stored(probe.join(broadcast_if_small(kept.select("h").distinct(), BROADCAST_HASHES), "h", "left_semi").select("doc_id", "h").distinct(), "met")
-    pairs = stored(
-        met.join(sketches.select("item_id", F.explode("kept").alias("h")), "h").select(F.col("doc_id").alias("met_id"), "item_id").distinct(), "candidates"
-    )
-    found = texts.join(broadcast_if_small(pairs, BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("met_id"))).select("doc_id", "item_id", F.array_distinct(shingle_texts(F.col("w"), width)).alias("own"))
-    checked = found.join(sketches.select("item_id", "n_shingles", "shingles"), "item_id").select(
-        "doc_id", "item_id", "n_shingles", F.size(F.array_intersect("own", "shingles")).cast("long").alias("n_found")
+    texts = given.select(ROW, words(F.col("text")).alias("w"))
+    probe = texts.select(ROW, F.explode(shingle_hashes(F.col("w"), width)).alias("h"))
+    # the documents that hold any sketched hash, with no regard to the item yet
+    hashes = stored(kept.select("h").distinct(), "item-hashes")
+    met = stored(probe.join(broadcast_if_small(hashes, BROADCAST_HASHES), "h", "left_semi").select(ROW, "h").distinct(), "met")
+    pairs = met.join(kept, "h").groupBy(ROW, "item").agg(F.count(F.lit(1)).alias("held"), F.first("needed").alias("needed")).filter("held >= needed")
+    pairs = stored(pairs.select(F.col(ROW).alias("__met"), "item"), "candidates")
+    found = given.select(ROW, "doc_id", words(F.col("text")).alias("w")).join(broadcast_if_small(pairs, BROADCAST_IDS), F.col(ROW) == F.col("__met"))
+    found = found.select(ROW, "doc_id", "item", F.array_distinct(shingle_texts(F.col("w"), width)).alias("own"))
+    checked = found.join(sketches.select("item", "item_id", "n_shingles", "shingles"), "item").select(
+        ROW, "doc_id", "item_id", "n_shingles", F.size(F.array_intersect("own", "shingles")).cast("long").alias("n_found")
     )
     return checked.withColumn("containment", F.col("n_found") / F.col("n_shingles")).filter(F.col("containment") >= threshold)
 
 
+def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
+    """``doc_id, item_id, n_shingles, n_found, containment`` where a document holds ``threshold`` of an item's shingles."""
+    return _leaks(keyed(docs), items, threshold, width).drop(ROW)
+
+
 def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """``docs`` without the documents that hold a test item; columns unchanged."""
     given = keyed(docs)
-    leaks = stored(find_leaks(given.select(F.col(ROW).alias("doc_id"), "text"), items, threshold, width).select(F.col("doc_id").alias("__out")).distinct(), "leaking-rows")
-    return given.join(leaks, F.col(ROW) == F.col("__out"), "left_anti").drop(ROW)
+    leaks = stored(_leaks(given.select(ROW, "doc_id", "text"), items, threshold, width).select(F.col(ROW).alias("__out")).distinct(), "leaking-rows")
+    return given.join(broadcast_if_small(leaks, BROADCAST_IDS), F.col(ROW) == F.col("__out"), "left_anti").drop(ROW)
 
 
 _WORDS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x00-/:-`{-\\x7f]+'), lambda x: x <> '')"

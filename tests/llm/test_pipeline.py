@@ -40,16 +40,17 @@ def test_stages_keep_columns_and_bear_empty_input(spark):
 
 def test_items_found_equal_brute_force(spark):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
-    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "one two three"), (-1, "a b c d e f")], "item_id long, text string")
-    more = spark.createDataFrame([(-5, None), (-6, "A, b; c. D e f!"), (-6, "nothing of it here at all"), (None, "x a b c d e f y")], "doc_id long, text string")
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "one two three"), (-1, "a b c d e f"), (None, "b c d e f y"), (-1, " ".join(f"q{i}" for i in range(200)))], "item_id long, text string")
+    more = spark.createDataFrame([(-5, None), (-6, "A, b; c. D e f!"), (-6, "nothing of it here at all"), (None, "x a b c d e f y"), (-7, " ".join(f"q{i}" for i in range(163))), (-8, " ".join(f"q{i}" for i in range(150))), (-5, "a b c d e f y")], "doc_id long, text string")
     docs, items = docs.select("doc_id", "text").unionByName(more), items.select("item_id", "text").unionByName(odd)
+    docs = docs.selectExpr("doc_id", "text", "1 AS item", "2 AS w", "3 AS h", "4 AS needed")
     want = []
     for d in docs.collect():
         own = shingles(d.text)
         for i in items.collect():
             s = shingles(i.text)
             if s and len(s & own) >= 0.8 * len(s):
-                want.append((str(d.doc_id), i.item_id, len(s), len(s & own)))
-    got = [(str(r.doc_id), r.item_id, r.n_shingles, r.n_found) for r in decontaminate.find_leaks(docs, items).collect()]
+                want.append((str(d.doc_id), str(i.item_id), len(s), len(s & own)))
+    got = [(str(r.doc_id), str(r.item_id), r.n_shingles, r.n_found) for r in decontaminate.find_leaks(docs, items).collect()]
     assert sorted(got) == sorted(want) and len(want) > 2
     assert decontaminate.find_leaks(docs.limit(0), items).count() == 0 and decontaminate.find_leaks(docs, items.limit(0)).count() == 0
