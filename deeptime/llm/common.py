@@ -14,10 +14,12 @@ _OWN: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (single-machine tests) a local folder is
-    made and remembered for the application.
+    Only where that setting is absent and all runs on one machine (as in tests)
+    a local folder is made and remembered for the application.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not found:
         app = spark.sparkContext.applicationId
         if app not in _OWN:
@@ -47,8 +49,17 @@ ROW = "__row"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` (stored) with a key of its own for each row."""
-    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed-rows")
+    """``docs`` with a key of its own for each row (16 bytes).
+
+    Rows of a plain file scan are known by their file and their place in it, so
+    nothing is copied; any other frame is written once, so that its rows and
+    keys stay the same however often they are read.
+    """
+    part = lambda c: F.lpad(F.hex(c), 16, "0")
+    if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and docs.inputFiles():
+        place = F.col("_metadata.row_index")
+        return docs.withColumn(ROW, F.unhex(F.concat(part(F.xxhash64(F.col("_metadata.file_path"))), part(place))))
+    return stored(docs.withColumn(ROW, F.unhex(part(F.monotonically_increasing_id()))), "keyed-rows")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deeptime.llm.common import ROW, ascii_lower, fresh_path, keyed, stored
+from deeptime.llm.common import ROW, ascii_lower, broadcast_if_small, fresh_path, keyed, stored
+
+#: Row keys up to this number (16 MB) are broadcast, so that no text is shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 class DigestIndex:
@@ -89,10 +92,10 @@ def keep_first(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     given = keyed(docs)
     rows = stored(digests(given, ROW), "digests")
     new = _resolve(rows, index or DigestIndex(docs.sparkSession)).filter("is_new").select("text_sha256")
-    first = rows.groupBy("text_sha256").agg(F.max(F.struct(F.col("doc_id"), (-F.col(ROW)).alias("back"))).alias("first"))
-    kept = stored(first.join(new, "text_sha256", "left_semi").select((-F.col("first.back")).alias("__kept")), "kept-rows")
+    first = rows.groupBy("text_sha256").agg(F.max(F.struct("doc_id", ROW)).alias("first"))
+    kept = stored(first.join(new, "text_sha256", "left_semi").select(F.col(f"first.{ROW}").alias("__kept")), "kept-rows")
     dropped = stored(rows.join(kept, F.col(ROW) == F.col("__kept"), "left_anti").select(F.col(ROW).alias("__out")), "dropped-rows")
-    return given.join(dropped, F.col(ROW) == F.col("__out"), "left_anti").drop(ROW)
+    return given.join(broadcast_if_small(dropped, BROADCAST_ROWS), F.col(ROW) == F.col("__out"), "left_anti").drop(ROW)
 
 
 SQL = """
