@@ -6,13 +6,15 @@ the confirmed documents have significantly more often than unlabelled ones. With
 labelled training rows), the risk is ``pi R_p+ + max(0, R_u- - pi R_p-)``: the
 unlabelled documents count as negative, corrected for the positives among them,
 and where the corrected part falls below zero a step in the other direction
-undoes the overfit. Gradients are taken in numpy over samples of ``POSITIVES``
-and ``UNLABELLED`` documents at most, the one bound here.
+undoes the overfit. Features are chosen by document counts over all confirmed
+and all unlabelled training rows; gradients are taken in numpy over samples of
+``POSITIVES`` and ``UNLABELLED`` documents at most, the one bound here.
 
 Defined cases: null, empty and wordless texts get the score of no word; with
 no confirmed toxic row the score is the prior everywhere; several labels of one
 id count as toxic if one is; rows that repeat an id are scored each; an empty
-table gives an empty result; a null id counts as an empty text in the split;
+table gives an empty result; a long text is expanded whole (some 20 bytes for
+each of its own); a null id counts as an empty text in the split;
 labels, ``lang``, ``source`` and ids never enter a score.
 """
 
@@ -25,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deeptime.llm.common import held_out, hash_share, id_text, stored
+from deeptime.llm.common import broadcast_if_small, held_out, id_text, stored
 from deeptime.llm.text_arrays import byte_view, filled, slices, word_hashes
 
 POSITIVES, UNLABELLED = 4000, 12000
 SAMPLE_PARTS = 12
+#: Hashes or ids up to this number (8 MB of longs) are broadcast.
+BROADCAST_FEATURES = 1_000_000
 STEPS, RATE, DECAY = 200, 0.1, 1e-4
 #: A feature is kept if this many confirmed documents have it and the excess over unlabelled text has this many standard errors.
 LEAST_SEEN, LEAST_Z = 4, 4.0
@@ -68,35 +72,30 @@ def _known(hashes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hashes[at] == h, at
 
 
-def feature_counts(docs: DataFrame, hashes: np.ndarray | None = None) -> DataFrame:
-    """``h, n``: documents that have each feature; with ``hashes`` (sorted) only those."""
+def feature_rows(docs: DataFrame) -> DataFrame:
+    """``h``: each document's distinct features."""
 
     def run(batches):
         for batch in batches:
             for _, _, doc, h in features(batch.column(0)):
-                if hashes is not None:
-                    known, _ = _known(hashes, h)
-                    doc, h = doc[known], h[known]
                 yield pa.RecordBatch.from_arrays([pa.array(_distinct(doc, h)[1].view(np.int64))], ["h"])
 
-    return docs.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    return docs.select("text").mapInArrow(run, "h long")
 
 
 def select_features(positive: DataFrame, n_positive: int, unlabelled: DataFrame, n_unlabelled: int) -> np.ndarray:
     """Sorted hashes of the features that confirmed documents have significantly more often.
 
-    Both frames are bounded samples; only counts of features reach the driver.
+    Counted by Spark over all rows of both; only the selected hashes reach the
+    driver. They are words, so their number grows like a vocabulary.
     """
-    rows = feature_counts(positive).filter(F.col("n") >= LEAST_SEEN).toArrow()
-    hashes, seen = rows.column("h").to_numpy().view(np.uint64), rows.column("n").to_numpy()
-    order = np.argsort(hashes)
-    hashes, seen = hashes[order], seen[order]
-    rows = feature_counts(unlabelled, hashes).toArrow()
-    share = np.ones(len(hashes))
-    share[np.searchsorted(hashes, rows.column("h").to_numpy().view(np.uint64))] += rows.column("n").to_numpy()
-    share /= n_unlabelled + 2
-    z = (seen / n_positive - share) / np.sqrt(share * (1 - share) / n_positive)
-    return hashes[z >= LEAST_Z]
+    seen = feature_rows(positive).groupBy("h").agg(F.count(F.lit(1)).alias("seen")).filter(F.col("seen") >= LEAST_SEEN)
+    seen = stored(seen, "toxic-features")
+    known = feature_rows(unlabelled).join(broadcast_if_small(seen.select("h"), BROADCAST_FEATURES), "h", "left_semi")
+    counts = seen.join(known.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "h", "left")
+    share = (F.coalesce("n", F.lit(0)) + 1) / (n_unlabelled + 2)
+    z = (F.col("seen") / n_positive - share) / F.sqrt(share * (1 - share) / n_positive)
+    return np.sort(counts.filter(z >= LEAST_Z).select("h").toArrow().column("h").to_numpy().view(np.uint64))
 
 
 def sample_features(docs: DataFrame, hashes: np.ndarray) -> list[np.ndarray]:
@@ -166,16 +165,22 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     if not count.t:
         return flat
     part = docs.filter(~held_out()).select("doc_id", "text")
-    chosen = known.filter((F.col("toxic") == 1) & hash_share("doc_id", positives / count.t))
-    toxic = part.join(F.broadcast(chosen.select("doc_id").limit(2 * positives)), "doc_id", "left_semi").limit(2 * positives)
-    n = part.count()
-    drawn = part.filter(hash_share("doc_id", unlabelled / max(1, n))).orderBy(F.xxhash64(id_text()), "text").limit(2 * unlabelled)
-    toxic, drawn = (stored(rows.repartition(SAMPLE_PARTS), "toxicity-sample") for rows in (toxic, drawn))
-    n_toxic, n_drawn = toxic.count(), drawn.count()
-    if not n_toxic or not n_drawn:
+    ids = stored(known.filter(F.col("toxic") == 1).select(F.col("doc_id").alias("__toxic")), "toxic-ids")
+    toxic = stored(part.join(broadcast_if_small(ids, BROADCAST_FEATURES), F.col("doc_id").eqNullSafe(F.col("__toxic")), "left_semi"), "toxic-texts")
+    n_toxic, n = toxic.count(), part.count()
+    if not n_toxic or not n:
         return flat
-    hashes = select_features(toxic, n_toxic, drawn, n_drawn)
-    return fit_nnpu(sample_features(toxic, hashes), sample_features(drawn, hashes), prior, hashes)
+    hashes = select_features(toxic, n_toxic, part, n)
+    samples = (drawn(toxic, n_toxic, positives), drawn(part, n, unlabelled))
+    return fit_nnpu(*(sample_features(rows, hashes) for rows in samples), prior, hashes)
+
+
+def drawn(docs: DataFrame, n: int, most: int) -> DataFrame:
+    """``most`` of the ``n`` documents at most (stored), by the hash of id and text, so that nothing but the rows decides."""
+    h = F.xxhash64(id_text(), F.coalesce("text", F.lit("")))
+    share = int(min(1.0, 1.1 * most / max(1, n)) * (1 << 30))
+    near = docs.withColumn("h", h).filter(F.pmod("h", F.lit(1 << 30)) < share)
+    return stored(near.orderBy(F.pmod("h", F.lit(1 << 30)), "h", "doc_id", "text").limit(most).repartition(SAMPLE_PARTS), "toxicity-sample")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
