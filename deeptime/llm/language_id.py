@@ -4,8 +4,8 @@ Features are hashed character n-grams of one to three code points of the
 lower-cased whole text, weighted by their share of the text and by the inverse
 document frequency over all training documents. The weights are fitted by
 follow-the-regularised-leader with elastic-net penalties on a sample of
-``PER_LANGUAGE`` training documents of each language at most, the one bound
-here; a temperature is then fitted on a part of the sample that the fit has not
+``PER_LANGUAGE`` training documents a language at most, the one bound here (the
+languages' names and counts are collected; they are few by nature); a temperature is then fitted on a part of the sample that the fit has not
 seen. As features are linear in the counts, a prediction is a table lookup and a
 sum for each position, never a vector for each document.
 
@@ -124,11 +124,12 @@ def sample_features(docs: DataFrame, counts: dict[str, int], per_language: int)
                     o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["lang", "b", "n"])
 
-    h = F.xxhash64(id_text())
+    h = F.xxhash64(id_text(), F.coalesce("text", F.lit("")))
     share = F.lit(0.0)
     for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, per_language / n)).otherwise(share)
-    chosen = docs.withColumn("h", h).filter(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).orderBy("h", "lang", "text").limit(2 * per_language * len(counts))
+        share = F.when(F.col("lang") == lang, min(1.0, 1.1 * per_language / n)).otherwise(share)
+    near = docs.withColumn("h", h).filter(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
+    chosen = near.orderBy("h", "lang", "doc_id", "text").limit(per_language * len(counts))
     rows = chosen.select("lang", "text").mapInArrow(run, "lang string, b binary, n binary").collect()
     return [(r.lang, np.frombuffer(r.b, np.int32), np.frombuffer(r.n, np.int32)) for r in rows]
 

@@ -59,6 +59,111 @@ def test_toxicity_edges(spark):
     assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), some)).count() == 0
 
 
+def test_ftrl_and_tfidf_equal_a_plain_computation():
+    texts = [("aa b", "x"), ("b b c", "y"), ("aa aa", "x"), ("c", "y")]
+    rng = np.random.default_rng(1)
+    idf = rng.uniform(0.1, 2, 1 << language_id.DIM_BITS)
+    rows = []
+    for text, lang in texts:
+        b = np.concatenate([b for _, b in language_id.ngrams([text])])
+        at, n = np.unique(b[b < 1 << language_id.DIM_BITS], return_counts=True)
+        rows.append((lang, at.astype(np.int32), n.astype(np.int32)))
+    model = language_id.fit_ftrl(rows, ["x", "y"], idf)
+    # the same by dictionaries: per coordinate z and the sum of squared gradients, weights in closed form
+    z, g2 = {}, {}
+
+    def weight(key):
+        v = z.get(key, 0.0)
+        if abs(v) <= language_id.L1:
+            return 0.0
+        return -(v - np.sign(v) * language_id.L1) / ((language_id.BETA + g2.get(key, 0.0) ** 0.5) / language_id.ALPHA + language_id.L2)
+
+    for _ in range(language_id.EPOCHS):
+        for i in np.random.default_rng(7).permutation(len(rows)):
+            lang, at, n = rows[i]
+            x = {int(f): idf[f] * c for f, c in zip(at, n)}
+            total = sum(x.values())
+            x = {f: language_id.SCALE * v / total for f, v in x.items()} | {"bias": 1.0}
+            s = [sum(v * weight((f, k)) for f, v in x.items()) for k in range(2)]
+            p = np.exp(np.array(s) - max(s))
+            p /= p.sum()
+            p[["x", "y"].index(lang)] -= 1
+            steps = {(f, k): v * p[k] for f, v in x.items() for k in range(2)}
+            old = {key: weight(key) for key in steps}
+            for key, g in steps.items():
+                new = g2.get(key, 0.0) + g * g
+                z[key] = z.get(key, 0.0) + g - (new**0.5 - g2.get(key, 0.0) ** 0.5) / language_id.ALPHA * old[key]
+                g2[key] = new
+    for f in {int(f) for _, at, _ in rows for f in at}:
+        assert np.allclose(model.weights[f], [weight((f, 0)), weight((f, 1))])
+    assert np.allclose(model.bias, [weight(("bias", 0)), weight(("bias", 1))])
+    assert (model.weights != 0).sum() <= 2 * len({int(f) for _, at, _ in rows for f in at})  # nothing else got a weight
+
+
+def test_prediction_equals_a_plain_computation(spark):
+    words = "the cat sat on a mat der hund lief über die wiese le chat dort sur un lit".split()
+    rng = np.random.default_rng(3)
+    docs = [(i, " ".join(rng.choice(words[6 * (i % 3) : 6 * (i % 3) + 6], 8)), "abc"[i % 3]) for i in range(120)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = language_id.train(frame)
+    training = [(t, lang) for i, t, lang in docs if not held(i)]
+    grams = lambda t: [b for part in language_id.ngrams([t]) for b in part[1] if b < 1 << language_id.DIM_BITS]
+    df = np.zeros(1 << language_id.DIM_BITS)
+    for t, _ in training:
+        df[list(set(grams(t)))] += 1
+    assert np.allclose(model.idf, np.log((1 + len(training)) / (1 + df)) + 0.1)
+    got = {r.doc_id: r for r in language_id.identify(frame, model).collect()}
+    for i, t, _ in docs:
+        x = np.zeros(1 << language_id.DIM_BITS)
+        for b in grams(t):
+            x[b] += model.idf[b]
+        s = (language_id.SCALE * x / x.sum() @ model.weights + model.bias) / model.temperature
+        p = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+        assert got[i].lang_pred == model.languages[p.argmax()] and abs(got[i].score - p.max()) < 1e-4
+
+
+def test_letters_are_of_category_l():
+    assert [language_id.has_letter(t) for t in ("½ ²", "Ⅷ ٣", "_ 1", "", "½ é", "漢")] == [False, False, False, False, True, True]
+
+
+def test_non_negative_risk_and_its_step():
+    hashes = np.arange(3, dtype=np.uint64)
+    positive = [np.array([0]), np.array([0, 1])]
+    unlabelled = [np.array([0]), np.array([1, 2]), np.array([2]), np.array([], int)]
+    prior = 0.3
+    dense = lambda rows: np.array([[float(k in r) for k in range(3)] for r in rows])
+    xp, xu = dense(positive), dense(unlabelled)
+    soft = lambda s: np.log1p(np.exp(s))
+
+    def parts(v):
+        sp, su = xp @ v[:3] + v[3], xu @ v[:3] + v[3]
+        return prior * soft(-sp).mean(), soft(su).mean() - prior * soft(sp).mean()
+
+    v, m, q, turned = np.array([0, 0, 0, np.log(prior / (1 - prior))]), np.zeros(4), np.zeros(4), 0
+    for t in range(1, 121):
+        first, rest = parts(v)
+        target = (lambda v: -parts(v)[1]) if rest < 0 else (lambda v: sum(parts(v)))
+        turned += rest < 0
+        g = np.array([(target(v + e) - target(v - e)) / 2e-6 for e in np.eye(4) * 1e-6])
+        g[:3] += toxicity.DECAY * v[:3]
+        m, q = 0.9 * m + 0.1 * g, 0.999 * q + 0.001 * g * g
+        v = v - toxicity.RATE * (m / (1 - 0.9**t)) / (np.sqrt(q / (1 - 0.999**t)) + 1e-8)
+    model = toxicity.fit_nnpu(positive, unlabelled, prior, hashes, steps=120)
+    assert turned > 0  # the corrected part falls below zero here, so the step back is taken
+    assert np.allclose(model.weights, v[:3], atol=2e-3) and abs(model.bias - v[3]) < 2e-3
+
+
+def test_features_are_counted_over_all_rows(spark):
+    toxic = [(i, "vile words here" if i % 2 else "vile talk") for i in range(40)]
+    clean = [(100 + i, "kind words here") for i in range(200)]
+    rows = spark.createDataFrame(toxic + clean, "doc_id long, text string")
+    chosen = toxicity.select_features(rows.filter("doc_id < 100"), 40, rows, 240)
+    want = np.concatenate([h for *_, h in toxicity.features(pa.array(["vile talk"]))])
+    assert set(chosen.tolist()) == set(want.tolist())
+    sample = toxicity.drawn(rows, 240, 10)
+    assert sample.count() == 10 and sorted(toxicity.drawn(rows.repartition(7), 240, 10).collect()) == sorted(sample.collect())
+
+
 def test_word_hashes_depend_on_the_word_alone():
     texts = ["The cat  sat\ton", "", "THE cat", "   ", "é the", "on"]
     data, offsets = byte_view(pa.array(texts))
