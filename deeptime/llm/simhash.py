@@ -6,11 +6,18 @@ fingerprints within the radius agree on at least two of the five blocks, so for
 each choice of two blocks a shard holds the fingerprints at distance zero from
 each other there, cut into shells by the distance of the remaining bits from a
 vantage point. A fingerprint near a shell's upper edge is also placed in the
-next shell, so no pair is lost at a boundary. Inside a shard a vantage-point
-tree splits at the median distance, prunes by the triangle bound and visits the
-two boundary strips for pairs across. A plain vantage-point tree over all 64
-bits prunes too little at scale: distances of unrelated fingerprints gather at
-32 +- 4, so each split at the median would copy about six tenths of the rows.
+next shell, so no pair is lost at a boundary. A shard of more than ``MOST``
+fingerprints is dealt again by the same rule on its remaining bits, so that no
+task gets an unbounded one.
+
+Inside a shard a vantage-point tree splits at the median distance, prunes by
+the triangle bound and visits the two boundary strips for pairs across; parts of
+``LEAF`` fingerprints or fewer are compared directly. Most shards of a table of
+some hundred thousand documents are that small and never split; the tree works in
+shards of texts that are alike, and in larger tables. A vantage-point tree over
+all 64 bits can't take the place of the blocks: distances of unrelated
+fingerprints gather at 32 +- 4, so each split at the median would copy three
+tenths of the rows.
 
 Each shard gives every fingerprint one edge to a representative that it is
 connected with, never all pairs of a group; components then join the shards.
@@ -37,6 +44,8 @@ from deeptime.llm.components import components
 SEED = 42
 SHELL = 8
 LEAF = 48
+#: Fingerprints of a shard (2 MB) up to which it is not dealt again.
+MOST = 1 << 18
 #: A fixed vantage point: the fractional bits of the golden ratio.
 VANTAGE = 0x9E3779B97F4A7C15
 
@@ -78,10 +87,10 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def block_masks(radius: int = 3, blocks: int = 5) -> list[int]:
-    """One mask for each choice of ``blocks - radius`` blocks of the 64 bits."""
-    edges = [64 * k // blocks for k in range(blocks + 1)]
-    block = [((1 << edges[k + 1]) - 1) ^ ((1 << edges[k]) - 1) for k in range(blocks)]
+def block_masks(radius: int = 3, blocks: int = 5, within: int = (1 << 64) - 1) -> list[int]:
+    """One mask for each choice of ``blocks - radius`` blocks of the bits in ``within``."""
+    bits = [k for k in range(64) if within >> k & 1]
+    block = [sum(1 << k for k in bits[len(bits) * b // blocks : len(bits) * (b + 1) // blocks]) for b in range(blocks)]
     return [sum(block[k] for k in chosen) for chosen in combinations(range(blocks), blocks - radius)]
 
 
@@ -99,6 +108,21 @@ def shards(fps: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
     return spread.select("forest", "cell", F.explode(shells).alias("shell"), "fp")
 
 
+def dealt_again(dealt: DataFrame, radius: int = 3, blocks: int = 5, most: int = MOST) -> DataFrame:
+    """``dealt`` shards with those of more than ``most`` fingerprints cut by blocks of their remaining bits."""
+    key = ["forest", "cell", "shell"]
+    large = stored(dealt.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).drop("n"), "large-shards")
+    if large.isEmpty():
+        return dealt
+    large = broadcast_if_small(large, most)
+    finer = [[_signed(m | f) for f in block_masks(radius, blocks, ~m & ((1 << 64) - 1))] for m in block_masks(radius, blocks)]
+    n = len(finer)
+    mask = lambda j: F.element_at(F.array(*(F.lit(row[j]) for row in finer)), F.col("forest") + 1)
+    places = [F.struct((F.col("forest") + n * (j + 1)).alias("forest"), F.col("fp").bitwiseAND(mask(j)).alias("cell")) for j in range(n)]
+    again = dealt.join(large, key, "left_semi").select("shell", "fp", F.explode(F.array(*places)).alias("p")).select("p.forest", "p.cell", "shell", "fp")
+    return dealt.join(large, key, "left_anti").unionByName(again)
+
+
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest index that each of ``n`` items is connected with through the pairs."""
     label = np.arange(n)
@@ -192,8 +216,8 @@ def shard_links(fps: np.ndarray, cut: np.ndarray, radius: int = 3) -> tuple[np.n
     return far, root[far]
 
 
-def links(fps: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
-    """Edges ``(u, v)`` between fingerprints that connect all pairs within the radius."""
+def links(fps: DataFrame, radius: int = 3, blocks: int = 5, most: int = MOST) -> DataFrame:
+    """Edges ``(u, v)`` between the stored fingerprints ``fps`` that connect all pairs within the radius."""
 
     def run(batches):
         def emit(key, fp, end):
@@ -219,7 +243,10 @@ def links(fps: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
             yield emit(key, fp, len(fp))
 
     key = ["forest", "cell", "shell"]
-    return shards(fps, radius, blocks).repartition(*key).sortWithinPartitions(*key, "fp").mapInArrow(run, "u long, v long")
+    dealt = shards(fps, radius, blocks)
+    if fps.count() > most:  # else no shard can be so large
+        dealt = dealt_again(dealt, radius, blocks, most)
+    return dealt.repartition(*key).sortWithinPartitions(*key, "fp").mapInArrow(run, "u long, v long")
 
 
 def near_groups(docs: DataFrame, width: int = 3, radius: int = 3, blocks: int = 5) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 import xxhash
 
 from deeptime.llm import simhash
+from deeptime.llm.components import components
 
 
 def brute(texts, width=3, radius=3):
@@ -68,3 +69,22 @@ def test_empty_table_and_null_ids(spark):
     assert simhash.near_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = simhash.near_groups(spark.createDataFrame([(None, "x y z"), (3, "x y z"), (None, None)], "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in rows) == [("3", "3"), ("None", "3"), ("None", "None")]
+
+
+def test_large_shards_are_dealt_again_without_loss(spark):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 38, 400, dtype=np.uint64)  # the upper blocks agree in all
+    near = base.copy()
+    for _ in range(3):
+        near ^= np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)
+    rows = [(int(x),) for x in np.unique(np.concatenate((base, near))).view(np.int64)]
+    frame = spark.createDataFrame(rows, "fp long")
+    dealt = simhash.dealt_again(simhash.shards(frame), most=100)
+    assert dealt.groupBy("forest", "cell", "shell").count().agg({"count": "max"}).first()[0] <= 100
+    where: dict[int, set] = {}
+    for r in dealt.collect():
+        where.setdefault(r.fp, set()).add((r.forest, r.cell, r.shell))
+    for a, b in zip(base.view(np.int64), near.view(np.int64)):
+        assert where[int(a)] & where[int(b)]
+    joined = {most: {tuple(r) for r in components(simhash.links(frame, most=most)).collect()} for most in (100, simhash.MOST)}
+    assert joined[100] == joined[simhash.MOST] and len(joined[100]) >= 400
