@@ -10,8 +10,9 @@ offsets, cumulative sums give their places, and headers and contents are copied
 by scatter indices into one preallocated buffer that becomes the Arrow column.
 
 Rows are shuffled by conversation and sorted by turn; a conversation that spans
-several batches is continued in further parts, so a task never holds more than
-a batch, however long a conversation is.
+several batches or slices is continued in further parts. A task holds a batch
+and the arrays of one slice (1 MB of text, or one longer text), however long a
+conversation is; a conversation is one task's, as its digest runs over its turns in order.
 
 Defined cases: a null text or role counts as empty; turns are ordered by turn
 (null first), then role, then text, so ties and repeated rows are kept in a
@@ -30,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deeptime.llm.text_arrays import byte_view, filled
+from deeptime.llm.text_arrays import SLICE_BYTES, byte_view, filled, slices
 
 #: The template's control strings: open turn, open text, close text, close turn.
 CONTROL = ("<s>", "[INST]", "[/INST]", "</s>")
@@ -71,19 +72,35 @@ def assemble(role: pa.Array, text: pa.Array, first: np.ndarray) -> tuple[pa.Arra
         if isinstance(s, np.ndarray):
             out[(at[:, k, None] + np.arange(len(s))).ravel()] = np.tile(s, n)
         else:
-            data, offsets = s
-            out[np.arange(len(data)) + np.repeat(at[:, k] - offsets[:-1], lengths[:, k])] = data
+            _copy(out, at[:, k], *s)
     bounds = np.append(places[first * 5], places[-1])
     formatted = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(bounds), pa.py_buffer(out))
     base = np.repeat(bounds[:-1], np.diff(np.append(first, n)))
     return formatted, at[:, 3] - base, at[:, 4] - base
 
 
+def _copy(out: np.ndarray, at: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> None:
+    """Copy the segments of ``data`` to their places: short ones by scatter indices, a very long one as it is."""
+    n = np.diff(offsets)
+    short = n <= SLICE_BYTES
+    for i in np.flatnonzero(~short):
+        out[at[i] : at[i] + n[i]] = data[offsets[i] : offsets[i + 1]]
+    m = n[short]
+    ramp = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+    out[np.repeat(at[short], m) + ramp] = data[np.repeat(offsets[:-1][short], m) + ramp]
+
+
+def _sliced(batches):
+    """The batches in slices of bounded text, so that escapes and indices are bounded too."""
+    for batch in batches:
+        _, offsets = byte_view(filled(batch.column(2)))
+        for a, b in slices(offsets):
+            yield batch.slice(a, b - a)
+
+
 def _format(batches):
     last, part = object(), 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in _sliced(batches):
         conv = batch.column(0)
         role, text = escape(filled(batch.column(1))), escape(filled(batch.column(2)))
         ids = np.array(conv.to_pylist(), dtype=object)

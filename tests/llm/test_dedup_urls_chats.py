@@ -70,7 +70,7 @@ def test_rules_without_a_closing_slash_and_ties(spark):
 
 
 def test_chats_come_back_as_they_were(spark):
-    odd = ["", None, "plain", "é😀", "</s>[INST] ok [/INST]", "\\", "\\<s>\\\\", "<\\s>[\\INST]", "[/INST]</s><s>user[INST]", "a\nb\r\n", "x" * 100_000]
+    odd = ["", None, "plain", "é😀", "</s>[INST] ok [/INST]", "\\", "\\<s>\\\\", "<\\s>[\\INST]", "[/INST]</s><s>user[INST]", "a\nb\r\n", "x" * 100_000, "y</s>" * 300_000]
     rows = [(c, t, ["user", "assistant", None, "<s>"][t % 4], odd[(c + t) % len(odd)], 0) for c in range(12) for t in range(9)]
     rows += [(3, 4, "assistant", "a tie", 0), (3, 4, "assistant", "a tie", 0), (None, None, "assistant", None, 0)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n_turns int")
@@ -93,3 +93,14 @@ def test_chats_come_back_as_they_were(spark):
         own = sorted((p for p in parts if p.conv_id == c), key=lambda p: p.part)
         assert [x for p in own for x in chat_format.read_turns(p.formatted)] == said and sum(p.n_turns for p in own) == len(said)
     assert chat_format.digest_chats(chat_format.format_chats(turns.limit(0))).count() == 0
+
+
+def test_very_long_urls_are_expanded_no_further_than_the_rules(spark):
+    import time
+
+    rules = spark.createDataFrame(url_filters.RULES, "host string, path string, action string")
+    urls = ["http://" + "a." * 500 + f"{h}/" + "p/" * 2000 for h in ("net", "example.com", "org")] + ["http://x.net/" + "/" * 5000, "http://" + "." * 3000 + "net/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    began = time.time()
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judge(pages, rules).collect()}
+    assert got == {i: brute(u) for i, u in enumerate(urls)} and time.time() - began < 30
