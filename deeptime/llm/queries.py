@@ -33,7 +33,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sanitise.span_lists(*sanitise.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return sanitise.span_lists(*sanitise.find_spans(table(spark, sf_dir, "documents")))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

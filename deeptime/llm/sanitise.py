@@ -2,12 +2,19 @@
 
 Base spans are e-mail addresses, IPv4 addresses, payment-card numbers and
 telephone numbers, found by pattern and checked. Their values are the protected
-entities. From the whole corpus it is estimated how much a term beside an entity
-tells about it: with document counts, ``PMI(t; e) = ln(n(t,e) N / (n(t) n(e)))``
-is set against the entity's information ``IC(e) = ln(N / n(e))``. A term whose
-share ``PMI / IC`` reaches ``GENERALISE`` is generalised and from ``REMOVE`` on
-removed wherever it stands beside that entity. Only terms seen with the entity
-in ``SUPPORT`` different contexts count, so copies of one passage flag nothing.
+entities. From the whole corpus it is estimated how much a term tells about an
+entity: with document counts, ``PMI(t; e) = ln(n(t,e) N / (n(t) n(e)))`` over
+whole documents is set against the entity's information ``IC(e) = ln(N / n(e))``.
+A term whose share ``PMI / IC`` reaches ``GENERALISE`` is generalised and from
+``REMOVE`` on removed, wherever it stands in a document with that entity. Only
+pairs seen in ``SUPPORT`` different contexts count (a context is the words
+nearest to the entity), so copies of one passage flag nothing.
+
+Terms are runs of other characters than white space, in lower case, without
+ASCII punctuation at either end; those that hold an ``@``, and those without
+letters that are parts of the document's own entities, are none. A document
+counts each of its terms once for each of its entities that has the contexts;
+terms too frequent for any entity of the document are left out before that.
 
 All of it runs on DataFrame functions. Offsets are code points, ends exclusive.
 
@@ -23,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deeptime.llm.common import broadcast_if_small, stored, words
+from deeptime.llm.common import ROW, broadcast_if_small, keyed, stored
 
 #: Fixed patterns of the contract, in the order in which kinds are listed. Repeats that can't give anything back are
 #: possessive, so that they run without recursion; a run is entered at its start, or where the last match ended, only,
@@ -35,7 +42,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 ORDER = {k: i for i, k in enumerate([*PATTERNS, "term"])}
-#: Words on either side of an entity that count as its context.
+#: Words on either side of an entity that make up its context.
 CONTEXT = 10
 SUPPORT = 3
 GENERALISE, REMOVE = 0.85, 0.95
@@ -73,26 +80,26 @@ def _tokens(gap: Column) -> Column:
 
 
 def _context(gap: Column, before: bool) -> Column:
-    """The nearest words of a gap, with the distance of their first character from the entity."""
+    """The nearest words of a gap."""
 
     def near(t):
-        return _bind(F.slice(t, F.greatest(F.size(t) - CONTEXT + 1, F.lit(1)), F.lit(CONTEXT)) if before else F.slice(t, F.lit(1), F.lit(CONTEXT)), measured)
+        return F.slice(t, F.greatest(F.size(t) - CONTEXT + 1, F.lit(1)), F.lit(CONTEXT)) if before else F.slice(t, F.lit(1), F.lit(CONTEXT))
+
+    return F.transform(_bind(_tokens(gap), near), lambda x: F.regexp_replace(x, r"\s+$", ""))
 
-    def measured(t):
-        size = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + F.length(x))
-        return F.transform(
-            t, lambda x, j: F.struct(F.rtrim(F.regexp_replace(x, r"\s+$", "")).alias("word"), (size(F.slice(t, j + 1, F.lit(CONTEXT))) if before else size(F.slice(t, F.lit(1), j))).alias("far"))
-        )
 
-    return _bind(_tokens(gap), near)
+def _term(word: Column) -> Column:
+    """A word in lower case without punctuation at its ends; empty if it is no term."""
+    bare = F.regexp_replace(F.lower(word), r"^[\x00-/:-@\[-`{-\x7f]++|[\x00-/:-@\[-`{-\x7f]++$", "")
+    return F.when(word.contains("@"), "").otherwise(bare)
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, hits``: every document once, with its matches, gaps and contexts (stored)."""
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    """``row, doc_id, hits`` of keyed documents: every one once, with its matches, gaps and contexts (stored)."""
+    text = docs.select(F.col(ROW).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     t = F.col("text")
-    found = text.select("doc_id", "text", *(F.when(_gate(k, t), F.regexp_extract_all(t, F.lit(p), F.lit(0))).alias(f"{k}_hits") for k, p in PATTERNS.items()))
-    cut = found.select("doc_id", *(f"{k}_hits" for k in PATTERNS), *(F.when(F.size(f"{k}_hits") > 0, F.split(t, p, -1)).alias(f"{k}_gaps") for k, p in PATTERNS.items()))
+    found = text.select("row", "doc_id", "text", *(F.when(_gate(k, t), F.regexp_extract_all(t, F.lit(p), F.lit(0))).alias(f"{k}_hits") for k, p in PATTERNS.items()))
+    cut = found.select("row", "doc_id", *(f"{k}_hits" for k in PATTERNS), *(F.when(F.size(f"{k}_hits") > 0, F.split(t, p, -1)).alias(f"{k}_gaps") for k, p in PATTERNS.items()))
 
     def hits(kind):
         gap, hit = F.col(f"{kind}_gaps"), F.col(f"{kind}_hits")
@@ -103,18 +110,17 @@ def scan(docs: DataFrame) -> DataFrame:
                 i.alias("i"),
                 F.length(F.element_at(gap, i)).alias("gap"),
                 F.element_at(hit, i).alias("hit"),
-                _context(F.element_at(gap, i), True).alias("before"),
-                _context(F.element_at(gap, i + 1), False).alias("after"),
+                F.xxhash64(_context(F.element_at(gap, i), True), _context(F.element_at(gap, i + 1), False)).alias("sign"),
             ),
         )
-        empty = F.array().cast("array<struct<kind:string,i:int,gap:int,hit:string,before:array<struct<word:string,far:int>>,after:array<struct<word:string,far:int>>>>")
+        empty = F.array().cast("array<struct<kind:string,i:int,gap:int,hit:string,sign:bigint>>")
         return F.when(F.size(hit) > 0, each).otherwise(empty)
 
-    return stored(cut.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.concat(*map(hits, PATTERNS)).alias("hits")), "pii-scan")
+    return stored(cut.select("row", "doc_id", F.concat(*map(hits, PATTERNS)).alias("hits")), "pii-scan")
 
 
 def base_spans(scanned: DataFrame) -> DataFrame:
-    """``row, kind, start, end, hit, before, after`` of the matches that hold."""
+    """``row, kind, start, end, hit, sign`` of the matches that hold."""
     each = scanned.select("row", F.explode("hits").alias("h")).select("row", "h.*")
     w = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("gap") + F.length("hit")).over(w)
@@ -122,48 +128,66 @@ def base_spans(scanned: DataFrame) -> DataFrame:
     holds = F.lit(False)
     for kind in PATTERNS:
         holds = F.when(F.col("kind") == kind, _holds(kind, F.col("hit"))).otherwise(holds)
-    return placed.filter(holds).select("row", "kind", "start", "end", "hit", "before", "after")
+    return placed.filter(holds).select("row", "kind", "start", "end", "hit", "sign")
 
 
-def disclosing_terms(docs: DataFrame, spans: DataFrame, n_docs: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``(entity, term, share)`` at or over ``GENERALISE``, and the terms' places beside entities.
+def _least_share(n_te: Column, n_t: Column, n_e: Column, n: Column) -> Column:
+    """``PMI / IC``; 0 where the entity is in every document."""
+    pmi, ic = F.log(n_te * n / (n_t * n_e)), F.log(n / n_e)
+    return F.when(ic > 0, pmi / ic).otherwise(0.0)
 
-    ``share`` is ``PMI / IC``; both tables are stored.
-    """
-    mention = spans.select("row", F.concat_ws(":", "kind", F.lower("hit")).alias("entity"), "start", "end", "before", "after")
-    sign = F.xxhash64("before.word", "after.word")
-    side = F.concat(
-        F.transform("before", lambda x: F.struct((F.col("start") - x["far"]).alias("start"), x["word"].alias("word"))),
-        F.transform("after", lambda x: F.struct((F.col("end") + x["far"]).alias("start"), x["word"].alias("word"))),
-    )
-    near = mention.select("row", "entity", sign.alias("sign"), F.explode(side).alias("x")).select("row", "entity", "sign", F.col("x.start").alias("start"), "x.word")
-    near = near.withColumn("parts", words(F.col("word"))).filter((F.size("parts") == 1) & ~F.col("word").rlike("[0-9@]"))
-    near = stored(near.select("row", "entity", "sign", F.element_at("parts", 1).alias("term"), "start", (F.col("start") + F.length("word")).alias("end")), "context-terms")
-    support = stored(near.select("entity", "term", "sign").distinct().groupBy("entity", "term").count().filter(F.col("count") >= SUPPORT).select("entity", "term"), "supported")
-    together = near.select("entity", "term", "row").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).join(support, ["entity", "term"])
-    n_e = stored(mention.select("entity", "row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")), "entity-documents")
-    # a term is in as many documents at least as have it beside any entity; most terms fail by that alone
-    least = stored(near.select("term", "row").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("least")), "least-documents")
+
+def disclosing_terms(docs: DataFrame, spans: DataFrame, n_docs: int) -> tuple[DataFrame, DataFrame]:
+    """``(entity, term, share)`` at or over ``GENERALISE``, and ``(row, entity)`` of the entities with enough contexts (both stored)."""
     n = F.lit(float(max(n_docs, 2)))
+    mention = stored(spans.select("row", F.concat_ws(":", "kind", F.lower("hit")).alias("entity"), "sign", "hit"), "mentions")
+    contexts = mention.select("entity", "sign").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= SUPPORT)
+    n_e = mention.select("entity", "row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    entities = stored(n_e.join(contexts.select("entity"), "entity"), "entities")
+    known = mention.groupBy("row", "entity").agg(F.min("sign").alias("sign")).join(broadcast_if_small(entities, BROADCAST_TERMS), "entity")
+    known = stored(known, "known-entities")
+    # at the threshold a term is in this many documents at most
+    most = F.col("n_e") * F.pow(n / F.col("n_e"), F.lit(1 - GENERALISE))
+    bound = stored(known.groupBy("row").agg(F.max(most).alias("most")), "entity-rows")
+    texts = docs.select(ROW, "text").join(broadcast_if_small(bound.select(F.col("row").alias("__at")), BROADCAST_TERMS), F.col(ROW) == F.col("__at"))
+    each = texts.select(F.col("__at").alias("row"), F.explode(F.array_distinct(F.transform(F.split(F.coalesce("text", F.lit("")), r"\s+", -1), _term))).alias("term")).filter("term <> ''")
+    parts = mention.select("row", F.explode(F.split("hit", r"\s+", -1)).alias("part")).select("row", _term(F.col("part")).alias("term")).filter(~F.col("term").rlike("[a-z]|[^\\x00-\\x7f]")).distinct()
+    each = stored(each.join(parts, ["row", "term"], "left_anti"), "entity-terms")
+    # a term is in as many documents at least as it is with entities; most terms fail by that alone
+    least = stored(each.groupBy("term").agg(F.count(F.lit(1)).alias("least")).filter(F.col("least") >= SUPPORT), "least-documents")
+    able = each.join(least, "term").join(bound, "row").filter(F.col("least") <= F.col("most") + 1e-6)
+    by_context = able.join(known, "row").groupBy("entity", "term", "sign").agg(F.count(F.lit(1)).alias("n"), F.first("n_e").alias("n_e"), F.first("least").alias("least"))
+    together = by_context.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n_te"), F.first("n_e").alias("n_e"), F.first("least").alias("least"))
+    c = F.col
+    possible = stored(together.filter((c("contexts") >= SUPPORT) & (_least_share(c("n_te"), c("least"), c("n_e"), n) >= GENERALISE)), "possible")
+    wanted = stored(possible.select("term").distinct(), "candidate-terms")
+    words_of = docs.select(F.explode(F.array_distinct(F.transform(F.split(F.coalesce("text", F.lit("")), r"\s+", -1), _term))).alias("term")) if not wanted.isEmpty() else wanted
+    n_t = stored(words_of.join(broadcast_if_small(wanted, BROADCAST_TERMS), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "term-documents")
+    share = _least_share(c("n_te"), c("n_t"), c("n_e"), n)
+    return stored(possible.join(n_t, "term").select("entity", "term", share.alias("share")).filter(c("share") >= GENERALISE), "disclosing"), known
 
-    def share(n_t: str) -> Column:
-        pmi, ic = F.log(F.col("n_te") * n / (F.col(n_t) * F.col("n_e"))), F.log(n / F.col("n_e"))
-        return F.when(ic > 0, pmi / ic).otherwise(0.0)
 
-    possible = stored(together.join(n_e, "entity").join(least, "term").filter(share("least") >= GENERALISE).drop("least"), "possible")
-    wanted = stored(possible.select("term").distinct(), "candidate-terms")
-    seen = docs.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term")).join(broadcast_if_small(wanted, BROADCAST_TERMS), "term", "left_semi")
-    n_t = stored(seen.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "term-documents")
-    flagged = possible.join(n_t, "term").select("entity", "term", share("n_t").alias("share")).filter(F.col("share") >= GENERALISE)
-    return stored(flagged, "disclosing"), near
+def term_places(docs: DataFrame, flagged: DataFrame, known: DataFrame) -> DataFrame:
+    """``row, start, end, share`` of every flagged term in the documents that hold its entity."""
+    sites = stored(known.select("row", "entity").join(flagged, "entity").groupBy("row", "term").agg(F.max("share").alias("share")), "term-sites")
+    rows = stored(sites.select(F.col("row").alias("__at")).distinct(), "term-rows")
+    texts = docs.select(ROW, "text").join(broadcast_if_small(rows, BROADCAST_TERMS), F.col(ROW) == F.col("__at"))
+    pieces = texts.select(F.col("__at").alias("row"), F.posexplode(_tokens(F.coalesce("text", F.lit("")))).alias("pos", "piece"))
+    before = F.sum(F.length("piece")).over(Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.length("piece")
+    word = F.regexp_replace("piece", r"\s+$", "")
+    placed = pieces.select("row", before.alias("start"), (before + F.length(word)).alias("end"), _term(word).alias("term")).filter("term <> ''")
+    return placed.join(sites, ["row", "term"]).select("row", "start", "end", "share")
 
 
 def find_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The scanned documents ``(row, doc_id, hits)`` and all spans ``(row, kind, start, end, action)``."""
-    scanned = scan(docs)
+    return _find(keyed(docs))
+
+
+def _find(given: DataFrame) -> tuple[DataFrame, DataFrame]:
+    scanned = scan(given)
     base = stored(base_spans(scanned), "base-spans")
-    flagged, near = disclosing_terms(docs, base, scanned.count())
-    terms = near.join(flagged, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("share").alias("share"))
+    terms = term_places(given, *disclosing_terms(given, base, scanned.count()))
     action = F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise")
     every = base.select("row", "kind", "start", "end", F.lit("generalise").alias("action")).unionByName(terms.select("row", F.lit("term").alias("kind"), "start", "end", action.alias("action")))
     return scanned, every
@@ -182,13 +206,13 @@ def span_lists(scanned: DataFrame, spans: DataFrame) -> DataFrame:
 def sanitise(docs: DataFrame) -> DataFrame:
     """``doc_id, clean_text``: spans are replaced by ``<kind>`` or, for terms over ``REMOVE``, by nothing.
 
-    Overlapping spans are covered once, under the kind of the first. ``doc_id``
-    must be unique here, as it joins the spans to the texts.
+    Overlapping spans are covered once, under the kind of the first.
     """
-    scanned, spans = find_spans(docs)
+    given = keyed(docs)
+    _, spans = _find(given)
     rank = F.create_map(*(F.lit(x) for k, i in ORDER.items() for x in (k, i)))
     grouped = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", rank[F.col("kind")].alias("rank"), "end", "kind", "action"))).alias("s"))
-    lists = stored(scanned.select("row", "doc_id").join(grouped, "row").select(F.col("doc_id").alias("__id"), "s"), "span-lists")
+    lists = stored(grouped.select(F.col("row").alias("__id"), "s"), "span-lists")
     text = F.coalesce("text", F.lit(""))
     state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -200,4 +224,4 @@ def sanitise(docs: DataFrame) -> DataFrame:
         )
 
     done = F.aggregate("s", state, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, (a["at"] + 1).cast("int"), F.length(text))))
-    return docs.join(lists, docs["doc_id"] == lists["__id"], "left").select("doc_id", F.when(F.col("s").isNull(), text).otherwise(done).alias("clean_text"))
+    return given.join(lists, F.col(ROW) == F.col("__id"), "left").select("doc_id", F.when(F.col("s").isNull(), text).otherwise(done).alias("clean_text"))

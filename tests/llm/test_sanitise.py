@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 
 from deeptime.llm import sanitise
@@ -88,3 +90,62 @@ def test_disclosing_terms(spark):
     clean = {r.doc_id: r.clean_text for r in sanitise.sanitise(docs).collect()}
     assert "Zorblax" not in clean[0] and "<email>" in clean[0] and "zorb@" not in clean[0]
     assert clean[100] == rows[6][1]
+
+
+PUNCTUATION = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
+
+
+def term_of(word):
+    return "" if "@" in word else word.lower().strip(PUNCTUATION)
+
+
+def brute_terms(docs):
+    """Term spans of each document, from the definition."""
+    found = {i: brute(t) for i, t in docs.items()}
+    mentions = []  # document, entity, context
+    for i, t in docs.items():
+        for kind, pattern in (("email", EMAIL), ("ip", IP), ("card", CARD), ("phone", PHONE)):
+            hits = list(pattern.finditer(t))
+            for k, m in enumerate(hits):
+                if (m.start(), list(sanitise.ORDER).index(kind), m.end(), kind) in found[i]:
+                    before = t[hits[k - 1].end() if k else 0 : m.start()].split()[-sanitise.CONTEXT :]
+                    after = t[m.end() : hits[k + 1].start() if k + 1 < len(hits) else len(t)].split()[: sanitise.CONTEXT]
+                    mentions.append((i, f"{kind}:{m[0].lower()}", (tuple(before), tuple(after))))
+    where = {}
+    for i, e, c in mentions:
+        where.setdefault(e, {}).setdefault(i, set()).add(c)
+    terms = {i: {term_of(w) for w in t.split()} - {""} for i, t in docs.items()}
+    n, out = len(docs), {i: set() for i in docs}
+    for e, rows in where.items():
+        if len(set().union(*rows.values())) < sanitise.SUPPORT or len(rows) == n:
+            continue
+        for t in set().union(*(terms[i] for i in rows)):
+            both = [i for i in rows if t in terms[i] and not (t in {term_of(p) for s in found[i] for p in docs[i][s[0] : s[2]].split()} and not re.search("[a-z]|[^\\x00-\\x7f]", t))]
+            n_t = sum(t in x for x in terms.values())
+            if len(both) >= sanitise.SUPPORT and math.log(len(both) * n / (n_t * len(rows))) / math.log(n / len(rows)) >= sanitise.GENERALISE:
+                for i in both:
+                    out[i] |= {(m.start(), m.end()) for m in re.finditer(r"\S+", docs[i]) if term_of(m[0]) == t}
+    return out
+
+
+def test_terms_equal_brute_force(spark):
+    rng = random.Random(11)
+    filler = [f"w{k}" for k in range(40)]
+    people = [("jo-ann", "acct-77", "joann@mail.example.com"), ("quill", "id.9", "4111 1111 1111 1111"), ("vex", "77-1", "+1 (724) 555-7058"), ("Ähm", "zed", "10.1.2.3")]
+    docs = {}
+    for i in range(160):
+        words = [rng.choice(filler) for _ in range(rng.randrange(5, 60))]
+        for who, mark, value in people:
+            if rng.random() < 0.08:
+                words.insert(rng.randrange(len(words)), f"({value}),")
+                if rng.random() < 0.9:
+                    words.insert(rng.randrange(len(words)), f"{who.title()}!")
+                if rng.random() < 0.6:
+                    words.insert(rng.randrange(len(words)), mark)
+            elif rng.random() < 0.004:
+                words.append(who)
+        docs[i] = " ".join(words)
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc_id: {tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("term:")} for r in sanitise.span_lists(*sanitise.find_spans(frame)).collect()}
+    want = brute_terms(docs)
+    assert got == want and sum(map(len, want.values())) > 20
