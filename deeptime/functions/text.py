@@ -32,8 +32,9 @@ def search_tokens(slug: Column) -> Column:
 
 
 def hue(name: Column) -> Column:
-    """FNV-1a over the code units of a name, modulo 360."""
-    units = F.transform(F.split(name, ""), lambda c: F.ascii(c).cast("bigint"))
+    """FNV-1a over the UTF-16 code units of a name, modulo 360."""
+    hexed = F.hex(F.encode(name, "UTF-16BE"))
+    units = F.transform(F.filter(F.split(F.regexp_replace(hexed, "(.{4})", "$1 "), " "), lambda c: c != ""), lambda c: F.conv(c, 16, 10).cast("bigint"))
     h = F.aggregate(units, F.lit(2166136261).cast("bigint"), lambda a, u: (a.bitwiseXOR(u) * 16777619) % F.lit(4294967296))
     return h % 360
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,15 +34,30 @@ def covering(rows: DataFrame, year: Column, slices: DataFrame) -> DataFrame:
 def composite(base: DataFrame, detail: DataFrame) -> DataFrame:
     """Base windows split where a detail starts, each with the first detail that is active at its start.
 
-    ``base`` and ``detail`` have ``year, t_from, t_to``.
+    ``base`` and ``detail`` have ``year, t_from, t_to``; ``base_year`` is the window that a part was cut from.
     """
     cuts = base.alias("b").join(small(detail.select(F.col("t_from").alias("cut"))), (F.col("cut") > F.col("b.t_from")) & (F.col("cut") <= F.col("b.t_to")), "left")
     starts = cuts.groupBy("year", "t_from", "t_to").agg(F.array_sort(F.array_distinct(F.concat(F.array("t_from"), F.collect_set("cut")))).alias("s"))
-    parts = starts.select("year", "t_from", "t_to", "s", F.posexplode("s").alias("i", "start"))
-    parts = parts.select(F.when(F.col("start") == F.col("t_from"), F.col("year")).otherwise(F.col("start")).alias("year"), F.col("start").alias("t_from"), F.coalesce(F.get("s", F.col("i") + 1) - 1, F.col("t_to")).alias("t_to"))
+    parts = starts.select(F.col("year").alias("base_year"), "t_from", "t_to", "s", F.posexplode("s").alias("i", "start"))
+    year = F.when(F.col("start") == F.col("t_from"), F.col("base_year")).otherwise(F.col("start"))
+    parts = parts.select("base_year", year.alias("year"), F.col("start").alias("t_from"), F.coalesce(F.get("s", F.col("i") + 1) - 1, F.col("t_to")).alias("t_to"))
     d = small(detail.select(F.col("year").alias("detail_year"), F.col("t_from").alias("d0"), F.col("t_to").alias("d1")))
     hit = parts.join(d, F.col("t_from").between(F.col("d0"), F.col("d1")), "left")
-    return hit.groupBy("year", "t_from", "t_to").agg(F.min_by("detail_year", "d0").alias("detail_year"))
+    return hit.groupBy("base_year", "year", "t_from", "t_to").agg(F.min_by("detail_year", "d0").alias("detail_year"))
+
+
+def composite_features(parts: DataFrame, base: DataFrame, detail: DataFrame) -> DataFrame:
+    """``year, source, label`` and the features' columns: each composite window with all features of its two slices.
+
+    ``base`` and ``detail`` are features with the ``year`` of their slice; the label names the slices that a window is made of.
+    """
+    label = F.concat_ws(" with ", F.col("base_year").cast("string"), F.col("detail_year").cast("string"))
+    windows = parts.select("year", "base_year", "detail_year", label.alias("label"))
+
+    def of(features, by, source):
+        return windows.join(features.withColumnRenamed("year", by), by).drop("base_year", "detail_year").withColumn("source", F.lit(source))
+
+    return of(base, "base_year", "base").unionByName(of(detail, "detail_year", "detail"))
 
 
 def active(features: DataFrame, years: DataFrame) -> DataFrame:
@@ -67,11 +83,26 @@ def front_at(positions: DataFrame, times: DataFrame) -> DataFrame:
     return j.select("entity", "t", F.when(inside, lerp).otherwise(F.col("coords")).alias("coords"), held.alias("held"), label.alias("label_from"))
 
 
-def front_faults(positions: DataFrame) -> DataFrame:
-    """Entities with a single position, repeated dates or a changing number of vertices."""
-    g = positions.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("valid_from").alias("dates"), F.min(F.size("coords")).alias("least"), F.max(F.size("coords")).alias("most"))
-    fault = F.when(F.col("n") < 2, "single").when(F.col("dates") < F.col("n"), "repeated date").when(F.col("least") != F.col("most"), "vertices")
-    return g.withColumn("fault", fault).filter("fault IS NOT NULL").select("entity", "fault")
+def front_faults(positions: DataFrame, owners: DataFrame) -> DataFrame:
+    """First rule that each entity's dated positions break.
+
+    ``positions(entity, valid_from, coords, file)``, ``owners(entity, t0, t1)``: two
+    positions at least, on different dates, with one number of vertices, in one
+    file, of a known owner and within its span.
+    """
+    g = positions.groupBy("entity").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("valid_from").alias("dates"), F.min(F.size("coords")).alias("least"), F.max(F.size("coords")).alias("most"),
+        F.min("file").alias("a"), F.max("file").alias("b"), F.min("valid_from").alias("since"), F.max("valid_from").alias("until"),
+    )
+    fault = (
+        F.when(F.col("n") < 2, "single")
+        .when(F.col("dates") < F.col("n"), "repeated date")
+        .when(F.col("least") != F.col("most"), "vertices")
+        .when(F.col("a") != F.col("b"), "two files")
+        .when(F.col("t0").isNull(), "no owner")
+        .when((F.col("since") < F.col("t0")) | (F.col("until") > F.col("t1")), "outside owner")
+    )
+    return g.join(owners.select("entity", "t0", "t1"), "entity", "left").withColumn("fault", fault).filter("fault IS NOT NULL").select("entity", "fault")
 
 
 def in_ring(ring: Column, lon: Column, lat: Column) -> Column:
@@ -174,55 +205,123 @@ def budget_ladder(sizes: DataFrame, budget: int) -> DataFrame:
     return g
 
 
-def simplify(rings: DataFrame, tolerance: float) -> DataFrame:
-    """Douglas-Peucker simplification of closed rings, each in a task; rings under the tolerance square go.
-
-    Coordinates are rounded to four decimals, closed and wound counter-clockwise.
+def ladder_sizes(rings: DataFrame, tolerances: list[float]) -> DataFrame:
+    """``slice, step, bytes`` of ``rings(slice, ring_id, ring)`` simplified at every tolerance of the ladder."""
+    out = None
+    for step, tolerance in enumerate(tolerances):
+        one = simplify(rings, tolerance, "slice").select("slice", F.lit(step).alias("step"), F.coalesce(F.octet_length(F.to_json("ring")), F.lit(0)).cast("bigint").alias("bytes"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def layer_features(slices: DataFrame, features: DataFrame) -> DataFrame:
+    """Every feature in every slice ``(year, t_from)``, with the slice's step, the name's hue and its rank by name."""
+    step = F.row_number().over(Window.orderBy("t_from")) - 1  # slices are few
+    rows = features.withColumn("hue", X.hue(F.col("name"))).join(small(slices.select("year", step.alias("step"))))
+    return rows.select("year", "step", "ring_id", "name", "representation", "source", "hue", F.row_number().over(Window.partitionBy("year").orderBy("name")).alias("rank"))
+
+
+def _area(c: np.ndarray) -> float:
+    return float((c[:-1, 0] * c[1:, 1] - c[1:, 0] * c[:-1, 1]).sum() / 2)
+
+
+def _kept(points: np.ndarray, tolerance: float) -> np.ndarray:
+    """Douglas-Peucker on both halves of a ring of different points, cut at the first and the point farthest from it; closed."""
+    closed = np.vstack((points, points[:1]))
+    far = int(((points - points[0]) ** 2).sum(1).argmax())
+    marked, work = {0, far, len(points)}, [(0, far), (far, len(points))]
+    while work:
+        a, b = work.pop()
+        if b - a < 2:
+            continue
+        way, off = closed[b] - closed[a], closed[a + 1 : b] - closed[a]
+        length = float(np.hypot(*way))
+        d = np.abs(way[0] * off[:, 1] - way[1] * off[:, 0]) / length if length else np.hypot(off[:, 0], off[:, 1])
+        at = int(d.argmax())
+        if d[at] > tolerance:
+            marked.add(a + 1 + at)
+            work += [(a, a + 1 + at), (a + 1 + at, b)]
+    return closed[sorted(marked)]
+
+
+def _pinch(c: np.ndarray):
+    """Two places of a closed ring with the same point, other than its ends; None if there are none."""
+    seen: dict[tuple, int] = {}
+    for i, p in enumerate(map(tuple, c[:-1])):
+        if p in seen:
+            return seen[p], i
+        seen[p] = i
+    return None
+
+
+def _crossing(c: np.ndarray):
+    """Numbers of two sides of a closed ring that cross properly, and where; None if none do."""
+    a, way, n = c[:-1], np.diff(c, axis=0), len(c) - 1
+    for i in range(n - 2):
+        j = np.arange(i + 2, n - (i == 0))
+        if not len(j):
+            continue
+        off, o = a[j] - a[i], way[j]
+        cross = way[i, 0] * o[:, 1] - way[i, 1] * o[:, 0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t, u = (off[:, 0] * o[:, 1] - off[:, 1] * o[:, 0]) / cross, (off[:, 0] * way[i, 1] - off[:, 1] * way[i, 0]) / cross
+        hit = np.flatnonzero((t > 0) & (t < 1) & (u > 0) & (u < 1))
+        if len(hit):
+            return i, int(j[hit[0]]), a[i] + t[hit[0]] * way[i]
+    return None
+
+
+def _repaired(c: np.ndarray) -> np.ndarray:
+    """A closed ring without pinches and crossings: of the two loops at each the larger one stays."""
+    while len(c) > 4:
+        if (pinch := _pinch(c)) is not None:
+            i, j = pinch
+            loops = c[i : j + 1], np.vstack((c[: i + 1], c[j + 1 :]))
+        elif (met := _crossing(c)) is not None:
+            i, j, x = met
+            x = np.round(x, 4)[None]
+            loops = np.vstack((x, c[i + 1 : j + 1], x)), np.vstack((c[: i + 1], x, c[j + 1 :]))
+        else:
+            break
+        c = max(loops, key=lambda loop: abs(_area(loop)))
+    return c
+
+
+def simplified(ring: np.ndarray, tolerance: float, exterior: bool = True):
+    """One closed ring ``(n, 2)`` simplified, repaired and wound; None if it is under the tolerance's square."""
+    p = np.round(np.clip(ring, (-180, -90), (180, 90)), 4) + 0.0
+    p = p[np.concatenate(([True], (p[1:] != p[:-1]).any(1)))] if len(p) else p
+    if len(p) > 1 and (p[0] == p[-1]).all():
+        p = p[:-1]
+    if len(p) < 3 or abs(_area(np.vstack((p, p[:1])))) < tolerance * tolerance:
+        return None
+    for t in (tolerance, tolerance / 4, tolerance / 16, 0.0):
+        c = _repaired(_kept(p, t))
+        if len(c) >= 4 and _area(c):
+            return c if (_area(c) > 0) == exterior else c[::-1]
+    return None
+
+
+def simplify(rings: DataFrame, tolerance: float, *more: str) -> DataFrame:
+    """``ring_id, ring, dropped`` and the columns ``more`` of ``rings``: closed rings simplified by Douglas-Peucker, each in a task.
+
+    Coordinates are clamped and rounded to four decimals; a ring that keeps
+    fewer than four positions is tried at a quarter, a sixteenth and none of the
+    tolerance; pinches and crossings are cut off; outlines are wound
+    counter-clockwise, holes (where ``exterior`` is given and false) clockwise.
+    Rings under the tolerance's square are ``dropped`` and have no ring.
     """
     import pandas as pd
 
-    def keep(points, tol):
-        n = len(points)
-        far = max(range(n), key=lambda i: (points[i][0] - points[0][0]) ** 2 + (points[i][1] - points[0][1]) ** 2)
-        marked, work = {0, far, n}, [(0, far), (far, n)]
-        closed = [*points, points[0]]
-        while work:
-            a, b = work.pop()
-            (ax, ay), (bx, by) = closed[a], closed[b]
-            length = ((bx - ax) ** 2 + (by - ay) ** 2) ** 0.5
-            best, at = tol, -1
-            for i in range(a + 1, b):
-                x, y = closed[i]
-                d = abs((bx - ax) * (ay - y) - (ax - x) * (by - ay)) / length if length else ((x - ax) ** 2 + (y - ay) ** 2) ** 0.5
-                if d > best:
-                    best, at = d, i
-            if at >= 0:
-                marked.add(at)
-                work += [(a, at), (at, b)]
-        return [closed[i] for i in sorted(marked)]
-
-    def area(c):
-        return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(c, c[1:])) / 2
+    has = "exterior" in rings.columns
 
     def run(frames):
         for pdf in frames:
             out = []
-            for rid, ring in zip(pdf.ring_id, pdf.ring):
-                points = []
-                for p in ring:
-                    q = (round(min(180, max(-180, p["lon"])), 4), round(min(90, max(-90, p["lat"])), 4))
-                    if not points or points[-1] != q:
-                        points.append(q)
-                if len(points) > 1 and points[0] == points[-1]:
-                    points.pop()
-                if len(points) < 3 or abs(area([*points, points[0]])) < tolerance * tolerance:
-                    continue
-                for tol in (tolerance, tolerance / 4, tolerance / 16, 0.0):
-                    c = keep(points, tol)
-                    if len(c) >= 4:
-                        c = c if area(c) > 0 else c[::-1]
-                        out.append((rid, [{"lon": x, "lat": y} for x, y in c]))
-                        break
-            yield pd.DataFrame(out, columns=["ring_id", "ring"])
-
-    return rings.select("ring_id", "ring").mapInPandas(run, "ring_id long, ring array<struct<lon:double,lat:double>>")
+            for ring, exterior in zip(pdf.ring, pdf.exterior if has else [True] * len(pdf)):
+                c = simplified(np.array([(q["lon"], q["lat"]) for q in ring], float).reshape(-1, 2), tolerance, bool(exterior))
+                out.append(None if c is None else [{"lon": x, "lat": y} for x, y in c.tolist()])
+            yield pd.DataFrame({**{m: pdf[m] for m in more}, "ring_id": pdf.ring_id, "ring": pd.Series(out, index=pdf.index, dtype=object), "dropped": [c is None for c in out]})
+
+    kinds = "".join(f"{m} {rings.schema[m].dataType.simpleString()}, " for m in more)
+    return rings.select(*more, "ring_id", "ring", *(["exterior"] if has else [])).mapInPandas(run, f"{kinds}ring_id long, ring array<struct<lon:double,lat:double>>, dropped boolean")

@@ -6,9 +6,15 @@ from pyspark.sql import functions as F
 
 from deeptime.catalog import register
 from deeptime.fixtures import bind, twin
+from deeptime.functions import time as T
+from deeptime.functions import vocab as V
 from deeptime.operators import insight as I
+from deeptime.operators import layers as L
 from deeptime.operators import model as M
 from deeptime.operators import zoom as Z
+from deeptime.plans import layers as PL
+from deeptime.plans import model as PM
+from deeptime.plans import store as PS
 from deeptime.plans import zoom as PZ
 from deeptime.sources.scratch import small
 
@@ -43,11 +49,36 @@ def b3(spark, sf):
     return people.join(views, (F.col("t0") <= F.col("cursor")) & (F.col("t1") >= F.col("cursor"))).groupBy("view_id").agg(F.count(F.lit(1)).alias("n"), F.min("seed_id").alias("least"))
 
 
-@register("b4_record_values", twin("SELECT property, arg_max(seed_id, v) AS seed_id, max(v) AS v FROM (SELECT property, seed_id, coalesce(value, max) * 100000 + input_order AS v FROM claim JOIN entity USING (seed_id)) x GROUP BY property", "claim", "entity"))
+@register("b3_events_at_age", twin("""SELECT p.seed_id AS id, count(*) AS n, min(e.seed_id) AS least FROM (SELECT seed_id, t0 + 2e0 * 31556952e0 AS a, t0 + 3e0 * 31556952e0 AS b FROM entity WHERE type = 'person') p
+JOIN (SELECT * FROM entity WHERE type = 'event') e ON e.t0 <= b AND e.t1 >= a GROUP BY p.seed_id""", "entity"))
+def b3_age(spark, sf):
+    """Events while each person was two years old."""
+    e = bind(spark, sf, "entity")
+    year = lambda n: F.col("t0") + n * F.lit(V.YEAR_S)
+    people = e.filter("type = 'person'").select(F.col("seed_id").alias("id"), year(2.0).alias("a"), year(3.0).alias("b"))
+    met = I.during(people, e.filter("type = 'event'").select("seed_id", "t0", "t1"), V.YEAR_S)
+    return met.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("seed_id").alias("least"))
+
+
+@register("b3_greatest_in_year", twin("SELECT year, property, max(coalesce(value, max)) AS value FROM (SELECT *, published_at AS year FROM claim) c GROUP BY year, property", "claim"))
+def b3_greatest(spark, sf):
+    return bind(spark, sf, "claim").groupBy(F.col("published_at").alias("year"), "property").agg(F.max(F.coalesce("value", "max")).alias("value"))
+
+
+@register("b3_inventions_from_place", twin(f"SELECT ring.name AS place, seed_id FROM entity JOIN ring ON lon >= x0 AND lon < x0 + 10 AND lat >= y0 AND lat < y0 + 10 WHERE type = 'invention' AND floor(t0 / {V.YEAR_S!r}e0 + 1970e0) BETWEEN 1993 AND 1996", "entity", "ring"))
+def b3_inventions(spark, sf):
+    year = F.floor(T.seconds_to_year(F.col("t0")))
+    found = bind(spark, sf, "entity").filter((F.col("type") == "invention") & year.between(1993, 1996) & F.col("lon").isNotNull()).select("seed_id", "lon", "lat")
+    return L.locate(found, PL._rings(spark, sf)).select(F.col("name").alias("place"), "seed_id")
+
+
+_DATES = ["1993", "1995", "1998"]
+
+
+@register("b4_record_values", twin("""SELECT date, property, seed_id, v AS value FROM (SELECT *, row_number() OVER (PARTITION BY date, property ORDER BY v DESC, seed_id DESC) AS n FROM (
+SELECT date, property, seed_id, coalesce(value, max) AS v FROM claim JOIN (VALUES ('1993'), ('1995'), ('1998')) d(date) ON published_at <= date) x) y WHERE n = 1""", "claim"))
 def b4(spark, sf):
-    j = bind(spark, sf, "claim").join(bind(spark, sf, "entity").select("seed_id", "input_order"), "seed_id")
-    v = j.select("property", "seed_id", (F.coalesce("value", "max") * 100000 + F.col("input_order")).alias("v"))
-    return v.groupBy("property").agg(F.max_by("seed_id", "v").alias("seed_id"), F.max("v").alias("v"))
+    return I.records_at(bind(spark, sf, "claim").select("property", "seed_id", F.coalesce("value", "max").alias("value"), "published_at"), _DATES)
 
 
 @register("b5_built_upon_closure", twin("SELECT source, target, min(hops) AS hops FROM reach GROUP BY source, target", "relationship", more="RECURSIVE reach(source, target, hops) AS (SELECT seed_id, target, 1 FROM relationship WHERE type IN ('built_upon', 'preceded') UNION ALL SELECT r.source, e.target, hops + 1 FROM reach r JOIN relationship e ON e.seed_id = r.target WHERE e.type IN ('built_upon', 'preceded'))"))
@@ -62,6 +93,42 @@ def b6(spark, sf):
     return I.scaled(rows, "type", "n").select("input_order", (F.floor(F.col("scaled") * 1e6 + 0.5) / 1e6).alias("scaled"))
 
 
+_LOG = "CASE WHEN hi > lo THEN (ln(1 + n) - lo) / (hi - lo) ELSE 0 END"
+
+
+@register("b6_weighted_importance", twin(f"""SELECT input_order, floor((0.6e0 * scaled + 0.2e0 * count(*) OVER (PARTITION BY type) / count(*) OVER () + 0.2e0 * blend) * 1e5 + 0.5e0) / 1e5 AS weighted FROM (SELECT input_order, type, region, {_LOG} AS scaled FROM (
+ SELECT *, min(ln(1 + n)) OVER (PARTITION BY type) AS lo, max(ln(1 + n)) OVER (PARTITION BY type) AS hi FROM sig) a) b JOIN (SELECT region, {_LOG} AS blend FROM (SELECT *, min(ln(1 + n)) OVER () AS lo, max(ln(1 + n)) OVER () AS hi FROM (
+ SELECT region, CAST(count(*) AS DOUBLE) AS n FROM sig GROUP BY region) c) d) r USING (region)""", "entity", more="sig AS (SELECT input_order, type, CAST(input_order % 500 AS DOUBLE) AS n, coalesce(CAST(floor(lon / 30) AS BIGINT), -99) AS region FROM entity)"))
+def b6_weighted(spark, sf):
+    rows = bind(spark, sf, "entity").select("input_order", "type", "lon", (F.col("input_order") % 500).cast("double").alias("n"))
+    out = I.weighted(rows, "type", F.coalesce(F.floor(F.col("lon") / 30), F.lit(-99)), "n")
+    return out.select("input_order", (F.floor(F.col("weighted") * 1e5 + 0.5) / 1e5).alias("weighted"))
+
+
+@register("b7_birth_before_death", twin("SELECT seed_id FROM entity WHERE type = 'person' AND input_order % 7 = 0 AND t1 - 86400e0 < t0", "entity"))
+def b7_birth(spark, sf):
+    """Persons who die before their birth; some deaths are put a day early."""
+    people = bind(spark, sf, "entity").filter("type = 'person'")
+    died = F.when(F.col("input_order") % 7 == 0, F.col("t1") - 86400).otherwise(F.col("t1"))
+    return people.filter(died < F.col("t0")).select("seed_id")
+
+
+@register("b7_near_duplicates", twin("SELECT a.seed_id AS a, b.seed_id AS b FROM named a JOIN named b ON a.name = b.name AND a.type = b.type AND a.seed_id < b.seed_id AND abs(a.t0 - b.t0) <= 864000e0", "entity", more="named AS (SELECT seed_id, 'Customer of ' || (input_order % 300) AS name, type, t0 FROM entity)"))
+def b7_near(spark, sf):
+    named = bind(spark, sf, "entity").select("seed_id", F.concat(F.lit("Customer of "), (F.col("input_order") % 300).cast("string")).alias("name"), "type", "t0")
+    return I.near_duplicates(named, 864000.0)
+
+
+_RATE = "floor(count(*) FILTER (WHERE input_order % 2 = {0}) / CAST((SELECT count(*) FROM spoiled WHERE input_order % 2 = {0}) AS DOUBLE) * 1e6 + 0.5e0) / 1e6"
+
+
+@register("b7_rate_jumps", twin(f"SELECT * FROM (SELECT reason, {_RATE.format(0)} AS rate_before, {_RATE.format(1)} AS rate_now FROM reasoned WHERE reason IS NOT NULL GROUP BY reason) r WHERE rate_now > rate_before", "entity", more=f"{PM.SPOILED},\n{PM.REASON}"))
+def b7_rates(spark, sf):
+    rows = PM._reasoned(spark, sf)
+    odd = F.col("input_order") % 2 == 1
+    return I.rate_jumps(rows.filter(odd), rows.filter(~odd), 0.0)
+
+
 @register("b7_outside_parent", twin("SELECT r.seed_id, target FROM relationship r JOIN entity c ON c.seed_id = r.seed_id JOIN entity p ON p.seed_id = target WHERE r.type = 'part_of' AND (c.t0 < p.t0 OR c.t1 > p.t1)", "relationship", "entity"))
 def b7(spark, sf):
     return I.outside_parent(bind(spark, sf, "relationship"), bind(spark, sf, "entity"))
@@ -74,10 +141,12 @@ def b7_outliers(spark, sf):
     return I.outliers(line.select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", v.alias("v")), ["l_returnflag"], "v").select("l_orderkey", "l_linenumber", "l_partkey", "v")
 
 
-@register("b8_artifact_budgets", twin("SELECT bucket, count(*) AS n, max(n) AS largest FROM (SELECT bucket, win, category, count(*) AS n FROM ranked GROUP BY bucket, win, category) x GROUP BY bucket", "entity", more=f"{PZ.BUCKETED},\n{PZ.SHOWN},\n{PZ.RANKED}"))
+@register("b8_artifact_budgets", twin(f"""SELECT bucket, count(*) AS n, max(bytes) AS largest, quantile_disc(bytes, 0.95) AS p95 FROM (SELECT bucket, CAST(strlen({PS._BODY}) AS BIGINT) AS bytes FROM ranked GROUP BY bucket, win, category) x GROUP BY bucket""", "entity", more=f"{PZ.BUCKETED},\n{PZ.SHOWN},\n{PZ.RANKED}"))
 def b8(spark, sf):
-    g = PZ._topical(spark, sf).groupBy(*Z.CELL).agg(F.count(F.lit(1)).alias("items"))
-    return g.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("items").alias("largest"))
+    """Bytes of the chunk documents."""
+    docs = PS._chunk_documents(spark, sf)
+    bucket = F.regexp_extract("key", r"^chunks/T(\d+)/", 1).cast("int")
+    return I.size_budgets(docs.select(bucket.alias("bucket"), F.octet_length("body").cast("bigint").alias("bytes")))
 
 
 @register("b9_subclass_closure", """WITH RECURSIVE sub AS (SELECT DISTINCT p_size AS source, p_size // 2 AS target FROM part WHERE p_size > 1),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from deeptime.catalog import register
@@ -50,14 +52,23 @@ SELECT year, t_from, t_to, t_from AS start FROM slice UNION SELECT s.year, s.t_f
 def j10(spark, sf):
     y = F.year("o_orderdate")
     detail = _read(spark, sf, "orders").filter(y % 3 == 0).select(y.alias("year"), y.alias("t_from"), (y + 1).alias("t_to")).distinct()
-    return L.composite(bind(spark, sf, "slice"), detail)
+    return L.composite(bind(spark, sf, "slice"), detail).drop("base_year")
+
 
+_PARTS = """parts AS (SELECT year, t_from, t_to, (SELECT min(year) FROM detail d WHERE p.t_from BETWEEN d.t_from AND d.t_to) AS detail_year, base_year FROM (
+SELECT CASE WHEN start = t_from THEN year ELSE start END AS year, year AS base_year, start AS t_from, coalesce(lead(start) OVER (PARTITION BY year ORDER BY start) - 1, t_to) AS t_to FROM (
+SELECT year, t_from, t_to, t_from AS start FROM slice UNION SELECT s.year, s.t_from, s.t_to, d.t_from FROM slice s JOIN detail d ON d.t_from > s.t_from AND d.t_from <= s.t_to) c) p)"""
 
-@register("u3_feature_union", twin("SELECT source, count(*) AS n FROM (SELECT 'base' AS source, year FROM slice UNION ALL SELECT 'detail', year FROM detail) x GROUP BY source", "slice", more=_DETAIL))
+
+@register("u3_feature_union", twin("""SELECT p.year, name, 'base' AS source, CASE WHEN detail_year IS NULL THEN base_year || '' ELSE base_year || ' with ' || detail_year END AS label FROM parts p CROSS JOIN ring
+UNION ALL SELECT p.year, name, 'detail', base_year || ' with ' || detail_year FROM parts p JOIN ring ON detail_year IS NOT NULL AND ring_id % 3 = 0""", "slice", "ring", more=f"{_DETAIL},\n{_PARTS}"))
 def u3(spark, sf):
+    """The features of each composite window: all of its base slice and those of the detail slice, under a label that names both."""
     y = F.year("o_orderdate")
-    detail = _read(spark, sf, "orders").filter(y % 3 == 0).select(y.alias("year")).distinct().withColumn("source", F.lit("detail"))
-    return bind(spark, sf, "slice").select("year", F.lit("base").alias("source")).unionByName(detail).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    detail = _read(spark, sf, "orders").filter(y % 3 == 0).select(y.alias("year"), y.alias("t_from"), (y + 1).alias("t_to")).distinct()
+    base, ring = bind(spark, sf, "slice"), bind(spark, sf, "ring")
+    features = lambda slices, some: slices.select("year").join(small(some.select("name")))
+    return L.composite_features(L.composite(base, detail), features(base, ring), features(detail, ring.filter("ring_id % 3 = 0")))
 
 
 @register("j11_active_in_year", "WITH f AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN year(o_orderdate) END AS a, CASE WHEN o_orderkey % 7 <> 0 THEN year(o_orderdate) + o_orderkey % 3 END AS b FROM orders) SELECT y.year, count(*) AS n, min(o_orderkey) AS least FROM f JOIN (VALUES (1994), (1996), (1999), (2003)) y(year) ON (a IS NULL OR a <= y.year) AND (b IS NULL OR b >= y.year) GROUP BY y.year")
@@ -72,7 +83,8 @@ _POS = """pos AS (SELECT o_custkey AS entity, epoch(o_orderdate) AS valid_from,
 seg AS (SELECT *, lead(valid_from) OVER w AS nf, lead(x) OVER w AS nx, lead(y) OVER w AS ny, row_number() OVER w AS k FROM pos WINDOW w AS (PARTITION BY entity ORDER BY valid_from))"""
 
 
-def _positions(spark, sf):
+def positions(spark, sf):
+    """Dated positions of the customers as fronts of two vertices."""
     o = _read(spark, sf, "orders").withColumn("valid_from", F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("double"))
     g = o.groupBy(F.col("o_custkey").alias("entity"), "valid_from").agg((F.min("o_orderkey") % 100).cast("double").alias("x"), (F.max("o_orderkey") % 80).cast("double").alias("y"))
     point = lambda a, b: F.struct(a.alias("lon"), b.alias("lat"))
@@ -84,17 +96,26 @@ CASE WHEN nf IS NOT NULL AND t >= valid_from AND (t - valid_from) / (nf - valid_
 FROM seg JOIN (VALUES (7.0e8), (8.5e8), (9.0e8), (9.9e8)) q(t) ON (k = 1 OR t >= valid_from) AND (nf IS NULL OR t < nf)""", more=_POS))
 def j12(spark, sf):
     times = spark.createDataFrame([(7.0e8,), (8.5e8,), (9.0e8,), (9.9e8,)], "t double")
-    return L.front_at(_positions(spark, sf), times).select("entity", "t", F.col("coords")[0]["lon"].alias("lon0"), "held", "label_from")
+    return L.front_at(positions(spark, sf), times).select("entity", "t", F.col("coords")[0]["lon"].alias("lon0"), "held", "label_from")
 
 
-@register("w8_front_faults", twin("SELECT entity, 'single' AS fault FROM pos GROUP BY entity HAVING count(*) < 2", more=_POS))
+@register("w8_front_faults", twin("""SELECT entity, CASE WHEN n < 2 THEN 'single' WHEN entity % 7 = 1 THEN 'repeated date' WHEN entity % 7 = 2 THEN 'vertices' WHEN entity % 7 = 3 THEN 'two files' WHEN entity % 7 = 4 THEN 'outside owner' WHEN entity % 7 = 5 THEN 'no owner' END AS fault
+FROM (SELECT entity, count(*) AS n FROM pos GROUP BY entity) g WHERE n < 2 OR entity % 7 BETWEEN 1 AND 5""", more=_POS))
 def w8(spark, sf):
-    return L.front_faults(_positions(spark, sf))
+    """Fronts spoiled in every way, against owners with spans of their own."""
+    k, t = F.col("entity") % 7, F.col("valid_from")
+    p = positions(spark, sf).withColumn("file", F.concat(F.lit("f"), F.col("entity").cast("string")))
+    first = p.groupBy("entity").agg(F.min(t).alias("t0"), F.max(t).alias("t1"), F.count(F.lit(1)).alias("n"))
+    j = p.join(first, "entity")
+    again = j.filter((k == 1) & (F.col("n") > 1) & (t == F.col("t0")))
+    odd = j.withColumns({"coords": F.when((k == 2) & (t == F.col("t0")), F.slice("coords", 1, 1)).otherwise(F.col("coords")), "file": F.when((k == 3) & (t == F.col("t1")), "other").otherwise(F.col("file"))})
+    owners = first.filter(k != 5).select("entity", F.when(k == 4, F.col("t0") + 1).otherwise(F.col("t0")).alias("t0"), "t1")
+    return L.front_faults(odd.unionByName(again).select("entity", "valid_from", "coords", "file"), owners)
 
 
 @register("a14_bounding_boxes", twin("SELECT entity, least(min(x), min(y)) AS west, greatest(max(x), max(y)) AS east FROM pos GROUP BY entity", more=_POS))
 def a14(spark, sf):
-    p = _positions(spark, sf).select("entity", F.explode("coords").alias("c"))
+    p = positions(spark, sf).select("entity", F.explode("coords").alias("c"))
     return p.groupBy("entity").agg(F.min("c.lon").alias("west"), F.max("c.lon").alias("east"))
 
 
@@ -130,18 +151,41 @@ def g1_crossings(spark, sf):
     return L.crossings(_rings(spark, sf).withColumn("ring", F.when(F.col("ring_id") % 2 == 0, bow).otherwise(r)))
 
 
+def _stars(spark, sf, points=48):
+    """A closed ring for each order's customer group: a many-pointed outline of its own size, on whole four-decimal places."""
+    k = F.col("ring_id")
+    angle = lambda i: i * (2 * math.pi / points)
+    radius = lambda i: 1.0 + (k % 5) + F.when(i % 2 == 0, 0.0).otherwise(0.004 * (1 + k % 7))
+    at = lambda i: F.struct(F.round(radius(i) * F.cos(angle(i)), 4).alias("lon"), F.round(radius(i) * F.sin(angle(i)), 4).alias("lat"))
+    corners = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), at)
+    ids = _read(spark, sf, "customer").select(F.col("c_custkey").alias("ring_id"))
+    return ids.select("ring_id", F.concat(corners, F.slice(corners, 1, 1)).alias("ring"))
+
+
 @register("g2_simplify", twin("SELECT ring_id, 5 AS n_points, 100e0 AS area FROM ring", "ring"))
 def g2(spark, sf):
     r = F.col("ring")
     mid = lambda a, b: F.struct(((a["lon"] + b["lon"]) / 2).alias("lon"), ((a["lat"] + b["lat"]) / 2).alias("lat"))
     dense = F.flatten(F.zip_with(F.slice(r, 1, 4), F.slice(r, 2, 4), lambda a, b: F.array(a, mid(a, b))))
-    return L.simplify(_rings(spark, sf).select("ring_id", F.concat(dense, F.array(r[0])).alias("ring")), 0.02).select("ring_id", F.size("ring").alias("n_points"), L.ring_area(F.col("ring")).alias("area"))
+    return L.simplify(_rings(spark, sf).select("ring_id", F.concat(dense, F.array(r[0])).alias("ring")), 0.02).filter("NOT dropped").select("ring_id", F.size("ring").alias("n_points"), L.ring_area(F.col("ring")).alias("area"))
+
 
+@register("g2_dropped_features", "SELECT CAST(c_custkey AS BIGINT) AS ring_id, c_custkey % 4 = 0 AS dropped FROM customer")
+def g2_dropped(spark, sf):
+    """Every ring with whether it is left out, being under the tolerance's square."""
+    k = F.col("ring_id")
+    shrunk = F.when(k % 4 == 0, F.transform("ring", lambda p: F.struct((p["lon"] / 100).alias("lon"), (p["lat"] / 100).alias("lat")))).otherwise(F.col("ring"))
+    return L.simplify(_stars(spark, sf).select("ring_id", shrunk.alias("ring")), 0.2).select("ring_id", "dropped")
 
-@register("g3_budget_ladder", "WITH s AS (SELECT o_custkey % 50 AS slice, k AS step, CAST(sum(floor(o_totalprice / (k + 1))) AS BIGINT) AS bytes FROM orders JOIN (VALUES (0), (1), (2), (3), (4), (5)) t(k) ON true GROUP BY o_custkey % 50, k) SELECT slice, coalesce(min(step) FILTER (WHERE bytes <= 2000000), max(step)) AS step FROM s GROUP BY slice")
+
+_LADDER = [0.0005, 0.002, 0.01, 0.05, 0.2]
+
+
+@register("g3_budget_ladder")
 def g3(spark, sf):
-    o = _read(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("slice"), "o_totalprice", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("step"))
-    return L.budget_ladder(o.select("slice", "step", F.floor(F.col("o_totalprice") / (F.col("step") + 1)).alias("bytes")), 2_000_000)
+    """The first tolerance of the ladder at which a slice's simplified rings fit its bytes."""
+    rings = _stars(spark, sf).withColumn("slice", F.col("ring_id") % 20)
+    return L.budget_ladder(L.ladder_sizes(rings, _LADDER), 4000)
 
 
 @register("g4_feature_names", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE c_name END AS name FROM customer WHERE c_custkey % 6 <> 0")
@@ -152,12 +196,14 @@ def g4(spark, sf):
     return raw.select(k, F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.nullif(F.trim("subject"), F.lit(""))).alias("name")).filter("name IS NOT NULL")
 
 
-@register("g5_layer_features", twin("SELECT s.year, ring_id, name, 'estimated' AS representation, row_number() OVER (PARTITION BY s.year ORDER BY name) AS rank FROM ring CROSS JOIN slice s", "ring", "slice"))
-def g5(spark, sf):
-    from pyspark.sql import Window
+_HUES = "hues AS (SELECT name, CAST(h % 360 AS BIGINT) AS hue FROM walk WHERE i = length(name))"
+_WALK = "RECURSIVE walk(name, i, h) AS (SELECT name, 0, CAST(2166136261 AS BIGINT) FROM ring UNION ALL SELECT name, i + 1, (xor(h, CAST(ascii(substr(name, i + 1, 1)) AS BIGINT)) * 16777619) % 4294967296 FROM walk WHERE i < length(name))"
+
 
-    j = _rings(spark, sf).join(small(bind(spark, sf, "slice").select("year")))
-    return j.select("year", "ring_id", "name", F.lit("estimated").alias("representation"), F.row_number().over(Window.partitionBy("year").orderBy("name")).alias("rank"))
+@register("g5_layer_features", twin("SELECT s.year, step, ring_id, r.name, 'estimated' AS representation, 'n' || r.name AS source, hue, row_number() OVER (PARTITION BY s.year ORDER BY r.name) AS rank FROM ring r JOIN hues ON hues.name = r.name CROSS JOIN (SELECT year, row_number() OVER (ORDER BY t_from) - 1 AS step FROM slice) s", "ring", "slice", more=f"{_WALK},\n{_HUES}"))
+def g5(spark, sf):
+    features = _rings(spark, sf).select("ring_id", "name", F.lit("estimated").alias("representation"), F.concat(F.lit("n"), "name").alias("source"))
+    return L.layer_features(bind(spark, sf, "slice"), features)
 
 
 @register("j14_feature_owners", twin("SELECT ring_id, seed_id FROM ring LEFT JOIN entity ON seed_id = concat('ord-', cast(ring_id * 900 AS VARCHAR))", "ring", "entity"))

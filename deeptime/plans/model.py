@@ -11,6 +11,9 @@ from deeptime.fixtures import bind, twin
 from deeptime.functions import text as X
 from deeptime.functions import vocab as V
 from deeptime.operators import model as M
+from deeptime.plans import layers as PL
+from deeptime.sources import model_io as IO
+from deeptime.sources.scratch import fresh
 
 
 def _inlist(words):
@@ -57,7 +60,10 @@ def p3(spark, sf):
 
 @register("s6_rejects", twin("SELECT 'orders' AS source, input_order AS line, reason FROM reasoned WHERE reason IS NOT NULL", "entity", more=f"{SPOILED},\n{REASON}"))
 def s6(spark, sf):
-    return _reasoned(spark, sf).filter("reason IS NOT NULL").select(F.lit("orders").alias("source"), F.col("input_order").alias("line"), "reason").orderBy("source", "line", "reason")
+    """The rejects as they are written and read back."""
+    path = fresh(spark, "rejects")
+    IO.write_rejects(_reasoned(spark, sf).filter("reason IS NOT NULL").select(F.lit("orders").alias("source"), F.col("input_order").alias("line"), "reason"), path)
+    return spark.read.parquet(path)
 
 
 @register("a8_import_report", twin("""SELECT CASE WHEN input_order % 2 = 0 THEN 'curated' ELSE 'bulk' END AS source, coalesce(reason, 'accepted') AS reason, count(*) AS n
@@ -186,10 +192,14 @@ def w9(spark, sf):
     return M.order_gaps(bind(spark, sf, "claim").filter("ord <> 2"), ["seed_id"], "ord").select("seed_id", "ord", "expected")
 
 
-@register("j7_contemporaries", twin("""SELECT sid, oid, row_number() OVER (PARTITION BY sid ORDER BY o0, oid) AS pos FROM (
+CONTEMPORARIES = """SELECT sid, oid, row_number() OVER (PARTITION BY sid ORDER BY o0, oid) AS pos FROM (
 SELECT sid, oid, o0, row_number() OVER (PARTITION BY sid ORDER BY importance DESC, oid) AS rank FROM (
 SELECT DISTINCT e.seed_id AS sid, o.seed_id AS oid, o.t0 AS o0, o.importance FROM days e JOIN days o ON e.day = o.day
-WHERE e.seed_id <> o.seed_id AND o.t1 >= e.t0 AND o.t0 <= e.t1 AND o.t1 - o.t0 <= 50 * greatest(e.t1 - e.t0, 86400e0)) p) r WHERE rank <= 50""", "entity", more="days AS (SELECT *, unnest(range(CAST(floor(t0 / 1e7) AS BIGINT), CAST(floor(t1 / 1e7) AS BIGINT) + 1)) AS day FROM entity)"))
+WHERE e.seed_id <> o.seed_id AND o.t1 >= e.t0 AND o.t0 <= e.t1 AND o.t1 - o.t0 <= 50 * greatest(e.t1 - e.t0, 86400e0)) p) r WHERE rank <= 50"""
+DAYS = "days AS (SELECT *, unnest(range(CAST(floor(t0 / 1e7) AS BIGINT), CAST(floor(t1 / 1e7) AS BIGINT) + 1)) AS day FROM entity)"
+
+
+@register("j7_contemporaries", twin(CONTEMPORARIES, "entity", more=DAYS))
 def j7(spark, sf):
     return M.contemporaries(bind(spark, sf, "entity"))
 
@@ -200,23 +210,30 @@ LEFT JOIN (SELECT target, count(*) AS n FROM relationship WHERE type IN {_inlist
 LEFT JOIN (SELECT target, count(*) AS n FROM relationship WHERE type = 'part_of' GROUP BY target) c ON c.target = e.seed_id
 LEFT JOIN (SELECT seed_id, count(DISTINCT property) AS n FROM claim GROUP BY seed_id) p ON p.seed_id = e.seed_id""", "entity", "relationship", "claim"))
 def e4(spark, sf):
-    docs = documents(spark, sf)
+    docs = documents(spark, sf, whole=False)
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
     return docs.select("seed_id", size("rel").alias("n_rel"), size("inverse").alias("n_inverse"), size("children").alias("n_children"), size("properties").alias("n_properties"))
 
 
-def documents(spark, sf):
-    """One self-contained document per entity: relations, inverse edges, children, properties.
+def documents(spark, sf, whole=True):
+    """One self-contained document per entity: relations, inverse edges, children, properties, contemporaries and dated positions.
 
     Every part is grouped by ``seed_id``, so the joins share one partitioning.
     """
     e, r, c = (bind(spark, sf, t) for t in ("entity", "relationship", "claim"))
     bag = lambda df, name, *cols: df.groupBy("seed_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
-    out = bag(M.outgoing(r, e), "rel", "ord", "type", "target", "target_name")
-    back = bag(M.inverse(r), "inverse", "type", "target")
-    kids = bag(M.children(r, e).withColumnRenamed("parent", "seed_id"), "children", "pos", "child")
-    props = bag(M.synthesize(c), "properties", "pos", "property", "low", "high", "claim_count", "unit")
-    for part in (out, back, kids, props):
+    named = e.select(F.col("seed_id").alias("oid"), F.col("name").alias("other"))
+    parts = [
+        bag(M.outgoing(r, e), "rel", "ord", "type", "target", "target_name"),
+        bag(M.inverse(r), "inverse", "type", "target"),
+        bag(M.children(r, e).withColumnRenamed("parent", "seed_id"), "children", "pos", "child"),
+        bag(M.synthesize(c), "properties", "pos", "property", "low", "high", "claim_count", "unit"),
+    ]
+    if whole:
+        met = M.contemporaries(e).join(named, "oid").withColumnRenamed("sid", "seed_id")
+        front = PL.positions(spark, sf).select(F.concat(F.lit("ord-"), F.col("entity").cast("string")).alias("seed_id"), "valid_from", "coords")
+        parts += [bag(met, "contemporaries", "pos", "oid", "other"), bag(front, "geometry", "valid_from", "coords")]
+    for part in parts:
         e = e.join(part, "seed_id", "left")
     return e
 
@@ -227,6 +244,30 @@ def e4_documents(spark, sf):
     return d.select(F.concat(F.lit("entities/"), "seed_id", F.lit(".json")).alias("key"), F.to_json(F.struct(*d.columns)).alias("body"))
 
 
+_PARTS = f"""SELECT e.seed_id, 'rel' AS part, r.ord AS pos, r.type || '>' || r.target AS ref FROM relationship r JOIN entity e ON e.seed_id = r.seed_id
+UNION ALL SELECT target, 'inverse', row_number() OVER (PARTITION BY target ORDER BY label, seed_id) - 1, label || '>' || seed_id FROM (SELECT target, seed_id, CASE type {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in V.INVERSE.items())} END AS label FROM relationship WHERE type IN {_inlist(V.INVERSE)}) i
+UNION ALL SELECT target, 'children', row_number() OVER (PARTITION BY target ORDER BY t0, r.seed_id) - 1, r.seed_id FROM relationship r JOIN entity e ON e.seed_id = r.seed_id WHERE r.type = 'part_of'
+UNION ALL SELECT seed_id, 'properties', row_number() OVER (PARTITION BY seed_id ORDER BY first) - 1, property FROM (SELECT seed_id, property, min(ord) AS first FROM claim GROUP BY seed_id, property) p
+UNION ALL SELECT sid, 'contemporaries', pos - 1, oid FROM ({CONTEMPORARIES}) c
+UNION ALL SELECT 'ord-' || entity, 'geometry', k - 1, CAST(CAST(valid_from AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(x AS BIGINT) AS VARCHAR) FROM seg JOIN entity ON seed_id = 'ord-' || entity"""
+
+
+@register("e4_document_parts", twin(_PARTS, "entity", "relationship", "claim", more=f"{DAYS},\n{PL._POS}"))
+def e4_parts(spark, sf):
+    """The documents as JSON, read back and taken apart."""
+    read = F.from_json("body", "seed_id string, rel array<struct<type:string,target:string>>, inverse array<struct<type:string,target:string>>, children array<struct<child:string>>, properties array<struct<property:string>>, contemporaries array<struct<oid:string>>, geometry array<struct<valid_from:double,coords:array<struct<lon:double>>>>")
+    d = e4_documents(spark, sf).select(read.alias("d")).select("d.*")
+    link = lambda x: F.concat_ws(">", x["type"], x["target"])
+    at = lambda x: F.concat_ws(":", x["valid_from"].cast("bigint").cast("string"), x["coords"][0]["lon"].cast("bigint").cast("string"))
+    refs = {"rel": link, "inverse": link, "children": lambda x: x["child"], "properties": lambda x: x["property"], "contemporaries": lambda x: x["oid"], "geometry": at}
+
+    def named(part, ref):
+        return F.transform(F.coalesce(part, F.array()), lambda x, i: F.struct(F.lit(part).alias("part"), i.alias("pos"), ref(x).alias("ref")))
+
+    each = F.flatten(F.array(*(named(part, ref) for part, ref in refs.items())))
+    return d.select("seed_id", F.explode(each).alias("x")).select("seed_id", "x.part", "x.pos", "x.ref")
+
+
 _TOK = "tok AS (SELECT slug, importance, unnest(string_split(slug, '-')) AS token FROM slugged WHERE slug IS NOT NULL)"
 
 

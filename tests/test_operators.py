@@ -1,5 +1,7 @@
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +12,11 @@ from deeptime.operators import dating as D
 from deeptime.operators import layers as L
 from deeptime.operators import model as M
 from deeptime.operators import zoom as Z
+from deeptime import catalog
+from deeptime.plans import layers as PL
+from deeptime.plans import zoom as PZ
 from deeptime.sources import dump as S
+from deeptime.sources import model_io as IO
 from deeptime.sources import records as R
 
 
@@ -169,3 +175,133 @@ def test_fronts_between_dates(spark, t, lon, held):
     p = spark.createDataFrame([("w", 0.0, [(0.0, 0.0)]), ("w", 100.0, [(10.0, 0.0)])], "entity string, valid_from double, coords array<struct<lon:double,lat:double>>")
     r = L.front_at(p, spark.createDataFrame([(t,)], "t double")).first()
     assert (r.coords[0].lon, r.held) == (lon, held)
+
+
+def test_chunks_equal_the_plain_walk(spark):
+    """The whole chunk job at the smallest scale, from buckets to runs."""
+    import hashlib
+
+    sf = "/root/testdata/sf0.001"
+    got = {(r.bucket, r.category, r.run_start): (r.run_end, r.n_items, r.body, r.key) for r in catalog.queries()["e3_chunks"](spark, sf).collect()}
+    cells = {}
+    for e in PZ._bucketed(spark, sf).collect():
+        cats = sorted({c for c in (e.cat0, e.cat1) if c})
+        for b in range(e.bucket_min, e.bucket_max + 1):
+            size = V.WINDOW_S[b]
+            for w in range(math.floor(e.t0 / size), math.floor(e.t1 / size) + 1) if size else [0]:
+                for c in [*cats, "all"]:
+                    cells.setdefault((b, c), {}).setdefault(w, []).append((-e.importance, e.slug, cats))
+    want = {}
+    for (b, c), windows in cells.items():
+        bodies = {}
+        for w, items in windows.items():
+            used, taken = {}, []
+            for _, slug, cats in sorted(items):
+                if len(taken) < V.CHUNK_CAP and (c != "all" or any(used.get(k, 0) < V.CATEGORY_CAP for k in cats)):
+                    taken.append(slug)
+                    for k in cats:
+                        used[k] = used.get(k, 0) + 1
+            bodies[w] = len(taken), hashlib.sha256("\n".join(taken).encode()).hexdigest()
+        start = None
+        for w in sorted(bodies):
+            if start is None or w - 1 not in bodies or bodies[w - 1] != bodies[w]:
+                start = w
+            want[b, c, start] = (w, *bodies[w], f"chunks/T{b}/{start}/world/{c}.json")
+    assert got == want
+
+
+def test_runs_over_block_edges(spark, monkeypatch):
+    monkeypatch.setattr(Z, "BLOCK", 8)
+    rows = [(1, w, "war", 1, "a" if -20 < w < 25 else "b") for w in range(-50, 60) if w not in (3, 40)] + [(1, w, "life", 1, str(w // 3)) for w in range(-9, 30)]
+    runs = Z.window_runs(spark.createDataFrame(rows, "bucket int, win long, category string, n_items long, body string")).collect()
+    assert sorted((r.category, r.run_start, r.run_end) for r in runs if r.category == "war") == [("war", -50, -20), ("war", -19, 2), ("war", 4, 24), ("war", 25, 39), ("war", 41, 59)]
+    assert sorted((r.run_start, r.run_end) for r in runs if r.category == "life") == [(3 * k, 3 * k + 2) for k in range(-3, 10)]
+    assert Z.run_violations(spark.createDataFrame(runs)).count() == 0
+    odd = spark.createDataFrame([(1, "war", 7, 9), (1, "war", 9, 9), (1, "war", 30, 29), (1, "war", 33, 2**60), (1, "war", 200, 201)], "bucket int, category string, run_start long, run_end long")
+    assert sorted((r.run_start, r.violation) for r in Z.run_violations(odd).collect()) == [(9, "overlap"), (30, "reversed"), (33, "unsafe"), (200, "overlap")]
+
+
+def test_contemporaries_in_deep_time(spark):
+    rows = [("sun", -1.4e17, 1.6e17, 0.9), ("end", 2e18, 3e18, 0.8), ("late", 2.5e18, 2.6e18, 0.7), ("far", 1e30, 2e30, 0.6), ("moment", 1.5e30, 1.5e30, 0.5), ("now", 0.0, 10.0, 0.4), ("day", -5.0, 5.0, 0.3)]
+    got = {}
+    for r in M.contemporaries(spark.createDataFrame(rows, "seed_id string, t0 double, t1 double, importance double")).collect():
+        got.setdefault(r.sid, set()).add(r.oid)
+    for i, a0, a1, _ in rows:
+        span = max(a1 - a0, 86400.0)
+        assert got.get(i, set()) == {j for j, b0, b1, _ in rows if j != i and b1 >= a0 and b0 <= a1 and b1 - b0 <= 50 * span}, i
+
+
+def test_table_digest_equals_a_plain_sum(spark):
+    import hashlib
+    import json
+
+    rows = [(1, "a", None), (2, 'q"é', 1.5), (2, 'q"é', 1.5)]
+    df = spark.createDataFrame(rows, "k int, s string, x double")
+    parts = [0, 0, 0, 0]
+    for k, s, x in rows:
+        h = hashlib.sha256(json.dumps({"k": k, "s": s, "x": x}, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+        for i in range(4):
+            parts[i] += int(h[15 * i : 15 * i + 15], 16)
+    want = hashlib.sha256(",".join(map(str, [len(rows), *parts])).encode()).hexdigest()
+    assert {tuple(IO.table_digest(d).first()) for d in (df, df.repartition(3), df.orderBy("s"))} == {(3, want)}
+
+
+def test_ring_repair(spark):
+    square = [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)]
+    bow = [(0, 0), (4, 0), (4, 4), (1, -1), (0, 0)]  # the last sides cross the first
+    eight = [(0, 0), (2, 2), (8, 2), (8, 8), (2, 8), (2, 2), (0, 1), (0, 0)]  # a small loop hangs on a corner
+    rows = [(1, square, True), (2, square[::-1], True), (3, square, False), (4, bow, True), (5, eight, True), (6, [(0, 0), (0.01, 0), (0, 0.01), (0, 0)], True), (7, [(0, 0), (1, 1)], True), (8, [(0, 0), (2, 0.0001), (4, 0), (4, 4), (0, 4), (0, 0)], True)]
+    frame = spark.createDataFrame([(k, [{"lon": float(x), "lat": float(y)} for x, y in r], e) for k, r, e in rows], "ring_id long, ring array<struct<lon:double,lat:double>>, exterior boolean")
+    out = L.simplify(frame, 0.1)
+    got = {r.ring_id: None if r.dropped else [(p.lon, p.lat) for p in r.ring] for r in out.collect()}
+    area = lambda c: sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(c, c[1:])) / 2
+    assert got[6] is None and got[7] is None
+    assert area(got[1]) == area(got[2]) == 16 and area(got[3]) == -16 and len(got[8]) == 5
+    assert area(got[5]) == 36 and L._pinch(np.array(got[5])) is None
+    assert L._crossing(np.array(got[4])) is None and area(got[4]) > 0
+    assert L.crossings(out.filter("NOT dropped")).count() == 0
+
+
+def test_budget_ladder_over_real_simplification(spark):
+    got = {r.slice: r.step for r in catalog.queries()["g3_budget_ladder"](spark, "/root/testdata/sf0.001").collect()}
+    sizes = {}
+    for r in PL._stars(spark, "/root/testdata/sf0.001").collect():
+        ring = np.array([(p.lon, p.lat) for p in r.ring])
+        for step, tolerance in enumerate(PL._LADDER):
+            c = L.simplified(ring, tolerance)
+            n = len(json_text(c)) if c is not None else 0
+            sizes[r.ring_id % 20, step] = sizes.get((r.ring_id % 20, step), 0) + n
+    last = len(PL._LADDER) - 1
+    assert got == {s: min([k for k in range(last + 1) if sizes[s, k] <= 4000], default=last) for s, _ in sizes}
+    assert len(set(got.values())) > 1
+
+
+def json_text(ring):
+    number = lambda x: repr(float(x)) if abs(x) >= 1e-3 or x == 0 else f"{x:.1E}".replace("E-0", "E-")
+    return "[" + ",".join(f'{{"lon":{number(x)},"lat":{number(y)}}}' for x, y in ring) + "]"
+
+
+def test_lines_are_numbered_over_blocks(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("".join(f"line {i}\n" for i in range(500)))
+    (tmp_path / "b.txt").write_text("only\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = R.numbered_lines(spark, f"file://{tmp_path}").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted((r.line, r.value) for r in rows if r.file == "a.txt") == [(i + 1, f"line {i}") for i in range(500)]
+    assert [(r.line, r.value) for r in rows if r.file == "b.txt"] == [(1, "only")]
+
+
+def test_hue_counts_utf16_units(spark):
+    def plain(name):
+        h, data = 2166136261, name.encode("utf-16-be")
+        for k in range(0, len(data), 2):
+            h = ((h ^ int.from_bytes(data[k : k + 2], "big")) * 16777619) % 2**32
+        return h % 360
+
+    names = ["", "France", "Åland", "漢", "a😀b"]
+    rows = spark.createDataFrame([(n,) for n in names], "name string").select("name", X.hue(F.col("name")).alias("hue")).collect()
+    assert {r.name: r.hue for r in rows} == {n: plain(n) for n in names}
