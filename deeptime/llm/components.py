@@ -15,18 +15,13 @@ from pyspark.sql import functions as F
 from deeptime.llm.common import stored
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-
-
 def components(edges: DataFrame) -> DataFrame:
     """``(node, label)`` for every node of ``edges(u, v)`` that isn't its component's smallest.
 
     The label is the component's smallest node. Loops and repeated edges do no harm.
     """
     edge = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = _state(edge)
-    while before[0]:
+    while not edge.isEmpty():
         both = edge.unionByName(edge.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         # larger neighbours go to the smallest neighbour
@@ -35,8 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edge = stored(small.select("e.u", "e.v").filter("u <> v").distinct(), "edges")
-        after = _state(edge)
-        if after == before:
+        # done when only stars are left: no node has two centres or is both a leaf and a centre
+        leaves = edge.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+        if leaves.filter("n > 1").isEmpty() and edge.join(leaves.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
-        before = after
     return edge.select(F.col("u").alias("node"), F.col("v").alias("label"))
