@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deeptime.llm import chat_format, decontaminate, exact_dedup, language_id, merkle, packing, sanitise, simhash, toxicity, url_filters, warc
+from deeptime.llm import chat_format, decontaminate, exact_dedup, language_id, merkle, packing, sanitise, simhash, token_alignment, toxicity, url_filters, warc
 from deeptime.llm.common import table
 
 
@@ -58,12 +58,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.count_links(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(table(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_packing, op2_language_id, op3_warc, op4_chat_formatting, op5_pii, op6_simhash, op7_exact_dedup, op8_url_filters, op9_toxicity, op10_decontaminate, op13_merkle)}
+    return {f.__name__: f for f in (op1_packing, op2_language_id, op3_warc, op4_chat_formatting, op5_pii, op6_simhash, op7_exact_dedup, op8_url_filters, op9_toxicity, op10_decontaminate, op12_token_alignment, op13_merkle)}
 
 
 def oracle_sql():
