@@ -51,13 +51,33 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, stem: int = 0) -> tuple[n
     The hash is a polynomial over the word's bytes, taken from running sums, then
     mixed; it depends on nothing but the word. With ``stem``, the hash of each
     word's first ``stem`` bytes is a third result.
+
+    Some fifty bytes are held for each byte of text, so what is longer than
+    ``SLICE_BYTES`` is cut at white space; a single word is expanded whole.
     """
-    n = len(data)
+    n, at, parts = len(data), 0, []
+    while n - at > SLICE_BYTES:
+        gap = np.flatnonzero(_SPACE[data[at : at + SLICE_BYTES]])
+        if len(gap):
+            cut = at + int(gap[-1]) + 1
+        else:
+            cut = at + SLICE_BYTES
+            while cut < n and not _SPACE[data[cut]]:
+                cut += 1
+        parts.append(_hashes(data, offsets, at, cut, stem))
+        at = cut
+    parts.append(_hashes(data, offsets, at, n, stem))
+    return tuple(map(np.concatenate, zip(*parts, strict=True))) if len(parts) > 1 else parts[0]
+
+
+def _hashes(data: np.ndarray, offsets: np.ndarray, at: int, to: int, stem: int) -> tuple[np.ndarray, ...]:
+    """``word_hashes`` of the bytes from ``at`` to ``to``, which do not cut a word."""
+    data, n = data[at:to], to - at
     if not n:
         return (np.zeros(0, np.int64), np.zeros(0, np.uint64)) + (np.zeros(0, np.uint64),) * (stem > 0)
     inside = ~_SPACE[data]
     edge = np.zeros(n + 1, bool)
-    edge[offsets] = True
+    edge[offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, to, "right")] - at] = True
     start = np.flatnonzero(inside & (edge[:-1] | ~np.concatenate(([False], inside[:-1]))))
     end = np.flatnonzero(inside & (edge[1:] | ~np.concatenate((inside[1:], [False])))) + 1
     powers = np.full(n, _P, np.uint64)
@@ -75,5 +95,5 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, stem: int = 0) -> tuple[n
         h *= np.uint64(0xD6E8FEB86659FD93)
         return h ^ (h >> np.uint64(29))
 
-    doc = np.searchsorted(offsets, start, "right") - 1
+    doc = np.searchsorted(offsets, start + at, "right") - 1
     return (doc, mixed(end)) + ((mixed(np.minimum(end, start + stem)),) if stem else ())
