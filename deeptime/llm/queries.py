@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deeptime.llm import chat_format, decontaminate, exact_dedup, language_id, merkle, packing, sanitise, simhash, token_alignment, toxicity, url_filters, warc
+from deeptime.llm import chat_format, decontaminate, exact_dedup, language_id, lsh_forest, merkle, packing, sanitise, simhash, token_alignment, toxicity, url_filters, warc
 from deeptime.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.count_links(table(spark, sf_dir, "documents"))
 
@@ -67,8 +71,8 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_packing, op2_language_id, op3_warc, op4_chat_formatting, op5_pii, op6_simhash, op7_exact_dedup, op8_url_filters, op9_toxicity, op10_decontaminate, op12_token_alignment, op13_merkle)}
+    return {f.__name__: f for f in (op1_packing, op2_language_id, op3_warc, op4_chat_formatting, op5_pii, op6_simhash, op7_exact_dedup, op8_url_filters, op9_toxicity, op10_decontaminate, op11_lsh_forest, op12_token_alignment, op13_merkle)}
 
 
 def oracle_sql():
-    return {"op3_warc": warc.SQL, "op4_chat_formatting": chat_format.SQL, "op7_exact_dedup": exact_dedup.SQL, "op8_url_filters": url_filters.SQL, "op10_decontaminate": decontaminate.SQL, "op13_merkle": merkle.SQL}
+    return {"op3_warc": warc.SQL, "op4_chat_formatting": chat_format.SQL, "op7_exact_dedup": exact_dedup.SQL, "op8_url_filters": url_filters.SQL, "op10_decontaminate": decontaminate.SQL, "op11_lsh_forest": lsh_forest.SQL, "op13_merkle": merkle.SQL}
