@@ -106,12 +106,12 @@ def chunk_bodies(ranked: DataFrame) -> DataFrame:
 BLOCK = 4096
 
 
-def _islands(rows: DataFrame, group: list[str]) -> DataFrame:
-    """Runs of adjoining ``(run_start, run_end)`` with equal bodies within each group."""
+def join_runs(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Runs of adjoining ``(run_start, run_end)`` with equal bodies within each group; other columns are those of one of the joined rows."""
     w = Window.partitionBy(*group).orderBy("run_start")
     starts = (F.lag("run_end").over(w) + 1 != F.col("run_start")) | (F.lag("body").over(w) != F.col("body"))
     run = rows.withColumn("_new", F.coalesce(starts.cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(w))
-    return run.groupBy(*group, "_run").agg(F.min("run_start").alias("run_start"), F.max("run_end").alias("run_end"), F.min("n_items").alias("n_items"), F.min("body").alias("body")).drop("_run")
+    return run.groupBy(*group, "_run").agg(F.min("run_start").alias("run_start"), F.max("run_end").alias("run_end"), *(F.first(c).alias(c) for c in rows.columns if c not in (*group, "run_start", "run_end"))).drop("_run")
 
 
 def window_runs(bodies: DataFrame) -> DataFrame:
@@ -123,9 +123,9 @@ def window_runs(bodies: DataFrame) -> DataFrame:
     """
     block = F.floor(F.col("run_start") / BLOCK)
     lines = bodies.select("bucket", "category", F.col("win").alias("run_start"), F.col("win").alias("run_end"), "n_items", "body")
-    parts = written(_islands(lines.withColumn("_block", block), ["bucket", "category", "_block"]), "run-parts")
+    parts = written(join_runs(lines.withColumn("_block", block), ["bucket", "category", "_block"]), "run-parts")
     edge = (F.col("run_start") == F.col("_block") * BLOCK) | (F.col("run_end") == (F.col("_block") + 1) * BLOCK - 1)
-    return parts.filter(~edge).drop("_block").unionByName(_islands(parts.filter(edge).drop("_block"), ["bucket", "category"]).select("bucket", "category", "run_start", "run_end", "n_items", "body"))
+    return parts.filter(~edge).drop("_block").unionByName(join_runs(parts.filter(edge).drop("_block"), ["bucket", "category"]).select("bucket", "category", "run_start", "run_end", "n_items", "body"))
 
 
 def run_violations(runs: DataFrame) -> DataFrame:

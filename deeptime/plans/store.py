@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from deeptime.catalog import register
 from deeptime.fixtures import bind, twin
 from deeptime.operators import model as M
+from deeptime.operators import sweep as SW
+from deeptime.operators import viewport as VP
 from deeptime.operators import zoom as Z
 from deeptime.plans import zoom as PZ
 from deeptime.sources import model_io as IO
@@ -167,26 +169,36 @@ def s5(spark, sf):
     return IO.model_faults(**m)
 
 
-def _chunk_documents(spark, sf):
-    ranked = PZ._topical(spark, sf)
-    body = F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("rank", "slug"))).alias("items")))
-    g = ranked.groupBy(*Z.CELL).agg(body.alias("body"), F.count(F.lit(1)).alias("n_items"))
-    key = F.concat(F.lit("chunks/T"), F.col("bucket").cast("string"), F.lit("/"), F.col("win").cast("string"), F.lit("/world/"), F.col("category"), F.lit(".json"))
-    return g.select(key.alias("key"), "body", "n_items")
+_CELLS = f"{PZ.BUCKETED},\n{PZ.SHOWN},\n{PZ.RANKED}"
+_BODY = """'{"items":[' || string_agg('{"rank":' || rank || ',"slug":"' || slug || '"}', ',' ORDER BY rank) || ']}'"""
 
 
-_CELLS = f"{PZ.BUCKETED},\n{PZ.SHOWN},\n{PZ.RANKED}"
+def _chunk_documents(spark, sf):
+    """``key, body, category`` of the chunk documents: one for each run of windows with equal items."""
+    runs = SW.chunk_runs(PZ._with_categories(spark, sf), F.col("cats"), items=True)
+    item = lambda slug, k: F.struct((k + 1).alias("rank"), slug.alias("slug"))
+    body = F.to_json(F.struct(F.transform("items", item).alias("items")))
+    return runs.select(VP.chunk_keys(runs).alias("key"), body.alias("body"), "category", "run_start", "run_end")
 
 
-_BODY = """'{"items":[' || string_agg('{"rank":' || rank || ',"slug":"' || slug || '"}', ',' ORDER BY rank) || ']}'"""
+def _published_chunks(spark, sf, kind):
+    """All chunk documents are published and read back; the digests of those of one kind."""
+    root, documents = _fresh(spark, "chunks"), written(_chunk_documents(spark, sf), "chunk-documents")
+    IO.publish(documents.select("key", "body"), root)
+    return IO.published(spark, root).join(documents.filter(kind).select("key"), "key", "left_semi").select("key", F.sha2(F.col("body").cast("binary"), 256).alias("sha256"))
 
 
-@register("s9_chunk_documents", twin(f"SELECT 'chunks/T' || bucket || '/' || win || '/world/' || category || '.json' AS key, sha256({_BODY}) AS sha256 FROM ranked GROUP BY bucket, win, category", "entity", more=_CELLS))
+@register("s9_chunk_documents", twin(f"""SELECT 'chunks/T' || bucket || '/' || run_start || '/world/' || category || '.json' AS key, sha256(text) AS sha256
+FROM runs JOIN (SELECT bucket, win, category, {_BODY} AS text FROM ranked GROUP BY bucket, win, category) t USING (bucket, category) WHERE win = run_start""", "entity", more=f"{_CELLS},\n{PZ.BODY},\n{PZ.RUNS}"))
 def s9(spark, sf):
-    """The chunk documents are published, read back and compared by content."""
-    root = _fresh(spark, "chunks")
-    IO.publish(_chunk_documents(spark, sf).select("key", "body"), root)
-    return IO.published(spark, root).select("key", F.sha2(F.col("body").cast("binary"), 256).alias("sha256"))
+    """The documents at run starts, of all categories but ``all``."""
+    return _published_chunks(spark, sf, F.col("category") != "all")
+
+
+@register("s9_all_documents")
+def s9_all(spark, sf):
+    """The documents of ``all``, whose walk has no portable SQL."""
+    return _published_chunks(spark, sf, F.col("category") == "all")
 
 
 _OLD = "SELECT 'c/' || c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN 'old' ELSE c_name END AS body FROM customer WHERE c_custkey % 5 <> 0"

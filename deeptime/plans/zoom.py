@@ -8,6 +8,7 @@ from deeptime.catalog import register
 from deeptime.fixtures import bind, twin
 from deeptime.functions import time as T
 from deeptime.functions import vocab as V
+from deeptime.operators import sweep as SW
 from deeptime.operators import viewport as VP
 from deeptime.operators import zoom as Z
 from deeptime.sources.scratch import written
@@ -51,8 +52,12 @@ def _topical(spark, sf):
     return Z.rank_cells(Z.topical_cells(_bucketed(spark, sf), _cats(), ["slug", "importance"]))
 
 
+def _with_categories(spark, sf):
+    return _bucketed(spark, sf).withColumn("cats", _cats())
+
+
 def _runs(spark, sf):
-    return Z.window_runs(Z.chunk_bodies(_topical(spark, sf)))
+    return SW.chunk_runs(_with_categories(spark, sf), F.col("cats"), guarded=False)
 
 
 @register("e1_bucketize", twin("SELECT input_order, bucket_min, bucket_max FROM bucketed", "entity", more=BUCKETED))
@@ -88,11 +93,8 @@ def w4(spark, sf):
 
 @register("e3_chunks")
 def e3(spark, sf):
-    """The whole chunk job: topical cells by rank, the ``all`` cells with the diversity guard, runs, keys."""
-    bucketed = written(_bucketed(spark, sf).withColumn("cats", _cats()).select("slug", "importance", "cats", "t0", "t1", "bucket_min", "bucket_max"), "bucketed")
-    topical = Z.rank_cells(Z.topical_cells(bucketed, F.col("cats"), ["slug", "importance"])).select(*Z.CELL, "slug", "rank")
-    every = Z.diverse_top(Z.all_cells(bucketed, ["slug", "importance", "cats"]), F.col("cats")).select(*Z.CELL, "slug", "rank")
-    runs = Z.window_runs(Z.chunk_bodies(topical.unionByName(every)))
+    """The whole chunk job: topical cells by rank, the ``all`` cells with the diversity guard, runs by change points, keys."""
+    runs = SW.chunk_runs(_with_categories(spark, sf), F.col("cats"))
     return runs.select(VP.chunk_keys(runs).alias("key"), "bucket", "category", "run_start", "run_end", "n_items", "body")
 
 
