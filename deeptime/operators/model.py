@@ -146,46 +146,83 @@ def order_gaps(rows: DataFrame, parent: list[str], order: str) -> DataFrame:
     return rows.withColumn("expected", F.row_number().over(w) - 1).filter(F.col(order) != F.col("expected"))
 
 
-def contemporaries(entities: DataFrame, top: int = 50, tiers: tuple = (0.98, 0.9)) -> DataFrame:
+#: Candidates of a bin that are read in each round; in the last round all that are left.
+READ = (64, 512, 4096)
+#: Levels above a subject's own at which candidates up to 50 times as long may lie.
+LONGER = 7
+
+
+def _level() -> Column:
+    """Least power of two that is as long as a span ``a`` to ``b``; far from the epoch at least so long that bins have whole numbers."""
+    far = F.ceil(F.log2(F.greatest(F.abs("a"), F.abs("b"), F.lit(1.0)))) - 52
+    return F.greatest(F.ceil(F.log2(F.greatest(F.col("b") - F.col("a"), F.lit(86400.0)))), far).cast("int")
+
+
+def _bins(rows: DataFrame) -> DataFrame:
+    """``rows(level, a, b)`` in the bins of their level that they touch, two at most where the level is their own or higher."""
+    place = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level")))
+    return rows.withColumn("first", place("a")).withColumn("bin", F.explode(F.sequence("first", place("b"))))
+
+
+def bin_index(candidates: DataFrame, levels: list[int]) -> DataFrame:
+    """``level, own, bin, ...`` entries of candidates ``(oid, a, b, importance)``.
+
+    A candidate is entered at its own level (``own``), and at each of ``levels`` that is no
+    lower than that (not ``own``): there a bin holds everything that is not longer than it.
+    """
+    c = candidates.withColumn("_level", _level()).withColumn("neg", -F.col("importance"))
+    above = F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda x: x >= F.col("_level"))
+    at = F.concat(F.transform(above, lambda x: F.struct(x.alias("level"), F.lit(False).alias("own"))), F.array(F.struct(F.col("_level").alias("level"), F.lit(True).alias("own"))))
+    return _bins(c.withColumn("_at", F.explode(at)).select("oid", "a", "b", "neg", "_at.level", "_at.own"))
+
+
+def contemporaries(entities: DataFrame, top: int = 50, read: tuple = READ) -> DataFrame:
     """The ``top`` most important entities that overlap each entity and are not far longer.
 
-    A level-binned range join: a subject of span S looks into windows of the
-    least power of two not below S, where it touches two at most; a candidate is
-    entered for each level into the windows that it touches. A pair counts in
-    the later of the two start windows only. Candidates go in tiers of
-    importance: a subject that has enough from the higher tiers is not joined
-    with the lower ones. Deep time is windowed like any other.
+    A threshold search over bins. A subject meets two bins at its own level, which hold
+    what is not longer, and two at each level above, which hold what is of just that
+    length. Bins give their candidates by importance: first ``read[0]`` of each, then, to subjects that are still
+    open, more. A subject is done when its last place beats the next unread candidate of
+    all its bins, so the pairs of a round are ``2 * (1 + LONGER)`` times ``read`` for a subject at most,
+    and only subjects that overlap few of their bins' candidates read on. A pair counts in the
+    later of the two first bins only. Deep time is binned like any other.
     """
-    least, most = 86400.0, 2.0**62
-    rows = written(entities.select("seed_id", "t0", "t1", "importance"), "spans")
-    span = F.greatest(F.col("t1") - F.col("t0"), F.lit(least))
-    # far from the epoch windows are at least so long that their numbers stay whole numbers
-    far = F.ceil(F.log2(F.greatest(F.abs("t0"), F.abs("t1"), F.lit(1.0)))) - 52
-    level = F.greatest(F.ceil(F.log2(span)), far).cast("int")
-    subjects = written(rows.select(F.col("seed_id").alias("sid"), F.col("t0").alias("s0"), F.col("t1").alias("s1"), level.alias("level"), span.alias("span")), "subjects")
-    levels = [r.level for r in subjects.select("level").distinct().orderBy("level").collect()]  # at most about 1000, by the range of doubles
-    width = lambda: F.pow(F.lit(2.0), F.col("level"))
-    subject_bins = lambda s: s.withColumn("bin", F.explode(F.sequence(F.floor(F.col("s0") / width()), F.floor(F.col("s1") / width()))))
-    cuts = [c for c in rows.agg(F.percentile_approx("importance", list(tiers), 1000).alias("q")).first().q or []]
-    bounds = [float("inf"), *sorted(set(cuts), reverse=True), float("-inf")]
-    rank = Window.partitionBy("sid").orderBy(F.desc("importance"), "oid")
-    done, open_ids = None, subjects
-    for high, low in zip(bounds, bounds[1:]):
-        tier = rows.filter((F.col("importance") < high) & (F.col("importance") >= low)).select(F.col("seed_id").alias("oid"), F.col("t0").alias("o0"), F.col("t1").alias("o1"), "importance")
-        entered = tier.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
-        entered = entered.filter((F.col("o1") - F.col("o0") <= 50 * width()) & (F.greatest(F.abs("o0"), F.abs("o1")) < most * width()))
-        entered = entered.withColumn("bin", F.explode(F.sequence(F.floor(F.col("o0") / width()), F.floor(F.col("o1") / width()))))
-        hit = (
-            (F.col("o1") >= F.col("s0")) & (F.col("o0") <= F.col("s1")) & (F.col("oid") != F.col("sid")) & (F.col("o1") - F.col("o0") <= 50 * F.col("span"))
-            & (F.col("bin") == F.greatest(F.floor(F.col("s0") / width()), F.floor(F.col("o0") / width())))
-        )
-        found = subject_bins(open_ids).join(entered, ["level", "bin"]).filter(hit).select("sid", "oid", "importance", "o0")
-        got = found if done is None else done.unionByName(found)
-        # each tier is written, so the next starts from files and not from the plans of all before it
-        done = written(got.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= top).drop("rank"), "contemporaries")
-        if low > float("-inf"):
-            full = done.groupBy("sid").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= top).select("sid")
-            open_ids = written(subjects.join(full, "sid", "left_anti"), "open-subjects")
+    rows = written(entities.select("seed_id", F.col("t0").alias("a"), F.col("t1").alias("b"), "importance").withColumn("level", _level()), "spans")
+    levels = [r.level for r in rows.select("level").distinct().orderBy("level").collect()]  # at most about 1000, by the range of doubles
+    key = ["level", "own", "bin"]
+    index = written(bin_index(rows.select(F.col("seed_id").alias("oid"), "a", "b", "importance"), levels), "bin-index")
+    span = F.greatest(F.col("b") - F.col("a"), F.lit(86400.0))
+    above = F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda x: (x > F.col("level")) & (x <= F.col("level") + LONGER))
+    at = F.concat(F.array(F.struct(F.col("level"), F.lit(False).alias("own"))), F.transform(above, lambda x: F.struct(x.alias("level"), F.lit(True).alias("own"))))
+    subject = rows.withColumn("_at", F.explode(at)).select(F.col("seed_id").alias("sid"), "a", "b", span.alias("span"), "_at.level", "_at.own")
+    left = written(_bins(subject).withColumnsRenamed({"a": "s0", "b": "s1", "first": "s_first"}), "subject-bins")
+    by_bin = Window.partitionBy(*key).orderBy("neg", "oid")
+    by_subject = Window.partitionBy("sid").orderBy("neg", "oid")
+    hit = (F.col("b") >= F.col("s0")) & (F.col("a") <= F.col("s1")) & (F.col("oid") != F.col("sid")) & (F.col("b") - F.col("a") <= 50 * F.col("span")) & (F.col("bin") == F.greatest("s_first", "first"))
+    done = None
+    for size in (*read, None):
+        entries = index
+        if done is not None:
+            entries = index.join(left.select(*key).distinct(), key, "left_semi")
+        if size is not None:
+            entries = written(entries.withColumn("rank", F.row_number().over(by_bin)).filter(F.col("rank") <= size + 1), "bin-read")
+        seen = entries if size is None else entries.filter(F.col("rank") <= size)
+        pairs = left.join(seen, key).filter(hit).select("sid", "oid", "neg", F.col("a").alias("o0"))
+        found = pairs.withColumn("rank", F.row_number().over(by_subject)).filter(F.col("rank") <= top).drop("rank")
+        if size is None:
+            done = found if done is None else done.unionByName(found)
+            break
+        found = written(found, "contemporaries")
+        # the next candidate that a subject has not seen, and its last place so far
+        order = F.struct("neg", "oid")
+        ahead = left.join(entries.filter(F.col("rank") == size + 1).select(*key, order.alias("next")), key).groupBy("sid").agg(F.min("next").alias("next"))
+        last = found.groupBy("sid").agg(F.max(order).alias("last"), F.count(F.lit(1)).alias("n"))
+        short = written(ahead.join(last, "sid", "left").filter(F.coalesce((F.col("n") < top) | (F.col("last") > F.col("next")), F.lit(True))).select("sid"), "open-subjects")
+        settled = found.join(short, "sid", "left_anti")
+        done = settled if done is None else done.unionByName(settled)
+        if short.isEmpty():
+            break
+        left = written(left.join(short, "sid", "left_semi"), "subject-bins")
     return done.select("sid", "oid", F.row_number().over(Window.partitionBy("sid").orderBy("o0", "oid")).alias("pos"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -72,42 +74,54 @@ def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-POINTER = "seq long, version long, release string"
-INDEX = "key string, md5 string, version long"
+POINTER = "seq long, version string, release string"
+INDEX = "key string, md5 string, version string"
+#: Versions whose documents a release may still refer to; beyond, all documents are written anew.
+MOST_VERSIONS = 8
 
 
 def pointer(spark: SparkSession, root: str):
     """The current ``(seq, version, release)`` of what is published under ``root``; None before the first."""
-    return _table(spark, f"{root}/pointer", POINTER).orderBy(F.desc("seq")).first()
+    return _table(spark, f"{root}/pointer", POINTER).orderBy(F.desc("seq"), "version").first()
 
 
-def _point(spark: SparkSession, root: str, seq: int, version: int, release: str) -> None:
+def _point(spark: SparkSession, root: str, seq: int, version: str, release: str) -> None:
+    """Put a version in force. Of two writers that took the same number the one with the smaller version wins."""
     spark.createDataFrame([(seq, version, release)], POINTER).coalesce(1).write.mode("append").parquet(f"{root}/pointer")
+    rival = _table(spark, f"{root}/pointer", POINTER).filter((F.col("seq") == seq) & (F.col("version") < version)).first()
+    if rival is not None:
+        raise RuntimeError(f"release {rival.release} was put in force meanwhile")
 
 
-def index(spark: SparkSession, root: str, version: int | None) -> DataFrame:
+def index(spark: SparkSession, root: str, version: str | None) -> DataFrame:
     """Index ``(key, md5, version)`` of a published version; ``version`` of a row is the one that wrote its body."""
-    return spark.read.schema(INDEX).parquet(f"{root}/index/v{version}") if version is not None else spark.createDataFrame([], INDEX)
+    return spark.read.schema(INDEX).parquet(f"{root}/index/{version}") if version is not None else spark.createDataFrame([], INDEX)
 
 
 def publish(documents: DataFrame, root: str) -> DataFrame:
     """Publish ``documents(key, body)`` under ``root``; returns the stored plan ``(key, status)``.
 
-    What changed is written, then the whole index, and last the pointer to it,
-    so a job that fails before leaves the former release in force. The release's
-    name is a digest of keys and contents: equal documents give the same release.
+    What changed is written, then the whole index, and last the pointer to it.
+    Each attempt has folders of its own, so one that fails before the pointer
+    leaves the former release in force and is in nobody's way. The release's name is
+    a digest of keys and contents: equal documents give the same release. Repeated
+    or null keys are refused.
     """
     spark = documents.sparkSession
-    now = pointer(spark, root)
-    seq, version = (now.seq + 1, _table(spark, f"{root}/pointer", POINTER).agg(F.max("version")).first()[0] + 1) if now else (0, 0)
+    now, version = pointer(spark, root), uuid.uuid4().hex
     before = index(spark, root, now.version if now else None)
     plan = written(publish_plan(documents, before.select("key", "md5")), "publish-plan")
-    documents.join(plan.filter("status = 'written'").select("key"), "key", "left_semi").select("key", "body").write.mode("errorifexists").parquet(f"{root}/documents/v{version}")
-    kept = before.join(plan.filter("status = 'unchanged'").select("key"), "key", "left_semi")
-    fresh = plan.filter("status = 'written'").select("key", F.col("new").alias("md5"), F.lit(version).cast("long").alias("version"))
-    kept.select("key", "md5", "version").unionByName(fresh).write.mode("errorifexists").parquet(f"{root}/index/v{version}")
+    bad = [r.key for r in plan.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR key IS NULL").limit(5).collect()]
+    if bad:
+        raise ValueError(f"repeated or null keys, such as {bad}")
+    kept = before.join(plan.filter("status = 'unchanged'").select("key"), "key", "left_semi").select("key", "md5", "version")
+    crowded = kept.select("version").distinct().limit(MOST_VERSIONS).count() == MOST_VERSIONS
+    mine = plan.filter("status <> 'removed'") if crowded else plan.filter("status = 'written'")
+    documents.join(mine.select("key"), "key", "left_semi").select("key", "body").write.mode("errorifexists").parquet(f"{root}/documents/{version}")
+    fresh = mine.select("key", F.col("new").alias("md5"), F.lit(version).alias("version"))
+    (fresh if crowded else kept.unionByName(fresh)).write.mode("errorifexists").parquet(f"{root}/index/{version}")
     release = table_digest(index(spark, root, version).select("key", "md5")).first().digest
-    _point(spark, root, seq, version, release)
+    _point(spark, root, now.seq + 1 if now else 0, version, release)
     return plan.select("key", "status")
 
 
@@ -115,8 +129,9 @@ def published(spark: SparkSession, root: str) -> DataFrame:
     """``key, body`` of the release in force."""
     rows = index(spark, root, pointer(spark, root).version)
     bodies = None
+    # MOST_VERSIONS at most
     for v in sorted(r.version for r in rows.select("version").distinct().collect()):
-        part = spark.read.schema("key string, body string").parquet(f"{root}/documents/v{v}").withColumn("version", F.lit(v).cast("long"))
+        part = spark.read.schema("key string, body string").parquet(f"{root}/documents/{v}").withColumn("version", F.lit(v))
         bodies = part if bodies is None else bodies.unionByName(part)
     return bodies.join(rows.select("key", "version"), ["key", "version"], "left_semi").select("key", "body") if bodies is not None else spark.createDataFrame([], "key string, body string")
 

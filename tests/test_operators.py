@@ -9,6 +9,7 @@ from deeptime.functions import text as X
 from deeptime.functions import time as T
 from deeptime.functions import vocab as V
 from deeptime.operators import dating as D
+from deeptime.operators import insight as I
 from deeptime.operators import layers as L
 from deeptime.operators import model as M
 from deeptime.operators import zoom as Z
@@ -305,3 +306,28 @@ def test_hue_counts_utf16_units(spark):
     names = ["", "France", "Åland", "漢", "a😀b"]
     rows = spark.createDataFrame([(n,) for n in names], "name string").select("name", X.hue(F.col("name")).alias("hue")).collect()
     assert {r.name: r.hue for r in rows} == {n: plain(n) for n in names}
+
+
+def test_during_equals_the_nested_loop_at_any_length_and_distance(spark):
+    rng = random.Random(8)
+    at = lambda: rng.choice((rng.uniform(-1e9, 1e9), rng.uniform(-4.3e17, 4.3e17), 0.0))
+    span = lambda k, t: (k, t, t + rng.choice((0.0, 1e5, 3e8, 1e13, 5e17)))
+    spans, events = [span(k, at()) for k in range(60)], [span(f"e{k}", at()) for k in range(60)]
+    got = I.during(spark.createDataFrame(spans, "id int, a double, b double"), spark.createDataFrame(events, "seed_id string, t0 double, t1 double"), 31_556_952.0)
+    want = sorted((i, s) for i, a, b in spans for s, t0, t1 in events if t0 <= b and t1 >= a)
+    assert sorted((r.id, r.seed_id) for r in got.collect()) == want
+
+
+def test_threshold_search_reads_on_until_its_last_place_beats_the_bound(spark):
+    rng, day = random.Random(9), 86400.0
+    rows = [(f"x{k:03}", t, t + rng.choice((0, 3, 90, 4000)) * day, rng.randrange(4) / 4) for k in range(150) for t in [rng.uniform(-3000, 3000) * day]]
+    frame = spark.createDataFrame(rows, "seed_id string, t0 double, t1 double, importance double")
+    want = {}
+    for s, a, b, _ in rows:
+        near = [(-i, o) for o, c, d, i in rows if o != s and d >= a and c <= b and d - c <= 50 * max(b - a, day)]
+        want[s] = {o for _, o in sorted(near)[:7]}
+    for read in ((1, 3), (2, 9, 30), (1000,)):
+        got = {}
+        for r in M.contemporaries(frame, top=7, read=read).collect():
+            got.setdefault(r.sid, set()).add(r.oid)
+        assert got == {s: o for s, o in want.items() if o}
