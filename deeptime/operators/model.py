@@ -226,10 +226,6 @@ def contemporaries(entities: DataFrame, top: int = 50, read: tuple = READ) -> Da
     return done.select("sid", "oid", F.row_number().over(Window.partitionBy("sid").orderBy("o0", "oid")).alias("pos"))
 
 
-#: Letters of a token under which a query and an entity meet.
-START = 3
-
-
 def ranked_within(rows: DataFrame, group: str, order: list) -> DataFrame:
     """Adds ``pos``, the row number within its group, by range partitions and their offsets.
 
@@ -248,21 +244,3 @@ def search_index(entities: DataFrame) -> DataFrame:
     tok = entities.select("slug", "importance", F.explode(X.search_tokens(F.col("slug"))).alias("token"))
     rows = tok.withColumn("shard", F.substring("token", 1, 1)).select("shard", "slug", "importance").distinct()
     return ranked_within(rows, "shard", [F.desc("importance"), F.asc("slug")])
-
-
-def prefix_search(entities: DataFrame, queries: DataFrame, top: int = 8) -> DataFrame:
-    """Entities whose name tokens start with every token of a query (``query_id, query``).
-
-    Both sides meet by the first letters of a token (the longest one of the
-    query); what meets is verified for all tokens.
-    """
-    tokens = F.filter(F.split(X.slugify(F.col("query")), "-"), lambda x: F.length(x) >= 2)
-    longest = F.array_max(F.transform("wanted", lambda x: F.struct(F.length(x).alias("size"), x.alias("token"))))["token"]
-    q = queries.select("query_id", tokens.alias("wanted")).filter(F.size("wanted") > 0).withColumn("start", F.substring(longest, 1, START))
-    e = entities.select("slug", "importance", F.split("slug", "-").alias("have"))
-    # an entity is entered once for each distinct beginning of its tokens, long and short ones
-    begins = F.array_distinct(F.flatten(F.transform("have", lambda h: F.transform(F.sequence(F.lit(2), F.lit(START)), lambda n: F.substr(h, F.lit(1), n)))))
-    entered = e.withColumn("start", F.explode(F.filter(begins, lambda b: F.length(b) >= 2)))
-    hit = F.forall("wanted", lambda w: F.exists("have", lambda h: h.startswith(w)))
-    found = entered.join(small(q), "start").filter(hit)
-    return found.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("importance"), "slug"))).filter(F.col("pos") <= top).select("query_id", "pos", "slug")

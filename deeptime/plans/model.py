@@ -13,6 +13,7 @@ from deeptime.functions import vocab as V
 from deeptime.operators import model as M
 from deeptime.plans import layers as PL
 from deeptime.sources import model_io as IO
+from deeptime.sources import search_index as SI
 from deeptime.sources.scratch import fresh
 
 
@@ -283,7 +284,10 @@ _ASK = [(1, "order cust"), (2, "Lot 12"), (3, "customer 77 of"), (4, "zzz"), (5,
 SELECT query_id, slug, importance, n FROM (SELECT query_id, w, count(*) OVER (PARTITION BY query_id) AS n FROM ask) a JOIN (SELECT DISTINCT slug, importance, token FROM tok) t ON starts_with(token, w)
 GROUP BY query_id, slug, importance, n HAVING count(DISTINCT w) = n) y) z WHERE pos <= 8""", "entity", more=SLUGS + ",\n" + _TOK + ",\nask(query_id, w) AS (VALUES (1, 'order'), (1, 'cust'), (2, 'lot'), (2, '12'), (3, 'customer'), (3, '77'), (3, 'of'), (4, 'zzz'), (5, '13'))"))
 def t3(spark, sf):
-    return M.prefix_search(M.assign_slugs(bind(spark, sf, "entity")).filter("slug IS NOT NULL"), spark.createDataFrame(_ASK, "query_id int, query string"))
+    """The index is written, then searched."""
+    path = fresh(spark, "search-index")
+    SI.write(M.assign_slugs(bind(spark, sf, "entity")).filter("slug IS NOT NULL"), path)
+    return SI.search(spark, path, spark.createDataFrame(_ASK, "query_id int, query string"))
 
 
 _PLAIN = reduce(lambda s, k: f"replace({s}, '{k[0]}', '{k[1]}')", X.LIGATURES.items(), "word")
