@@ -7,10 +7,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deeptime.functions import text as X
-from deeptime.sources.scratch import small
+from deeptime.sources.scratch import small, written
 
 #: Side of a grid cell in degrees.
 CELL = 10.0
+#: Power of two of the least cell for sides: about a hundredth of a metre.
+LEAST_SIDE = -23
+#: Pairs of sides that are tested at once.
+PAIRS = 1 << 20
 
 
 def tile(starts: DataFrame, last: int) -> DataFrame:
@@ -140,20 +144,29 @@ def ring_fault(ring: Column, exterior: Column) -> Column:
 
 
 def crossings(rings: DataFrame) -> DataFrame:
-    """Number of proper crossings between segments of each ring.
+    """Number of proper crossings between sides of each ring.
 
-    Segments are entered into the grid cells that their boxes touch, so that a
-    segment meets only those nearby, and each pair counts in one cell.
+    A side lies in four cells at most of the least power of two that is as large as its box.
+    It is entered there, and in the cells of each larger size that sides of its ring have, so
+    two sides that cross share a cell of the larger one's size: long sides and dense stretches
+    of short ones meet only what is near, whatever the ring's scale.
     """
     seg = rings.select("ring_id", F.size("ring").alias("n"), F.posexplode(F.zip_with(F.slice("ring", F.lit(1), F.size("ring") - 1), F.slice("ring", F.lit(2), F.size("ring") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("i", "s"))
     seg = seg.select("ring_id", (F.col("n") - 1).alias("n"), "i", F.col("s.a.lon").alias("ax"), F.col("s.a.lat").alias("ay"), F.col("s.b.lon").alias("bx"), F.col("s.b.lat").alias("by"))
-    span = lambda a, b: F.sequence(F.floor(F.least(a, b) / CELL), F.floor(F.greatest(a, b) / CELL))
-    seg = seg.withColumn("cx", F.explode(span(F.col("ax"), F.col("bx")))).withColumn("cy", F.explode(span(F.col("ay"), F.col("by"))))
-    o = seg.select("ring_id", "cx", "cy", F.col("i").alias("j"), *(F.col(c).alias("o" + c) for c in ("ax", "ay", "bx", "by")))
+    extent = F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay")), F.lit(2.0**LEAST_SIDE))
+    seg = written(seg.withColumn("level", F.ceil(F.log2(extent)).cast("int")), "sides")
+    cell = lambda c: F.floor(c / F.pow(F.lit(2.0), F.col("level")))
+    span = lambda a, b: F.sequence(cell(F.least(a, b)), cell(F.greatest(a, b)))
+    celled = lambda df: df.withColumn("cx", F.explode(span(F.col("ax"), F.col("bx")))).withColumn("cy", F.explode(span(F.col("ay"), F.col("by"))))
+    # as many sizes as powers of two
+    sizes = seg.groupBy("ring_id").agg(F.collect_set("level").alias("levels"))
+    o = seg.join(sizes, "ring_id").withColumn("level", F.explode(F.filter("levels", lambda x: x >= F.col("level")))).drop("levels", "n")
+    o = celled(o).select("ring_id", "level", "cx", "cy", F.col("i").alias("j"), *(F.col(c).alias("o" + c) for c in ("ax", "ay", "bx", "by")))
     side = lambda px, py, qx, qy, rx, ry: (F.col(qx) - F.col(px)) * (F.col(ry) - F.col(py)) - (F.col(qy) - F.col(py)) * (F.col(rx) - F.col(px)) > 0
     cross = (side("oax", "oay", "obx", "oby", "ax", "ay") != side("oax", "oay", "obx", "oby", "bx", "by")) & (side("ax", "ay", "bx", "by", "oax", "oay") != side("ax", "ay", "bx", "by", "obx", "oby"))
-    apart = (F.col("j") >= F.col("i") + 2) & ~((F.col("i") == 0) & (F.col("j") == F.col("n") - 1))
-    pairs = seg.join(o, ["ring_id", "cx", "cy"]).filter(apart & cross).select("ring_id", "i", "j").distinct()
+    low, high = F.least("i", "j"), F.greatest("i", "j")
+    apart = (high >= low + 2) & ~((low == 0) & (high == F.col("n") - 1))
+    pairs = celled(seg).join(o, ["ring_id", "level", "cx", "cy"]).filter(apart & cross).select("ring_id", low.alias("i"), high.alias("j")).distinct()
     return pairs.groupBy("ring_id").agg(F.count(F.lit(1)).alias("n_crossings"))
 
 
@@ -245,30 +258,48 @@ def _kept(points: np.ndarray, tolerance: float) -> np.ndarray:
 
 
 def _pinch(c: np.ndarray):
-    """Two places of a closed ring with the same point, other than its ends; None if there are none."""
-    seen: dict[tuple, int] = {}
-    for i, p in enumerate(map(tuple, c[:-1])):
-        if p in seen:
-            return seen[p], i
-        seen[p] = i
-    return None
+    """Two places of a closed ring with the same point, other than its ends, the first such place first; None if there are none."""
+    order = np.lexsort((c[:-1, 1], c[:-1, 0]))
+    p = c[order]
+    same = np.flatnonzero((p[1:] == p[:-1]).all(1))
+    if not len(same):
+        return None
+    # equal points stay in their order on the ring
+    k = same[order[same + 1].argmin()]
+    return int(order[k]), int(order[k + 1])
 
 
 def _crossing(c: np.ndarray):
-    """Numbers of two sides of a closed ring that cross properly, and where; None if none do."""
-    a, way, n = c[:-1], np.diff(c, axis=0), len(c) - 1
-    for i in range(n - 2):
-        j = np.arange(i + 2, n - (i == 0))
-        if not len(j):
-            continue
-        off, o = a[j] - a[i], way[j]
-        cross = way[i, 0] * o[:, 1] - way[i, 1] * o[:, 0]
+    """Numbers of two sides of a closed ring that cross properly, and where; None if none do.
+
+    A sweep from west to east: sides in order of their western ends meet those that begin
+    before they end and whose latitudes overlap theirs, a bounded number of pairs at a time.
+    """
+    a, b, n = c[:-1], c[1:], len(c) - 1
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.argsort(low[:, 0], kind="stable")
+    west = low[order, 0]
+    stop = np.searchsorted(west, high[order, 0], "right")
+    many = np.maximum(stop - np.arange(n) - 1, 0)
+    upto, at, best = np.cumsum(many), 0, None
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+        k = np.repeat(np.arange(at, to), many[at:to])
+        other = np.arange(len(k)) - np.repeat(np.cumsum(many[at:to]) - many[at:to], many[at:to]) + k + 1
+        i, j = np.minimum(order[k], order[other]), np.maximum(order[k], order[other])
+        near = (low[i, 1] <= high[j, 1]) & (high[i, 1] >= low[j, 1]) & (j >= i + 2) & ~((i == 0) & (j == n - 1))
+        i, j = i[near], j[near]
+        one, two, off = b[i] - a[i], b[j] - a[j], a[j] - a[i]
+        cross = one[:, 0] * two[:, 1] - one[:, 1] * two[:, 0]
         with np.errstate(divide="ignore", invalid="ignore"):
-            t, u = (off[:, 0] * o[:, 1] - off[:, 1] * o[:, 0]) / cross, (off[:, 0] * way[i, 1] - off[:, 1] * way[i, 0]) / cross
+            t, u = (off[:, 0] * two[:, 1] - off[:, 1] * two[:, 0]) / cross, (off[:, 0] * one[:, 1] - off[:, 1] * one[:, 0]) / cross
         hit = np.flatnonzero((t > 0) & (t < 1) & (u > 0) & (u < 1))
         if len(hit):
-            return i, int(j[hit[0]]), a[i] + t[hit[0]] * way[i]
-    return None
+            h = hit[np.lexsort((j[hit], i[hit]))[0]]
+            if best is None or (i[h], j[h]) < best[:2]:
+                best = int(i[h]), int(j[h]), a[i[h]] + t[h] * one[h]
+        at = to
+    return best
 
 
 def _repaired(c: np.ndarray) -> np.ndarray:

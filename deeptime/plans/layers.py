@@ -10,6 +10,7 @@ from deeptime.catalog import register
 from deeptime.fixtures import bind, twin
 from deeptime.functions import time as T
 from deeptime.operators import layers as L
+from deeptime.operators import polygons as G
 from deeptime.sources.scratch import small
 
 
@@ -125,15 +126,47 @@ def _rings(spark, sf):
     return bind(spark, sf, "ring").select("ring_id", "name", F.array(at(x, y), at(x + 10, y), at(x + 10, y + 10), at(x, y + 10), at(x, y)).alias("ring"))
 
 
-@register("j13_point_in_polygon", twin("SELECT input_order, ring_id FROM entity JOIN ring ON lon >= x0 AND lon < x0 + 10 AND lat >= y0 AND lat < y0 + 10", "entity", "ring"))
+def _shape(corners):
+    """A closed ring of ``(x, y)`` columns."""
+    points = [F.struct(x.alias("lon"), y.alias("lat")) for x, y in corners]
+    return F.array(*points, points[0])
+
+
+def _box(west, south, size, hole=False):
+    corners = [(west, south), (west + size, south), (west + size, south + size), (west, south + size)]
+    return _shape(corners[::-1] if hole else corners)
+
+
+def _diamond(x, y, r, hole=False):
+    corners = [(x, y - r), (x + r, y), (x, y + r), (x - r, y)]
+    return _shape(corners[::-1] if hole else corners)
+
+
+def _features(spark, sf):
+    """A feature for each nation: a diamond, every third with a hole, every second with another part."""
+    k, x, y = F.col("ring_id"), F.col("x0"), F.col("y0")
+    outline, hole = _diamond(x + 5.5, y + 5.25, F.lit(6.1)), _box(x + 3.5, y + 3.5, 3.0, hole=True)
+    first = F.when(k % 3 == 0, F.array(outline, hole)).otherwise(F.array(outline))
+    more = F.array(_box(x + 12.5, y + 0.5, 4.0))
+    return bind(spark, sf, "ring").select("ring_id", "name", "x0", "y0", F.when(k % 2 == 0, F.array(first, more)).otherwise(F.array(first)).alias("polygons"))
+
+
+_IN_FEATURE = """(abs(lon - (x0 + 5.5e0)) + abs(lat - (y0 + 5.25e0)) < 6.1e0 AND NOT (ring_id % 3 = 0 AND lon > x0 + 3.5e0 AND lon < x0 + 6.5e0 AND lat > y0 + 3.5e0 AND lat < y0 + 6.5e0)
+ OR ring_id % 2 = 0 AND lon > x0 + 12.5e0 AND lon < x0 + 16.5e0 AND lat > y0 + 0.5e0 AND lat < y0 + 4.5e0)"""
+
+
+@register("j13_point_in_polygon", twin(f"SELECT input_order, ring_id FROM entity JOIN ring ON {_IN_FEATURE}", "entity", "ring"))
 def j13(spark, sf):
+    """Points in features with holes and parts, by cell covers."""
     points = bind(spark, sf, "entity").filter("lon IS NOT NULL").select("input_order", "lon", "lat")
-    return L.locate(points, _rings(spark, sf)).select("input_order", "ring_id")
+    return G.locate(points, _features(spark, sf), "ring_id").select("input_order", "ring_id")
 
 
-@register("a15_ring_areas", twin("SELECT ring_id, 100e0 AS area, x0 AS west, x0 + 10 AS east FROM ring", "ring"))
+@register("a15_ring_areas", twin("SELECT ring_id, CAST(round((74.42e0 - CASE WHEN ring_id % 3 = 0 THEN 9e0 ELSE 0e0 END + CASE WHEN ring_id % 2 = 0 THEN 16e0 ELSE 0e0 END) * 1e6) AS BIGINT) AS micro_area, x0 + 5.5e0 - 6.1e0 AS west, CASE WHEN ring_id % 2 = 0 THEN x0 + 12.5e0 + 4e0 ELSE x0 + 5.5e0 + 6.1e0 END AS east FROM ring", "ring"))
 def a15(spark, sf):
-    return _rings(spark, sf).select("ring_id", L.ring_area(F.col("ring")).alias("area"), F.array_min("ring.lon").alias("west"), F.array_max("ring.lon").alias("east"))
+    """Areas of whole features, holes taken off, and their bounds."""
+    lons = F.flatten(F.flatten("polygons"))["lon"]
+    return _features(spark, sf).select("ring_id", F.round(G.area(F.col("polygons")) * 1e6).cast("long").alias("micro_area"), F.array_min(lons).alias("west"), F.array_max(lons).alias("east"))
 
 
 @register("g1_ring_faults", twin("SELECT ring_id, CASE WHEN ring_id % 5 = 1 THEN 'winding' WHEN ring_id % 5 = 2 THEN 'open' WHEN ring_id % 5 = 3 THEN 'range' WHEN ring_id % 5 = 4 THEN 'positions' END AS fault FROM ring", "ring"))
@@ -162,12 +195,52 @@ def _stars(spark, sf, points=48):
     return ids.select("ring_id", F.concat(corners, F.slice(corners, 1, 1)).alias("ring"))
 
 
-@register("g2_simplify", twin("SELECT ring_id, 5 AS n_points, 100e0 AS area FROM ring", "ring"))
-def g2(spark, sf):
-    r = F.col("ring")
+def _ragged(spark, sf):
+    """A feature for each customer: a diamond with needless points, every second with a hole, every third with a speck whose hole is large; every fourth is the speck alone."""
+    k = F.col("c_custkey")
+    r = 1.0 + (k % 5)
     mid = lambda a, b: F.struct(((a["lon"] + b["lon"]) / 2).alias("lon"), ((a["lat"] + b["lat"]) / 2).alias("lat"))
-    dense = F.flatten(F.zip_with(F.slice(r, 1, 4), F.slice(r, 2, 4), lambda a, b: F.array(a, mid(a, b))))
-    return L.simplify(_rings(spark, sf).select("ring_id", F.concat(dense, F.array(r[0])).alias("ring")), 0.02).filter("NOT dropped").select("ring_id", F.size("ring").alias("n_points"), L.ring_area(F.col("ring")).alias("area"))
+    ring = _diamond(F.lit(10.0), F.lit(20.0), r)
+    dense = F.concat(F.flatten(F.zip_with(F.slice(ring, 1, 4), F.slice(ring, 2, 4), lambda a, b: F.array(a, mid(a, b)))), F.slice(ring, 1, 1))
+    part = F.when(k % 2 == 0, F.array(dense, _box(F.lit(9.8), F.lit(19.8), 0.3, hole=True))).otherwise(F.array(dense))
+    speck = F.array(_diamond(F.lit(30.0), F.lit(0.0), F.lit(0.01)), _diamond(F.lit(30.0), F.lit(0.0), F.lit(0.5), hole=True))
+    polygons = F.when(k % 4 == 0, F.array(speck)).when(k % 3 == 0, F.array(part, speck)).otherwise(F.array(part))
+    return _read(spark, sf, "customer").select(k.alias("feature_id"), polygons.alias("polygons"))
+
+
+@register("g2_simplify", """SELECT c_custkey AS feature_id, c_custkey % 4 = 0 AS dropped, CASE WHEN c_custkey % 4 <> 0 THEN 1 END AS n_parts, CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN 10 ELSE 5 END AS n_points,
+CASE WHEN c_custkey % 4 <> 0 THEN CAST(round((2 * (1 + c_custkey % 5) * (1 + c_custkey % 5) - CASE WHEN c_custkey % 2 = 0 THEN 0.09e0 ELSE 0e0 END) * 1e4) AS BIGINT) END AS area FROM customer""")
+def g2(spark, sf):
+    """Features with needless points, holes and specks: an outline that goes takes its hole along, whatever the hole's size."""
+    out = G.simplify_polygons(_ragged(spark, sf), 0.02, "feature_id")
+    n = F.aggregate(F.flatten("polygons"), F.lit(0), lambda s, r: s + F.size(r))
+    there = F.col("polygons").isNotNull()
+    return out.select("feature_id", (~there).alias("dropped"), F.when(there, F.size("polygons")).alias("n_parts"), F.when(there, n).alias("n_points"), F.when(there, F.round(G.area(F.col("polygons")) * 1e4).cast("long")).alias("area"))
+
+
+def _spoiled(spark, sf):
+    """A feature for each customer, of two parts with a hole each, spoiled in one of eight ways."""
+    k = F.col("c_custkey") % 8
+    c = lambda x: F.lit(float(x))
+    good, hole, more = _box(c(0), c(0), 4.0), _box(c(1), c(1), 1.0, hole=True), _box(c(10), c(0), 4.0)
+    bow = _shape([(c(10), c(0)), (c(14), c(4)), (c(14), c(0)), (c(10), c(4))])
+    parts = (
+        F.when(k == 0, F.array(F.array(good, hole), F.array(more, _box(c(11), c(1), 1.0))))  # a hole that winds like an outline
+        .when(k == 1, F.array(F.array(good, hole), F.array(bow)))
+        .when(k == 2, F.array(F.array(good, F.slice(hole, 1, 3)), F.array(more)))
+        .when(k == 3, F.array(F.array(good), F.array(F.slice(more, 1, 4))))
+        .when(k == 4, F.array(F.array(_box(c(178), c(0), 4.0), hole), F.array(more)))
+        .when(k == 5, F.array(F.array(good, hole), F.array().cast(f"array<array<{G.POINT}>>")))
+        .when(k == 6, F.lit(None))
+        .otherwise(F.array(F.array(good, hole), F.array(more)))
+    )
+    return _read(spark, sf, "customer").select(F.col("c_custkey").alias("feature_id"), parts.alias("polygons"))
+
+
+@register("g1_polygon_faults", """SELECT c_custkey AS feature_id, CASE c_custkey % 8 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 3 THEN 1 WHEN 5 THEN 1 ELSE 0 END AS part, CASE c_custkey % 8 WHEN 0 THEN 1 WHEN 2 THEN 1 ELSE 0 END AS ring_no,
+CASE c_custkey % 8 WHEN 0 THEN 'winding' WHEN 1 THEN 'winding' WHEN 2 THEN 'positions' WHEN 3 THEN 'open' WHEN 4 THEN 'range' WHEN 5 THEN 'no rings' ELSE 'geometry type' END AS fault FROM customer WHERE c_custkey % 8 <> 7""")
+def g1_polygons(spark, sf):
+    return G.polygon_faults(_spoiled(spark, sf), "feature_id")
 
 
 @register("g2_dropped_features", "SELECT CAST(c_custkey AS BIGINT) AS ring_id, c_custkey % 4 = 0 AS dropped FROM customer")
@@ -212,6 +285,16 @@ def j14(spark, sf):
     return owned.join(bind(spark, sf, "entity").select("seed_id"), F.col("owner") == F.col("seed_id"), "left").select("ring_id", "seed_id")
 
 
+@register("j14_feature_faults", twin("""SELECT c_custkey, CASE WHEN c_custkey % 9 = 1 THEN 'representation' WHEN c_custkey % 4 <> 0 AND e.seed_id IS NULL THEN 'owner' WHEN c_custkey % 9 = 2 THEN 'name' WHEN c_custkey % 8 = 6 THEN 'geometry type' END AS fault
+FROM customer LEFT JOIN entity e ON e.seed_id = concat('ord-', cast(c_custkey AS VARCHAR)) AND c_custkey % 4 <> 0""", "entity"))
+def j14_faults(spark, sf):
+    """Features against the known owners; one without an owner of its own is sound, one whose owner isn't known is not."""
+    k = F.col("feature_id")
+    entity = F.when(k % 4 != 0, F.concat(F.lit("ord-"), k.cast("string"))).when(k % 8 == 0, "")
+    f = _spoiled(spark, sf).withColumns({"name": F.when(k % 9 == 2, "").otherwise("land"), "representation": F.when(k % 9 == 1, "guess").otherwise("estimated"), "entity": entity})
+    return G.feature_faults(f, bind(spark, sf, "entity").select(F.col("seed_id").alias("entity"))).select(k.alias("c_custkey"), "fault")
+
+
 @register("j17_pins", """WITH d AS (SELECT c_custkey AS id, c_custkey % 7 AS version FROM customer WHERE c_custkey % 10 <> 0),
 p AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 13 = 0 THEN c_custkey % 7 + 1 ELSE c_custkey % 7 END AS version FROM customer WHERE c_custkey % 11 <> 0 UNION ALL SELECT c_custkey, c_custkey % 7 FROM customer WHERE c_custkey % 17 = 0 AND c_custkey % 11 <> 0),
 h AS (SELECT id, count(*) AS n, max(version) AS have FROM p GROUP BY id)

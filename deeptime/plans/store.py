@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from deeptime.catalog import register
 from deeptime.fixtures import bind, twin
 from deeptime.operators import model as M
+from deeptime.operators import polygons as G
 from deeptime.operators import sweep as SW
 from deeptime.operators import viewport as VP
 from deeptime.operators import zoom as Z
+from deeptime.plans import layers as PL
 from deeptime.plans import zoom as PZ
 from deeptime.sources import model_io as IO
 from deeptime.sources import records as R
@@ -65,40 +67,44 @@ def s2(spark, sf):
     return _read_lines(*R.bulk_lines(spark, path, _file_key()))
 
 
-_GEO = "SELECT s.year, s.t_from, s.t_to, name, row_number() OVER (PARTITION BY s.year ORDER BY ring_id) - 1 AS pos, 5 AS n_points, CASE WHEN s.year % 4 = 0 THEN 'file name' END AS fault FROM slice s CROSS JOIN ring"
+def _slices(spark, sf):
+    """Slices written as one GeoJSON file for each supplier, spoiled in several ways, and read back.
+
+    Features are a polygon with a hole, several polygons, or a line, which is no area.
+    """
+    k = F.col("s_suppkey")
+    c = lambda x: F.lit(float(x))
+    two = F.array(F.array(PL._box(c(0), c(0), 4.0), PL._box(c(1), c(1), 1.0, hole=True)), F.array(PL._box(c(10), c(0), 4.0)))
+    area = lambda polygons: F.from_json(G.written_form(polygons), "type string, coordinates string")
+    line = F.struct(F.lit("LineString").alias("type"), F.lit("[[0,0],[1,1]]").alias("coordinates"))
+    kinds = F.array(area(F.slice(two, 1, 1)), area(two), line)
+    # coordinates are text here and become plain JSON in the file
+    feature = lambda g, i: F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(F.struct(F.concat(F.lit("land "), i.cast("string")).alias("name"), F.lit("estimated").alias("representation"))), F.lit(',"geometry":{"type":"'), g["type"], F.lit('","coordinates":'), g["coordinates"], F.lit("}}"))
+    features = F.when(k % 9 == 5, F.lit("")).otherwise(F.array_join(F.transform(kinds, feature), ","))
+    year = 1000 + k
+    props = F.to_json(F.struct(F.when(k % 9 != 1, year).alias("year"), (year - 2 + F.when(k % 9 == 3, 7).otherwise(0)).alias("t_from"), (year + 7).alias("t_to"), F.when(k % 9 == 4, "").otherwise("map").alias("label"), F.lit("atlas").alias("source")))
+    doc = F.concat(F.lit('{"type":"'), F.when(k % 9 == 6, "Feature").otherwise("FeatureCollection"), F.lit('","properties":'), props, F.lit(',"features":['), features, F.lit("]}"))
+    path = _fresh(spark, "slices")
+    _read(spark, sf, "supplier").select((year + F.when(k % 9 == 2, 1).otherwise(0)).alias("name"), k.alias("file"), doc.alias("value")).select(F.concat_ws("-", "file", "name").alias("file"), "value").write.partitionBy("file").text(path)
+    return R.geojson_slices(spark, path, F.concat(F.element_at(F.split(F.regexp_extract(F.input_file_name(), "file=([^/]*)", 1), "-"), -1), F.lit(".geojson")))
 
 
-@register("s7_geojson_slices", twin(_GEO, "slice", "ring"))
-def s7(spark, sf):
-    """Slices written as one GeoJSON file each (some under a wrong name) and read back."""
-    x, y = F.col("x0"), F.col("y0")
-    corner = lambda a, b: F.array(a, b)
-    ring = F.array(corner(x, y), corner(x + 10, y), corner(x + 10, y + 10), corner(x, y + 10), corner(x, y))
-    feature = F.struct(F.struct("name", F.lit("estimated").alias("representation")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))
-    features = bind(spark, sf, "ring").agg(F.array_sort(F.collect_list(F.struct("ring_id", feature.alias("f")))).alias("fs")).select(F.transform("fs", lambda f: f["f"]).alias("features"))
-    doc = F.struct(F.lit("FeatureCollection").alias("type"), F.struct("year", "t_from", "t_to").alias("properties"), "features")
-    file = F.col("year") + F.when(F.col("year") % 4 == 0, 1).otherwise(0)
-    path = _fresh(spark, "slices")
-    bind(spark, sf, "slice").join(small(features)).select(file.alias("file"), F.lit(0).alias("ord"), F.to_json(doc).alias("value")).select("file", "value").write.partitionBy("file").text(path)
-    slices, found = R.geojson_slices(spark, path, F.concat(_file_key().cast("string"), F.lit(".geojson")))
-    return slices.select("year", "t_from", "t_to", "fault").join(found.select("year", "pos", "name", F.size(F.col("coordinates")[0]).alias("n_points")), "year")
+_SLICE_FAULT = "CASE s_suppkey % 9 WHEN 1 THEN 'properties' WHEN 2 THEN 'file name' WHEN 3 THEN 'window' WHEN 4 THEN 'label or source' WHEN 5 THEN 'no features' WHEN 6 THEN 'type' END"
 
 
-@register("p2_authored_times", twin("SELECT input_order, CASE input_order % 4 WHEN 0 THEN t0 WHEN 1 THEN t0 WHEN 2 THEN (input_order - 1970e0) * 31556952e0 END AS t FROM entity", "entity"))
-def p2(spark, sf):
-    k, o = F.col("input_order") % 4, F.col("input_order")
-    at = F.timestamp_seconds("t0")
-    text = F.when(k == 0, F.date_format(at, "yyyy-MM-dd")).when(k == 1, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 2, F.concat(F.lit('{"y": '), o.cast("string"), F.lit("}"))).otherwise("soon")
-    return bind(spark, sf, "entity").select("input_order", text.alias("text")).select("input_order", R.authored_time(F.col("text")).alias("t"))
+@register("s7_geojson_slices", f"SELECT CASE WHEN s_suppkey % 9 <> 1 THEN 1000 + s_suppkey END AS year, 998 + s_suppkey + CASE WHEN s_suppkey % 9 = 3 THEN 7 ELSE 0 END AS t_from, 1007 + s_suppkey AS t_to, {_SLICE_FAULT} AS fault FROM supplier")
+def s7(spark, sf):
+    """Every slice with the first rule that it breaks."""
+    return _slices(spark, sf)[0].select("year", "t_from", "t_to", "fault")
 
 
-@register("p9_page_times", twin("SELECT input_order, CASE input_order % 3 WHEN 0 THEN (0e0 - input_order - 1970e0) * 31556952e0 WHEN 2 THEN t0 END AS t, CASE WHEN input_order % 3 = 0 THEN 'year' WHEN input_order % 3 = 2 AND NOT (month(make_timestamp(CAST(t0 * 1000000 AS BIGINT))) = 1 AND day(make_timestamp(CAST(t0 * 1000000 AS BIGINT))) = 1) THEN 'day' WHEN input_order % 3 = 2 THEN 'year' END AS precision FROM entity", "entity"))
-def p9(spark, sf):
-    """Negative years, exact days and texts that are no date."""
-    o = F.col("input_order")
-    text = F.when(o % 3 == 0, F.concat(F.lit("-"), F.lpad(o.cast("string"), F.greatest(F.lit(4), F.length(o.cast("string"))), F.lit("0")), F.lit("-01-01T00:00:00Z"))).when(o % 3 == 1, F.concat(o.cast("string"), F.lit(" or so"))).otherwise(F.date_format(F.timestamp_seconds("t0"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    t, precision = R.page_time(F.col("text"))
-    return bind(spark, sf, "entity").select("input_order", text.alias("text")).select("input_order", t.alias("t"), F.when(t.isNotNull(), precision).alias("precision"))
+@register("s7_feature_polygons", """SELECT CASE WHEN s_suppkey % 9 <> 1 THEN 1000 + s_suppkey END AS year, pos, 'land ' || pos AS name, CASE WHEN pos < 2 THEN pos + 1 END AS n_parts, CASE WHEN pos < 2 THEN pos + 2 END AS n_rings, CASE WHEN pos < 2 THEN 15e0 + 16e0 * pos END AS area
+FROM supplier CROSS JOIN (VALUES (0), (1), (2)) p(pos) WHERE s_suppkey % 9 <> 5""")
+def s7_features(spark, sf):
+    """Every feature by parts and rings; a line has none."""
+    p = F.col("polygons")
+    there = p.isNotNull()
+    return _slices(spark, sf)[1].select("year", "pos", "name", F.when(there, F.size(p)).alias("n_parts"), F.when(there, F.size(F.flatten(p))).alias("n_rings"), F.when(there, G.area(p)).alias("area"))
 
 
 @register("s8_page_records", twin("""SELECT qid, min(label) AS label, min(t0) AS t0, count(*) AS n FROM (SELECT concat('Q', cast(o_custkey AS VARCHAR)) AS qid, concat('Order ', cast(o_orderkey AS VARCHAR)) AS label, epoch(o_orderdate) AS t0,

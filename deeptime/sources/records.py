@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from deeptime.operators.polygons import parsed, slice_faults
 from deeptime.functions import text as X
 from deeptime.functions import vocab as V
 from deeptime.sources.scratch import small, written
@@ -115,11 +116,12 @@ def page_records(bindings: DataFrame) -> DataFrame:
 
 
 def geojson_slices(spark: SparkSession, path: str, name: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Slices and features of ``<year>.geojson`` files; ``fault`` where file and year differ."""
-    ring = "array<array<array<double>>>"
-    schema = f"type string, properties struct<year:int,t_from:int,t_to:int,label:string,source:string>, features array<struct<properties:struct<name:string,entity:string,representation:string>,geometry:struct<type:string,coordinates:{ring}>>>"
+    """Slices and features of ``<year>.geojson`` files, with the first rule of ``slice_faults`` that a slice breaks as ``fault``.
+
+    A feature's geometry is read by its type into ``polygons``; null where that is neither a polygon nor several.
+    """
+    schema = "type string, properties struct<year:int,t_from:int,t_to:int,label:string,source:string>, features array<struct<properties:struct<name:string,entity:string,representation:string>,geometry:struct<type:string,coordinates:string>>>"
     raw = spark.read.schema(schema).json(path, multiLine=True).withColumn("file", file_name() if name is None else name)
-    fault = F.when(F.col("file") != F.concat(F.col("properties.year").cast("string"), F.lit(".geojson")), "file name").when(F.col("properties.t_to") < F.col("properties.t_from"), "window")
-    slices = raw.select("file", "properties.*", fault.alias("fault"))
+    slices = slice_faults(raw.select("file", "type", "properties.*", F.size("features").alias("n_features")))
     f = raw.select(F.col("properties.year").alias("year"), F.posexplode("features").alias("pos", "f"))
-    return slices, f.select("year", "pos", "f.properties.*", F.col("f.geometry.coordinates").alias("coordinates"))
+    return slices, f.select("year", "pos", "f.properties.*", parsed(F.col("f.geometry.type"), F.col("f.geometry.coordinates")).alias("polygons"))
