@@ -12,9 +12,14 @@ nearest to the entity), so copies of one passage flag nothing.
 
 Terms are runs of other characters than white space, in lower case, without
 ASCII punctuation at either end; those that hold an ``@``, and those without
-letters that are parts of the document's own entities, are none. A document
-counts each of its terms once for each of its entities that has the contexts;
-terms too frequent for any entity of the document are left out before that.
+letters that are parts of the document's own entities, are none.
+
+Entities that stand in the same documents, with contexts that are equal in the same
+ones, give the same counts with every term. They are one class, and a document counts
+each of its terms once for each of its classes: a directory of thousands of
+addresses that appears in several documents is one class, not thousands. Entities in
+fewer documents than ``SUPPORT`` can't have the contexts and are left out first, and so are terms too
+frequent for any entity of the document.
 
 All of it runs on DataFrame functions. Offsets are code points, ends exclusive.
 
@@ -137,18 +142,31 @@ def _least_share(n_te: Column, n_t: Column, n_e: Column, n: Column) -> Column:
     return F.when(ic > 0, pmi / ic).otherwise(0.0)
 
 
+def classes(mention: DataFrame) -> DataFrame:
+    """``row, class, sign, n_e`` (stored): the entities that can have the contexts, by classes of equal documents and contexts.
+
+    ``sign`` numbers the documents of a class by equal contexts (the least row of each). A class
+    is known by a sum over its rows of 2 x 64 bits, so no entity's documents are gathered.
+    """
+    seen = stored(mention.groupBy("entity", "row").agg(F.min("sign").alias("sign")), "entity-documents")
+    alike = stored(seen.groupBy("entity", "sign").agg(F.min("row").alias("least")), "entity-contexts")
+    able = stored(alike.groupBy("entity").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= SUPPORT).select("entity"), "entities")
+    each = stored(seen.join(broadcast_if_small(able, BROADCAST_TERMS), "entity").join(alike, ["entity", "sign"]).select("entity", "row", F.xxhash64("least").alias("sign")), "entity-rows")
+    sums = [F.sum(F.xxhash64(F.lit(k), "row", "sign").cast("decimal(20,0)")).alias(f"h{k}") for k in (1, 2)]
+    known = each.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.min("row").alias("at"), *sums)
+    known = stored(known.select("entity", "n_e", F.sha2(F.concat_ws(",", F.hex("at"), "n_e", "h1", "h2").cast("binary"), 256).alias("class")), "entity-classes")
+    first = stored(known.groupBy("class").agg(F.min("entity").alias("entity"), F.first("n_e").alias("n_e")), "first-entities")
+    return stored(each.join(broadcast_if_small(first, BROADCAST_TERMS), "entity").select("row", "class", "sign", "n_e"), "known-classes")
+
+
 def disclosing_terms(docs: DataFrame, spans: DataFrame, n_docs: int) -> tuple[DataFrame, DataFrame]:
-    """``(entity, term, share)`` at or over ``GENERALISE``, and ``(row, entity)`` of the entities with enough contexts (both stored)."""
+    """``(class, term, share)`` at or over ``GENERALISE`` (stored), and ``(row, class)`` of the classes of entities with enough contexts."""
     n = F.lit(float(max(n_docs, 2)))
     mention = stored(spans.select("row", F.concat_ws(":", "kind", F.lower("hit")).alias("entity"), "sign", "hit"), "mentions")
-    contexts = mention.select("entity", "sign").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= SUPPORT)
-    n_e = mention.select("entity", "row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    entities = stored(n_e.join(contexts.select("entity"), "entity"), "entities")
-    known = mention.groupBy("row", "entity").agg(F.min("sign").alias("sign")).join(broadcast_if_small(entities, BROADCAST_TERMS), "entity")
-    known = stored(known, "known-entities")
+    known = classes(mention)
     # at the threshold a term is in this many documents at most
     most = F.col("n_e") * F.pow(n / F.col("n_e"), F.lit(1 - GENERALISE))
-    bound = stored(known.groupBy("row").agg(F.max(most).alias("most")), "entity-rows")
+    bound = stored(known.groupBy("row").agg(F.max(most).alias("most")), "entity-bounds")
     texts = docs.select(ROW, "text").join(broadcast_if_small(bound.select(F.col("row").alias("__at")), BROADCAST_TERMS), F.col(ROW) == F.col("__at"))
     each = texts.select(F.col("__at").alias("row"), F.explode(F.array_distinct(F.transform(F.split(F.coalesce("text", F.lit("")), r"\s+", -1), _term))).alias("term")).filter("term <> ''")
     parts = mention.select("row", F.explode(F.split("hit", r"\s+", -1)).alias("part")).select("row", _term(F.col("part")).alias("term")).filter(~F.col("term").rlike("[a-z]|[^\\x00-\\x7f]")).distinct()
@@ -156,20 +174,20 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, n_docs: int) -> tuple[Da
     # a term is in as many documents at least as it is with entities; most terms fail by that alone
     least = stored(each.groupBy("term").agg(F.count(F.lit(1)).alias("least")).filter(F.col("least") >= SUPPORT), "least-documents")
     able = each.join(least, "term").join(bound, "row").filter(F.col("least") <= F.col("most") + 1e-6)
-    by_context = able.join(known, "row").groupBy("entity", "term", "sign").agg(F.count(F.lit(1)).alias("n"), F.first("n_e").alias("n_e"), F.first("least").alias("least"))
-    together = by_context.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n_te"), F.first("n_e").alias("n_e"), F.first("least").alias("least"))
+    by_context = able.join(known, "row").groupBy("class", "term", "sign").agg(F.count(F.lit(1)).alias("n"), F.first("n_e").alias("n_e"), F.first("least").alias("least"))
+    together = by_context.groupBy("class", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n_te"), F.first("n_e").alias("n_e"), F.first("least").alias("least"))
     c = F.col
     possible = stored(together.filter((c("contexts") >= SUPPORT) & (_least_share(c("n_te"), c("least"), c("n_e"), n) >= GENERALISE)), "possible")
     wanted = stored(possible.select("term").distinct(), "candidate-terms")
     words_of = docs.select(F.explode(F.array_distinct(F.transform(F.split(F.coalesce("text", F.lit("")), r"\s+", -1), _term))).alias("term")) if not wanted.isEmpty() else wanted
     n_t = stored(words_of.join(broadcast_if_small(wanted, BROADCAST_TERMS), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "term-documents")
     share = _least_share(c("n_te"), c("n_t"), c("n_e"), n)
-    return stored(possible.join(n_t, "term").select("entity", "term", share.alias("share")).filter(c("share") >= GENERALISE), "disclosing"), known
+    return stored(possible.join(n_t, "term").select("class", "term", share.alias("share")).filter(c("share") >= GENERALISE), "disclosing"), known
 
 
 def term_places(docs: DataFrame, flagged: DataFrame, known: DataFrame) -> DataFrame:
     """``row, start, end, share`` of every flagged term in the documents that hold its entity."""
-    sites = stored(known.select("row", "entity").join(flagged, "entity").groupBy("row", "term").agg(F.max("share").alias("share")), "term-sites")
+    sites = stored(known.select("row", "class").join(flagged, "class").groupBy("row", "term").agg(F.max("share").alias("share")), "term-sites")
     rows = stored(sites.select(F.col("row").alias("__at")).distinct(), "term-rows")
     texts = docs.select(ROW, "text").join(broadcast_if_small(rows, BROADCAST_TERMS), F.col(ROW) == F.col("__at"))
     pieces = texts.select(F.col("__at").alias("row"), F.posexplode(_tokens(F.coalesce("text", F.lit("")))).alias("pos", "piece"))

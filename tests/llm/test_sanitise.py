@@ -149,3 +149,27 @@ def test_terms_equal_brute_force(spark):
     got = {r.doc_id: {tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("term:")} for r in sanitise.span_lists(*sanitise.find_spans(frame)).collect()}
     want = brute_terms(docs)
     assert got == want and sum(map(len, want.values())) > 20
+
+
+def test_directories_of_many_entities_take_seconds(spark):
+    """Entities of the same documents are counted as one; each word that only the directories hold gives them away."""
+    rng, people = random.Random(3), [f"user{k}@mail.example.com" for k in range(1600)]
+    docs = {}
+    for i in range(3):
+        rng.shuffle(people)
+        docs[i] = " ".join(f"entry {word} {p}" for word, p in zip((f"only{k}" for k in range(1600)), people))
+    docs |= {10 + i: f"entry {i} plain words" for i in range(200)}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    given = sanitise.keyed(frame)
+    scanned = sanitise.scan(given)
+    base = sanitise.stored(sanitise.base_spans(scanned), "t")
+    flagged, known = sanitise.disclosing_terms(given, base, scanned.count())
+    assert known.count() == 3 and known.select("class").distinct().count() == 1
+    assert flagged.count() == 1600  # "entry" is everywhere
+    got = {r.doc_id: r.spans.count("term:") for r in sanitise.span_lists(*sanitise.find_spans(frame)).collect()}
+    assert all(got[i] == (1600 if i < 3 else 0) for i in docs)
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a@b.c here", "x", 1)], "doc_id long, text string, row string, s int").selectExpr("*", "1 AS spans", "2 AS class", "3 AS term", "4 AS n_email")
+    assert sanitise.span_lists(*sanitise.find_spans(docs)).select("doc_id", "n_email", "spans").collect() == [(1, 1, "email:0:5")]
