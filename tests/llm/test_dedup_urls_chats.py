@@ -29,6 +29,21 @@ def test_exact_groups_and_later_batches(spark):
     assert again.read().count() == 6  # it outlives the table that named it
 
 
+def test_a_batch_that_runs_again_gives_the_same(spark):
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    first = spark.createDataFrame([(1, "a"), (2, "A"), (3, "b"), (None, "c")], "doc_id long, text string")
+    seen = lambda df: sorted(map(str, df.collect()))
+    want = seen(exact_dedup.ingest(first, index, "monday"))
+    assert seen(exact_dedup.ingest(first, index, "monday")) == want and index.read().count() == 3
+    assert index.spark.table(index.table).count() == 6  # appended twice, read once
+    later = spark.createDataFrame([(9, "B"), (8, "d")], "doc_id long, text string")
+    verdicts = {(r.doc_id, r.keep_id, r.kept) for r in exact_dedup.ingest(later, index, "tuesday").collect()}
+    assert verdicts == {(9, 3, False), (8, 8, True)} and len(exact_dedup.ingest(later, index, "tuesday").collect()) == 2
+    assert seen(exact_dedup.ingest(first, index, "monday")) == want
+    plan = index.missing(spark.createDataFrame([("x", 1, 1)], "text_sha256 string, keep_id long, group_size long"), "z")._jdf.queryExecution().toString()
+    assert "Bucketed: true" in plan
+
+
 def test_exact_repeated_rows_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "doc_id long, text string")
     assert sorted((r.doc_id, r.group_size, r.kept) for r in exact_dedup.ingest(docs, exact_dedup.DigestIndex(spark)).collect()) == [(1, 2, True), (1, 2, True), (2, 1, True)]
