@@ -7,8 +7,9 @@ each choice of two blocks a shard holds the fingerprints at distance zero from
 each other there, cut into shells by the distance of the remaining bits from a
 vantage point. A fingerprint near a shell's upper edge is also placed in the
 next shell, so no pair is lost at a boundary. A shard of more than ``MOST``
-fingerprints is dealt again by the same rule on its remaining bits, so that no
-task gets an unbounded one.
+fingerprints is dealt again by the same rule on its remaining bits, and again
+until none is larger: after three dealings some 14 bits are left, and a shard can't hold
+more than 2**14 fingerprints.
 
 Inside a shard a vantage-point tree splits at the median distance, prunes by
 the triangle bound and visits the two boundary strips for pairs across; parts of
@@ -45,7 +46,9 @@ SEED = 42
 SHELL = 8
 LEAF = 48
 #: Fingerprints of a shard (2 MB) up to which it is not dealt again.
-MOST = 1 << 18
+MOST = 1 << 16
+#: Large shards up to which their keys are broadcast.
+BROADCAST_SHARDS = 100_000
 #: A fixed vantage point: the fractional bits of the golden ratio.
 VANTAGE = 0x9E3779B97F4A7C15
 
@@ -95,32 +98,35 @@ def block_masks(radius: int = 3, blocks: int = 5, within: int = (1 << 64) - 1) -
 
 
 def shards(fps: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
-    """``(forest, cell, shell, fp)``: each fingerprint's shards; two within the radius share one at least."""
+    """``(forest, mask, cell, shell, fp)``: each fingerprint's shards, whose members agree on ``mask``; two within the radius share one at least."""
     fp = F.col("fp")
     places = []
     for k, mask in enumerate(block_masks(radius, blocks)):
         rest = ~mask & ((1 << 64) - 1)
         d = F.bit_count(fp.bitwiseXOR(F.lit(_signed(VANTAGE))).bitwiseAND(F.lit(_signed(rest))))
-        places.append(F.struct(F.lit(k).alias("forest"), fp.bitwiseAND(F.lit(_signed(mask))).alias("cell"), d.alias("d")))
+        places.append(F.struct(F.lit(k).cast("long").alias("forest"), F.lit(_signed(mask)).alias("mask"), fp.bitwiseAND(F.lit(_signed(mask))).alias("cell"), d.alias("d")))
     spread = fps.select("fp", F.explode(F.array(*places)).alias("p")).select("fp", "p.*")
     home: Column = F.floor(F.col("d") / SHELL).cast("int")
     shells = F.when(F.col("d") % SHELL >= SHELL - radius, F.array(home, home + 1)).otherwise(F.array(home))
-    return spread.select("forest", "cell", F.explode(shells).alias("shell"), "fp")
+    return spread.select("forest", "mask", "cell", F.explode(shells).alias("shell"), "fp")
 
 
 def dealt_again(dealt: DataFrame, radius: int = 3, blocks: int = 5, most: int = MOST) -> DataFrame:
-    """``dealt`` shards with those of more than ``most`` fingerprints cut by blocks of their remaining bits."""
-    key = ["forest", "cell", "shell"]
-    large = stored(dealt.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).drop("n"), "large-shards")
-    if large.isEmpty():
-        return dealt
-    large = broadcast_if_small(large, most)
-    finer = [[_signed(m | f) for f in block_masks(radius, blocks, ~m & ((1 << 64) - 1))] for m in block_masks(radius, blocks)]
-    n = len(finer)
-    mask = lambda j: F.element_at(F.array(*(F.lit(row[j]) for row in finer)), F.col("forest") + 1)
-    places = [F.struct((F.col("forest") + n * (j + 1)).alias("forest"), F.col("fp").bitwiseAND(mask(j)).alias("cell")) for j in range(n)]
-    again = dealt.join(large, key, "left_semi").select("shell", "fp", F.explode(F.array(*places)).alias("p")).select("p.forest", "p.cell", "shell", "fp")
-    return dealt.join(large, key, "left_anti").unionByName(again)
+    """``dealt`` shards with those of more than ``most`` fingerprints cut by blocks of their remaining bits, until none is larger."""
+    spark, key, masks, done = dealt.sparkSession, ["forest", "cell", "shell"], block_masks(radius, blocks), None
+    while True:
+        large = stored(dealt.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).drop("n"), "large-shards")
+        large_ones = broadcast_if_small(large, BROADCAST_SHARDS)
+        within = dealt.join(large_ones, key, "left_anti")
+        done = within if done is None else done.unionByName(within)
+        if large.isEmpty():
+            return done
+        # ten masks for each mask before: a thousand at the third dealing
+        finer = {m: [_signed(m | f) for f in block_masks(radius, blocks, ~m & ((1 << 64) - 1))] for m in masks}
+        table = spark.createDataFrame([(_signed(m), f) for m, f in finer.items()], "mask long, finer array<long>")
+        again = dealt.join(large_ones, key, "left_semi").join(F.broadcast(table), "mask").select("forest", "shell", "fp", F.posexplode("finer").alias("j", "mask"))
+        again = again.select(((F.col("forest") + 1) * 1000 + F.col("j")).alias("forest"), "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("cell"), "shell", "fp")
+        dealt, masks = stored(again, "dealt-again"), list({f & ((1 << 64) - 1) for fs in finer.values() for f in fs})
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -246,7 +252,7 @@ def links(fps: DataFrame, radius: int = 3, blocks: int = 5, most: int = MOST) ->
     dealt = shards(fps, radius, blocks)
     if fps.count() > most:  # else no shard can be so large
         dealt = dealt_again(dealt, radius, blocks, most)
-    return dealt.repartition(*key).sortWithinPartitions(*key, "fp").mapInArrow(run, "u long, v long")
+    return dealt.select(*key, "fp").repartition(*key).sortWithinPartitions(*key, "fp").mapInArrow(run, "u long, v long")
 
 
 def near_groups(docs: DataFrame, width: int = 3, radius: int = 3, blocks: int = 5) -> DataFrame:

@@ -71,20 +71,22 @@ def test_empty_table_and_null_ids(spark):
     assert sorted((str(r.doc_id), str(r.component_id)) for r in rows) == [("3", "3"), ("None", "3"), ("None", "None")]
 
 
-def test_large_shards_are_dealt_again_without_loss(spark):
+@pytest.mark.parametrize(("bits", "n", "most"), [(38, 400, 100), (20, 1500, 30)])
+def test_large_shards_are_dealt_again_without_loss(spark, bits, n, most):
     rng = np.random.default_rng(9)
-    base = rng.integers(0, 1 << 38, 400, dtype=np.uint64)  # the upper blocks agree in all
+    base = rng.integers(0, 1 << bits, n, dtype=np.uint64)  # the upper blocks agree in all
     near = base.copy()
     for _ in range(3):
-        near ^= np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)
+        near ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
     rows = [(int(x),) for x in np.unique(np.concatenate((base, near))).view(np.int64)]
     frame = spark.createDataFrame(rows, "fp long")
-    dealt = simhash.dealt_again(simhash.shards(frame), most=100)
-    assert dealt.groupBy("forest", "cell", "shell").count().agg({"count": "max"}).first()[0] <= 100
+    dealt = simhash.dealt_again(simhash.shards(frame), most=most)
+    assert dealt.groupBy("forest", "cell", "shell").count().agg({"count": "max"}).first()[0] <= most
+    assert dealt.agg({"forest": "max"}).first()[0] >= (1_001_000 if bits == 20 else 1000)  # dealt three times, or twice
     where: dict[int, set] = {}
     for r in dealt.collect():
         where.setdefault(r.fp, set()).add((r.forest, r.cell, r.shell))
     for a, b in zip(base.view(np.int64), near.view(np.int64)):
         assert where[int(a)] & where[int(b)]
-    joined = {most: {tuple(r) for r in components(simhash.links(frame, most=most)).collect()} for most in (100, simhash.MOST)}
-    assert joined[100] == joined[simhash.MOST] and len(joined[100]) >= 400
+    joined = [{tuple(r) for r in components(simhash.links(frame, most=m)).collect()} for m in (most, simhash.MOST)]
+    assert joined[0] == joined[1] and len(joined[0]) >= n * 0.9
