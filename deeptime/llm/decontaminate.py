@@ -6,7 +6,8 @@ misses ``n - ceil(threshold * n)`` of them at most. So each item is sketched by
 its smallest shingle hashes: twice as many as an item of its partition may miss,
 and ``SPARE`` more, or all if it has fewer; a document is a candidate for it if
 it holds as many of the sketch as it must when every miss falls into the sketch.
-That number is each partition's own, and no document over the threshold is passed over.
+That number follows from the item's size and its partition's sketch, and no document over
+the threshold is passed over.
 All shingle hashes of the (long) documents are looked up among the sketches; what
 is found is verified by exact containment of the shingles' texts. Everything runs
 on DataFrame functions.
@@ -17,7 +18,7 @@ space, in lower case.
 Defined cases: a null or blank text and an item under five words have no
 shingles and never match; repeated items are reported each, also under a null
 id; rows that repeat an id are judged each by their own text; an item found
-several times in a document is one row; empty tables give an empty result;
+several times in a document is one row; a very long text is split whole in one task; empty tables give an empty result;
 columns beyond ids and texts are not read.
 """
 

@@ -4,13 +4,15 @@ Features are hashed character n-grams of one to three code points of the
 lower-cased whole text, weighted by their share of the text and by the inverse
 document frequency over all training documents. The weights are fitted by
 follow-the-regularised-leader with elastic-net penalties on a sample of
-``PER_LANGUAGE`` training documents a language at most, the one bound here (the
-languages' names and counts are collected; they are few by nature); a temperature is then fitted on a part of the sample that the fit has not
+``PER_LANGUAGE`` training documents a language, the one bound here: at most that many times
+the number of languages in all, of which one language may have a tenth more than its part (the
+languages' names and counts are collected; they are few by nature). A temperature is then fitted on a part of the sample that the fit has not
 seen. As features are linear in the counts, a prediction is a table lookup and a
 sum for each position, never a vector for each document.
 
 Defined cases: a null text or one without a letter (Unicode category L) is ``und`` with score 0; with
 no labelled document everything is ``und``; with one language it is always that;
+a very long text is expanded whole in one task, some tens of bytes for each of its bytes;
 ties go to the language that sorts first; rows that repeat an id are predicted
 each; an empty table gives an empty result; a null id counts as an empty text
 in the split; ``lang``, ``source`` and ids never enter a prediction.
