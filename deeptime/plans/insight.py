@@ -113,10 +113,11 @@ def b7_birth(spark, sf):
     return people.filter(died < F.col("t0")).select("seed_id")
 
 
-@register("b7_near_duplicates", twin("SELECT a.seed_id AS a, b.seed_id AS b FROM named a JOIN named b ON a.name = b.name AND a.type = b.type AND a.seed_id < b.seed_id AND abs(a.t0 - b.t0) <= 864000e0", "entity", more="named AS (SELECT seed_id, 'Customer of ' || (input_order % 300) AS name, type, t0 FROM entity)"))
+@register("b7_near_duplicates", twin("""SELECT a.seed_id AS a, b.seed_id AS b FROM entity a JOIN entity b ON a.type = b.type AND a.seed_id < b.seed_id AND abs(a.t0 - b.t0) <= 864000e0 AND coalesce(abs(a.lon - b.lon) <= 90e0, true) AND coalesce(abs(a.lat - b.lat) <= 90e0, true)
+WHERE levenshtein(lower(a.name), lower(b.name)) <= 2""", "entity"))
 def b7_near(spark, sf):
-    named = bind(spark, sf, "entity").select("seed_id", F.concat(F.lit("Customer of "), (F.col("input_order") % 300).cast("string")).alias("name"), "type", "t0")
-    return I.near_duplicates(named, 864000.0)
+    """Names with up to two letters changed, added or left out, near in time and place."""
+    return I.near_duplicates(bind(spark, sf, "entity"), 864000.0, degrees=90.0)
 
 
 _RATE = "floor(count(*) FILTER (WHERE input_order % 2 = {0}) / CAST((SELECT count(*) FROM spoiled WHERE input_order % 2 = {0}) AS DOUBLE) * 1e6 + 0.5e0) / 1e6"
@@ -141,10 +142,10 @@ def b7_outliers(spark, sf):
     return I.outliers(line.select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", v.alias("v")), ["l_returnflag"], "v").select("l_orderkey", "l_linenumber", "l_partkey", "v")
 
 
-@register("b8_artifact_budgets", twin(f"""SELECT bucket, count(*) AS n, max(bytes) AS largest, quantile_disc(bytes, 0.95) AS p95 FROM (SELECT bucket, CAST(strlen({PS._BODY}) AS BIGINT) AS bytes FROM ranked GROUP BY bucket, win, category) x GROUP BY bucket""", "entity", more=f"{PZ.BUCKETED},\n{PZ.SHOWN},\n{PZ.RANKED}"))
+@register("b8_artifact_budgets", twin(f"""SELECT bucket, count(*) AS n, max(bytes) AS largest, quantile_disc(bytes, 0.95) AS p95 FROM (SELECT bucket, bytes FROM runs JOIN (SELECT bucket, win, category, CAST(strlen({PS._BODY}) AS BIGINT) AS bytes FROM ranked GROUP BY bucket, win, category) t USING (bucket, category) WHERE win = run_start) x GROUP BY bucket""", "entity", more=f"{PZ.BUCKETED},\n{PZ.SHOWN},\n{PZ.RANKED},\n{PZ.BODY},\n{PZ.RUNS}"))
 def b8(spark, sf):
-    """Bytes of the chunk documents."""
-    docs = PS._chunk_documents(spark, sf)
+    """Bytes of the chunk documents of every topic."""
+    docs = PS._chunk_documents(spark, sf).filter("category <> 'all'")
     bucket = F.regexp_extract("key", r"^chunks/T(\d+)/", 1).cast("int")
     return I.size_budgets(docs.select(bucket.alias("bucket"), F.octet_length("body").cast("bigint").alias("bytes")))
 

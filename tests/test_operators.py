@@ -331,3 +331,27 @@ def test_threshold_search_reads_on_until_its_last_place_beats_the_bound(spark):
         for r in M.contemporaries(frame, top=7, read=read).collect():
             got.setdefault(r.sid, set()).add(r.oid)
         assert got == {s: o for s, o in want.items() if o}
+
+
+def test_names_with_letters_changed_are_found(spark):
+    rng = random.Random(10)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    names = ["ab", "", "Siege of Orleans", "siege of orlean", "Battle of Ulm", "Batle of Ulm", "aaaaaaaaaaaa", "abcdefghijk", "abcdefghijklm", "cdefghijk"]
+    for _ in range(120):
+        s = list(rng.choice(names))
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(s) + 1)
+            s[k : k + rng.randrange(2)] = rng.choice(["", "z", "q"])
+        names.append("".join(s))
+    rows = [(f"n{k:03}", n, "event", 10.0 * rng.randrange(4), None if k % 5 == 0 else 1.0 * (k % 3), 0.0) for k, n in enumerate(names)]
+    got = {(r.a, r.b) for r in I.near_duplicates(spark.createDataFrame(rows, "seed_id string, name string, type string, t0 double, lon double, lat double"), 10.0).collect()}
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and abs(a[3] - b[3]) <= 10 and (a[4] is None or b[4] is None or abs(a[4] - b[4]) <= 1) and distance(a[1].lower(), b[1].lower()) <= 2}
+    assert (sorted(got - want)[:3], sorted(want - got)[:3]) == ([], []) and len(want) > 100
