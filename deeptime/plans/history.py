@@ -93,8 +93,11 @@ def f12(spark, sf):
     return g.select("l_suppkey", D.ratio(F.col("a"), F.col("n")).alias("ratio"))
 
 
-@register("a1_census", twin(f"""SELECT type, slice, span, count(*) AS n, count(*) FILTER (WHERE lon IS NOT NULL) AS has_coordinates, count(*) FILTER (WHERE wikipedia <> '') AS has_article, count(*) FILTER (WHERE lon IS NOT NULL AND wikipedia <> '') AS has_all
-FROM (SELECT *, floor(cy / 100) * 100 AS slice, 100e0 AS span FROM (SELECT *, {_CY} AS cy FROM entity) a) b GROUP BY GROUPING SETS ((type, slice, span), (slice, span), (type), ())""", "entity"))
+A1_SQL = twin(f"""SELECT type, slice, span, count(*) AS n, count(*) FILTER (WHERE lon IS NOT NULL) AS has_coordinates, count(*) FILTER (WHERE wikipedia <> '') AS has_article, count(*) FILTER (WHERE lon IS NOT NULL AND wikipedia <> '') AS has_all
+FROM (SELECT *, floor(cy / 100) * 100 AS slice, 100e0 AS span FROM (SELECT *, {_CY} AS cy FROM entity) a) b GROUP BY GROUPING SETS ((type, slice, span), (slice, span), (type), ())""", "entity")
+
+
+@register("a1_census", A1_SQL)
 def a1(spark, sf):
     return D.census(bind(spark, sf, "entity"))
 

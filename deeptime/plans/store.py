@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from deeptime.catalog import register
 from deeptime.fixtures import bind, twin
+from deeptime.functions import time as T
+from deeptime.operators import dating as D
 from deeptime.operators import model as M
 from deeptime.operators import polygons as G
 from deeptime.operators import sweep as SW
 from deeptime.operators import viewport as VP
 from deeptime.operators import zoom as Z
+from deeptime.plans import history as PH
 from deeptime.plans import layers as PL
 from deeptime.plans import zoom as PZ
 from deeptime.sources import model_io as IO
@@ -343,8 +346,8 @@ def _arrivals(spark, sf, twice: bool):
     return path
 
 
-@register("st1_incremental_ingest", "SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events")
-def st1(spark, sf):
+@register("st1_arriving_rows", "SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events")
+def st1_rows(spark, sf):
     target = _fresh(spark, "ingested")
     ST.ingest(spark, _arrivals(spark, sf, False), _EVENTS, target, _fresh(spark, "stream"), "event_id").awaitTermination()
     return spark.read.parquet(f"{target}/rows").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("ids"))
@@ -357,6 +360,57 @@ def st2(spark, sf):
     return spark.read.parquet(f"{target}/repeats").groupBy("event_id").agg(F.sum("n").alias("n"))
 
 
+def _streamed(spark, sf, repeated):
+    """Record parts drained twice: the even files first, then the odd ones, with some records of the even ones again."""
+    source, target, state = (_fresh(spark, x) for x in ("parts", "model", "stream"))
+    lines = written(_record_lines(spark, sf), "record-lines")
+    name = F.regexp_extract("_path", r"file=(\d+)", 1).cast("bigint")
+    later = lines.filter("file % 2 = 1")
+    if repeated:
+        o = F.col("ord")
+        again = lines.filter((F.col("file") % 2 == 0) & (o % 31 != 0) & (o % 37 != 0) & (o % 41 != 0) & (o % 50 == 1))
+        later = later.unionByName(again.withColumn("file", F.lit(1000001).cast("bigint")))
+    for k, part in enumerate((lines.filter("file % 2 = 0"), later)):
+        _as_files(part, f"{source}/drain-{k}")
+        ST.ingest_records(spark, source, target, state, fatal=False, name=name).awaitTermination()
+    return target
+
+
+@register("st1_incremental_ingest", twin(f"SELECT file, line, CASE WHEN kind = 'record' THEN 'accepted' ELSE kind END AS outcome FROM ({_LINES.format(_KIND.format(repr('skipped'), ''))}) x WHERE kind <> 'skipped'", "entity"))
+def st1(spark, sf):
+    """Newline-delimited parts through numbering, parsing and validation into the model, in two drains."""
+    target = _streamed(spark, sf, repeated=False)
+    accepted = ST.streamed_model(spark, target)["entity"].select("file", "line", F.lit("accepted").alias("outcome"))
+    return accepted.unionByName(spark.read.parquet(f"{target}/rejects").select("file", "line", F.col("reason").alias("outcome")))
+
+
+@register("st1_streamed_model", twin("SELECT count(*) AS n, CAST(sum(input_order) AS BIGINT) AS orders, count(DISTINCT seed_id) AS ids, count(DISTINCT category) AS categories, min(y) AS least, max(y) AS most FROM (SELECT row_number() OVER (ORDER BY input_order // 2000, input_order) - 1 AS input_order, seed_id, cat0 AS category, 1900 + input_order % 200 AS y FROM entity WHERE input_order % 31 <> 0 AND input_order % 37 <> 0 AND input_order % 41 <> 0) x", "entity"))
+def st1_model(spark, sf):
+    """The streamed model as one: its order has no gaps, its tables belong together."""
+    m = ST.streamed_model(spark, _streamed(spark, sf, repeated=False))
+    year = F.round(T.seconds_to_year(F.col("t0"))).cast("long")
+    rows = m["entity"].join(m["entity_category"], "seed_id")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("input_order").alias("orders"), F.countDistinct("seed_id").alias("ids"), F.countDistinct("category").alias("categories"), F.min(year).alias("least"), F.max(year).alias("most"))
+
+
+@register("st2_repeated_records", twin("SELECT row_number() OVER (ORDER BY input_order) AS line, 'repeated id' AS reason FROM entity WHERE (input_order // 2000) % 2 = 0 AND input_order % 31 <> 0 AND input_order % 37 <> 0 AND input_order % 41 <> 0 AND input_order % 50 = 1", "entity"))
+def st2_records(spark, sf):
+    """Records whose ids an earlier drain had: rejects, where they are not fatal."""
+    return spark.read.parquet(f"{_streamed(spark, sf, repeated=True)}/rejects").filter("file = 1000001").select("line", "reason")
+
+
+@register("st3_census", PH.A1_SQL)
+def st3_census(spark, sf):
+    """The census kept up batch by batch: what the one-pass census gives."""
+    source, target = _fresh(spark, "arrivals"), _fresh(spark, "census")
+    e = bind(spark, sf, "entity").select("type", "t0", "precision", "lon", "wikipedia")
+    e.repartition(24).write.parquet(source)
+    schema = "type string, t0 double, precision string, lon double, wikipedia string"
+    keys = ["type", "slice", "span"]
+    ST.keep_sums(spark, source, schema, target, _fresh(spark, "stream"), D.census, keys).awaitTermination()
+    return ST.sums(spark, target, keys)
+
+
 @register("st3_running_counters", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def st3(spark, sf):
     target = _fresh(spark, "counters")

@@ -17,7 +17,7 @@ RECORD = (
 )
 
 
-#: A bulk line of more bytes than this is rejected unread.
+#: A bulk line of more bytes than this is rejected unparsed.
 MAX_LINE_BYTES = 1 << 20
 
 
@@ -34,6 +34,11 @@ def numbered_lines(spark: SparkSession, path: str, name: Column | None = None) -
     """
     file = file_name() if name is None else name
     raw = spark.read.text(path).select(file.alias("file"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value")
+    return number_lines(raw)
+
+
+def number_lines(raw: DataFrame) -> DataFrame:
+    """``file, line, value`` of read lines ``(file, _path, _block, _at, value)``; ``_at`` ascends within a block."""
     rows = written(raw, "lines")
     sizes = rows.groupBy("_path", "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("_path").orderBy("_block")) - F.col("_n")
@@ -76,6 +81,13 @@ def manifest_faults(spark: SparkSession, path: str, manifest: DataFrame, name: C
     return j.select("file", why.alias("fault")).filter("fault IS NOT NULL")
 
 
+def normalized(records: DataFrame) -> DataFrame:
+    """Parsed records as rows of the model: an entity's columns, its ``categories``, ``rel`` and ``props``; an end that isn't given is the start."""
+    t0 = authored_time(F.col("t0"))
+    own = {"seed_id": F.col("id"), "t0": t0, "t1": F.when(F.col("t1").isNull(), t0).otherwise(authored_time(F.col("t1"))), "lon": F.get("point", F.lit(0)), "lat": F.get("point", F.lit(1))}
+    return records.select("file", "line", "type", "name", "description", "precision", "status", "importance", "wikidata", "wikipedia", "categories", "rel", "props", *(c.alias(k) for k, c in own.items()))
+
+
 def authored_time(text: Column) -> Column:
     """Seconds of ``YYYY-MM-DD``, an RFC 3339 instant or ``{"y": n}``; null for anything else."""
     year = F.get_json_object(text, "$.y").try_cast("double")
