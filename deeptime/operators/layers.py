@@ -211,6 +211,16 @@ def map_mode(paleo: Column, political: Column, year: Column, political_to: Colum
     return F.when(paleo, "paleo").when(political, "political").when(year > political_to, "modern").otherwise("void")
 
 
+# Fixed value: the year in which Earth forms.
+EARTH_FORMED_YEAR = -4.54e9
+
+
+def void_reason(year: Column, paleo_from: Column) -> Column:
+    """Why a year has no map; null where the reason is none of these."""
+    early = F.concat(F.lit("no map: no reconstruction earlier than "), F.floor(-paleo_from / 1e6 + 0.5).cast("string"), F.lit(" Ma"))
+    return F.when(year < EARTH_FORMED_YEAR, "no map: Earth does not exist yet (it forms \u2248 4.54 Ga)").when(year < paleo_from, early)
+
+
 def budget_ladder(sizes: DataFrame, budget: int) -> DataFrame:
     """For each slice the first tolerance whose size fits the budget, else the last. ``sizes(slice, step, bytes)``."""
     fits = F.min(F.when(F.col("bytes") <= budget, F.col("step")))

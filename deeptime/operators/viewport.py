@@ -30,10 +30,23 @@ def runs_in_view(windowed: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def items_in_view(windowed: DataFrame, runs: DataFrame, ranked: DataFrame, categories: list[str] | None = None) -> DataFrame:
-    """Distinct items of the chunks of the categories (all of them if none is named) that each view reads, at or over its importance floor."""
-    need = runs_in_view(windowed, runs if categories is None else runs.filter(F.col("category").isin(categories))).withColumnRenamed("run_start", "win")
+    """``view_id, rank, slug, importance``: distinct items of the chunks that each view reads, at or over its importance floor, most important first.
+
+    ``ranked(bucket, win, category, slug, importance)`` are the items at run starts.
+    ``categories`` names the chunks that are read; none named are those of ``all``, and None are those of every topic.
+    """
+    if categories is not None:
+        runs = runs.filter(F.col("category").isin(categories or ["all"]))
+    need = runs_in_view(windowed, runs).withColumnRenamed("run_start", "win")
     got = ranked.join(need, ["bucket", "win", "category"]).join(small(windowed.select("view_id", "min_importance")), "view_id")
-    return got.filter(F.col("importance") >= F.col("min_importance")).select("view_id", "slug", "importance").distinct()
+    items = got.filter(F.col("importance") >= F.col("min_importance")).select("view_id", "slug", "importance").distinct()
+    return items.withColumn("rank", F.row_number().over(Window.partitionBy("view_id").orderBy(F.desc("importance"), "slug")))
+
+
+def run_items(runs: DataFrame, entities: DataFrame) -> DataFrame:
+    """``bucket, win, category, slug, importance`` of runs that hold their ``items``, by their first windows."""
+    each = runs.select("bucket", F.col("run_start").alias("win"), "category", F.explode("items").alias("slug"))
+    return each.join(entities.select("slug", "importance"), "slug")
 
 
 def touches(v0: Column, v1: Column, t0: Column, t1: Column) -> Column:

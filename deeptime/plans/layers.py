@@ -346,3 +346,9 @@ def f15(spark, sf):
     y = F.floor(T.seconds_to_year(F.col("t0"))) + F.col("input_order") % 60
     j = L.covering(bind(spark, sf, "entity").select("input_order", y.alias("y")), F.col("y"), bind(spark, sf, "slice"))
     return j.select("input_order", L.map_mode(F.col("y") < 1996, F.col("slice_year").isNotNull(), F.col("y"), F.lit(2035)).alias("mode"))
+
+
+@register("f15_void_reasons", "SELECT event_id, CASE WHEN y < -4.54e9 THEN 'no map: Earth does not exist yet (it forms \u2248 4.54 Ga)' WHEN y < -1e9 - (event_id % 7) * 1e8 THEN 'no map: no reconstruction earlier than ' || (1000 + event_id % 7 * 100) || ' Ma' END AS reason FROM (SELECT event_id, -1e6 * CAST(event_id % 6000 AS DOUBLE) AS y FROM events) e")
+def f15_reasons(spark, sf):
+    e = _read(spark, sf, "events").select("event_id", (F.lit(-1e6) * (F.col("event_id") % 6000).cast("double")).alias("y"))
+    return e.select("event_id", L.void_reason(F.col("y"), F.lit(-1e9) - (F.col("event_id") % 7) * 1e8).alias("reason"))

@@ -145,18 +145,17 @@ def s4(spark, sf):
     return out
 
 
-@register("s4_table_order", twin("SELECT 'claim' AS name, count(*) AS n, 0 AS out_of_order FROM claim UNION ALL SELECT 'relationship', count(*), 0 FROM relationship", "claim", "relationship"))
+@register("s4_table_order", twin("SELECT 'claim' AS name, count(*) AS n, 0 AS out_of_order, CAST(count(*) FILTER (WHERE seed_id < (SELECT max(seed_id) FROM claim WHERE seed_id LIKE '%7')) AS BIGINT) AS behind FROM claim WHERE seed_id NOT LIKE '%7'", "claim"))
 def s4_order(spark, sf):
-    """Rows that lie behind their key's place in the files of the written tables."""
-    path = _fresh(spark, "model")
+    """Rows that lie behind their key's place: none in the written table; in one that is written in two files, the first with the ids that end in seven, all that sort before these."""
+    claim, path = bind(spark, sf, "claim"), _fresh(spark, "model")
     IO.write_model(path, **_model(spark, sf))
-    out = None
-    for name in ("claim", "relationship"):
-        rows = spark.read.parquet(f"{path}/{name}").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"), F.struct("seed_id", "ord").alias("key"))
-        behind = F.lag("key").over(Window.partitionBy("file").orderBy("at")) > F.col("key")
-        one = rows.withColumn("behind", behind).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.count_if("behind").cast("int").alias("out_of_order"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    sound = IO.out_of_order(spark, f"{path}/claim", IO.KEYS["claim"]).count()
+    spoiled, first = _fresh(spark, "spoiled"), F.col("seed_id").endswith("7")
+    for k, part in enumerate((claim.filter(first), claim.filter(~first))):
+        part.coalesce(1).sortWithinPartitions("seed_id", "ord").write.parquet(f"{spoiled}/file={k}")
+    bad = IO.out_of_order(spark, spoiled, ["seed_id", "ord"])
+    return claim.filter(~first).agg(F.lit("claim").alias("name"), F.count(F.lit(1)).alias("n"), F.lit(sound).cast("int").alias("out_of_order"), F.lit(bad.count()).alias("behind"))
 
 
 @register("s5_model_faults", twin("""SELECT 'half a point' AS fault, seed_id AS id FROM entity WHERE lon IS NOT NULL AND input_order % 50 = 1 AND input_order % 40 <> 3 UNION ALL
@@ -281,6 +280,12 @@ def a17(spark, sf):
     return R.file_digests(spark, path, _file_key()).join(lines, "file")
 
 
+@register("a17_derived_version", twin(f"SELECT 'seed-' || substr(sha256(string_agg(sha256(content), '' ORDER BY file)), 1, 8) AS version FROM ({_FILE}) f", "entity"))
+def a17_version(spark, sf):
+    """The set's version, which any change of any file changes."""
+    return R.derived_version(R.file_digests(spark, _plain_files(spark, sf), _file_key()))
+
+
 @register("s1_manifest_faults", twin(f"SELECT coalesce(file, -1) AS file, CASE WHEN file IS NULL THEN 'missing' WHEN file % 3 = 1 THEN 'sha256' ELSE 'count' END AS fault FROM (SELECT file FROM ({_FILE}) f WHERE file % 3 <> 0 UNION ALL SELECT NULL) x", "entity"))
 def s1_manifest(spark, sf):
     """A manifest with a wrong digest, a wrong count or a file too many, against the files."""
@@ -326,6 +331,24 @@ def q1(spark, sf):
     return IO.golden_faults(views, chunks.select(*Z.CELL, "slug"))
 
 
+@register("q1_golden_years", twin("""SELECT 'y' || win || category AS name, 'has ' || slug AS fault FROM ranked WHERE bucket = 10 AND rank = 3
+UNION ALL SELECT DISTINCT 'u' || win || category, 'unknown bucket T14' FROM ranked WHERE bucket = 10 AND category = 'war' UNION ALL SELECT DISTINCT 'z' || win || category, 'no chunk' FROM ranked WHERE bucket = 10 AND category = 'life' AND win <> 0""", "entity", more=_CELLS))
+def q1_years(spark, sf):
+    """Views by year instead of window: they want the first item and bar the third; some name no bucket that there is, some no year."""
+    chunks = written(PZ._topical(spark, sf), "chunks")
+    cells = chunks.filter("bucket = 10").groupBy(*Z.CELL).agg(F.max(F.when(F.col("rank") == 1, F.col("slug"))).alias("a"), F.max(F.when(F.col("rank") == 3, F.col("slug"))).alias("b"))
+    tail = F.concat(F.col("win").cast("string"), F.col("category"))
+    none = F.array().cast("array<string>")
+
+    def views(df, mark, bucket, year, include, exclude):
+        return df.select(F.concat(F.lit(mark), tail).alias("name"), F.lit(bucket).alias("bucket_id"), year.alias("year"), "category", include.alias("include"), exclude.alias("exclude"), F.lit(1).alias("min_items"), F.lit(200).alias("max_items"))
+
+    year = F.col("win") + F.lit(1970.5)
+    every = views(cells, "y", "T10", year, F.array("a"), F.array_compact(F.array("b")))
+    every = every.unionByName(views(cells.filter("category = 'war'"), "u", "T14", year, none, none)).unionByName(views(cells.filter("category = 'life' AND win <> 0"), "z", "T10", F.lit(None).cast("double"), none, none))
+    return IO.release_gate(every, "seed-1", "seed-1", chunks.select(*Z.CELL, "slug"))
+
+
 @register("q5_release_completeness", "SELECT 'c/' || c_custkey AS key, CASE WHEN c_custkey % 9 = 0 THEN 'missing' ELSE 'not advertised' END AS fault FROM customer WHERE (c_custkey % 9 = 0) <> (c_custkey % 8 = 0)")
 def q5(spark, sf):
     c, k = _read(spark, sf, "customer"), F.col("c_custkey")

@@ -11,7 +11,6 @@ from deeptime.functions import vocab as V
 from deeptime.operators import sweep as SW
 from deeptime.operators import viewport as VP
 from deeptime.operators import zoom as Z
-from deeptime.sources.scratch import written
 
 
 def _cats():
@@ -141,12 +140,31 @@ def j15(spark, sf):
     return VP.runs_in_view(VP.with_windows(bind(spark, sf, "viewport")), _runs(spark, sf))
 
 
-@register("u2_viewport_union", twin("""SELECT DISTINCT view_id, slug, r.importance FROM seen JOIN runs ON runs.bucket = seen.bucket AND run_end >= w0 AND run_start <= w1
-JOIN ranked r ON r.bucket = runs.bucket AND r.category = runs.category AND r.win = run_start WHERE r.importance >= min_importance""", "entity", "viewport", more=_ALL))
+_UNION = """SELECT view_id, slug, importance, row_number() OVER (PARTITION BY view_id ORDER BY importance DESC, slug) AS rank FROM (SELECT DISTINCT view_id, slug, r.importance FROM seen JOIN runs ON runs.bucket = seen.bucket AND run_end >= w0 AND run_start <= w1
+JOIN ranked r ON r.bucket = runs.bucket AND r.category = runs.category AND r.win = run_start WHERE r.importance >= min_importance AND {0}) u"""
+
+
+def _union(spark, sf, categories):
+    views, entities = VP.with_windows(bind(spark, sf, "viewport")), _with_categories(spark, sf)
+    runs = SW.chunk_runs(entities, F.col("cats"), guarded=categories == [], items=True)
+    return VP.items_in_view(views, runs.drop("items"), VP.run_items(runs, entities), categories)
+
+
+@register("u2_viewport_union", twin(_UNION.format("true"), "entity", "viewport", more=_ALL))
 def u2(spark, sf):
-    """The union over all categories that have chunks of their own."""
-    views, ranked, runs = VP.with_windows(bind(spark, sf, "viewport")), _topical(spark, sf), written(_runs(spark, sf), "runs")
-    return VP.items_in_view(views, runs, ranked)
+    """The union over every topic."""
+    return _union(spark, sf, None)
+
+
+@register("u2_chosen_categories", twin(_UNION.format("r.category IN ('war', 'life', 'earth')"), "entity", "viewport", more=_ALL))
+def u2_chosen(spark, sf):
+    return _union(spark, sf, ["war", "life", "earth"])
+
+
+@register("u2_all_categories")
+def u2_all(spark, sf):
+    """No category is chosen: the chunks of ``all``."""
+    return _union(spark, sf, [])
 
 
 _FLAGS = """flags AS (SELECT view_id, slug, input_order, importance, (t >= 0) AS x, lane, on_map, later FROM (SELECT view_id, e.seed_id AS slug, input_order, importance, 0 AS t,

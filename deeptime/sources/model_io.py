@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from deeptime.functions import time as T
 from deeptime.operators.model import child_counts, missing_targets, order_gaps
 from deeptime.sources.scratch import small, written
 
@@ -15,7 +16,9 @@ KEYS = {"entity": ["input_order"], "entity_category": ["seed_id", "ord"], "relat
 
 
 def write_model(path: str, **tables: DataFrame) -> None:
-    """Write the tables, each globally ordered; an existing table is never overwritten."""
+    """Write the tables, each globally ordered; an existing table is never overwritten, and rows that are bucketized already are refused."""
+    if bucketed := {"bucket_min", "bucket_max"}.intersection(tables["entity"].columns):
+        raise ValueError(f"entity rows are bucketized already: {', '.join(sorted(bucketed))}")
     for name, key in KEYS.items():
         tables[name].repartitionByRange(*key).sortWithinPartitions(*key).write.mode("errorifexists").option("compression", "zstd").parquet(f"{path}/{name}")
 
@@ -177,6 +180,33 @@ def golden_faults(views: DataFrame, chunks: DataFrame) -> DataFrame:
     return fails.unionByName(wanted).unionByName(barred)
 
 
+def out_of_order(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """``file, at``: rows of a written table that lie behind their key's place, within a file or against the files before it."""
+    rows = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"), F.struct(*keys).alias("key"))
+    before = F.lag("key").over(Window.partitionBy("file").orderBy("at"))
+    # a row for each file
+    last = rows.groupBy("file").agg(F.max("key").alias("last"))
+    earlier = small(last.select("file", F.max("last").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier")))
+    met = rows.withColumn("before", before).join(earlier, "file")
+    return met.filter((F.col("before") > F.col("key")) | (F.col("earlier") > F.col("key"))).select("file", "at")
+
+
+def resolved_views(views: DataFrame) -> DataFrame:
+    """Expected views ``(name, bucket_id, year, ...)`` with their ``bucket`` and ``win``: the window that holds the year, 0 without one; no bucket where the name is none."""
+    bucket = F.when(F.col("bucket_id").rlike("^T([0-9]|1[0-3])$"), F.substring("bucket_id", 2, 2).cast("int"))
+    win = F.when(F.col("year").isNull(), F.lit(0).cast("bigint")).otherwise(T.window_index(T.year_to_seconds(F.col("year")), T.window_s(F.col("bucket"))))
+    return views.withColumn("bucket", bucket).withColumn("win", win)
+
+
+def release_gate(views: DataFrame, pinned: str, version: str, chunks: DataFrame) -> DataFrame:
+    """``name, fault`` of everything that bars a release: views pinned to another seed, unknown buckets, failures of views."""
+    if pinned != version:
+        return views.sparkSession.createDataFrame([("goldens", f"pinned to {pinned} but the seed is {version}")], "name string, fault string")
+    known = resolved_views(views)
+    unknown = known.filter("bucket IS NULL").select("name", F.concat(F.lit("unknown bucket "), "bucket_id").alias("fault"))
+    return unknown.unionByName(golden_faults(known.filter("bucket IS NOT NULL").drop("bucket_id", "year"), chunks))
+
+
 def latest_release(releases: DataFrame) -> DataFrame:
     """Newest release of each dataset; earlier ones stay for rollback."""
     w = Window.partitionBy("dataset").orderBy(F.desc("generated_at"), F.desc("version"))

@@ -71,6 +71,12 @@ def file_digests(spark: SparkSession, path: str, name: Column | None = None) ->
     return spark.read.format("binaryFile").load(path).select(file.alias("file"), F.length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def derived_version(digests: DataFrame) -> DataFrame:
+    """``version`` of a curated set, from the digests of its files in the order of their names."""
+    each = F.transform(F.array_sort(F.collect_list(F.struct("file", "sha256"))), lambda x: x["sha256"])
+    return digests.agg(F.concat(F.lit("seed-"), F.substring(F.sha2(F.array_join(each, "").cast("binary"), 256), 1, 8)).alias("version"))
+
+
 def manifest_faults(spark: SparkSession, path: str, manifest: DataFrame, name: Column | None = None) -> DataFrame:
     """Files of ``manifest(file, sha256, count)`` that are missing or differ."""
     content = file_digests(spark, path, name).select("file", F.col("sha256").alias("have"))

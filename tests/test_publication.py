@@ -52,3 +52,17 @@ def test_of_two_writers_one_is_told(spark):
     assert IO.pointer(spark, root).version == "a"
     with pytest.raises(RuntimeError, match="meanwhile"):
         IO._point(spark, root, 7, "c", "late")
+
+
+def test_views_pinned_to_another_seed_bar_the_release(spark):
+    views = spark.createDataFrame([("v", "T3", 5.0, "war", ["a"], ["b"], 1, 2)], "name string, bucket_id string, year double, category string, include array<string>, exclude array<string>, min_items int, max_items int")
+    chunks = spark.createDataFrame([(3, -1, "war", "a")], "bucket int, win long, category string, slug string")
+    assert IO.release_gate(views, "seed-1", "seed-2", chunks).collect() == [("goldens", "pinned to seed-1 but the seed is seed-2")]
+    assert IO.release_gate(views, "s", "s", chunks).collect() == []
+    assert {r.fault for r in IO.release_gate(views.withColumn("year", views.year * 0 + 1e8), "s", "s", chunks).collect()} == {"no chunk"}
+
+
+def test_bucketized_rows_are_not_written_as_a_model(spark):
+    rows = spark.createDataFrame([(1, 2)], "input_order int, bucket_min int")
+    with pytest.raises(ValueError, match="bucketized"):
+        IO.write_model("/nowhere", entity=rows)
