@@ -64,12 +64,21 @@ def claim_parts(parsed: DataFrame, properties: list[str]) -> DataFrame:
     """``id, property, pos, statement, broken`` of the items' claims for the properties.
 
     ``broken`` says why there is no statement: a group that is no array, or a part that is no object.
+    A group is parsed at once; only one of which that leaves a part without a statement is taken apart.
     """
-    items = parsed.filter("type = 'item'").select("id", F.explode(F.map_filter("claims", lambda k, _: k.isin(properties))).alias("property", "raw"))
+    items = parsed.filter("type = 'item'").select("id", F.explode(F.array(*(F.struct(F.lit(p).alias("property"), F.col("claims")[p].alias("raw")) for p in properties))).alias("x"))
+    items = items.select("id", "x.property", "x.raw").filter("raw IS NOT NULL").withColumn("whole", F.from_json("raw", f"array<{_STATEMENT}>"))
     group = F.when(F.col("raw").startswith("["), F.from_json("raw", "array<string>")).otherwise(F.array(F.lit(None).cast("string")))
-    each = items.select("id", "property", (~F.col("raw").startswith("[")).alias("odd"), F.posexplode(group).alias("pos", "text"))
-    broken = F.when(F.col("odd"), "claim_group_not_an_array").when(~F.coalesce(F.col("text").startswith("{"), F.lit(False)), "statement_not_an_object")
-    return each.select("id", "property", "pos", F.when(broken.isNull(), F.from_json("text", _STATEMENT)).alias("statement"), broken.alias("broken"))
+    odd = ~F.col("raw").startswith("[")
+
+    def part(text):
+        broken = F.when(odd, "claim_group_not_an_array").when(~F.coalesce(text.startswith("{"), F.lit(False)), "statement_not_an_object")
+        return F.struct(F.when(broken.isNull(), F.from_json(text, _STATEMENT)).alias("statement"), broken.alias("broken"))
+
+    sound = ~odd & F.col("whole").isNotNull() & F.forall("whole", lambda s: s.isNotNull() & s["mainsnak"].isNotNull())
+    plain = F.transform("whole", lambda s: F.struct(s.alias("statement"), F.lit(None).cast("string").alias("broken")))
+    each = items.select("id", "property", F.posexplode(F.when(F.coalesce(sound, F.lit(False)), plain).otherwise(F.transform(group, part))).alias("pos", "part"))
+    return each.select("id", "property", "pos", "part.statement", "part.broken")
 
 
 def statements(parsed: DataFrame, properties: list[str]) -> DataFrame:
