@@ -17,6 +17,7 @@ from deeptime.operators import zoom as Z
 from deeptime.plans import history as PH
 from deeptime.plans import layers as PL
 from deeptime.plans import zoom as PZ
+from deeptime.sources import digest_tree as DT
 from deeptime.sources import model_io as IO
 from deeptime.sources import records as R
 from deeptime.sources.scratch import fresh as _fresh
@@ -305,6 +306,23 @@ def a18(spark, sf):
     return parts["orders"].unionByName(parts["customer"]).unionByName(parts["nation"])
 
 
+_WIDTH = 500
+
+
+@register("a18_changed_ranges", f"""SELECT CAST(k AS BIGINT) * {_WIDTH} AS lo, CAST(k AS BIGINT) * {_WIDTH} + {_WIDTH} AS hi, CASE WHEN k % 10 = 7 THEN 'removed' WHEN k % 10 = 8 THEN 'added' ELSE 'changed' END AS change FROM (
+SELECT o_orderkey // {_WIDTH} AS k, bool_or(o_orderkey % 1009 = 3) AS touched FROM orders GROUP BY o_orderkey // {_WIDTH}) x WHERE touched OR k % 10 IN (7, 8)""")
+def a18_ranges(spark, sf):
+    """Two versions of the orders: some prices differ, some ranges of keys only one of them has."""
+    o = _read(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    part = F.floor(k / _WIDTH) % 10
+    price = F.when(k % 1009 == 3, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    old, new = _fresh(spark, "tree"), _fresh(spark, "tree")
+    DT.write(o.filter(part != 8), k, _WIDTH, old)
+    DT.write(o.filter(part != 7).withColumn("o_totalprice", price), k, _WIDTH, new)
+    return DT.changed_ranges(spark, old, new, _WIDTH)
+
+
 @register("j16_golden_views", twin("""SELECT 'v' || bucket || '/' || win || category AS name, 'has ' || slug AS fault FROM ranked WHERE category IN ('war', 'life') AND rank = 3
 UNION ALL SELECT DISTINCT 'v' || bucket || '/' || win || category, 'lacks none-such' FROM ranked WHERE category = 'war' AND win % 5 = 0 UNION ALL SELECT DISTINCT 'x' || bucket || '/' || win || category, 'no chunk' FROM ranked WHERE category = 'life' AND win % 7 = 0""", "entity", more=_CELLS))
 def j16(spark, sf):

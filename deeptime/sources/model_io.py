@@ -147,15 +147,20 @@ def roll_back(spark: SparkSession, root: str, release: str) -> None:
     _point(spark, root, pointer(spark, root).seq + 1, found.version, release)
 
 
-def table_digest(df: DataFrame) -> DataFrame:
-    """One row ``(n, digest)``, the same for any order or partitioning of the rows.
+def row_sums(df: DataFrame, *group: str) -> DataFrame:
+    """``n, digest`` of the rows of each group, the same for any order or partitioning of the rows.
 
     Row digests are summed in exact decimals by quarters, so nothing is collected.
     """
-    h = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).cast("binary"), 256)
+    h = F.sha2(F.to_json(F.struct(*sorted(c for c in df.columns if c not in group)), {"ignoreNullFields": "false"}).cast("binary"), 256)
     quarter = lambda k: F.sum(F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).alias(f"q{k}")
-    g = df.select(h.alias("h")).agg(F.count(F.lit(1)).alias("n"), *map(quarter, range(4)))
-    return g.select("n", F.sha2(F.concat_ws(",", "n", *(F.col(f"q{k}").cast("string") for k in range(4))).cast("binary"), 256).alias("digest"))
+    g = df.select(*group, h.alias("h")).groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *map(quarter, range(4)))
+    return g.select(*group, "n", F.sha2(F.concat_ws(",", "n", *(F.col(f"q{k}").cast("string") for k in range(4))).cast("binary"), 256).alias("digest"))
+
+
+def table_digest(df: DataFrame) -> DataFrame:
+    """One row ``(n, digest)`` of a whole table."""
+    return row_sums(df)
 
 
 def release_faults(advertised: DataFrame, artifacts: DataFrame) -> DataFrame:
