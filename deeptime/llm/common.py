@@ -58,7 +58,7 @@ def arrow_rows(spark: SparkSession, n: int):
 
 
 #: Name of the row key that stages add, where ids may be null or repeat.
-ROW = "__row"
+ROW = "__deeptime_row"
 
 
 def keyed(docs: DataFrame) -> DataFrame:

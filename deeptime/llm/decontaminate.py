@@ -68,8 +68,8 @@ def _leaks(given: DataFrame, items: DataFrame, threshold: float, width: int) ->
     hashes = stored(kept.select("h").distinct(), "item-hashes")
     met = stored(probe.join(broadcast_if_small(hashes, BROADCAST_HASHES), "h", "left_semi").select(ROW, "h").distinct(), "met")
     pairs = met.join(kept, "h").groupBy(ROW, "item").agg(F.count(F.lit(1)).alias("held"), F.first("needed").alias("needed")).filter("held >= needed")
-    pairs = stored(pairs.select(F.col(ROW).alias("__met"), "item"), "candidates")
-    found = given.select(ROW, "doc_id", words(F.col("text")).alias("w")).join(broadcast_if_small(pairs, BROADCAST_IDS), F.col(ROW) == F.col("__met"))
+    pairs = stored(pairs.select(F.col(ROW).alias("__deeptime_met"), "item"), "candidates")
+    found = given.select(ROW, "doc_id", words(F.col("text")).alias("w")).join(broadcast_if_small(pairs, BROADCAST_IDS), F.col(ROW) == F.col("__deeptime_met"))
     found = found.select(ROW, "doc_id", "item", F.array_distinct(shingle_texts(F.col("w"), width)).alias("own"))
     checked = found.join(sketches.select("item", "item_id", "n_shingles", "shingles"), "item").select(
         ROW, "doc_id", "item_id", "n_shingles", F.size(F.array_intersect("own", "shingles")).cast("long").alias("n_found")
@@ -85,8 +85,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
 def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """``docs`` without the documents that hold a test item; columns unchanged."""
     given = keyed(docs)
-    leaks = stored(_leaks(given.select(ROW, "doc_id", "text"), items, threshold, width).select(F.col(ROW).alias("__out")).distinct(), "leaking-rows")
-    return given.join(broadcast_if_small(leaks, BROADCAST_IDS), F.col(ROW) == F.col("__out"), "left_anti").drop(ROW)
+    leaks = stored(_leaks(given.select(ROW, "doc_id", "text"), items, threshold, width).select(F.col(ROW).alias("__deeptime_out")).distinct(), "leaking-rows")
+    return given.join(broadcast_if_small(leaks, BROADCAST_IDS), F.col(ROW) == F.col("__deeptime_out"), "left_anti").drop(ROW)
 
 
 _WORDS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x00-/:-`{-\\x7f]+'), lambda x: x <> '')"

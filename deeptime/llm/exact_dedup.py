@@ -103,9 +103,9 @@ def keep_first(docs: DataFrame, index: DigestIndex | None = None, batch: str | N
     rows = stored(digests(given, ROW), "digests")
     new = _resolve(rows, index or DigestIndex(docs.sparkSession), batch).filter("is_new").select("text_sha256")
     first = rows.groupBy("text_sha256").agg(F.max(F.struct("doc_id", ROW)).alias("first"))
-    kept = stored(first.join(new, "text_sha256", "left_semi").select(F.col(f"first.{ROW}").alias("__kept")), "kept-rows")
-    dropped = stored(rows.join(kept, F.col(ROW) == F.col("__kept"), "left_anti").select(F.col(ROW).alias("__out")), "dropped-rows")
-    return given.join(broadcast_if_small(dropped, BROADCAST_ROWS), F.col(ROW) == F.col("__out"), "left_anti").drop(ROW)
+    kept = stored(first.join(new, "text_sha256", "left_semi").select(F.col(f"first.{ROW}").alias("__deeptime_kept")), "kept-rows")
+    dropped = stored(rows.join(kept, F.col(ROW) == F.col("__deeptime_kept"), "left_anti").select(F.col(ROW).alias("__deeptime_out")), "dropped-rows")
+    return given.join(broadcast_if_small(dropped, BROADCAST_ROWS), F.col(ROW) == F.col("__deeptime_out"), "left_anti").drop(ROW)
 
 
 SQL = """

@@ -167,8 +167,8 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, n_docs: int) -> tuple[Da
     # at the threshold a term is in this many documents at most
     most = F.col("n_e") * F.pow(n / F.col("n_e"), F.lit(1 - GENERALISE))
     bound = stored(known.groupBy("row").agg(F.max(most).alias("most")), "entity-bounds")
-    texts = docs.select(ROW, "text").join(broadcast_if_small(bound.select(F.col("row").alias("__at")), BROADCAST_TERMS), F.col(ROW) == F.col("__at"))
-    each = texts.select(F.col("__at").alias("row"), F.explode(F.array_distinct(F.transform(F.split(F.coalesce("text", F.lit("")), r"\s+", -1), _term))).alias("term")).filter("term <> ''")
+    texts = docs.select(ROW, "text").join(broadcast_if_small(bound.select(F.col("row").alias("__deeptime_at")), BROADCAST_TERMS), F.col(ROW) == F.col("__deeptime_at"))
+    each = texts.select(F.col("__deeptime_at").alias("row"), F.explode(F.array_distinct(F.transform(F.split(F.coalesce("text", F.lit("")), r"\s+", -1), _term))).alias("term")).filter("term <> ''")
     parts = mention.select("row", F.explode(F.split("hit", r"\s+", -1)).alias("part")).select("row", _term(F.col("part")).alias("term")).filter(~F.col("term").rlike("[a-z]|[^\\x00-\\x7f]")).distinct()
     each = stored(each.join(parts, ["row", "term"], "left_anti"), "entity-terms")
     # a term is in as many documents at least as it is with entities; most terms fail by that alone
@@ -188,9 +188,9 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, n_docs: int) -> tuple[Da
 def term_places(docs: DataFrame, flagged: DataFrame, known: DataFrame) -> DataFrame:
     """``row, start, end, share`` of every flagged term in the documents that hold its entity."""
     sites = stored(known.select("row", "class").join(flagged, "class").groupBy("row", "term").agg(F.max("share").alias("share")), "term-sites")
-    rows = stored(sites.select(F.col("row").alias("__at")).distinct(), "term-rows")
-    texts = docs.select(ROW, "text").join(broadcast_if_small(rows, BROADCAST_TERMS), F.col(ROW) == F.col("__at"))
-    pieces = texts.select(F.col("__at").alias("row"), F.posexplode(_tokens(F.coalesce("text", F.lit("")))).alias("pos", "piece"))
+    rows = stored(sites.select(F.col("row").alias("__deeptime_at")).distinct(), "term-rows")
+    texts = docs.select(ROW, "text").join(broadcast_if_small(rows, BROADCAST_TERMS), F.col(ROW) == F.col("__deeptime_at"))
+    pieces = texts.select(F.col("__deeptime_at").alias("row"), F.posexplode(_tokens(F.coalesce("text", F.lit("")))).alias("pos", "piece"))
     before = F.sum(F.length("piece")).over(Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.length("piece")
     word = F.regexp_replace("piece", r"\s+$", "")
     placed = pieces.select("row", before.alias("start"), (before + F.length(word)).alias("end"), _term(word).alias("term")).filter("term <> ''")
@@ -230,7 +230,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     _, spans = _find(given)
     rank = F.create_map(*(F.lit(x) for k, i in ORDER.items() for x in (k, i)))
     grouped = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", rank[F.col("kind")].alias("rank"), "end", "kind", "action"))).alias("s"))
-    lists = stored(grouped.select(F.col("row").alias("__id"), "s"), "span-lists")
+    lists = stored(grouped.select(F.col("row").alias("__deeptime_id"), "s"), "span-lists")
     text = F.coalesce("text", F.lit(""))
     state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -242,4 +242,4 @@ def sanitise(docs: DataFrame) -> DataFrame:
         )
 
     done = F.aggregate("s", state, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, (a["at"] + 1).cast("int"), F.length(text))))
-    return given.join(lists, F.col(ROW) == F.col("__id"), "left").select("doc_id", F.when(F.col("s").isNull(), text).otherwise(done).alias("clean_text"))
+    return given.join(lists, F.col(ROW) == F.col("__deeptime_id"), "left").select("doc_id", F.when(F.col("s").isNull(), text).otherwise(done).alias("clean_text"))
