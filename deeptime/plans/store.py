@@ -16,6 +16,7 @@ from deeptime.operators import viewport as VP
 from deeptime.operators import zoom as Z
 from deeptime.plans import history as PH
 from deeptime.plans import layers as PL
+from deeptime.plans import model as PM
 from deeptime.plans import zoom as PZ
 from deeptime.sources import digest_tree as DT
 from deeptime.sources import model_io as IO
@@ -159,6 +160,21 @@ def s4_order(spark, sf):
     return claim.filter(~first).agg(F.lit("claim").alias("name"), F.count(F.lit(1)).alias("n"), F.lit(sound).cast("int").alias("out_of_order"), F.lit(bad.count()).alias("behind"))
 
 
+@register("t5_report_order", twin(f"""SELECT report, row_number() OVER (PARTITION BY report ORDER BY a, b) AS pos, content FROM (
+SELECT 'histogram' AS report, type AS a, precision AS b, type || '|' || precision || '|' || count(*) AS content FROM entity GROUP BY type, precision
+UNION ALL SELECT 'time claims', property, lpad(CAST(precision AS VARCHAR), 2, '0'), property || '|' || precision || '|' || count(*) FROM time_fact GROUP BY property, precision
+UNION ALL SELECT 'import', CASE WHEN input_order % 2 = 0 THEN 'curated' ELSE 'bulk' END, coalesce(reason, 'accepted'), CASE WHEN input_order % 2 = 0 THEN 'curated' ELSE 'bulk' END || '|' || coalesce(reason, 'accepted') || '|' || count(*) FROM reasoned GROUP BY CASE WHEN input_order % 2 = 0 THEN 'curated' ELSE 'bulk' END, coalesce(reason, 'accepted')) r""", "entity", "time_fact", more=f"{PM.SPOILED},\n{PM.REASON}"))
+def t5(spark, sf):
+    """Three reports, written and read back: every row with its place."""
+    out = None
+    for name, report, order in (("histogram", PH.a1_histogram(spark, sf), ["type", "precision"]), ("time claims", PH.a6(spark, sf), ["property", "precision"]), ("import", PM.a8(spark, sf), ["source", "reason"])):
+        path = _fresh(spark, "report")
+        IO.write_report(report, path, order)
+        one = IO.read_report(spark, path).select(F.lit(name).alias("report"), "pos", F.concat_ws("|", *order, "n").alias("content"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @register("s5_model_faults", twin("""SELECT 'half a point' AS fault, seed_id AS id FROM entity WHERE lon IS NOT NULL AND input_order % 50 = 1 AND input_order % 40 <> 3 UNION ALL
 SELECT 'order has gaps', CAST(max(input_order) - min(input_order) + 1 - count(*) AS VARCHAR) FROM entity WHERE input_order % 40 <> 3 HAVING max(input_order) - min(input_order) + 1 > count(*) UNION ALL
 SELECT 'repeated slug', 'slug-' || (input_order // 2) FROM entity WHERE input_order % 40 <> 3 AND input_order % 60 IN (10, 11) GROUP BY input_order // 2 HAVING count(*) > 1 UNION ALL

@@ -59,6 +59,21 @@ def write_rejects(rejects: DataFrame, path: str) -> None:
     rejects.orderBy(*order).write.mode("errorifexists").parquet(path)
 
 
+def write_report(report: DataFrame, path: str, order: list[str]) -> None:
+    """Write a report in the order of ``order`` and then of its other columns, so that equal reports are equal files."""
+    rest = [c for c in report.columns if c not in order]
+    report.orderBy(*order, *rest).write.mode("errorifexists").parquet(path)
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """A written report with ``pos``, the place of each row in the order in which it was written, from 1."""
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    # a row for each file
+    sizes = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(small(sizes.select("_file", before.alias("_before"))), "_file").withColumn("pos", F.col("_before") + F.col("_at") + 1).drop("_file", "_at", "_before")
+
+
 def publish_plan(documents: DataFrame, published: DataFrame) -> DataFrame:
     """``key, status`` of documents ``(key, body)`` against the published index ``(key, md5)``."""
     now = documents.select("key", F.md5(F.col("body").cast("binary")).alias("new"))
