@@ -318,6 +318,23 @@ def test_during_equals_the_nested_loop_at_any_length_and_distance(spark):
     assert sorted((r.id, r.seed_id) for r in got.collect()) == want
 
 
+def test_counts_during_equal_the_nested_loop_without_pairs(spark):
+    rng = random.Random(23)
+    at = lambda: rng.choice([rng.uniform(-50, 50), float(rng.randrange(-9, 9)), rng.uniform(-1e9, 1e9), rng.choice([-1, 1]) * 1e17])
+    span = lambda k, t: (k, t, t + rng.choice([0.0, 0.25, 1.0, 7.5, 1e3, 3e9, 2e17]))
+    spans, events = [span(k, at()) for k in range(150)], [span(f"e{k}", at()) for k in range(150)]
+    got = I.during_counts(spark.createDataFrame(spans, "id int, a double, b double"), spark.createDataFrame(events, "seed_id string, t0 double, t1 double"))
+    want = {i: [s for s, t0, t1 in events if t0 <= b and t1 >= a] for i, a, b in spans}
+    assert {r.id: (r.n, r.least) for r in got.collect()} == {i: (len(m), min(m)) for i, m in want.items() if m}
+
+
+def test_many_spans_and_events_at_one_time_make_no_pairs(spark):
+    """A million overlaps from a thousand spans and a thousand events: nothing between is larger than both tables."""
+    spans = spark.range(1000).selectExpr("id", "0D AS a", "100D AS b")
+    events = spark.range(1000).selectExpr("lpad(cast(id AS string), 4, '0') AS seed_id", "50D AS t0", "60D AS t1")
+    out = I.during_counts(spans, events)
+    assert out.agg(F.min("n"), F.max("n"), F.max("least"), F.count("*")).first() == (1000, 1000, "0000", 1000)
+
 def test_threshold_search_reads_on_until_its_last_place_beats_the_bound(spark):
     rng, day = random.Random(9), 86400.0
     rows = [(f"x{k:03}", t, t + rng.choice((0, 3, 90, 4000)) * day, rng.randrange(4) / 4) for k in range(150) for t in [rng.uniform(-3000, 3000) * day]]
