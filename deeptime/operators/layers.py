@@ -143,15 +143,42 @@ def ring_fault(ring: Column, exterior: Column) -> Column:
     return F.when(F.size(ring) < 4, "positions").when(bad, "range").when((first["lon"] != last["lon"]) | (first["lat"] != last["lat"]), "open").when((ring_area(ring) > 0) != exterior, "winding")
 
 
+#: Sides up to which a ring's crossings are counted in its own row.
+SHORT_RING = 12
+
+
+def _side(p: Column, q: Column, r: Column) -> Column:
+    return (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"]) > 0
+
+
+def _own_crossings(ring: Column) -> Column:
+    """Number of proper crossings between sides of one short ring, pair by pair."""
+    points = F.transform(ring, lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y")))
+    sides = F.zip_with(F.slice(points, F.lit(1), F.size(ring) - 1), F.slice(points, F.lit(2), F.size(ring) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    last = F.size(ring) - 2
+
+    def met(s, i):
+        a, b = s["a"], s["b"]
+        cross = lambda o: (_side(o["a"], o["b"], a) != _side(o["a"], o["b"], b)) & (_side(a, b, o["a"]) != _side(a, b, o["b"]))
+        return F.size(F.filter(sides, lambda o, j: (j >= i + 2) & ~((i == 0) & (j == last)) & cross(o)))
+
+    # three sides can't cross
+    return F.when(F.size(ring) > 4, F.aggregate(F.transform(sides, met), F.lit(0).cast("long"), lambda n, m: n + m)).otherwise(F.lit(0).cast("long"))
+
+
 def crossings(rings: DataFrame) -> DataFrame:
-    """Number of proper crossings between sides of each ring.
+    """Number of proper crossings between sides of each ring, which ``ring_id`` names.
 
-    A side lies in four cells at most of the least power of two that is as large as its box.
+    Rings of ``SHORT_RING`` sides at most are judged in their own rows. Of longer ones a
+    side lies in four cells at most of the least power of two that is as large as its box.
     It is entered there, and in the cells of each larger size that sides of its ring have, so
     two sides that cross share a cell of the larger one's size: long sides and dense stretches
-    of short ones meet only what is near, whatever the ring's scale.
+    of short ones meet only what is near, whatever the ring's scale. These joins are shuffled:
+    alike rings make small files, by whose size Spark would broadcast very many rows.
     """
-    seg = rings.select("ring_id", F.size("ring").alias("n"), F.posexplode(F.zip_with(F.slice("ring", F.lit(1), F.size("ring") - 1), F.slice("ring", F.lit(2), F.size("ring") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("i", "s"))
+    short = F.size("ring") <= SHORT_RING + 1
+    own = rings.filter(short).select("ring_id", _own_crossings(F.col("ring")).alias("n_crossings")).filter("n_crossings > 0")
+    seg = rings.filter(~short).select("ring_id", F.size("ring").alias("n"), F.posexplode(F.zip_with(F.slice("ring", F.lit(1), F.size("ring") - 1), F.slice("ring", F.lit(2), F.size("ring") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("i", "s"))
     seg = seg.select("ring_id", (F.col("n") - 1).alias("n"), "i", F.col("s.a.lon").alias("ax"), F.col("s.a.lat").alias("ay"), F.col("s.b.lon").alias("bx"), F.col("s.b.lat").alias("by"))
     extent = F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay")), F.lit(2.0**LEAST_SIDE))
     seg = written(seg.withColumn("level", F.ceil(F.log2(extent)).cast("int")), "sides")
@@ -160,14 +187,14 @@ def crossings(rings: DataFrame) -> DataFrame:
     celled = lambda df: df.withColumn("cx", F.explode(span(F.col("ax"), F.col("bx")))).withColumn("cy", F.explode(span(F.col("ay"), F.col("by"))))
     # as many sizes as powers of two
     sizes = seg.groupBy("ring_id").agg(F.collect_set("level").alias("levels"))
-    o = seg.join(sizes, "ring_id").withColumn("level", F.explode(F.filter("levels", lambda x: x >= F.col("level")))).drop("levels", "n")
+    o = seg.join(sizes.hint("merge"), "ring_id").withColumn("level", F.explode(F.filter("levels", lambda x: x >= F.col("level")))).drop("levels", "n")
     o = celled(o).select("ring_id", "level", "cx", "cy", F.col("i").alias("j"), *(F.col(c).alias("o" + c) for c in ("ax", "ay", "bx", "by")))
     side = lambda px, py, qx, qy, rx, ry: (F.col(qx) - F.col(px)) * (F.col(ry) - F.col(py)) - (F.col(qy) - F.col(py)) * (F.col(rx) - F.col(px)) > 0
     cross = (side("oax", "oay", "obx", "oby", "ax", "ay") != side("oax", "oay", "obx", "oby", "bx", "by")) & (side("ax", "ay", "bx", "by", "oax", "oay") != side("ax", "ay", "bx", "by", "obx", "oby"))
     low, high = F.least("i", "j"), F.greatest("i", "j")
     apart = (high >= low + 2) & ~((low == 0) & (high == F.col("n") - 1))
-    pairs = celled(seg).join(o, ["ring_id", "level", "cx", "cy"]).filter(apart & cross).select("ring_id", low.alias("i"), high.alias("j")).distinct()
-    return pairs.groupBy("ring_id").agg(F.count(F.lit(1)).alias("n_crossings"))
+    pairs = celled(seg).join(o.hint("merge"), ["ring_id", "level", "cx", "cy"]).filter(apart & cross).select("ring_id", low.alias("i"), high.alias("j")).distinct()
+    return own.unionByName(pairs.groupBy("ring_id").agg(F.count(F.lit(1)).alias("n_crossings")))
 
 
 def reconcile(declared: DataFrame, payload: DataFrame) -> DataFrame:

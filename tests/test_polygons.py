@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from deeptime.operators import layers as L
 from deeptime.operators import polygons as G
+from deeptime.plans import layers as PL
 from deeptime.sources import records as R
 
 
@@ -120,3 +121,20 @@ def test_a_missing_owner_is_fatal(spark):
     with pytest.raises(ValueError, match="owner"):
         G.require_sound(faults)
     G.require_sound(faults.filter("name = 'a'"))
+
+
+def test_crossings_of_alike_rings_are_not_broadcast(spark):
+    """Very many alike rings make small files, by whose size Spark would send all their rows to the driver."""
+    ring = [(float(k % 7), float(k * k % 11)) for k in range(40)]
+    short = [(0.0, 0.0), (1.0, 1.0), (1.0, 0.0), (0.0, 1.0), (0.0, 0.0)]
+    rows = [(k, r + r[:1]) for k, r in enumerate([ring] * 20)] + [(100, short), (101, short[:3] + short[:1]), (102, [])]
+    out = L.crossings(spark.createDataFrame(rows, f"ring_id int, ring array<{G.POINT}>"))
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().sparkPlan().toString()
+    assert {r.ring_id: r.n_crossings for r in out.collect()} == {k: n for k, r in rows if r and (n := len(brute_crossings(r)))}
+    assert out.filter("ring_id = 100").first().n_crossings == 1
+
+
+def test_keys_of_a_small_file_are_spread_over_tasks(spark, tmp_path):
+    spark.range(50).selectExpr("id AS c_custkey").coalesce(1).write.parquet(f"file://{tmp_path}/customer.parquet")
+    for made in (PL._stars, PL._ragged, PL._spoiled):
+        assert made(spark, f"file://{tmp_path}").rdd.getNumPartitions() >= 16
