@@ -350,6 +350,24 @@ def test_threshold_search_reads_on_until_its_last_place_beats_the_bound(spark):
         assert got == {s: o for s, o in want.items() if o}
 
 
+def test_contemporaries_make_no_row_for_a_pair_that_is_not_taken(spark, monkeypatch):
+    """Three hundred subjects at one time against as many: what is written between has no more rows than candidates and results."""
+    sizes, written = [], M.written
+
+    def count(df, label):
+        out = written(df, label)
+        sizes.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(M, "written", count)
+    frame = spark.range(300).selectExpr("concat('s', lpad(cast(id AS string), 3, '0')) AS seed_id", "0D AS t0", "10D AS t1", "(id % 3 + 1) / 4D AS importance")
+    got = M.contemporaries(frame, top=5, read=(8,)).collect()
+    best = [f"s{k:03}" for k in range(2, 300, 3)]
+    want = {f"s{k:03}": [b for b in best if b != f"s{k:03}"][:5] for k in range(300)}
+    assert {s: [r.oid for r in sorted((r for r in got if r.sid == s), key=lambda r: r.pos)] for s in want} == want
+    # one group, so its bins' candidates are listed once, not once a subject
+    assert dict(sizes)["subject-groups"] == 1 and max(n for _, n in sizes) <= 1500
+
 def test_names_with_letters_changed_are_found(spark):
     rng = random.Random(10)
 
