@@ -23,6 +23,8 @@ from deeptime.sources.scratch import written
 BUCKETS = 32
 #: Parts of a level that become one of the next.
 FAN = 8
+#: Bytes of arriving record files that make a batch.
+BATCH_BYTES = 256 << 20
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -71,13 +73,14 @@ class RepeatedIds(ValueError):
     """Ids that arrived before."""
 
 
-def ingest_records(spark: SparkSession, source: str, target: str, checkpoint: str, fatal: bool = True, files: int = 2, name=None):
+def ingest_records(spark: SparkSession, source: str, target: str, checkpoint: str, fatal: bool = True, files: int | None = None, name=None):
     """Parts of newline-delimited records into the model's tables under ``target``.
 
     Lines are numbered, parsed, normalized and validated as in a batch import; what fails
     goes to ``target/rejects`` with its file, line and reason. An id that any part gave
     before ends the stream with ``RepeatedIds`` before the batch writes anything, or
     is one more reject where ``fatal`` is off. ``name`` makes a file's name from its path (``_path``).
+    A batch takes ``BATCH_BYTES`` of files, however many that are, or ``files`` of them where that is given.
     """
     file = F.element_at(F.split("_path", "/"), -1) if name is None else name
 
@@ -111,7 +114,8 @@ def ingest_records(spark: SparkSession, source: str, target: str, checkpoint: st
         store_ids(fresh, f"{target}/ids", n, "seed_id")
 
     place = [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block")]
-    stream = spark.readStream.format("text").option("maxFilesPerTrigger", files).option("recursiveFileLookup", True).load(source).select("value", *place)
+    bound = ("maxBytesPerTrigger", str(BATCH_BYTES)) if files is None else ("maxFilesPerTrigger", files)
+    stream = spark.readStream.format("text").option(*bound).option("recursiveFileLookup", True).load(source).select("value", *place)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -38,6 +38,14 @@ def test_records_reach_the_model_and_a_repeated_id_ends_the_stream(spark, tmp_pa
     assert ST.streamed_model(spark, f"file://{tmp_path}/model")["entity"].count() == 4
 
 
+def test_small_files_are_one_batch(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(9):
+        (tmp_path / f"in/{k}.ndjson").write_text(record(f"r{k}"))
+    drain(spark, tmp_path)
+    assert [p.name for p in (tmp_path / "model/entity").glob("batch=*")] == ["batch=0"]
+    assert [(r.input_order, r.seed_id) for r in ST.streamed_model(spark, f"file://{tmp_path}/model")["entity"].orderBy("input_order").collect()] == [(k, f"r{k}") for k in range(9)]
+
 def test_a_batch_reads_the_buckets_of_its_ids_only(spark, tmp_path):
     ids = ST._with_bucket(spark.range(500).selectExpr("CAST(id AS STRING) AS id"), "id")
     for n in (0, 1, 1):  # the second runs twice
