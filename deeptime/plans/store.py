@@ -22,7 +22,7 @@ from deeptime.sources import digest_tree as DT
 from deeptime.sources import model_io as IO
 from deeptime.sources import records as R
 from deeptime.sources.scratch import fresh as _fresh
-from deeptime.sources.scratch import small, written
+from deeptime.sources.scratch import small, spread, written
 from deeptime.streaming import ingest as ST
 
 
@@ -43,7 +43,7 @@ def _file_key():
 
 def _as_files(lines, path, **options):
     """Write ``file, ord, value`` as one text file for each ``file``, its lines by ``ord``."""
-    lines.repartition("file").sortWithinPartitions("file", "ord").select("file", "value").write.partitionBy("file").options(**options).text(path)
+    spread(lines, "file").sortWithinPartitions("file", "ord").select("file", "value").write.partitionBy("file").options(**options).text(path)
 
 
 _KIND = "CASE WHEN input_order % 31 = 0 THEN {0} WHEN input_order % 37 = 0 THEN 'invalid JSON' WHEN input_order % 41 = 0 THEN 'skipped' {1} ELSE 'record' END"
