@@ -38,13 +38,16 @@ def numbered_lines(spark: SparkSession, path: str, name: Column | None = None) -
 
 
 def number_lines(raw: DataFrame) -> DataFrame:
-    """``file, line, value`` of read lines ``(file, _path, _block, _at, value)``; ``_at`` ascends within a block."""
+    """``file, line, value`` of read lines ``(file, _path, _block, _at, value)``; ``_at`` goes up by one from line to line of a block.
+
+    A block is read by one task without a break, so a line's number is its distance from the
+    block's first one and the lines are not shuffled, however long they are.
+    """
     rows = written(raw, "lines")
-    sizes = rows.groupBy("_path", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = rows.groupBy("_path", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     before = F.sum("_n").over(Window.partitionBy("_path").orderBy("_block")) - F.col("_n")
-    offsets = small(sizes.select("_path", "_block", before.alias("_before")))
-    inner = F.row_number().over(Window.partitionBy("_path", "_block").orderBy("_at"))
-    return rows.withColumn("_k", inner).join(offsets, ["_path", "_block"]).select("file", (F.col("_before") + F.col("_k")).alias("line"), F.trim("value").alias("value"))
+    offsets = small(written(sizes.select("_path", "_block", (before - F.col("_first") + 1).alias("_from")), "line-offsets"))
+    return rows.join(offsets, ["_path", "_block"]).select("file", (F.col("_from") + F.col("_at")).alias("line"), F.trim("value").alias("value"))
 
 
 def bulk_lines(spark: SparkSession, path: str, name: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -55,14 +58,20 @@ def bulk_lines(spark: SparkSession, path: str, name: Column | None = None) -> tu
     return good, bad.unionByName(lines.filter(long).select("file", "line", F.lit("line too long").alias("reason")))
 
 
-def parse_lines(lines: DataFrame, comments: bool) -> tuple[DataFrame, DataFrame]:
-    """Records and rejects of non-blank lines; ``#`` lines are comments only where they are allowed."""
+def parsed_lines(lines: DataFrame, comments: bool) -> DataFrame:
+    """Non-blank lines as ``file, line, fault`` and the fields of ``RECORD``; ``#`` lines are comments only where they are allowed."""
     used = lines.filter(F.col("value") != "")
     if comments:
         used = used.filter(~F.col("value").startswith("#"))
     parsed = used.withColumn("r", F.from_json("value", RECORD + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    good = parsed.filter("r._bad IS NULL AND r IS NOT NULL").select("file", "line", "r.*").drop("_bad")
-    return good, parsed.filter("r._bad IS NOT NULL OR r IS NULL").select("file", "line", F.lit("invalid JSON").alias("reason"))
+    fault = F.when(F.col("r").isNull() | F.col("r._bad").isNotNull(), "invalid JSON")
+    return parsed.select("file", "line", fault.alias("fault"), "r.*").drop("_bad")
+
+
+def parse_lines(lines: DataFrame, comments: bool) -> tuple[DataFrame, DataFrame]:
+    """Records and rejects of non-blank lines."""
+    rows = parsed_lines(lines, comments)
+    return rows.filter("fault IS NULL").drop("fault"), rows.filter("fault IS NOT NULL").select("file", "line", F.col("fault").alias("reason"))
 
 
 def file_digests(spark: SparkSession, path: str, name: Column | None = None) -> DataFrame:
@@ -88,10 +97,10 @@ def manifest_faults(spark: SparkSession, path: str, manifest: DataFrame, name: C
 
 
 def normalized(records: DataFrame) -> DataFrame:
-    """Parsed records as rows of the model: an entity's columns, its ``categories``, ``rel`` and ``props``; an end that isn't given is the start."""
+    """Parsed records as rows of the model: an entity's columns, its ``categories``, ``rel`` and ``props``, and ``fault`` if they have it; an end that isn't given is the start."""
     t0 = authored_time(F.col("t0"))
     own = {"seed_id": F.col("id"), "t0": t0, "t1": F.when(F.col("t1").isNull(), t0).otherwise(authored_time(F.col("t1"))), "lon": F.get("point", F.lit(0)), "lat": F.get("point", F.lit(1))}
-    return records.select("file", "line", "type", "name", "description", "precision", "status", "importance", "wikidata", "wikipedia", "categories", "rel", "props", *(c.alias(k) for k, c in own.items()))
+    return records.select("file", "line", *(c for c in ("fault",) if c in records.columns), "type", "name", "description", "precision", "status", "importance", "wikidata", "wikipedia", "categories", "rel", "props", *(c.alias(k) for k, c in own.items()))
 
 
 def authored_time(text: Column) -> Column:

@@ -86,9 +86,10 @@ def ingest_records(spark: SparkSession, source: str, target: str, checkpoint: st
 
     def batch(df: DataFrame, n: int):
         s = df.sparkSession
-        good, bad = R.parse_lines(R.number_lines(df.select(file.alias("file"), "_path", "_block", F.monotonically_increasing_id().alias("_at"), "value")), comments=True)
-        rows = R.normalized(good)
-        rows = written(_with_bucket(rows.withColumn("reason", M.reject_reason(F.col("categories"), F.col("rel"), F.col("props"))), "seed_id"), "arrived")
+        lines = R.number_lines(df.select(file.alias("file"), "_path", "_block", F.monotonically_increasing_id().alias("_at"), "value"))
+        rows = R.normalized(R.parsed_lines(lines, comments=True))
+        reason = F.coalesce("fault", M.reject_reason(F.col("categories"), F.col("rel"), F.col("props")))
+        rows = written(_with_bucket(rows.withColumn("reason", reason).drop("fault"), "seed_id"), "arrived")
         sound = rows.filter("reason IS NULL")
         nth = F.row_number().over(Window.partitionBy("seed_id").orderBy("file", "line"))
         known = known_ids(s, f"{target}/ids", n, sound, "seed_id").withColumn("_known", F.lit(True))
@@ -100,7 +101,7 @@ def ingest_records(spark: SparkSession, source: str, target: str, checkpoint: st
             if found:
                 raise RepeatedIds("ids that arrived before: " + ", ".join(found))
         fresh = judged.filter(~again).drop("_nth", "_known", "reason")
-        rejects = bad.unionByName(rows.filter("reason IS NOT NULL").select("file", "line", "reason")).unionByName(repeats.select("file", "line", F.lit("repeated id").alias("reason")))
+        rejects = rows.filter("reason IS NOT NULL").select("file", "line", "reason").unionByName(repeats.select("file", "line", F.lit("repeated id").alias("reason")))
         part = lambda array, what: fresh.select("seed_id", F.posexplode(array).alias("ord", "x")).select("seed_id", "ord", *what)
         tables = {
             "entity": fresh.drop("bucket", "categories", "rel", "props"),
@@ -115,7 +116,8 @@ def ingest_records(spark: SparkSession, source: str, target: str, checkpoint: st
 
     place = [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block")]
     bound = ("maxBytesPerTrigger", str(BATCH_BYTES)) if files is None else ("maxFilesPerTrigger", files)
-    stream = spark.readStream.format("text").option(*bound).option("recursiveFileLookup", True).load(source).select("value", *place)
+    # with its schema given, the folder is not listed an extra time
+    stream = spark.readStream.format("text").schema("value string").option(*bound).option("recursiveFileLookup", True).load(source).select("value", *place)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
