@@ -149,13 +149,13 @@ def s4(spark, sf):
 
 @register("s4_table_order", twin("SELECT 'claim' AS name, count(*) AS n, 0 AS out_of_order, CAST(count(*) FILTER (WHERE seed_id < (SELECT max(seed_id) FROM claim WHERE seed_id LIKE '%7')) AS BIGINT) AS behind FROM claim WHERE seed_id NOT LIKE '%7'", "claim"))
 def s4_order(spark, sf):
-    """Rows that lie behind their key's place: none in the written table; in one that is written in two files, the first with the ids that end in seven, all that sort before these."""
+    """Rows that lie behind their key's place: none in the written table; in one that is written in two parts, the first with the ids that end in seven, all that sort before these."""
     claim, path = bind(spark, sf, "claim"), _fresh(spark, "model")
     IO.write_model(path, **_model(spark, sf))
     sound = IO.out_of_order(spark, f"{path}/claim", IO.KEYS["claim"]).count()
     spoiled, first = _fresh(spark, "spoiled"), F.col("seed_id").endswith("7")
     for k, part in enumerate((claim.filter(first), claim.filter(~first))):
-        part.coalesce(1).sortWithinPartitions("seed_id", "ord").write.parquet(f"{spoiled}/file={k}")
+        part.repartitionByRange("seed_id", "ord").sortWithinPartitions("seed_id", "ord").write.parquet(f"{spoiled}/file={k}")
     bad = IO.out_of_order(spark, spoiled, ["seed_id", "ord"])
     return claim.filter(~first).agg(F.lit("claim").alias("name"), F.count(F.lit(1)).alias("n"), F.lit(sound).cast("int").alias("out_of_order"), F.lit(bad.count()).alias("behind"))
 

@@ -201,14 +201,23 @@ def golden_faults(views: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def out_of_order(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """``file, at``: rows of a written table that lie behind their key's place, within a file or against the files before it."""
-    rows = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"), F.struct(*keys).alias("key"))
-    before = F.lag("key").over(Window.partitionBy("file").orderBy("at"))
-    # a row for each file
-    last = rows.groupBy("file").agg(F.max("key").alias("last"))
-    earlier = small(last.select("file", F.max("last").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier")))
-    met = rows.withColumn("before", before).join(earlier, "file")
-    return met.filter((F.col("before") > F.col("key")) | (F.col("earlier") > F.col("key"))).select("file", "at")
+    """``file, at``: rows of a written table that lie behind their key's place, within a file or against the files before it.
+
+    Rows are compared within the blocks that the reader splits files into, the first of a
+    block with the last of the block before, so no file has to fit a task.
+    """
+    rows = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.col("_metadata.row_index").alias("at"), F.struct(*keys).alias("key"))
+    rows = written(rows, "placed")
+    before = F.lag("key").over(Window.partitionBy("file", "_block").orderBy("at"))
+    # a row for each block that has rows, and one for each file
+    blocks = written(rows.groupBy("file", "_block").agg(F.min("at").alias("_first"), F.max_by("key", "at").alias("_end"), F.max("key").alias("last")), "blocks")
+    ends = F.lag("_end").over(Window.partitionBy("file").orderBy("_first"))
+    files = blocks.groupBy("file").agg(F.max("last").alias("last"))
+    earlier = files.select("file", F.max("last").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
+    edges = small(written(blocks.withColumn("end", ends).join(earlier, "file").select("file", "_block", "end", "earlier"), "block-edges"))
+    met = rows.withColumn("before", before).join(edges, ["file", "_block"])
+    behind = (F.coalesce("before", "end") > F.col("key")) | (F.col("earlier") > F.col("key"))
+    return met.filter(behind).select("file", "at")
 
 
 def resolved_views(views: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import re
 import tempfile
 
 import pytest
@@ -66,3 +67,20 @@ def test_bucketized_rows_are_not_written_as_a_model(spark):
     rows = spark.createDataFrame([(1, 2)], "input_order int, bucket_min int")
     with pytest.raises(ValueError, match="bucketized"):
         IO.write_model("/nowhere", entity=rows)
+
+
+def test_rows_out_of_order_are_found_across_blocks_of_a_file(spark, tmp_path):
+    path, limit = f"file://{tmp_path}/table", "spark.sql.files.maxPartitionBytes"
+    rows = spark.range(30000).selectExpr("CAST(CASE WHEN id % 7000 = 6999 THEN id - 10 ELSE id END AS LONG) AS k", "sha2(CAST(id AS STRING), 256) AS x").coalesce(1)
+    rows.write.option("parquet.block.size", 1 << 18).option("parquet.block.size.row.check.min", "100").option("parquet.page.size.row.check.min", "100").parquet(path)
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "256k")
+    try:
+        assert spark.read.parquet(path).select("_metadata.file_block_start").distinct().count() > 1
+        found = IO.out_of_order(spark, path, ["k"])
+        assert sorted(r.at for r in found.collect()) == [6999, 13999, 20999, 27999]
+        # no window takes a whole file's rows
+        plan = found._jdf.queryExecution().analyzed().toString()
+        assert re.search(r"lag\(key[^\n]*\[file#\d+, _block#\d+L?\]", plan)
+    finally:
+        spark.conf.set(limit, before)
