@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -370,6 +371,158 @@ def simplified(ring: np.ndarray, tolerance: float, exterior: bool = True):
     return None
 
 
+#: Points of a ring up to which it is simplified along with the others of its batch.
+TOGETHER = 512
+
+
+def _ends(sizes) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+
+
+def _first_max(d: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+    """Greatest value of each run of ``d`` and the place of the first that has it; no run is empty."""
+    most = np.maximum.reduceat(d, starts)
+    there = np.flatnonzero(d == np.repeat(most, sizes))
+    return most, there[np.searchsorted(there, starts)]
+
+
+def _kept_together(xy: np.ndarray, ends: np.ndarray, tolerance: float):
+    """``_kept`` of many rings, whose points lie one ring after the other; all segments of a level are cut at once."""
+    sizes = np.diff(ends)
+    _, far = _first_max(((xy - np.repeat(xy[ends[:-1]], sizes, 0)) ** 2).sum(1), ends[:-1], sizes)
+    # closed: each ring has its first point again at its end
+    ring = np.arange(len(sizes))
+    begin, last = ends[:-1] + ring, ends[1:] + ring
+    closed = np.insert(xy, ends[1:], xy[ends[:-1]], axis=0)
+    marked = np.zeros(len(closed), bool)
+    marked[begin] = marked[far + ring] = marked[last] = True
+    a, b = np.concatenate((begin, far + ring)), np.concatenate((far + ring, last))
+    while len(a := a[(more := b - a >= 2)]):
+        b = b[more]
+        many = b - a - 1
+        starts = _ends(many)[:-1]
+        at = np.arange(many.sum()) - np.repeat(starts - a - 1, many)
+        way = closed[b] - closed[a]
+        length = np.hypot(way[:, 0], way[:, 1])
+        off = closed[at] - np.repeat(closed[a], many, 0)
+        wx, wy, long = (np.repeat(v, many) for v in (way[:, 0], way[:, 1], length))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            d = np.where(long > 0, np.abs(wx * off[:, 1] - wy * off[:, 0]) / long, np.hypot(off[:, 0], off[:, 1]))
+        most, where = _first_max(d, starts, many)
+        cut = most > tolerance
+        mid = at[where[cut]]
+        marked[mid] = True
+        a, b = np.concatenate((a[cut], mid)), np.concatenate((mid, b[cut]))
+    return closed[marked], _ends(np.add.reduceat(marked.astype(np.int64), begin))
+
+
+def _faulty(xy: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether closed rings, one after the other, may have a pinch or a crossing; a ring that has one is never left out."""
+    n = np.diff(ends)
+    bad, ring = np.zeros(len(n), bool), np.repeat(np.arange(len(n)), n)
+    inner = np.ones(len(xy), bool)
+    inner[ends[1:] - 1] = False
+    a, b, of = xy[inner], xy[np.flatnonzero(inner) + 1], ring[inner]
+    order = np.lexsort((a[:, 1], a[:, 0], of))
+    same = (a[order][1:] == a[order][:-1]).all(1) & (of[order][1:] == of[order][:-1])
+    bad[of[order][1:][same]] = True
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    # rings lie apart by more than the longitudes' range; what the sum loses is made up for
+    order = np.lexsort((low[:, 0], of))
+    west = of[order] * 1024.0 + low[order, 0]
+    stop = np.searchsorted(west, of[order] * 1024.0 + high[order, 0] + 1e-5, "right")
+    many = np.maximum(stop - np.arange(len(west)) - 1, 0)
+    upto, at = np.cumsum(many), 0
+    place = np.arange(len(a)) - (ends[:-1] - np.arange(len(n)))[of]
+    while at < len(west):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+        k = np.repeat(np.arange(at, to), many[at:to])
+        other = np.arange(len(k)) - np.repeat(np.cumsum(many[at:to]) - many[at:to], many[at:to]) + k + 1
+        i, j = np.minimum(order[k], order[other]), np.maximum(order[k], order[other])
+        near = (low[i, 1] <= high[j, 1]) & (high[i, 1] >= low[j, 1]) & (j >= i + 2) & ~((place[i] == 0) & (place[j] == n[of[j]] - 2))
+        i, j = i[near], j[near]
+        one, two, off = b[i] - a[i], b[j] - a[j], a[j] - a[i]
+        cross = one[:, 0] * two[:, 1] - one[:, 1] * two[:, 0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t, u = (off[:, 0] * two[:, 1] - off[:, 1] * two[:, 0]) / cross, (off[:, 0] * one[:, 1] - off[:, 1] * one[:, 0]) / cross
+        bad[of[i[(t > 0) & (t < 1) & (u > 0) & (u < 1)]]] = True
+        at = to
+    return bad
+
+
+def _areas(xy: np.ndarray, ends: np.ndarray, at_least: float):
+    """Areas of closed rings of one point or more, those that are as near to 0 or ``at_least`` as rounding exactly as ``_area`` gives them."""
+    x, y = xy[:-1], xy[1:]
+    terms = np.append(x[:, 0] * y[:, 1] - y[:, 0] * x[:, 1], 0.0)
+    terms[ends[1:] - 1] = 0.0
+    area, scale = np.add.reduceat(terms, ends[:-1]) / 2, 1e-9 * np.add.reduceat(np.abs(terms), ends[:-1])
+    for k in np.flatnonzero((np.abs(area) <= scale) | (np.abs(np.abs(area) - at_least) <= scale)):
+        area[k] = _area(xy[ends[k] : ends[k + 1]])
+    return area
+
+
+def simplified_all(xy: np.ndarray, ends: np.ndarray, tolerance: float, exterior) -> list:
+    """``simplified`` of many rings, whose points lie one ring after the other in ``xy``: ring ``k`` from ``ends[k]`` to ``ends[k + 1]``."""
+    out, sizes = [None] * (len(ends) - 1), np.diff(ends)
+    finite = np.append(np.cumsum(np.append(0, ~np.isfinite(xy).all(1))), 0)
+    plain = (sizes <= TOGETHER) & (sizes > 0) & (finite[ends[1:]] == finite[ends[:-1]])
+    for k in np.flatnonzero(~plain):
+        out[k] = simplified(xy[ends[k] : ends[k + 1]], tolerance, bool(exterior[k]))
+    left = np.flatnonzero(plain)
+    if not len(left):
+        return out
+    p = np.round(np.clip(xy[np.repeat(plain, sizes)], (-180, -90), (180, 90)), 4) + 0.0
+    ends = _ends(sizes[left])
+    fresh = np.append(True, (p[1:] != p[:-1]).any(1))
+    fresh[ends[:-1]] = True
+    p, ends = p[fresh], _ends(np.add.reduceat(fresh.astype(np.int64), ends[:-1]))
+    twice = (np.diff(ends) > 1) & (p[ends[:-1]] == p[ends[1:] - 1]).all(1)
+    keep = np.ones(len(p), bool)
+    keep[(ends[1:] - 1)[twice]] = False
+    p, ends = p[keep], _ends(np.diff(ends) - twice)
+
+    def only(xy, ends, which):
+        return xy[np.repeat(which, np.diff(ends))], _ends(np.diff(ends)[which])
+
+    which = np.diff(ends) >= 3
+    (p, ends), left = only(p, ends, which), left[which]
+    if len(left):
+        closed = np.insert(p, ends[1:], p[ends[:-1]], axis=0)
+        which = np.abs(_areas(closed, ends + np.arange(len(ends)), tolerance * tolerance)) >= tolerance * tolerance
+        (p, ends), left = only(p, ends, which), left[which]
+    for t in (tolerance, tolerance / 4, tolerance / 16, 0.0):
+        if not len(left):
+            break
+        c, at = _kept_together(p, ends, t)
+        bad, area, again = _faulty(c, at), _areas(c, at, 0.0), np.zeros(len(left), bool)
+        for k, ring in enumerate(left):
+            one, size = c[at[k] : at[k + 1]], area[k]
+            if bad[k]:
+                one = _repaired(one)
+                size = _area(one)
+            if len(one) >= 4 and size:
+                out[ring] = one if (size > 0) == bool(exterior[ring]) else one[::-1]
+            else:
+                again[k] = True
+        (p, ends), left = only(p, ends, again), left[again]
+    return out
+
+
+def ring_points(rings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Points ``(n, 2)`` of an Arrow column of rings and the places where rings begin and end."""
+    at, points = np.asarray(rings.offsets).astype(np.int64), rings.values
+    of = lambda name: points.field(name).to_numpy(zero_copy_only=False).astype(float)
+    return np.stack([of("lon"), of("lat")], 1)[at[0] : at[-1]], at - at[0]
+
+
+def ring_column(rings: list) -> pa.Array:
+    """An Arrow column of rings; None is null."""
+    xy = np.concatenate([np.zeros((0, 2)), *(r for r in rings if r is not None)])
+    points = pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], ["lon", "lat"])
+    ends = _ends([0 if r is None else len(r) for r in rings]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), points, mask=pa.array([r is None for r in rings], pa.bool_()))
+
+
 def simplify(rings: DataFrame, tolerance: float, *more: str) -> DataFrame:
     """``ring_id, ring, dropped`` and the columns ``more`` of ``rings``: closed rings simplified by Douglas-Peucker, each in a task.
 
@@ -377,19 +530,17 @@ def simplify(rings: DataFrame, tolerance: float, *more: str) -> DataFrame:
     fewer than four positions is tried at a quarter, a sixteenth and none of the
     tolerance; pinches and crossings are cut off; outlines are wound
     counter-clockwise, holes (where ``exterior`` is given and false) clockwise.
-    Rings under the tolerance's square are ``dropped`` and have no ring.
+    Rings under the tolerance's square are ``dropped`` and have no ring. The rings of a batch are
+    worked on together.
     """
-    import pandas as pd
-
     has = "exterior" in rings.columns
 
-    def run(frames):
-        for pdf in frames:
-            out = []
-            for ring, exterior in zip(pdf.ring, pdf.exterior if has else [True] * len(pdf)):
-                c = simplified(np.array([(q["lon"], q["lat"]) for q in ring], float).reshape(-1, 2), tolerance, bool(exterior))
-                out.append(None if c is None else [{"lon": x, "lat": y} for x, y in c.tolist()])
-            yield pd.DataFrame({**{m: pdf[m] for m in more}, "ring_id": pdf.ring_id, "ring": pd.Series(out, index=pdf.index, dtype=object), "dropped": [c is None for c in out]})
+    def run(batches):
+        for batch in batches:
+            outer = np.array([bool(x) for x in batch.column(len(more) + 2).to_pylist()]) if has else np.ones(batch.num_rows, bool)
+            out = simplified_all(*ring_points(batch.column(len(more) + 1)), tolerance, outer)
+            columns = [*batch.columns[: len(more)], batch.column(len(more)).cast(pa.int64()), ring_column(out), pa.array([c is None for c in out], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, [*more, "ring_id", "ring", "dropped"])
 
     kinds = "".join(f"{m} {rings.schema[m].dataType.simpleString()}, " for m in more)
-    return rings.select(*more, "ring_id", "ring", *(["exterior"] if has else [])).mapInPandas(run, f"{kinds}ring_id long, ring array<struct<lon:double,lat:double>>, dropped boolean")
+    return rings.select(*more, "ring_id", "ring", *(["exterior"] if has else [])).mapInArrow(run, f"{kinds}ring_id long, ring array<struct<lon:double,lat:double>>, dropped boolean")
