@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deeptime.functions import vocab as V
-from deeptime.operators.layers import crossings, in_ring, ring_area, ring_fault, simplified
+from deeptime.operators.layers import crossings, in_ring, ring_area, ring_fault, simplified_all
 from deeptime.sources.scratch import small, written
 
 POINT = "struct<lon:double,lat:double>"
@@ -134,15 +134,17 @@ def _arrow(features: list) -> pa.Array:
     return pa.ListArray.from_arrays(ends([len(f or ()) for f in features]), parts, mask=pa.array([f is None for f in features]))
 
 
-def reduced(polygons: list, tolerance: float):
-    """A feature's parts simplified; an outline that goes takes its holes along. None if nothing is left."""
+def reduced(features: list, tolerance: float) -> list:
+    """Features' parts simplified, all rings together; an outline that goes takes its holes along. None where nothing is left."""
+    rings_ = [(r, k == 0) for f in features for p in f or () for k, r in enumerate(p)]
+    xy = np.concatenate([np.zeros((0, 2)), *(r for r, _ in rings_)])
+    ends = np.concatenate(([0], np.cumsum([len(r) for r, _ in rings_]))).astype(np.int64)
+    done = iter(simplified_all(xy, ends, tolerance, [outer for _, outer in rings_]))
     out = []
-    for part in polygons:
-        outline = simplified(part[0], tolerance) if part else None
-        if outline is not None:
-            holes = (simplified(h, tolerance, exterior=False) for h in part[1:])
-            out.append([outline, *(h for h in holes if h is not None)])
-    return out or None
+    for f in features:
+        parts = [[next(done) for _ in p] for p in f or ()]
+        out.append([[p[0], *(h for h in p[1:] if h is not None)] for p in parts if p and p[0] is not None] or None)
+    return out
 
 
 def simplify_polygons(features: DataFrame, tolerance: float, key: str) -> DataFrame:
@@ -150,7 +152,7 @@ def simplify_polygons(features: DataFrame, tolerance: float, key: str) -> DataFr
 
     def run(batches):
         for batch in batches:
-            out = [None if f is None else reduced(f, tolerance) for f in _columns(batch.column(1))]
+            out = reduced(list(_columns(batch.column(1))), tolerance)
             yield pa.RecordBatch.from_arrays([batch.column(0), _arrow(out)], [key, "polygons"])
 
     kind = features.schema[key].dataType.simpleString()
