@@ -41,9 +41,10 @@ def _file_key():
     return F.regexp_extract(F.col("_metadata.file_path"), r"file=(\d+)", 1).cast("bigint")
 
 
-def _as_files(lines, path, **options):
-    """Write ``file, ord, value`` as one text file for each ``file``, its lines by ``ord``."""
-    spread(lines, "file").sortWithinPartitions("file", "ord").select("file", "value").write.partitionBy("file").options(**options).text(path)
+def _as_files(lines, path, value=None, **options):
+    """Write ``file, ord, value`` as one text file for each ``file``, its lines by ``ord``; ``value`` is made of a line after that, so that long ones are not sorted."""
+    placed = spread(lines, "file").sortWithinPartitions("file", "ord")
+    placed.select("file", F.col("value") if value is None else value.alias("value")).write.partitionBy("file").options(**options).text(path)
 
 
 _KIND = "CASE WHEN input_order % 31 = 0 THEN {0} WHEN input_order % 37 = 0 THEN 'invalid JSON' WHEN input_order % 41 = 0 THEN 'skipped' {1} ELSE 'record' END"
@@ -68,7 +69,7 @@ def s2(spark, sf):
     long = F.concat(F.lit('{"id": "'), F.repeat(F.lit("x"), R.MAX_LINE_BYTES), F.lit('"}'))
     o = F.col("ord")
     whole = (o % 31 != 0) & (o % 37 != 0) & (o % 41 != 0)
-    _as_files(_record_lines(spark, sf).withColumn("value", F.when(whole & (o % 1009 == 0), long).otherwise(F.col("value"))), path, compression="gzip")
+    _as_files(_record_lines(spark, sf), path, F.when(whole & (o % 1009 == 0), long).otherwise(F.col("value")), compression="gzip")
     return _read_lines(*R.bulk_lines(spark, path, _file_key()))
 
 
