@@ -12,7 +12,7 @@ from deeptime.functions import vocab as V
 from deeptime.operators import dating as D
 from deeptime.operators import model as M
 from deeptime.sources import dump as S
-from deeptime.sources.scratch import fresh, written
+from deeptime.sources.scratch import fresh, spread, written
 
 # The other engine's calendar arithmetic, as text.
 
@@ -149,12 +149,12 @@ def parsed(spark, sf, spoiled=False):
 @register("s3_dump_source", twin("SELECT count(*) AS items, count(*) FILTER (WHERE input_order % 29 <> 0) AS labelled, count(*) FILTER (WHERE wikipedia <> '') AS articles FROM entity", "entity"))
 def s3(spark, sf):
     """The dump is read from files: an array over plain, gzip and bzip2 parts."""
-    records, root = written(S.synthetic_lines(spark, sf), "records"), fresh(spark, "dump-files")
+    records, root = written(spread(S.synthetic_lines(spark, sf)), "records"), fresh(spark, "dump-files")
     for k, codec in enumerate(("none", "gzip", "bzip2")):
         part = records.filter(F.pmod(F.xxhash64("value"), F.lit(3)) == k).select(F.concat("value", F.lit(",")).alias("value"))
         part.write.option("compression", codec).text(f"{root}/{codec}")
     spark.createDataFrame([("[",), ("]",)], "value string").write.text(f"{root}/brackets")
-    f = S.parse(S.lines(spark, [f"{root}/{d}" for d in ("none", "gzip", "bzip2", "brackets")])).filter("type = 'item'")
+    f = S.parse(S.lines(spark, [f"{root}/{d}" for d in ("none", "gzip", "bzip2", "brackets")]), S.HEAD).filter("type = 'item'")
     return f.agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("labels")["en"]["value"].isNotNull()).alias("labelled"), F.count_if(F.col("sitelinks")["enwiki"]["title"].isNotNull()).alias("articles"))
 
 

@@ -22,6 +22,9 @@ _STATEMENT = f"struct<rank:string, mainsnak:struct<{_SNAK.replace(' string', ':s
 #: Claims stay JSON text until their property is asked for.
 SCHEMA = "id string, type string, labels map<string,struct<value:string>>, descriptions map<string,struct<value:string>>, claims map<string,string>, sitelinks map<string,struct<title:string>>"
 
+#: The fields that tell a record's kind, label and article.
+HEAD = "type string, labels map<string,struct<value:string>>, sitelinks map<string,struct<title:string>>"
+
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Records of a dump (plain, gzip or bzip2, by the files' names) without the array's brackets and commas."""
@@ -29,8 +32,9 @@ def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return raw.select(F.regexp_replace("value", ",$", "").alias("value")).filter(~F.col("value").isin("", "[", "]"))
 
 
-def parse(records: DataFrame) -> DataFrame:
-    return records.select("value", F.from_json("value", SCHEMA).alias("e")).select("value", "e.*")
+def parse(records: DataFrame, schema: str = SCHEMA) -> DataFrame:
+    """``value`` and the fields of ``schema``; a reader of a few names these alone, and what is left out is skipped unread."""
+    return records.select("value", F.from_json("value", schema).alias("e")).select("value", "e.*")
 
 
 def violations(parsed: DataFrame, limit: int = MAX_RECORD_BYTES) -> DataFrame:
