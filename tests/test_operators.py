@@ -368,6 +368,28 @@ def test_contemporaries_make_no_row_for_a_pair_that_is_not_taken(spark, monkeypa
     # one group, so its bins' candidates are listed once, not once a subject
     assert dict(sizes)["subject-groups"] == 1 and max(n for _, n in sizes) <= 1500
 
+def test_contemporaries_of_short_spans_meet_in_few_groups(spark, monkeypatch):
+    """Spans of a day over two years, and one that is longer: hundreds of bins of a day, which are put together."""
+    sizes, written = {}, M.written
+
+    def count(df, label):
+        out = written(df, label)
+        sizes[label] = out.count()
+        return out
+
+    monkeypatch.setattr(M, "written", count)
+    day = 86400.0
+    rows = [(f"d{k:03}", k * day, (k + k % 3) * day, (k * 7 % 10) / 10) for k in range(300)] + [("long", 0.0, 500 * day, 0.05)]
+    got = {}
+    for r in M.contemporaries(spark.createDataFrame(rows, "seed_id string, t0 double, t1 double, importance double"), top=3).collect():
+        got.setdefault(r.sid, {})[r.pos] = r.oid
+    for s, a, b, _ in rows:
+        near = sorted((-i, c, o) for o, c, d, i in rows if o != s and d >= a and c <= b and d - c <= 50 * max(b - a, day))
+        best = sorted(sorted((i, o, c) for i, c, o in near)[:3], key=lambda x: (x[2], x[1]))
+        assert list(dict(sorted(got.get(s, {}).items())).values()) == [o for _, o, _ in best], s
+    assert sizes["subject-groups"] <= 10
+
+
 def test_names_with_letters_changed_are_found(spark):
     rng = random.Random(10)
 
