@@ -368,6 +368,16 @@ def test_contemporaries_make_no_row_for_a_pair_that_is_not_taken(spark, monkeypa
     # one group, so its bins' candidates are listed once, not once a subject
     assert dict(sizes)["subject-groups"] == 1 and max(n for _, n in sizes) <= 1500
 
+def test_documents_take_contemporaries_as_whole_lists_with_their_names(spark):
+    """A row for each subject, names with it, by the lists that are read first and by those after the last round."""
+    frame = spark.range(40).selectExpr("concat('s', lpad(cast(id AS string), 2, '0')) AS seed_id", "concat('name ', id) AS name", "cast(id AS double) AS t0", "10D + id * 86400 AS t1", "(id % 3 + 1) / 4D AS importance")
+    pairs = sorted((r.sid, r.pos, r.oid) for r in M.contemporaries(frame, top=5).collect())
+    for read in ((1,), (64,)):
+        rows = M.met_by(frame, top=5, read=read, label="name").collect()
+        assert len(rows) == len({r.sid for r in rows}) == 40
+        assert sorted((r.sid, m.pos, m.oid) for r in rows for m in r.met) == pairs
+        assert all([m.pos for m in r.met] == [1, 2, 3, 4, 5] and all(m.other == f"name {int(m.oid[1:])}" for m in r.met) for r in rows)
+
 def test_contemporaries_of_short_spans_meet_in_few_groups(spark, monkeypatch):
     """Spans of a day over two years, and one that is longer: hundreds of bins of a day, which are put together."""
     sizes, written = {}, M.written
