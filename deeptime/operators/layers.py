@@ -258,11 +258,8 @@ def budget_ladder(sizes: DataFrame, budget: int) -> DataFrame:
 
 def ladder_sizes(rings: DataFrame, tolerances: list[float]) -> DataFrame:
     """``slice, step, bytes`` of ``rings(slice, ring_id, ring)`` simplified at every tolerance of the ladder."""
-    out = None
-    for step, tolerance in enumerate(tolerances):
-        one = simplify(rings, tolerance, "slice").select("slice", F.lit(step).alias("step"), F.coalesce(F.octet_length(F.to_json("ring")), F.lit(0)).cast("bigint").alias("bytes"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    each = simplify_steps(rings, tolerances, "slice")
+    return each.select("slice", "step", F.coalesce(F.octet_length(F.to_json("ring")), F.lit(0)).cast("bigint").alias("bytes"))
 
 
 def layer_features(slices: DataFrame, features: DataFrame) -> DataFrame:
@@ -533,14 +530,21 @@ def simplify(rings: DataFrame, tolerance: float, *more: str) -> DataFrame:
     Rings under the tolerance's square are ``dropped`` and have no ring. The rings of a batch are
     worked on together.
     """
+    return simplify_steps(rings, [tolerance], *more).drop("step")
+
+
+def simplify_steps(rings: DataFrame, tolerances: list[float], *more: str) -> DataFrame:
+    """The rows of ``simplify`` for each of ``tolerances``, whose place in the list is ``step``; rings are read once for all of them."""
     has = "exterior" in rings.columns
 
     def run(batches):
         for batch in batches:
             outer = np.array([bool(x) for x in batch.column(len(more) + 2).to_pylist()]) if has else np.ones(batch.num_rows, bool)
-            out = simplified_all(*ring_points(batch.column(len(more) + 1)), tolerance, outer)
-            columns = [*batch.columns[: len(more)], batch.column(len(more)).cast(pa.int64()), ring_column(out), pa.array([c is None for c in out], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, [*more, "ring_id", "ring", "dropped"])
+            xy, ends = ring_points(batch.column(len(more) + 1))
+            for step, tolerance in enumerate(tolerances):
+                out = simplified_all(xy, ends, tolerance, outer)
+                columns = [*batch.columns[: len(more)], pa.array(np.full(len(out), step, np.int32)), batch.column(len(more)).cast(pa.int64()), ring_column(out), pa.array([c is None for c in out], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, [*more, "step", "ring_id", "ring", "dropped"])
 
     kinds = "".join(f"{m} {rings.schema[m].dataType.simpleString()}, " for m in more)
-    return rings.select(*more, "ring_id", "ring", *(["exterior"] if has else [])).mapInArrow(run, f"{kinds}ring_id long, ring array<struct<lon:double,lat:double>>, dropped boolean")
+    return rings.select(*more, "ring_id", "ring", *(["exterior"] if has else [])).mapInArrow(run, f"{kinds}step int, ring_id long, ring array<struct<lon:double,lat:double>>, dropped boolean")

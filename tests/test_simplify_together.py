@@ -35,3 +35,15 @@ def test_many_small_rings_are_not_simplified_one_by_one(monkeypatch):
     began = time.time()
     assert all(c is not None for c in L.simplified_all(xy, ends, 0.01, np.ones(len(rings), bool)))
     assert time.time() - began < 20
+
+
+def test_a_ladder_reads_its_rings_once_for_all_tolerances(spark):
+    """One pass over the rings; its rows are those of ``simplify`` tolerance by tolerance."""
+    square = [(0.0, 0.0), (1.0, 0.02), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0), (0.0, 0.0)]
+    rings = spark.createDataFrame([(k, k % 2, [(x * (1 + k), y * (1 + k)) for x, y in square]) for k in range(6)], "ring_id long, slice long, ring array<struct<lon:double,lat:double>>")
+    steps = [0.001, 0.05, 5.0]
+    got = L.simplify_steps(rings, steps, "slice")
+    want = {(r.ring_id, k): (r.ring, r.dropped) for k, t in enumerate(steps) for r in L.simplify(rings, t).collect()}
+    assert {(r.ring_id, r.step): (r.ring, r.dropped) for r in got.collect()} == want
+    sizes = L.ladder_sizes(rings, steps)
+    assert sizes.count() == 18 and sizes._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
