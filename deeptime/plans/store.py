@@ -91,8 +91,9 @@ def _slices(spark, sf):
     props = F.to_json(F.struct(F.when(k % 9 != 1, year).alias("year"), (year - 2 + F.when(k % 9 == 3, 7).otherwise(0)).alias("t_from"), (year + 7).alias("t_to"), F.when(k % 9 == 4, "").otherwise("map").alias("label"), F.lit("atlas").alias("source")))
     doc = F.concat(F.lit('{"type":"'), F.when(k % 9 == 6, "Feature").otherwise("FeatureCollection"), F.lit('","properties":'), props, F.lit(',"features":['), features, F.lit("]}"))
     path = _fresh(spark, "slices")
-    spread(_read(spark, sf, "supplier").select("s_suppkey"), "s_suppkey").select((year + F.when(k % 9 == 2, 1).otherwise(0)).alias("name"), k.alias("file"), doc.alias("value")).select(F.concat_ws("-", "file", "name").alias("file"), "value").write.partitionBy("file").text(path)
-    return R.geojson_slices(spark, path, F.concat(F.element_at(F.split(F.regexp_extract(F.input_file_name(), "file=([^/]*)", 1), "-"), -1), F.lit(".geojson")))
+    name = F.concat((year + F.when(k % 9 == 2, 1).otherwise(0)).cast("string"), F.lit(".geojson"))
+    R.write_files(spread(_read(spark, sf, "supplier").select("s_suppkey"), "s_suppkey").select((k % R.FOLDERS).alias("folder"), name.alias("name"), doc.alias("value")), path)
+    return R.geojson_slices(spark, path, F.regexp_extract("_metadata.file_path", r"([0-9]+\.geojson)", 1))
 
 
 _SLICE_FAULT = "CASE s_suppkey % 9 WHEN 1 THEN 'properties' WHEN 2 THEN 'file name' WHEN 3 THEN 'window' WHEN 4 THEN 'label or source' WHEN 5 THEN 'no features' WHEN 6 THEN 'type' END"

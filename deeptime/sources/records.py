@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.fs  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ RECORD = (
 )
 
 
+#: Folders that many small files are written into.
+FOLDERS = 256
 #: A bulk line of more bytes than this is rejected unparsed.
 MAX_LINE_BYTES = 1 << 20
 
@@ -25,6 +29,46 @@ def file_name() -> Column:
     return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
 
 
+def arrow_knows(path: str) -> bool:
+    """Whether Arrow can write to the file system that ``path`` names."""
+    try:
+        pa.fs.FileSystem.from_uri(path)
+    except (pa.ArrowException, OSError):
+        return False
+    return True
+
+
+def write_files(files: DataFrame, path: str) -> None:
+    """A text file for each row ``(folder, name, value)``; no two files of a folder may have one name.
+
+    Tasks write the files under their own names, so a thousand of them need neither a thousand folders to be made,
+    renamed and listed nor a commit each; a task that runs again writes the same files. On a file system that Arrow
+    does not know, Spark's writer makes a folder of each name instead.
+    """
+    spark = files.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    if not arrow_knows(path):
+        files.write.partitionBy("folder", "name").text(path)
+        return
+
+    def run(batches):
+        system, root = pa.fs.FileSystem.from_uri(path)
+        made = set()
+        for batch in batches:
+            for folder, name, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if folder not in made:
+                    system.create_dir(f"{root}/folder={folder}", recursive=True)
+                    made.add(folder)
+                with system.open_output_stream(f"{root}/folder={folder}/{name}") as out:
+                    out.write(f"{value}\n".encode())
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    system, root = pa.fs.FileSystem.from_uri(path)
+    system.create_dir(root, recursive=True)
+    files.select("folder", "name", "value").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def numbered_lines(spark: SparkSession, path: str, name: Column | None = None) -> DataFrame:
     """``file, line, value`` with exact line numbers, counted from 1 in each file.
 

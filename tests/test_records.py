@@ -1,3 +1,5 @@
+import os
+
 from pyspark.sql import functions as F
 
 from deeptime.sources import records as R
@@ -23,3 +25,19 @@ def test_lines_are_parsed_once_with_their_fault(spark):
     rows = R.normalized(R.parsed_lines(lines, comments=True))
     assert [(r.line, r.fault, r.seed_id) for r in rows.orderBy("line").collect()] == [(1, None, "a"), (2, "invalid JSON", None), (5, "invalid JSON", None)]
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_many_small_files_need_few_folders_and_no_commit_each(spark, tmp_path, monkeypatch):
+    """Each row is a file of its own name; a file system that Arrow does not know gets a folder for each name from Spark's writer."""
+    rows = spark.range(300).selectExpr("id % 4 AS folder", "concat(1000 + id, '.geojson') AS name", "concat('{\"type\":\"x', id, '\"}') AS value")
+    want = {(f"{1000 + k}.geojson", f'{{"type":"x{k}"}}') for k in range(300)}
+    name = F.regexp_extract("_metadata.file_path", r"([0-9]+\.geojson)", 1)
+    path = f"file://{tmp_path}/files"
+    R.write_files(rows, path)
+    R.write_files(rows, path)  # as a task that runs again
+    assert sorted(os.listdir(tmp_path / "files")) == [f"folder={k}" for k in range(4)]
+    assert {(r.name, r.value) for r in spark.read.text(path).select(name.alias("name"), "value").collect()} == want
+    monkeypatch.setattr(R, "arrow_knows", lambda path: False)
+    other = f"file://{tmp_path}/other"
+    R.write_files(rows, other)
+    assert {(r.name, r.value) for r in spark.read.text(other).select(name.alias("name"), "value").collect()} == want
