@@ -37,7 +37,8 @@ def write(entities: DataFrame, path: str) -> None:
         band = F.when(F.col("pos") <= last, k).otherwise(band)
     entries = ranked.select("start", "pos", "slug", "importance", "have", F.substring("start", 1, 1).alias("shard"), band.alias("band"))
     order = ["shard", "band", "start", "pos"]
-    entries.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("errorifexists").partitionBy("shard", "band").parquet(path)
+    # ``ranked`` is read from tables that are cut by ranges of ``start`` and rank, so a task has few shards
+    entries.sortWithinPartitions(*order).write.mode("errorifexists").partitionBy("shard", "band").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
