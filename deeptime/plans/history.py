@@ -142,8 +142,8 @@ ITEMS = _items("input_order % 19 <> 0", "true", "true")
 
 
 def parsed(spark, sf, spoiled=False):
-    """The parsed dump, written once: its readers take a few columns each."""
-    return written(S.parse(S.synthetic_lines(spark, sf, spoiled)), "dump")
+    """The parsed dump, written once and by all tasks, so that all tasks read it: its readers take a few columns each and parse the claims."""
+    return written(S.parse(spread(S.synthetic_lines(spark, sf, spoiled))), "dump")
 
 
 @register("s3_dump_source", twin("SELECT count(*) AS items, count(*) FILTER (WHERE input_order % 29 <> 0) AS labelled, count(*) FILTER (WHERE wikipedia <> '') AS articles FROM entity", "entity"))
@@ -217,7 +217,7 @@ def _census_items(spark, sf):
     w = D.converted(S.time_facts(p).filter("skip IS NULL").withColumnRenamed("id", "item").withColumn("second", F.col("second")))
     spans = D.item_spans(w, "pos").withColumnRenamed("item", "id")
     slice_, _ = T.census_slice(F.col("year"))
-    joined = S.facts(p).withColumnRenamed("label", "name").join(S.classify(S.class_ids(p)), "id").join(spans, "id", "left")
+    joined = S.facts(p, classes=False).withColumnRenamed("label", "name").join(S.classify(S.class_ids(p)), "id").join(spans, "id", "left")
     return joined.select("type", "class", (F.col("name") != "").alias("label"), F.col("t0").isNotNull().alias("dated"), slice_.alias("slice"), F.col("lon").isNotNull().alias("point"), (F.col("article") != "").alias("article"), F.col("links").cast("bigint").alias("links"))
 
 
@@ -257,10 +257,11 @@ def _spoiled_items(spark, sf):
     spans = D.item_spans(usable, "pos").withColumnRenamed("item", "id")
     classes = written(S.class_claims(p), "spoiled-classes")
     typed = S.classify(classes.filter("skip IS NULL").select("id", "property", "class").distinct())
-    items = written(S.facts(p).withColumnRenamed("label", "name").join(typed, "id", "left").join(spans, "id", "left"), "spoiled-items")
+    places = written(S.point_claims(p), "spoiled-points")
+    items = written(S.facts(p, False, places).withColumnRenamed("label", "name").join(typed, "id", "left").join(spans, "id", "left"), "spoiled-items")
     why = F.when(F.col("outcome") == "excluded", "excluded").when(F.coalesce("outcome", F.lit("unclassified")) == "unclassified", "unclassified").when(F.col("name") == "", "item_without_english_label").when(F.col("t0").isNull(), "item_without_usable_time")
     items = items.withColumn("filtered", why)
-    reasons = [classes.select("skip"), times.select("skip"), S.point_claims(p).select("skip"), items.filter(F.col("filtered").startswith("item_")).select(F.col("filtered").alias("skip"))]
+    reasons = [classes.select("skip"), times.select("skip"), places.select("skip"), items.filter(F.col("filtered").startswith("item_")).select(F.col("filtered").alias("skip"))]
     unconvertible = D.visited(usable).agg(F.lit("time_value_unconvertible").alias("reason"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).filter("n > 0")
     every = reasons[0]
     for r in reasons[1:]:

@@ -141,19 +141,22 @@ def point_claims(parsed: DataFrame) -> DataFrame:
     return rows.select("id", "pos", "lon", "lat", F.coalesce("skip", why).alias("skip"))
 
 
-def points(parsed: DataFrame) -> DataFrame:
-    """First usable coordinate on Earth of each item."""
-    good = point_claims(parsed).filter("skip IS NULL")
+def points(claims: DataFrame) -> DataFrame:
+    """First usable coordinate on Earth of each item, from its ``point_claims``."""
+    good = claims.filter("skip IS NULL")
     return good.groupBy("id").agg(F.min_by(F.struct("lon", "lat"), "pos").alias("p")).select("id", "p.lon", "p.lat")
 
 
-def facts(parsed: DataFrame) -> DataFrame:
-    """One row per item with labels, classes, point and links."""
+def facts(parsed: DataFrame, classes: bool = True, places: DataFrame | None = None) -> DataFrame:
+    """One row per item with labels, classes, point and links; without ``classes`` their claims are not read, nor those of points where ``places`` has ``point_claims`` already."""
     base = parsed.filter("type = 'item'").select("id", F.coalesce(F.col("labels")["en"]["value"], F.lit("")).alias("label"), F.coalesce(F.size("sitelinks"), F.lit(0)).alias("links"), F.coalesce(F.col("sitelinks")["enwiki"]["title"], F.lit("")).alias("article"))
-    classes = class_ids(parsed).groupBy("id").agg(
+    base = base.join(points(point_claims(parsed) if places is None else places), "id", "left")
+    if not classes:
+        return base
+    both = class_ids(parsed).groupBy("id").agg(
         F.array_sort(F.collect_set(F.when(F.col("property") == "P31", F.col("class")))).alias("instance_of"), F.array_sort(F.collect_set(F.when(F.col("property") == "P279", F.col("class")))).alias("subclass_of")
     )
-    return base.join(classes, "id", "left").join(points(parsed), "id", "left")
+    return base.join(both, "id", "left")
 
 
 def classify(classes: DataFrame) -> DataFrame:
