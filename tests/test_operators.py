@@ -400,6 +400,35 @@ def test_contemporaries_of_short_spans_meet_in_few_groups(spark, monkeypatch):
     assert sizes["subject-groups"] <= 10
 
 
+def test_wider_bins_that_hold_more_than_they_give_do_not_end_the_search(spark, monkeypatch):
+    """Few short spans among many longer ones, whose bins give a part of their candidates in the first rounds."""
+    monkeypatch.setattr(M, "CROWD", 0)
+    rng, day = random.Random(12), 86400.0
+    rows = [(f"s{k}", 40 * day * k, (40 * k + 1) * day, 0.5) for k in range(6)]
+    rows += [(f"m{k:03}", t, t + rng.choice((5, 12, 30, 45)) * day, rng.randrange(4) / 4) for k in range(120) for t in [rng.uniform(-40, 240) * day]]
+    frame = spark.createDataFrame(rows, "seed_id string, t0 double, t1 double, importance double")
+    want = {}
+    for s, a, b, _ in rows:
+        near = sorted((-i, o, c) for o, c, d, i in rows if o != s and d >= a and c <= b and d - c <= 50 * max(b - a, day))[:10]
+        want[s] = [o for _, o, _ in sorted(near, key=lambda x: (x[2], x[1]))]
+    for read in ((1, 2), (4,), (500,)):
+        got = {r.sid: [m.oid for m in r.met] for r in M.met_by(frame, top=10, read=read).collect()}
+        assert got == {s: o for s, o in want.items() if o}
+
+
+def test_rows_travel_to_their_contemporaries_and_none_is_lost(spark, monkeypatch):
+    """Frames with columns of their own, in groups of more than one deal, with entities that nothing overlaps."""
+    monkeypatch.setattr(M, "GROUP", 8)
+    frame = spark.range(60).selectExpr("concat('s', lpad(cast(id AS string), 2, '0')) AS seed_id", "concat('name ', id) AS name", "IF(id < 50, 0D, id * 1e9D) AS t0", "IF(id < 50, id * 86400D, id * 1e9D) AS t1", "(id % 3 + 1) / 4D AS importance")
+    docs = frame.selectExpr("seed_id", "t0", "t1", "IF(t0 = 0, array(named_struct('a', t1)), NULL) AS part")
+    want = {r.sid: r.met for r in M.met_by(frame, top=5, label="name").collect()}
+    for read in ((1,), (64,)):
+        rows = M.met_by(frame, top=5, read=read, label="name", onto=docs).collect()
+        assert sorted(r.seed_id for r in rows) == [f"s{k:02}" for k in range(60)]
+        assert all((r.part is None) == (r.t0 > 0) and r.met == want.get(r.seed_id) for r in rows)
+    assert len(want) == 50
+
+
 def test_names_with_letters_changed_are_found(spark):
     rng = random.Random(10)
 
