@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from deeptime.llm import packing
 
@@ -74,3 +75,12 @@ def test_like_documents_are_neighbours(spark):
     same = sum(a == b for a, b in zip(run, run[1:])) / (len(run) - 1)
     counts = np.unique(run, return_counts=True)[1] / len(run)
     assert same > (counts**2).sum() + 0.1
+
+
+def test_the_curve_is_fitted_to_all_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    points = packing.projected(docs.select("text").toArrow().column("text").combine_chunks()).astype(float)
+    for partitions in (1, 4):
+        mean, deviation, bounds = packing.fit(docs, partitions)
+        assert np.allclose(mean, points.mean(0)) and np.allclose(deviation, points.std(0))
+        assert len(bounds) == partitions - 1
